@@ -65,11 +65,13 @@ def cut_keys(keyed: DataFrame, strata: list[str], ranks) -> DataFrame:
     return small_side(cuts)
 
 
-def cuts_passed(df: DataFrame, cuts: DataFrame, strata: list[str], key: Column) -> tuple[DataFrame, Column]:
+def cuts_passed(
+    df: DataFrame, cuts: DataFrame, strata: list[str], key: Column, n_cuts: int
+) -> tuple[DataFrame, Column]:
     """``df`` with the cuts of its stratum, and the number of cuts that lie before the row."""
     named = _renamed(cuts, strata)
     joined = df.join(named, _match(df, named, strata), "left")
-    passed = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < key)), F.lit(0))
+    passed = sum(F.coalesce((F.get("_cuts", F.lit(i)) < key).cast("int"), F.lit(0)) for i in range(n_cuts))
     return joined, passed
 
 
@@ -142,7 +144,7 @@ def assign_folds(
     strata = [stratum] if isinstance(stratum, str) else list(stratum)
     keyed = df.select(*strata, hash_key(id_col, seed).alias("_key"))
     cuts = cut_keys(keyed, strata, _fold_ranks(n_folds, strata))
-    joined, passed = cuts_passed(df, cuts, strata, hash_key(id_col, seed))
+    joined, passed = cuts_passed(df, cuts, strata, hash_key(id_col, seed), n_folds - 1)
     return _without_cuts(joined.withColumn(name, passed.cast("int")), strata)
 
 
@@ -160,7 +162,7 @@ def assign_split(
     keys = [*groups, *strata]
     keyed = df.select(*keys, hash_key(id_col, seed).alias("_key"))
     cuts = cut_keys(keyed, keys, _quotas(test_size, list(groups), strata))
-    joined, passed = cuts_passed(df, cuts, keys, hash_key(id_col, seed))
+    joined, passed = cuts_passed(df, cuts, keys, hash_key(id_col, seed), 1)
     side = F.when(passed == 0, F.lit("test")).otherwise(F.lit("train"))
     return _without_cuts(joined.withColumn(name, side), keys)
 
@@ -182,6 +184,6 @@ def assign_repeated_split(
     keyed = df.select(id_col, *groups, *strata, numbers.alias("split")).select(*keys, key.alias("_key"))
     cuts = cut_keys(keyed, keys, _quotas(test_size, ["split", *groups], strata))
     repeated = df.select("*", numbers.alias("split"))
-    joined, passed = cuts_passed(repeated, cuts, keys, key)
+    joined, passed = cuts_passed(repeated, cuts, keys, key, 1)
     side = F.when(passed == 0, F.lit("test")).otherwise(F.lit("train"))
     return _without_cuts(joined.withColumn("side", side), keys)

@@ -12,6 +12,7 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from pairloom.functions import text
 from pairloom.functions.arrays import sigmoid
@@ -91,5 +92,5 @@ def vector_scorer(make_model: Callable[[], Callable[[np.ndarray], np.ndarray]],
     ``make_model`` runs once in each Python worker and may load a model file there.
     """
     return predict_batch_udf(
-        make_model, return_type="double", batch_size=batch_size, input_tensor_shapes=[[width]]
+        make_model, return_type=DoubleType(), batch_size=batch_size, input_tensor_shapes=[[width]]
     )

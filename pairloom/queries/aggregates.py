@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import arrays, metrics
 from pairloom.operators import context_codes, dictionary, distribution, enrich, evaluation, vocabulary
 from pairloom.operators.positions import with_batch
+from pairloom.operators.rank_cuts import assign_split
 from pairloom.queries import common as c
 from pairloom.queries.joins import phrase_dictionary
 from pairloom.queries.projections import ENTRIES_SQL, entries
@@ -81,7 +82,7 @@ def description_concat(spark, sf_dir):
 
 MENTIONS_SQL = """mentions AS (
   SELECT DISTINCT e.context, k.code FROM entries e
-  JOIN (SELECT DISTINCT context AS code FROM entries) k ON contains(upper(e.raw), k.code)),
+  JOIN (SELECT DISTINCT context AS code FROM entries) k ON contains(upper(replace(e.raw, 'ß', 'ss')), k.code)),
 mention_text AS (SELECT context, string_agg(code, '; ' ORDER BY code) AS codes FROM mentions GROUP BY context)"""
 
 
@@ -165,9 +166,7 @@ BOARD_CTES = (
 
 def board(spark, sf_dir):
     """Scores of the prediction sets and their plain mean on both sides of each fold."""
-    from pairloom.operators.rank_cuts import assign_split
-
-    parted = assign_split(c.oof_wide(spark, sf_dir), "score", 0.2, 39, groups=("fold",), name="part")
+    parted = assign_split(c.stored_oof(spark, sf_dir), "score", 0.2, 39, groups=("fold",), name="part")
     judged = parted.withColumns(
         {
             "dataset": F.concat(F.lit("em_"), "part", F.lit("_set")),

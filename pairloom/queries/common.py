@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import enrich as enrichment
 from pairloom.operators.rank_cuts import assign_folds
+from pairloom.session import written
 from pairloom.sources import views
 
 VERSIONS = list(views.VERSIONS)
@@ -76,6 +77,11 @@ def oof_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.with_predictions(folded(spark, sf_dir)).select("id", "fold", "score", *VERSIONS)
 
 
+def stored_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prediction table as a training run leaves it: written once, read by every later step."""
+    return written(oof_wide(spark, sf_dir), "oof")
+
+
 def oof_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.predictions_long(folded(spark, sf_dir))
 

@@ -99,7 +99,7 @@ def prediction_alignment(spark, sf_dir):
         ENTRIES_SQL,
         "codes AS (SELECT DISTINCT context AS code FROM entries)",
         "texts AS (SELECT DISTINCT raw FROM entries)",
-        "SELECT raw, code FROM texts JOIN codes ON contains(upper(raw), code)",
+        "SELECT raw, code FROM texts JOIN codes ON contains(upper(replace(raw, 'ß', 'ss')), code)",
     )
 )
 def mentioned_codes(spark, sf_dir):

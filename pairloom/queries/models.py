@@ -42,8 +42,8 @@ def fold_ensemble_inference(spark, sf_dir):
     return base_models.fold_ensemble(base_models.with_features(enrich.with_model_text(test)), models)
 
 
-def _linear(spark, sf_dir):
-    splits = assign_repeated_split(c.oof_wide(spark, sf_dir), "score", groups=("fold",))
+def _linear(oof):
+    splits = assign_repeated_split(oof, "score", groups=("fold",))
     sides = moments.moments(splits, c.VERSIONS, "score", ["fold", "split", "side"])
     fits = small_side(
         moments.elastic_net_fits(moments.split_moments(sides, c.VERSIONS), len(c.VERSIONS), StackConfig(()).elastic_net)
@@ -54,7 +54,7 @@ def _linear(spark, sf_dir):
 @register()
 def elastic_net_grid(spark, sf_dir):
     """60 settings, 5 splits, 4 folds, all four scores on both sides."""
-    splits, fits = _linear(spark, sf_dir)
+    splits, fits = _linear(c.stored_oof(spark, sf_dir))
     absolute = moments.absolute_errors(splits, fits, c.VERSIONS, "score")
     keys = ["fold", "split", "setting", "sample"]
     return fits.filter(F.col("split") != moments.ALL_ROWS).drop("coef", "intercept").join(absolute, keys)
@@ -63,17 +63,16 @@ def elastic_net_grid(spark, sf_dir):
 @register()
 def meta_refit(spark, sf_dir):
     """The best linear setting of each fold, fitted on all of its rows, predicts every row."""
-    _, fits = _linear(spark, sf_dir)
-    predicted = moments.with_linear_prediction(
-        c.oof_wide(spark, sf_dir), moments.best_fits(fits), c.VERSIONS, "en"
-    )
+    oof = c.stored_oof(spark, sf_dir)
+    _, fits = _linear(oof)
+    predicted = moments.with_linear_prediction(oof, moments.best_fits(fits), c.VERSIONS, "en")
     return predicted.select("id", "fold", "score", "en")
 
 
 @register()
 def forest_grid(spark, sf_dir):
     """The short grid over all rows: one setting, every fold."""
-    splits = assign_repeated_split(c.oof_wide(spark, sf_dir), "score", FOREST_SPLITS, groups=("fold",))
+    splits = assign_repeated_split(c.stored_oof(spark, sf_dir), "score", FOREST_SPLITS, groups=("fold",))
     ready = forest.assembled(splits, c.VERSIONS).select("fold", "split", "side", "score", "features").persist()
     try:
         return forest.forest_scores(ready, c.FOLDS, FOREST_SPLITS, ForestGrid.debug())

@@ -96,8 +96,8 @@ def term_batches(spark, sf_dir):
 
 
 STEPS_SQL = """steps AS (SELECT event_type AS run, CAST(user_id % 4 AS INTEGER) AS fold,
-  CAST(day(ts) AS INTEGER) AS epoch, event_id AS step, 1 + event_id % 32 AS n, value AS loss FROM events)"""
-EPOCHS_SQL = "epochs AS (SELECT run, fold, epoch, round(avg(loss), 6) AS score FROM steps GROUP BY run, fold, epoch)"
+  CAST(day(ts) AS INTEGER) AS epoch, event_id AS step, 1 + event_id % 32 AS n, round(value * 100) AS loss FROM events)"""
+EPOCHS_SQL = "epochs AS (SELECT run, fold, epoch, avg(loss) AS score FROM steps GROUP BY run, fold, epoch)"
 
 
 @register(
@@ -120,20 +120,20 @@ EPOCHS_SQL = "epochs AS (SELECT run, fold, epoch, round(avg(loss), 6) AS score F
 )
 def early_stopping(spark, sf_dir):
     steps = views.steps(spark, sf_dir)
-    epochs = steps.groupBy("run", "fold", "epoch").agg(c.r6(F.avg("loss"), "score"))
+    epochs = steps.groupBy("run", "fold", "epoch").agg(F.avg("loss").alias("score"))
     return training_log.early_stopping(epochs, patience=5)
 
 
 @register(
     c.with_ctes(
         STEPS_SQL,
-        """SELECT run, fold, epoch, step, round(sum(loss * n) OVER w / sum(n) OVER w, 6) AS avg FROM steps
+        """SELECT run, fold, epoch, step, sum(loss * n) OVER w / sum(n) OVER w AS avg FROM steps
   WINDOW w AS (PARTITION BY run, fold, epoch ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     )
 )
 def running_meter(spark, sf_dir):
     metered = training_log.running_meter(views.steps(spark, sf_dir), ["run", "fold", "epoch"])
-    return metered.select("run", "fold", "epoch", "step", c.r6(F.col("avg"), "avg"))
+    return metered.select("run", "fold", "epoch", "step", "avg")
 
 
 @register(c.with_ctes(c.PAIRS_SQL, f"SELECT * FROM pairs ORDER BY {c.sql_key('id', 42)}, id LIMIT 200"))

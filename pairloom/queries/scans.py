@@ -14,13 +14,14 @@ from pairloom.sources import schemas, tables, views
 register = c.Registry()
 QUERIES, SQL = register.queries, register.sql
 
+# The upper case of ß is SS; the SQL engine keeps a single letter, so its SQL spells that out.
 LINKS_SQL = """lists AS (
   SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS page_title,
          regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS codes,
          regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS titles
   FROM pages),
 links AS (
-  SELECT page_id, CAST(i - 1 AS INTEGER) AS place, upper(replace(codes[i], '/', '')) AS symbol,
+  SELECT page_id, CAST(i - 1 AS INTEGER) AS place, upper(replace(replace(codes[i], '/', ''), 'ß', 'ss')) AS symbol,
          titles[i] AS title, page_title
   FROM lists, unnest(range(1, least(len(codes), len(titles)) + 1)) AS u(i))"""
 

@@ -70,8 +70,13 @@ def moment_sql(features: list[str]) -> dict[str, str]:
     return names
 
 
+def digits(name: str) -> int:
+    """Products of two predictions have twelve decimals, all other terms at most eight."""
+    return 6 if name.startswith("xx") else 8
+
+
 def sides(spark, sf_dir, features):
-    splits = assign_repeated_split(c.oof_wide(spark, sf_dir), "score", groups=("fold",))
+    splits = assign_repeated_split(c.stored_oof(spark, sf_dir), "score", groups=("fold",))
     return moments.moments(splits, features, "score", ["fold", "split", "side"])
 
 
@@ -79,7 +84,7 @@ def sides(spark, sf_dir, features):
     c.with_ctes(
         *SPLIT_CTES,
         "SELECT fold, split, side, "
-        + ", ".join(f"round({expr}, 6) AS {name}" for name, expr in moment_sql(c.VERSIONS).items())
+        + ", ".join(f"round({expr}, {digits(name)}) AS {name}" for name, expr in moment_sql(c.VERSIONS).items())
         + " FROM parted GROUP BY fold, split, side",
     )
 )
@@ -87,7 +92,7 @@ def grid_moments(spark, sf_dir):
     """The sums that all linear fits of the grid are made from."""
     sums = sides(spark, sf_dir, c.VERSIONS)
     names = moment_sql(c.VERSIONS)
-    return sums.select("fold", "split", "side", *[c.r6(F.col(n), n) for n in names])
+    return sums.select("fold", "split", "side", *[F.round(n, digits(n)).alias(n) for n in names])
 
 
 # The grid below blends two prediction sets with fixed weights. Its scores follow from the sums

@@ -57,14 +57,14 @@ def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     """Materialise a summary table when it is small, else hand it back unchanged.
 
     At most ``max_rows + 1`` rows reach the driver. A table within the bound becomes a local
-    relation of known size, which Spark broadcasts by its own threshold; a larger one stays a
-    distributed DataFrame, which Spark joins by shuffling.
+    relation of known size in one partition: Spark broadcasts it by its own threshold, and
+    groups or windows over it need no shuffle. A larger one stays a distributed DataFrame.
     """
     spark = df.sparkSession
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
         return df
-    return spark.createDataFrame(rows, schema=df.schema)
+    return spark.createDataFrame(rows, schema=df.schema).coalesce(1)
 
 
 def hex_digits(spark: SparkSession) -> int:
