@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions import text
+from pairloom.session import small_side
 
 # Patterns of a listed code with its title, and of the page title.
 LINK = r'<a href="([^"]*)">([^<]*)</a>'
@@ -67,7 +68,8 @@ def mentioned_codes(raw_texts: DataFrame, codes: DataFrame, lengths: tuple[int,
     folded = F.upper("raw")
     pieces = F.concat(*[text.shingles(folded, size) for size in lengths])
     found = raw_texts.select("raw").distinct().select("raw", F.explode(pieces).alias("code"))
-    return found.join(codes.select(F.col("context").alias("code")), "code", "left_semi").select("raw", "code")
+    known = small_side(codes.select(F.col("context").alias("code")))
+    return found.join(known, "code", "left_semi").select("raw", "code")
 
 
 def ordered_concat(entries: DataFrame, key: str, value: str, order: list[str], span_of: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.session import small_side
+
 MASK_FLOOR = 1e-9
 
 
@@ -18,12 +20,22 @@ def mean_pool(vectors: DataFrame, group: str, vector: str, mask: Column) -> Data
     )
 
 
-def attention_pool(vectors: DataFrame, group: str, vector: str, score: Column) -> DataFrame:
-    """Softmax of the scores of a group as weights of its vectors."""
+def attention_pool(vectors: DataFrame, group: str, vector: str, score: Column, salts: int = 16) -> DataFrame:
+    """Softmax of the scores of a group as weights of its vectors.
+
+    Few groups: their largest scores are broadcast. Many groups: rows and largest scores meet by
+    group and salt, so that one large group is spread over ``salts`` tasks, and the partial sums
+    of a group are added up afterwards.
+    """
     scored = vectors.select(group, F.col(vector).alias("_vector"), score.alias("_score"))
-    tops = scored.groupBy(group).agg(F.max("_score").alias("_top"))
-    weighted = scored.join(tops, group).withColumn("_weight", F.exp(F.col("_score") - F.col("_top")))
-    cells = weighted.select(group, "_weight", F.posexplode("_vector").alias("place", "_x"))
-    return cells.groupBy(group, "place").agg(
-        (F.sum(F.col("_x").cast("double") * F.col("_weight")) / F.sum("_weight")).alias("value")
+    tops = small_side(scored.groupBy(group).agg(F.max("_score").alias("_top")))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    salted = tops.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    weighted = scored.withColumn("_salt", salt).join(salted, [group, "_salt"])
+    cells = weighted.select(
+        group, "_salt", F.exp(F.col("_score") - F.col("_top")).alias("_weight"), F.posexplode("_vector").alias("place", "_x")
+    )
+    parts = cells.groupBy(group, "place", "_salt").agg(
+        F.sum(F.col("_x").cast("double") * F.col("_weight")).alias("_sum"), F.sum("_weight").alias("_total")
     )
+    return parts.groupBy(group, "place").agg((F.sum("_sum") / F.sum("_total")).alias("value"))

@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import hash_key
-from pairloom.session import hex_digits, same, small_side
+from pairloom.session import hex_digits, same, settled
+
+# Fixed value: 16**3 buckets a stratum leave few rows beside a cut and keep the counts short.
+MOST_DIGITS = 3
 
 
 def _match(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -28,10 +31,9 @@ def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def bucket_counts(keyed: DataFrame, strata: list[str]) -> DataFrame:
     """Rows by stratum and hash prefix: one row a bucket, combined before the shuffle."""
-    digits = hex_digits(keyed.sparkSession)
-    return small_side(
-        keyed.groupBy(*strata, F.substring("_key", 1, digits).alias("_bucket")).agg(F.count("*").alias("_n"))
-    )
+    digits = hex_digits(keyed.sparkSession, MOST_DIGITS)
+    bucket = F.substring("_key", 1, digits).alias("_bucket")
+    return settled(keyed.groupBy(*strata, bucket).agg(F.count("*").alias("_n")), "bucket-counts")
 
 
 def cut_keys(keyed: DataFrame, strata: list[str], ranks) -> DataFrame:
@@ -40,18 +42,19 @@ def cut_keys(keyed: DataFrame, strata: list[str], ranks) -> DataFrame:
     ``ranks`` turns the table (strata, ``_total``) into (strata, ``_rank``), one row for each
     cut. A rank of 0 lies before all rows.
     """
-    digits = hex_digits(keyed.sparkSession)
+    digits = hex_digits(keyed.sparkSession, MOST_DIGITS)
     counts = bucket_counts(keyed, strata)
-    wanted = small_side(ranks(counts.groupBy(*strata).agg(F.sum("_n").alias("_total"))))
+    wanted = ranks(counts.groupBy(*strata).agg(F.sum("_n").alias("_total")))
     before = F.sum("_n").over(Window.partitionBy(*strata).orderBy("_bucket")) - F.col("_n")
     reached = _renamed(counts.withColumn("_before", before), strata)
-    places = small_side(
+    places = settled(
         wanted.join(
             reached,
             _match(wanted, reached, strata)
             & (F.col("_rank") > F.col("_before"))
             & (F.col("_rank") <= F.col("_before") + F.col("_n")),
-        ).select(*strata, "_bucket", "_rank", (F.col("_rank") - F.col("_before")).alias("_place"))
+        ).select(*strata, "_bucket", "_rank", (F.col("_rank") - F.col("_before")).alias("_place")),
+        "cut-places",
     )
     edge = _renamed(places.select(*strata, "_bucket").distinct(), [*strata, "_bucket"])
     rows = keyed.withColumn("_bucket", F.substring("_key", 1, digits))
@@ -62,7 +65,7 @@ def cut_keys(keyed: DataFrame, strata: list[str], ranks) -> DataFrame:
     found = ranked.join(named, _match(ranked, named, [*strata, "_bucket", "_place"])).select(*strata, "_key")
     first = wanted.filter(F.col("_rank") <= 0).select(*strata, F.lit("").alias("_key"))
     cuts = found.unionByName(first).groupBy(*strata).agg(F.sort_array(F.collect_list("_key")).alias("_cuts"))
-    return small_side(cuts)
+    return settled(cuts, "cuts")
 
 
 def cuts_passed(

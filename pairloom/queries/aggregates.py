@@ -213,13 +213,13 @@ def best_model(spark, sf_dir):
     c.with_ctes(
         c.TEST_SQL,
         c.MATRIX_SQL,
-        "SELECT id, round((" + " + ".join(f"alpha_fold_{k}" for k in c.FOLDS) + ") / 4, 6) AS score FROM matrix",
+        "SELECT id, round((" + " + ".join(f"alpha_fold_{k}" for k in c.FOLDS) + ") / 4, 9) AS score FROM matrix",
     )
 )
 def fold_mean_prediction(spark, sf_dir):
     """Mean over folds of predictions that arrive in long form."""
     long = c.test_long(spark, sf_dir).filter(F.col("version") == "alpha")
-    return long.groupBy("id").agg(c.r6(F.avg("pred"), "score"))
+    return long.groupBy("id").agg(F.round(F.avg("pred"), 9).alias("score"))
 
 
 @register(
@@ -227,7 +227,7 @@ def fold_mean_prediction(spark, sf_dir):
         *c.ENRICH_CTES,
         "counts AS (SELECT "
         + ", ".join(
-            f"max(len(regexp_extract_all(lower(coalesce({col}, '')), '{c.TOKEN_SQL}'))) AS {col}"
+            f"CAST(max(len(regexp_extract_all(lower(coalesce({col}, '')), '{c.TOKEN_SQL}'))) AS INTEGER) AS {col}"
             for col in ("anchor", "target", "text_grp_1", "text_grp_2")
         )
         + " FROM enriched)",

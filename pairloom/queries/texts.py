@@ -93,7 +93,7 @@ def null_to_empty(spark, sf_dir):
 TOKENS_SQL = f"toks AS (SELECT doc_id, regexp_extract_all(lower(text), '{c.TOKEN_SQL}') AS t FROM documents)"
 
 
-@register(c.with_ctes(TOKENS_SQL, "SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM toks"))
+@register(c.with_ctes(TOKENS_SQL, "SELECT doc_id, CAST(len(t) AS INTEGER) AS n, md5(array_to_string(t, ' ')) AS digest FROM toks"))
 def token_count(spark, sf_dir):
     df = views.table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
     return df.select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
@@ -122,7 +122,7 @@ def _joined(name: str):
     return F.array_join(F.col(name).cast("array<string>"), " ").alias(name)
 
 
-@register(c.with_ctes(*ENCODE_CTES, "SELECT doc_id, ids, n FROM encoded"))
+@register(c.with_ctes(*ENCODE_CTES, "SELECT doc_id, ids, CAST(n AS INTEGER) AS n FROM encoded"))
 def encode_tokens(spark, sf_dir):
     return encoded(spark, sf_dir).select("doc_id", _joined("ids"), F.size("ids").alias("n"))
 

@@ -67,10 +67,16 @@ def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     return spark.createDataFrame(rows, schema=df.schema).coalesce(1)
 
 
-def hex_digits(spark: SparkSession) -> int:
+def settled(df: DataFrame, name: str, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
+    """A table that later steps read several times: local when small, written out otherwise."""
+    small = small_side(df, max_rows)
+    return written(df, name) if small is df else small
+
+
+def hex_digits(spark: SparkSession, most: int = 6) -> int:
     """Hex digits of a hash prefix that give several buckets per shuffle partition."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, math.ceil(math.log(4 * partitions, 16)))
+    return min(most, max(1, math.ceil(math.log(4 * partitions, 16))))
 
 
 def same(left, right):
