@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions import text
-from pairloom.session import small_side
+from pairloom.session import small_side, written
 
 # Patterns of a listed code with its title, and of the page title.
 LINK = r'<a href="([^"]*)">([^<]*)</a>'
@@ -65,9 +65,9 @@ def mentioned_codes(raw_texts: DataFrame, codes: DataFrame, lengths: tuple[int,
     substrings of that length, so containment becomes an equality join on short keys. Texts are
     made distinct first, and substrings are made distinct inside their text.
     """
-    folded = F.upper("raw")
-    pieces = F.concat(*[text.shingles(folded, size) for size in lengths])
-    found = raw_texts.select("raw").distinct().select("raw", F.explode(pieces).alias("code"))
+    pieces = F.concat(*[text.shingles("_folded", size) for size in lengths])
+    folded = raw_texts.select("raw").distinct().withColumn("_folded", F.upper("raw"))
+    found = folded.select("raw", F.explode(pieces).alias("code"))
     known = small_side(codes.select(F.col("context").alias("code")))
     return found.join(known, "code", "left_semi").select("raw", "code")
 
@@ -111,8 +111,11 @@ def mention_sets(entries: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def context_dictionary(pages: DataFrame, pages_per_span: int = 4096) -> DataFrame:
-    """Pages to the class dimension: code, description, mentioned codes."""
-    entries = class_entries(page_links(pages))
+    """Pages to the class dimension: code, description, mentioned codes.
+
+    Pages are parsed once; the entries, far smaller, are written for the steps that follow.
+    """
+    entries = written(class_entries(page_links(pages)), "entries")
     span = F.floor(F.col("page_id") / pages_per_span)
     descriptions = ordered_concat(entries, "context", "description", ["page_id", "place"], span)
     mentions = mention_sets(entries, mentioned_codes(entries, code_dictionary(entries)))

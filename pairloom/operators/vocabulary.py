@@ -23,12 +23,12 @@ def build_vocabulary(texts: DataFrame, column: str, size: int = 30_000) -> DataF
 def encode(texts: DataFrame, vocabulary: DataFrame, id_col: str, column: str, max_len: int) -> DataFrame:
     """Token ids between the two special ids, at most ``max_len`` of them.
 
-    The vocabulary has a fixed largest size, so it is broadcast. Texts are placed by id before
-    they are taken apart; the ids of one text then meet again without a second shuffle.
+    The vocabulary has a fixed largest size, so it is broadcast. The kept tokens
+    are placed by id before they are taken apart; the ids of one text then meet again without a second shuffle.
     """
     kept = F.slice(text.tokens(F.col(column)), 1, max_len - 2)
-    placed = texts.select(id_col, column).repartition(F.col(id_col))
-    words = placed.select(id_col, F.posexplode_outer(kept).alias("place", "token"))
+    placed = texts.select(id_col, kept.alias("kept")).repartition(F.col(id_col))
+    words = placed.select(id_col, F.posexplode_outer("kept").alias("place", "token"))
     known = words.join(F.broadcast(vocabulary), "token", "left")
     item = F.struct("place", F.coalesce("token_id", F.lit(UNK)).alias("token_id"))
     listed = known.groupBy(id_col).agg(

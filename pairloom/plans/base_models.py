@@ -20,7 +20,7 @@ from pairloom.operators.evaluation import row_mean
 from pairloom.operators.pair_features import FEATURES, with_pair_features
 from pairloom.session import written
 
-TEXT_FEATURES = 256
+TEXT_FEATURES = 64
 
 LINKS: dict[str, Callable[[Column], Column]] = {"identity": lambda x: x, "sigmoid": sigmoid}
 

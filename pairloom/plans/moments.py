@@ -13,6 +13,7 @@ from itertools import combinations_with_replacement, product
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,17 +149,53 @@ def elastic_net_fits(packed: DataFrame, n_features: int, grid: ElasticNetGrid) -
 def absolute_errors(rows: DataFrame, fits: DataFrame, features: list[str], label: str) -> DataFrame:
     """Mean absolute error of each fit, the one score that needs the rows again.
 
-    ``rows`` are (fold, split, side, features, label); the table of fits is small and checked.
+    ``rows`` are (fold, split, side, features, label). The coefficients of the grid, a table of
+    folds x splits x settings, go along with the tasks. A task adds up the errors of its rows for
+    all settings at once and hands on one row for each (fold, split, side, setting).
     """
-    keys = ["fold", "split", "setting"]
-    coefs = small_side(
-        fits.filter((F.col("sample") == "train") & (F.col("split") != ALL_ROWS)).select(*keys, "coef", "intercept")
+    trained = fits.filter((F.col("sample") == "train") & (F.col("split") != ALL_ROWS))
+    table = trained.select("fold", "split", "setting", "coef", "intercept").toPandas()
+    models = {
+        key: (part["setting"].to_numpy(), np.stack(part["coef"]), part["intercept"].to_numpy())
+        for key, part in table.groupby(["fold", "split"])
+    }
+    groups = ["fold", "split", "sample"]
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[tuple, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for key, part in batch.groupby(groups):
+                _, coefs, intercepts = models[key[:2]]
+                guesses = part[features].to_numpy() @ coefs.T + intercepts
+                errors = np.abs(part[label].to_numpy()[:, None] - guesses).sum(axis=0)
+                n, before = totals.get(key, (0, 0.0))
+                totals[key] = (n + len(part), before + errors)
+        for key, (n, errors) in totals.items():
+            settings = models[key[:2]][0]
+            yield pd.DataFrame({**dict(zip(groups, key)), "setting": settings, "n": n, "error": errors})
+
+    schema = "fold int, split int, sample string, setting int, n bigint, error double"
+    partial = rows.select("fold", "split", F.col("side").alias("sample"), *features, label).mapInPandas(add_up, schema)
+    return partial.groupBy("fold", "split", "setting", "sample").agg(
+        (-F.sum("error") / F.sum("n")).alias("neg_mean_absolute_error")
     )
-    guess = sum((F.col("coef")[i] * F.col(f) for i, f in enumerate(features)), F.col("intercept"))
-    return (
-        rows.join(coefs, ["fold", "split"])
-        .groupBy(*keys, F.col("side").alias("sample"))
-        .agg((-F.avg(F.abs(F.col(label) - guess))).alias("neg_mean_absolute_error"))
+
+
+def linear_regression(alpha: float, l1_ratio: float, fit_intercept: bool, label_std: float) -> LinearRegression:
+    """The same problem for Spark ML, which divides the squared penalty by the label's deviation.
+
+    One such fit is one job over the rows; the sums above give the whole grid in one.
+    """
+    l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio) * label_std
+    return LinearRegression(
+        featuresCol="features",
+        labelCol="score",
+        fitIntercept=fit_intercept,
+        standardization=False,
+        maxIter=5000,
+        tol=1e-9,
+        regParam=l1 + l2,
+        elasticNetParam=l1 / (l1 + l2) if l1 + l2 > 0 else 0.0,
     )
 
 

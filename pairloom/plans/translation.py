@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import dictionary
 from pairloom.operators.positions import with_batch
+from pairloom.session import written
 from pairloom.sources import schemas, tables
 
 BATCH_TERMS = 500
@@ -29,9 +30,12 @@ def map_terms(batches: DataFrame, mapper: Mapper) -> DataFrame:
 def build_dictionary(
     terms: DataFrame, mapper: Mapper, path: str, done: DataFrame | None = None, size: int = BATCH_TERMS
 ) -> DataFrame:
-    """Map the terms without an entry, store them as part files, and return the whole dictionary."""
+    """Map the terms without an entry, store them as part files, and return the whole dictionary.
+
+    Numbering reads the terms twice, so the table of distinct terms is written first.
+    """
     todo = terms if done is None else dictionary.remaining_terms(terms, done)
-    numbered = with_batch(todo, size, id_col="term")
+    numbered = with_batch(written(todo, "terms"), size, id_col="term")
     tables.write_dictionary_parts(map_terms(numbered, mapper), path)
     fresh = tables.read_csv(terms.sparkSession, path, schemas.DICTIONARY_BATCH)
     return fresh if done is None else done.unionByName(fresh, allowMissingColumns=True)

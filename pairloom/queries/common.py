@@ -65,6 +65,12 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.enrich(views.pairs(spark, sf_dir), views.sections(spark, sf_dir), views.classes(spark, sf_dir))
 
 
+def folded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds first, on the narrow table: they need the label and the id only."""
+    sections, classes = views.sections(spark, sf_dir), views.classes(spark, sf_dir)
+    return enrichment.with_model_text(enrichment.enrich(folded(spark, sf_dir), sections, classes))
+
+
 def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.with_model_text(enriched(spark, sf_dir))
 
@@ -171,7 +177,8 @@ def split_sql(
 
 
 def sql_prediction(width: float, *salts) -> str:
-    return f"round(score + ({sql_unit(sql_key('id', *salts))} - 0.5) * CAST({width} AS DOUBLE), 6)"
+    noisy = f"(score + ({sql_unit(sql_key('id', *salts))} - 0.5) * CAST({width} AS DOUBLE))"
+    return f"(floor({noisy} * 1000000 + 0.5::DOUBLE) / 1000000)"
 
 
 OOF_SQL = "oof AS (SELECT id, fold, score, " + ", ".join(

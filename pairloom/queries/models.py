@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairloom.config import ForestGrid, StackConfig
 from pairloom.operators import enrich
-from pairloom.operators.rank_cuts import assign_folds, assign_repeated_split
+from pairloom.operators.rank_cuts import assign_repeated_split
 from pairloom.plans import base_models, forest, moments, stacking
 from pairloom.queries import common as c
 from pairloom.session import small_side
@@ -19,8 +19,7 @@ FOREST_SPLITS = 2
 
 
 def _featured(spark, sf_dir):
-    df = assign_folds(c.composed(spark, sf_dir), "score", views.N_FOLDS, views.SEED)
-    return base_models.with_features(df)
+    return base_models.with_features(c.folded_texts(spark, sf_dir))
 
 
 @register()

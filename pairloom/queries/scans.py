@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pairloom.functions import text
 from pairloom.operators import context_codes, dictionary, evaluation
 from pairloom.operators.positions import with_batch
 from pairloom.plans import base_models
 from pairloom.queries import common as c
-from pairloom.session import scratch_path
+from pairloom.session import scratch_path, written
 from pairloom.sources import schemas, tables, views
 
 register = c.Registry()
@@ -30,10 +31,9 @@ WORDS_SQL = f"""words AS (
 
 
 def document_words(spark, sf_dir):
-    from pairloom.functions import text
-
+    """Distinct words, found once and stored: numbering and resuming read them again."""
     words = views.table(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("term"))
-    return dictionary.distinct_terms(words, ["term"])
+    return written(dictionary.distinct_terms(words, ["term"]), "words")
 
 
 @register(c.with_ctes(c.PAIRS_SQL, "SELECT * FROM pairs"))

@@ -53,7 +53,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Materialise a summary table when it is small, else hand it back unchanged.
 
     At most ``max_rows + 1`` rows reach the driver. A table within the bound becomes a local
@@ -61,13 +61,14 @@ def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     groups or windows over it need no shuffle. A larger one stays a distributed DataFrame.
     """
     spark = df.sparkSession
+    max_rows = SMALL_SIDE_ROWS if max_rows is None else max_rows
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
         return df
     return spark.createDataFrame(rows, schema=df.schema).coalesce(1)
 
 
-def settled(df: DataFrame, name: str, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
+def settled(df: DataFrame, name: str, max_rows: int | None = None) -> DataFrame:
     """A table that later steps read several times: local when small, written out otherwise."""
     small = small_side(df, max_rows)
     return written(df, name) if small is df else small

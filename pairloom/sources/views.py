@@ -88,8 +88,9 @@ def test_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prediction(width: float, *salts) -> Column:
-    """A score with repeatable noise of the given width."""
-    return F.round(F.col("score") + (unit(hash_key("id", *salts)) - 0.5) * width, 6)
+    """A score with repeatable noise of the given width, to six digits."""
+    noisy = F.col("score") + (unit(hash_key("id", *salts)) - 0.5) * width
+    return F.floor(noisy * 1_000_000 + 0.5) / 1_000_000
 
 
 def with_predictions(df: DataFrame) -> DataFrame:
