@@ -182,7 +182,8 @@ def absolute_errors(rows: DataFrame, fits: DataFrame, features: list[str], label
 
 
 def linear_regression(alpha: float, l1_ratio: float, fit_intercept: bool, label_std: float) -> LinearRegression:
-    """The same problem for Spark ML, which divides the squared penalty by the label's deviation.
+    """The same problem for Spark ML, which divides the squared penalty by the label's population
+    deviation.
 
     One such fit is one job over the rows; the sums above give the whole grid in one.
     """
@@ -200,9 +201,14 @@ def linear_regression(alpha: float, l1_ratio: float, fit_intercept: bool, label_
 
 
 def best_fits(fits: DataFrame) -> DataFrame:
-    """The refit of each fold: the setting with the best mean test correlation, fitted on all rows."""
+    """The refit of each fold: the setting with the best mean test correlation, fitted on all rows.
+
+    A setting without a correlation in some split, as it predicts a constant there, comes last.
+    """
     tested = fits.filter((F.col("sample") == "test") & (F.col("split") != ALL_ROWS))
-    means = tested.groupBy("fold", "setting").agg(F.avg("corr_scorer").alias("cv_score"))
+    known = F.when(~F.isnan("corr_scorer"), F.col("corr_scorer"))
+    mean = F.when(F.count(known) == F.count("*"), F.avg(known))
+    means = tested.groupBy("fold", "setting").agg(mean.alias("cv_score"))
     best = means.groupBy("fold").agg(
         F.max_by(F.struct("setting", "cv_score"), F.struct("cv_score", -F.col("setting"))).alias("best")
     )
