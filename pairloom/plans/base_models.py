@@ -76,14 +76,18 @@ def load_models(path: str, version: str, folds: tuple[int, ...]) -> dict[int, Tr
     return {fold: PipelineModel.load(f"{path}/version={version}/fold={fold}").stages[0] for fold in folds}
 
 
-def fold_ensemble(df: DataFrame, models: dict[int, Transformer], link: str = "identity") -> DataFrame:
-    """Mean prediction of the fold models: all of them score a row in the same scan."""
-    columns = [f"pred_{fold}" for fold in models]
+def fold_predictions(df: DataFrame, models: dict[int, Transformer], link: str = "identity") -> DataFrame:
+    """One prediction column for each fold model: all of them score a row in the same scan."""
     scored = df
     for fold, fitted in models.items():
         scored = fitted.setPredictionCol(f"pred_{fold}").transform(scored)
-    linked = scored.withColumns({c: LINKS[link](F.col(c)) for c in columns})
-    return linked.select("id", row_mean(columns).alias("score"))
+    return scored.select("id", *[LINKS[link](F.col(f"pred_{fold}")).alias(f"pred_{fold}") for fold in models])
+
+
+def fold_ensemble(df: DataFrame, models: dict[int, Transformer], link: str = "identity") -> DataFrame:
+    """Mean prediction of the fold models."""
+    columns = [f"pred_{fold}" for fold in models]
+    return fold_predictions(df, models, link).select("id", row_mean(columns).alias("score"))
 
 
 def vector_scorer(make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], width: int, batch_size: int = 1024):

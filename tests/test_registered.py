@@ -1,9 +1,22 @@
 """Every registered query against its SQL, and the contract of the entry module."""
 
+from functools import lru_cache
+
 import pytest
 
 import __spark_entry__ as spark_entry
 import check_queries
+from pairloom.queries import common
+
+
+@pytest.fixture(scope="module", autouse=True)
+def shared_tables():
+    """Find the folds and store the predictions once for all queries of this module."""
+    patch = pytest.MonkeyPatch()
+    patch.setattr(common, "folded", lru_cache(common.folded))
+    patch.setattr(common, "stored_oof", lru_cache(common.stored_oof))
+    yield
+    patch.undo()
 
 
 @pytest.fixture(scope="module")
