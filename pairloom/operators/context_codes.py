@@ -30,9 +30,9 @@ def page_links(pages: DataFrame) -> DataFrame:
         F.regexp_extract_all("html", F.lit(LINK), F.lit(2)).alias("titles"),
     )
     listed = lists.withColumn("entries", zip_shorter(F.col("codes"), F.col("titles"), ("code", "title")))
-    return listed.select(
-        "page_id", "page_title", F.posexplode("entries").alias("place", "entry")
-    ).select(
+    # The outer form keeps the optimiser from testing the list for rows first, with a second parse.
+    exploded = listed.select("page_id", "page_title", F.posexplode_outer("entries").alias("place", "entry"))
+    return exploded.filter(F.col("place").isNotNull()).select(
         "page_id",
         "place",
         F.upper(F.replace(F.col("entry.code"), F.lit("/"), F.lit(""))).alias("symbol"),

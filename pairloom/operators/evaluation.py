@@ -29,13 +29,22 @@ def best_model(mean_scores: DataFrame, dataset: str = "em_test_set") -> DataFram
     return ranked.orderBy(F.desc("score"), "model").limit(1)
 
 
-def batched_loss(batches: DataFrame, loss: Column, batch: str = "batch") -> DataFrame:
-    """Loss of each batch, their mean weighted by batch size, and the last batch's loss."""
-    per_batch = batches.groupBy(batch).agg(loss.alias("loss"), F.count("*").alias("n"))
-    return per_batch.agg(
-        F.max_by("loss", batch).alias("last_loss"),
-        (F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("avg_loss"),
-    )
+def batched_loss(batches: DataFrame, losses: dict[str, Column], batch: str = "batch") -> DataFrame:
+    """Loss of the last batch and the mean over batches, weighted by their size.
+
+    All ``losses`` come from one grouping. A batch without a value of a loss has no weight in it.
+    """
+    per_batch = batches.groupBy(batch).agg(*[loss.alias(name) for name, loss in losses.items()], F.count("*").alias("_n"))
+
+    def both(name: str) -> Column:
+        weight = F.sum(F.when(F.col(name).isNotNull(), F.col("_n")))
+        return F.struct(
+            F.lit(name).alias("loss"),
+            F.max_by(name, batch).alias("last_loss"),
+            F.try_divide(F.sum(F.col(name) * F.col("_n")), weight).alias("avg_loss"),
+        )
+
+    return per_batch.agg(F.array(*[both(name) for name in losses]).alias("_rows")).select(F.inline("_rows"))
 
 
 def split_summary(scores: DataFrame, params: list[str], values: list[str]) -> DataFrame:

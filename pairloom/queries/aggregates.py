@@ -10,7 +10,7 @@ from pairloom.operators.positions import with_batch
 from pairloom.operators.rank_cuts import assign_split
 from pairloom.queries import common as c
 from pairloom.queries.joins import phrase_dictionary
-from pairloom.queries.projections import ENTRIES_SQL, entries
+from pairloom.queries.projections import ENTRIES_SQL, entries, stored_entries
 from pairloom.queries.scans import LINKS_SQL
 from pairloom.sources import views
 
@@ -77,7 +77,7 @@ def score_histogram(spark, sf_dir):
 )
 def description_concat(spark, sf_dir):
     span = F.floor(F.col("page_id") / 4096)
-    return context_codes.ordered_concat(entries(spark, sf_dir), "context", "description", ["page_id", "place"], span)
+    return context_codes.ordered_concat(stored_entries(spark, sf_dir), "context", "description", ["page_id", "place"], span)
 
 
 MENTIONS_SQL = """mentions AS (
@@ -96,7 +96,7 @@ mention_text AS (SELECT context, string_agg(code, '; ' ORDER BY code) AS codes F
     )
 )
 def mention_union(spark, sf_dir):
-    found = entries(spark, sf_dir)
+    found = stored_entries(spark, sf_dir)
     mentions = context_codes.mentioned_codes(found, context_codes.code_dictionary(found))
     return context_codes.mention_sets(found, mentions)
 
@@ -315,13 +315,9 @@ def ccc_sum_loss(spark, sf_dir):
 )
 def batched_loss(spark, sf_dir):
     batches = with_batch(c.oof_wide(spark, sf_dir).select("id", "score", "alpha"), 32)
-    rows = None
-    for name in ("MSE", "PCC"):
-        one = evaluation.batched_loss(batches, metrics.loss(name)(F.col("score"), F.col("alpha"))).select(
-            F.lit(name).alias("loss"), c.r6(F.col("last_loss"), "last_loss"), c.r6(F.col("avg_loss"), "avg_loss")
-        )
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    losses = {name: metrics.loss(name)(F.col("score"), F.col("alpha")) for name in ("MSE", "PCC")}
+    rows = evaluation.batched_loss(batches, losses)
+    return rows.select("loss", c.r6(F.col("last_loss"), "last_loss"), c.r6(F.col("avg_loss"), "avg_loss"))
 
 
 @register(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import arrays, text
 from pairloom.operators import context_codes, dictionary, distribution, enrich, evaluation
 from pairloom.queries import common as c
-from pairloom.queries.projections import ENTRIES_SQL, entries
+from pairloom.queries.projections import ENTRIES_SQL, stored_entries
 from pairloom.queries.scans import LINKS_SQL, WORDS_SQL, document_words
 from pairloom.sources import views
 
@@ -103,7 +103,7 @@ def prediction_alignment(spark, sf_dir):
     )
 )
 def mentioned_codes(spark, sf_dir):
-    found = entries(spark, sf_dir)
+    found = stored_entries(spark, sf_dir)
     return context_codes.mentioned_codes(found, context_codes.code_dictionary(found))
 
 

@@ -9,6 +9,7 @@ from pairloom.operators import context_codes, enrich
 from pairloom.plans import stacking
 from pairloom.queries import common as c
 from pairloom.queries.scans import LINKS_SQL
+from pairloom.session import written
 from pairloom.sources import views
 
 register = c.Registry()
@@ -26,6 +27,11 @@ def entries(spark, sf_dir):
     return context_codes.class_entries(context_codes.page_links(views.table(spark, sf_dir, "pages")))
 
 
+def stored_entries(spark, sf_dir):
+    """Pages are parsed once for the queries that read the entries several times."""
+    return written(entries(spark, sf_dir), "entries")
+
+
 @register(c.with_ctes(c.PAIRS_SQL, "SELECT id, substr(context, 1, 1) AS context_grp_1 FROM pairs"))
 def section_code(spark, sf_dir):
     return views.pairs(spark, sf_dir).select("id", text.section_of("context").alias("context_grp_1"))

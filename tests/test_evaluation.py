@@ -37,9 +37,12 @@ def test_best_model_takes_the_first_of_equals(spark):
 def test_batched_loss_differs_from_the_global_one(spark):
     rows = [(0, 0.0, 1.0), (0, 1.0, 2.0), (0, 0.0, 0.0), (1, 1.0, 5.0)]
     df = spark.createDataFrame(rows, "batch int, y double, p double")
-    got = evaluation.batched_loss(df, metrics.mse(F.col("y"), F.col("p"))).first()
-    assert got.last_loss == 16.0
-    assert got.avg_loss == pytest.approx((2 + 16) / 4)
+    losses = {name: metrics.loss(name)(F.col("y"), F.col("p")) for name in ("MSE", "PCC")}
+    got = {row.loss: row for row in evaluation.batched_loss(df, losses).collect()}
+    assert got["MSE"].last_loss == 16.0
+    assert got["MSE"].avg_loss == pytest.approx((2 + 16) / 4)
+    whole = df.filter("batch = 0").agg(losses["PCC"]).first()[0]
+    assert got["PCC"].last_loss is None and got["PCC"].avg_loss == pytest.approx(whole)
 
 
 def epochs(spark, scores):
