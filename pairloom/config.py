@@ -7,18 +7,20 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class RunConfig:
+    """Settings of one version. ``balance_by`` and what follows serve an external trainer."""
+
     version: str = "base"
     n_folds: int = 4
     folds: tuple[int, ...] | None = None
     seed: int = 42
-    batch_size: int = 32
     use_class_text: bool = True
     use_mentions: bool = False
+    sample_rows: int | None = None
+    balance_by: str | None = "context"
+    batch_size: int = 32
     loss: str = "MSE"
     target_size: int = 1
     patience: int = 5
-    balance_by: str | None = "context"
-    sample_rows: int | None = None
 
     def __post_init__(self):
         if self.target_size not in (1, 5):

@@ -53,15 +53,19 @@ def weighted_position(
     ``weights`` holds the share of every value of ``by`` (a few labels or sections). A row's sort
     key is exponential with the weight of its value, so heavy values tend to come first. The
     shares also give the distribution of the keys over the whole table, and that distribution
-    function splits the order into buckets of about equal size.
+    function splits the order into buckets of about equal size. A value without a share is an
+    error, as the row would have no place.
     """
     buckets = 16 ** hex_digits(df.sparkSession)
     weight = F.col("share") if not inverse else 1 / F.col("share")
     table = weights.select(F.col(by).alias("_by"), "share", weight.alias("_weight"))
     mixture = table.agg(F.sort_array(F.collect_list(F.struct("_weight", "share"))).alias("_mixture"))
-    key = -F.ln(unit(hash_key(id_col, seed))) / F.col("_weight")
+    known = F.when(
+        F.col("_weight").isNull(), F.raise_error(F.lit(f"a value of {by} has no share")).cast("double")
+    ).otherwise(F.col("_weight"))
+    key = -F.ln(unit(hash_key(id_col, seed))) / known
     keyed = (
-        df.join(table.select("_by", "_weight"), F.col(by).eqNullSafe(F.col("_by")))
+        df.join(table.select("_by", "_weight"), F.col(by).eqNullSafe(F.col("_by")), "left")
         .withColumn("_key", key)
         .withColumn("_mixture", mixture.scalar())
     )

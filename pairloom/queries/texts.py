@@ -137,7 +137,9 @@ def encode_tokens(spark, sf_dir):
     )
 )
 def dynamic_padding(spark, sf_dir):
-    padded = vocabulary.pad_in_batches(with_batch(encoded(spark, sf_dir), BATCH, id_col="doc_id"))
+    # Ids alone are numbered: numbering reads its input twice, and token ids are costly to find.
+    numbered = with_batch(views.table(spark, sf_dir, "documents").select("doc_id"), BATCH, id_col="doc_id")
+    padded = vocabulary.pad_in_batches(encoded(spark, sf_dir).join(numbered, "doc_id"))
     return padded.select("doc_id", "batch", _joined("ids"), _joined("attention_mask"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import hash_key, unit
+from pairloom.sources import schemas
 
 SEED = 42
 N_FOLDS = 4
@@ -14,7 +15,7 @@ VERSIONS = {"alpha": 0.6, "beta": 0.8, "gamma": 1.0, "delta": 1.2, "kappa": 1.4}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(schemas.DRIVER_TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _code() -> Column:

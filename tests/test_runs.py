@@ -24,11 +24,11 @@ def test_train_predict_stack(spark, inputs):
     from dataclasses import replace
 
     plain = replace(inputs, translated=None)
-    for version, model in (("one", "linear"), ("two", "forest")):
+    for version, link in (("one", "identity"), ("two", "sigmoid")):
         config = RunConfig(version=version, n_folds=2)
-        scores = runs.train_version(spark, plain, config, model).collect()
+        scores = runs.train_version(spark, plain, config, "linear", link).collect()
         assert {row.fold for row in scores} == {0, 1, None} and all(row.pearson > 0.8 for row in scores)
-        submission = runs.predict_version(spark, plain, config)
+        submission = runs.predict_version(spark, plain, config, link)
         assert submission.count() == submission.select("id").distinct().count() == 150
     with pytest.raises(runs.VersionExists):
         runs.train_version(spark, plain, RunConfig(version="one", n_folds=2))
