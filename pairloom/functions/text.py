@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 SEP = "[SEP]"
 CLASS_JOINER = "; "
 BRACKETED = r"[\(\[\{].*?[\)\]\}]"
-TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+TOKEN = r"\[sep\]|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+SEP_TOKEN = "[sep]"
 
 
 def section_of(code) -> Column:
@@ -50,7 +51,7 @@ def model_text(use_class_text: bool = True, use_mentions: bool = False) -> Colum
 
 
 def tokens(text) -> Column:
-    """Lower-case word runs and single punctuation marks; a missing text has no tokens."""
+    """Lower-case word runs, single punctuation marks and the separator; a missing text has none."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 

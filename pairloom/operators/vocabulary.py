@@ -13,9 +13,12 @@ FIRST_ID = 4
 
 
 def build_vocabulary(texts: DataFrame, column: str, size: int = 30_000) -> DataFrame:
-    """The ``size`` most frequent tokens with their ids; counts are combined before the shuffle."""
+    """The ``size`` most frequent tokens with their ids; counts are combined before the shuffle.
+
+    The separator has an id of its own and takes no place.
+    """
     counts = texts.select(F.explode(text.tokens(F.col(column))).alias("token")).groupBy("token").count()
-    top = counts.orderBy(F.desc("count"), "token").limit(size)
+    top = counts.filter(F.col("token") != text.SEP_TOKEN).orderBy(F.desc("count"), "token").limit(size)
     place = F.row_number().over(Window.orderBy(F.desc("count"), "token"))
     return top.select("token", (place + F.lit(FIRST_ID - 1)).cast("int").alias("token_id"))
 
@@ -30,7 +33,8 @@ def encode(texts: DataFrame, vocabulary: DataFrame, id_col: str, column: str, ma
     placed = texts.select(id_col, kept.alias("kept")).repartition(F.col(id_col))
     words = placed.select(id_col, F.posexplode_outer("kept").alias("place", "token"))
     known = words.join(F.broadcast(vocabulary), "token", "left")
-    item = F.struct("place", F.coalesce("token_id", F.lit(UNK)).alias("token_id"))
+    special = F.when(F.col("token") == text.SEP_TOKEN, F.lit(SEP_ID))
+    item = F.struct("place", F.coalesce(special, "token_id", F.lit(UNK)).alias("token_id"))
     listed = known.groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), item))).alias("items")
     )

@@ -15,7 +15,7 @@ from pairloom.sources import views
 VERSIONS = list(views.VERSIONS)
 FOLDS = list(range(views.N_FOLDS))
 # Token and bracket patterns as the SQL engine spells them.
-TOKEN_SQL = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+TOKEN_SQL = r"\[sep\]|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 BRACKET_SQL = r"[\(\[\{].*?[\)\]\}]"
 
 

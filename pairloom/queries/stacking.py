@@ -11,7 +11,7 @@ from pairloom.operators.rank_cuts import assign_repeated_split
 from pairloom.plans import moments, stacking
 from pairloom.queries import common as c
 from pairloom.queries.aggregates import BEST_SQL, BOARD_CTES, MEAN_SQL, board
-from pairloom.sources import views
+from pairloom.session import small_side
 
 register = c.Registry()
 QUERIES, SQL = register.queries, register.sql
@@ -128,7 +128,7 @@ BLEND_CTES = (
 def blend_scores(spark, sf_dir):
     """Scores of all blend settings for each fold, split and side, from the sums."""
     n = F.col("n")
-    stats = sides(spark, sf_dir, BLENDED).select(
+    stats = small_side(sides(spark, sf_dir, BLENDED)).select(
         "fold",
         "split",
         "side",

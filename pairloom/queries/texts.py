@@ -18,7 +18,7 @@ from pairloom.sources import views
 register = c.Registry()
 QUERIES, SQL = register.queries, register.sql
 
-VOCABULARY_SIZE, MAX_LEN, BATCH = 5000, 64, 32
+VOCABULARY_SIZE, BATCH = 5000, 32
 
 
 @register(
@@ -99,59 +99,87 @@ def token_count(spark, sf_dir):
     return df.select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
-ENCODE_CTES = (
-    TOKENS_SQL,
-    f"""vocab AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id FROM
-  (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM toks) GROUP BY token
+def encode_sql(key: str, source: str, max_len: str) -> tuple[str, ...]:
+    """Vocabulary and ids over ``toks`` (key, t); ids as text between the two special ids."""
+    return (
+        f"""vocab AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id FROM
+  (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM toks) WHERE token <> '[sep]' GROUP BY token
    ORDER BY n DESC, token LIMIT {VOCABULARY_SIZE}))""",
-    f"picked AS (SELECT doc_id, i, t[i] AS token FROM toks, unnest(range(1, least(len(t), {MAX_LEN - 2}) + 1)) AS u(i))",
-    """ids AS (SELECT doc_id, string_agg(CAST(coalesce(token_id, 3) AS VARCHAR), ' ' ORDER BY i) AS s, count(*) AS k
-  FROM picked LEFT JOIN vocab USING (token) GROUP BY doc_id)""",
-    """encoded AS (SELECT doc_id, '1 ' || coalesce(s || ' ', '') || '2' AS ids, coalesce(k, 0) + 2 AS n
-  FROM documents LEFT JOIN ids USING (doc_id))""",
-)
-
-
-def encoded(spark, sf_dir):
-    documents = views.table(spark, sf_dir, "documents")
-    words = vocabulary.build_vocabulary(documents, "text", VOCABULARY_SIZE)
-    return vocabulary.encode(documents, words, "doc_id", "text", MAX_LEN)
+        f"""picked AS (SELECT {key}, i, t[i] AS token
+  FROM toks, unnest(range(1, least(len(t), {max_len} - 2) + 1)) AS u(i))""",
+        f"""ids AS (SELECT {key}, count(*) AS k, string_agg(CAST(CASE WHEN token = '[sep]' THEN 2 ELSE coalesce(token_id, 3) END
+    AS VARCHAR), ' ' ORDER BY i) AS s FROM picked LEFT JOIN vocab USING (token) GROUP BY {key})""",
+        f"""encoded AS (SELECT {key}, '1 ' || coalesce(s || ' ', '') || '2' AS ids, coalesce(k, 0) + 2 AS n
+  FROM {source} LEFT JOIN ids USING ({key}))""",
+    )
 
 
 def _joined(name: str):
     return F.array_join(F.col(name).cast("array<string>"), " ").alias(name)
 
 
-@register(c.with_ctes(*ENCODE_CTES, "SELECT doc_id, ids, CAST(n AS INTEGER) AS n FROM encoded"))
+@register(
+    c.with_ctes(
+        TOKENS_SQL,
+        *encode_sql("doc_id", "documents", "(len(t) + 2)"),
+        "SELECT doc_id, ids, CAST(n AS INTEGER) AS n FROM encoded",
+    )
+)
 def encode_tokens(spark, sf_dir):
-    return encoded(spark, sf_dir).select("doc_id", _joined("ids"), F.size("ids").alias("n"))
+    """Whole documents: the length limit is that of the longest one."""
+    documents = views.table(spark, sf_dir, "documents")
+    words = vocabulary.build_vocabulary(documents, "text", VOCABULARY_SIZE)
+    longest = vocabulary.token_budget(documents, ["text"]).first().text
+    encoded = vocabulary.encode(documents, words, "doc_id", "text", longest + 2)
+    return encoded.select("doc_id", _joined("ids"), F.size("ids").alias("n"))
+
+
+BUDGET_COLUMNS = ["anchor", "target", "text_grp_1", "text_grp_2"]
+PAIR_ENCODE_CTES = (
+    *c.ENRICH_CTES,
+    f"texts AS (SELECT id, {c.TEXT_SQL} AS text FROM enriched)",
+    f"toks AS (SELECT id, regexp_extract_all(lower(text), '{c.TOKEN_SQL}') AS t FROM texts)",
+    "budget AS (SELECT "
+    + " + ".join(f"max(len(regexp_extract_all(lower(coalesce({col}, '')), '{c.TOKEN_SQL}')))" for col in BUDGET_COLUMNS)
+    + " + 4 AS max_len FROM enriched)",
+    *encode_sql("id", "texts", "(SELECT max_len FROM budget)"),
+)
+
+
+def encoded_pairs(spark, sf_dir):
+    """Model texts as ids, at most as long as the budget of their columns allows, and the budget."""
+    df = c.composed(spark, sf_dir)
+    budget = vocabulary.token_budget(df, BUDGET_COLUMNS).first().max_len
+    words = vocabulary.build_vocabulary(df, "text", VOCABULARY_SIZE)
+    return vocabulary.encode(df, words, "id", "text", budget), budget
 
 
 @register(
     c.with_ctes(
-        *ENCODE_CTES,
-        f"batched AS (SELECT *, (row_number() OVER (ORDER BY {c.sql_key('doc_id', 42)}, doc_id) - 1) // {BATCH} AS batch FROM encoded)",
+        *PAIR_ENCODE_CTES,
+        f"batched AS (SELECT *, (row_number() OVER (ORDER BY {c.sql_key('id', 42)}, id) - 1) // {BATCH} AS batch FROM encoded)",
         "longest AS (SELECT *, max(n) OVER (PARTITION BY batch) AS m FROM batched)",
-        """SELECT doc_id, batch, ids || repeat(' 0', m - n) AS ids,
+        """SELECT id, batch, ids || repeat(' 0', m - n) AS ids,
   '1' || repeat(' 1', n - 1) || repeat(' 0', m - n) AS attention_mask FROM longest""",
     )
 )
 def dynamic_padding(spark, sf_dir):
     # Ids alone are numbered: numbering reads its input twice, and token ids are costly to find.
-    numbered = with_batch(views.table(spark, sf_dir, "documents").select("doc_id"), BATCH, id_col="doc_id")
-    padded = vocabulary.pad_in_batches(encoded(spark, sf_dir).join(numbered, "doc_id"))
-    return padded.select("doc_id", "batch", _joined("ids"), _joined("attention_mask"))
+    numbered = with_batch(views.pairs(spark, sf_dir).select("id"), BATCH)
+    padded = vocabulary.pad_in_batches(encoded_pairs(spark, sf_dir)[0].join(numbered, "id"))
+    return padded.select("id", "batch", _joined("ids"), _joined("attention_mask"))
 
 
 @register(
     c.with_ctes(
-        *ENCODE_CTES,
-        f"""SELECT doc_id, ids || repeat(' 0', {MAX_LEN} - n) AS ids,
-  '1' || repeat(' 1', n - 1) || repeat(' 0', {MAX_LEN} - n) AS attention_mask FROM encoded""",
+        *PAIR_ENCODE_CTES,
+        """SELECT id, ids || repeat(' 0', (SELECT max_len FROM budget) - n) AS ids,
+  '1' || repeat(' 1', n - 1) || repeat(' 0', (SELECT max_len FROM budget) - n) AS attention_mask FROM encoded""",
     )
 )
 def static_padding(spark, sf_dir):
-    return vocabulary.pad_to(encoded(spark, sf_dir), MAX_LEN).select("doc_id", _joined("ids"), _joined("attention_mask"))
+    encoded, budget = encoded_pairs(spark, sf_dir)
+    return vocabulary.pad_to(encoded, budget).select("id", _joined("ids"), _joined("attention_mask"))
 
 
 def _trigrams_sql(x: str) -> str:

@@ -36,8 +36,8 @@ def test_model_text(spark):
 
 
 def test_tokens(spark):
-    got = values(spark, text.tokens(F.lit("Größe-x, 12!")), text.tokens(F.lit(None).cast("string")))
-    assert got == [["größe", "-", "x", ",", "12", "!"], []]
+    got = values(spark, text.tokens(F.lit("Größe-x, 12![SEP]y")), text.tokens(F.lit(None).cast("string")))
+    assert got == [["größe", "-", "x", ",", "12", "!", "[sep]", "y"], []]
 
 
 def test_shingles(spark):

@@ -15,6 +15,12 @@ def test_encode(spark):
     assert rows == {1: [1, 5, 4, 4, 2], 2: [1, 4, 5, 2], 3: [1, 2], 4: [1, 3, 4, 2]}
 
 
+def test_separator_has_its_own_id(spark):
+    df = spark.createDataFrame([(1, "a[SEP]b[SEP]a")], "doc_id int, text string")
+    words = vocabulary.build_vocabulary(df, "text", 2)
+    assert vocabulary.encode(df, words, "doc_id", "text", 99).first().ids == [1, 4, 2, 5, 2, 4, 2]
+
+
 def test_padding(spark):
     encoded = spark.createDataFrame([(1, 0, [1, 4, 2]), (2, 0, [1, 2]), (3, 1, [1, 2])], "id int, batch int, ids array<int>")
     rows = {row.id: (row.ids, row.attention_mask) for row in vocabulary.pad_in_batches(encoded).collect()}
