@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions import arrays, text
+from pairloom.session import small_side
 
 # Ids of the special tokens; vocabulary ids follow.
 PAD, CLS, SEP_ID, UNK = 0, 1, 2, 3
@@ -26,13 +27,13 @@ def build_vocabulary(texts: DataFrame, column: str, size: int = 30_000) -> DataF
 def encode(texts: DataFrame, vocabulary: DataFrame, id_col: str, column: str, max_len: int) -> DataFrame:
     """Token ids between the two special ids, at most ``max_len`` of them.
 
-    The vocabulary has a fixed largest size, so it is broadcast. The kept tokens
+    A vocabulary of usual size is broadcast, a larger one joined by shuffle. The kept tokens
     are placed by id before they are taken apart; the ids of one text then meet again without a second shuffle.
     """
     kept = F.slice(text.tokens(F.col(column)), 1, max_len - 2)
     placed = texts.select(id_col, kept.alias("kept")).repartition(F.col(id_col))
     words = placed.select(id_col, F.posexplode_outer("kept").alias("place", "token"))
-    known = words.join(F.broadcast(vocabulary), "token", "left")
+    known = words.join(small_side(vocabulary), "token", "left")
     special = F.when(F.col("token") == text.SEP_TOKEN, F.lit(SEP_ID))
     item = F.struct("place", F.coalesce(special, "token_id", F.lit(UNK)).alias("token_id"))
     listed = known.groupBy(id_col).agg(

@@ -63,26 +63,28 @@ def _text_columns(config: RunConfig) -> list[str]:
 def training_rows(spark: SparkSession, inputs: Inputs, config: RunConfig) -> DataFrame:
     """Labelled rows with folds, context texts, model text and class number.
 
-    Folds are assigned on the narrow rows; translated rows join the table before that.
+    Folds are assigned on the narrow rows, translated ones among them; each language then gets
+    its own context texts.
     """
-    own = tables.read_csv(spark, inputs.train, schemas.PAIRS_TRAIN)
-    if config.sample_rows is not None:
-        own = distribution.sample_rows(own, config.sample_rows, seed=config.seed)
-    rows = _enriched(own, inputs.sections, inputs.classes, config)
+    rows = tables.read_csv(spark, inputs.train, schemas.PAIRS_TRAIN)
     if inputs.translated is not None:
         other = tables.read_csv(spark, inputs.translated, schemas.PAIRS_TRAIN)
-        other = other.withColumn("id", F.concat("id", F.lit(":translated")))
-        rows = dictionary.with_translated(
-            rows,
-            _enriched(
-                other,
-                inputs.translated_sections or inputs.sections,
-                inputs.translated_classes or inputs.classes,
-                config,
-            ),
-        )
+        marked = other.withColumns({"id": F.concat("id", F.lit(":translated")), "translated": F.lit(True)})
+        rows = dictionary.with_translated(rows, marked)
+    if config.sample_rows is not None:
+        rows = distribution.sample_rows(rows, config.sample_rows, seed=config.seed)
     folded = assign_folds(rows, "score", config.n_folds, config.seed)
-    texts = enrich.with_model_text(folded, config.use_class_text, config.use_mentions)
+    if inputs.translated is None:
+        enriched = _enriched(folded, inputs.sections, inputs.classes, config)
+    else:
+        own = folded.filter(F.col("translated").isNull())
+        foreign = folded.filter(F.col("translated"))
+        sections = inputs.translated_sections or inputs.sections
+        classes = inputs.translated_classes or inputs.classes
+        enriched = _enriched(own, inputs.sections, inputs.classes, config).unionByName(
+            _enriched(foreign, sections, classes, config)
+        )
+    texts = enrich.with_model_text(enriched, config.use_class_text, config.use_mentions)
     return texts.withColumn("score_map", arrays.class_of_score("score"))
 
 

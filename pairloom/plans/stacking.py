@@ -79,7 +79,7 @@ def train_stack(oof: DataFrame, config: StackConfig) -> Stack:
     versions = list(config.versions)
     features = versions
     parted = assign_split(oof, "score", config.test_size, config.seed, groups=("fold",), name="part")
-    folds = sorted(row.fold for row in oof.select("fold").distinct().limit(1000).collect())
+    folds = sorted(row.fold for row in oof.select("fold").distinct().collect())
     if config.encode_fold:
         parted, digits = with_fold_digits(parted, len(folds))
         features = versions + digits
@@ -89,37 +89,37 @@ def train_stack(oof: DataFrame, config: StackConfig) -> Stack:
         training, "score", config.n_splits, config.test_size, config.seed + 1, groups=("fold",)
     )
     predicted = rows
-    stack = Stack(rows, rows, rows, rows, features)
+    linear = linear_scores = rf_scores = None
+    forests = {}
     if "en" in config.learners:
         sides = moments.moments(splits, features, "score", ["fold", "split", "side"])
         packed = moments.split_moments(sides, features)
         fits = small_side(moments.elastic_net_fits(packed, len(features), config.elastic_net))
         absolute = moments.absolute_errors(splits, fits, features, "score")
-        stack.linear_scores = fits.filter(F.col("split") != moments.ALL_ROWS).join(
+        linear_scores = fits.filter(F.col("split") != moments.ALL_ROWS).join(
             absolute, ["fold", "split", "setting", "sample"]
         )
-        stack.linear = small_side(moments.best_fits(fits))
-        predicted = moments.with_linear_prediction(predicted, stack.linear, features, "en")
+        linear = small_side(moments.best_fits(fits))
+        predicted = moments.with_linear_prediction(predicted, linear, features, "en")
     if "rf" in config.learners:
         kept = forest.assembled(splits, features).select("fold", "split", "side", "score", "features").persist()
         try:
-            stack.forest_scores = forest.forest_scores(kept, folds, config.n_splits, config.forest)
-            for fold, setting in forest.best_settings(stack.forest_scores).items():
+            rf_scores = forest.forest_scores(kept, folds, config.n_splits, config.forest)
+            for fold, setting in forest.best_settings(rf_scores).items():
                 whole = kept.filter((F.col("fold") == fold) & (F.col("split") == 0))
-                stack.forests[fold] = forest.forest(*setting).fit(whole)
+                forests[fold] = forest.forest(*setting).fit(whole)
         finally:
             kept.unpersist()
         ready = forest.assembled(predicted, features)
-        parts = [model.transform(ready.filter(F.col("fold") == fold)) for fold, model in stack.forests.items()]
+        parts = [model.transform(ready.filter(F.col("fold") == fold)) for fold, model in forests.items()]
         predicted = reduce(DataFrame.unionByName, parts).drop("features")
     models = versions + list(config.learners)
-    stack.predictions = predicted
     dataset = F.concat(F.lit("em_"), F.col("part"), F.lit("_set")).alias("dataset")
     scored = predicted.select("fold", dataset, "score", *models)
-    stack.leaderboard = small_side(evaluation.score_models(scored, models, by=("fold", "dataset")))
-    stack.mean_scores = evaluation.mean_leaderboard(stack.leaderboard)
-    stack.best = small_side(evaluation.best_model(stack.mean_scores))
-    return stack
+    leaderboard = small_side(evaluation.score_models(scored, models, by=("fold", "dataset")))
+    mean_scores = evaluation.mean_leaderboard(leaderboard)
+    best = small_side(evaluation.best_model(mean_scores))
+    return Stack(leaderboard, mean_scores, best, predicted, features, linear, linear_scores, rf_scores, forests)
 
 
 def stacked_scores(matrix: DataFrame, stack: Stack, versions: list[str], folds: list[int]) -> DataFrame:
