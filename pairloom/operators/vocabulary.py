@@ -24,13 +24,14 @@ def build_vocabulary(texts: DataFrame, column: str, size: int = 30_000) -> DataF
     return top.select("token", (place + F.lit(FIRST_ID - 1)).cast("int").alias("token_id"))
 
 
-def encode(texts: DataFrame, vocabulary: DataFrame, id_col: str, column: str, max_len: int) -> DataFrame:
-    """Token ids between the two special ids, at most ``max_len`` of them.
+def encode(texts: DataFrame, vocabulary: DataFrame, id_col: str, column: str, max_len: int | None = None) -> DataFrame:
+    """Token ids between the two special ids, at most ``max_len`` of them if that is given.
 
     A vocabulary of usual size is broadcast, a larger one joined by shuffle. The kept tokens
     are placed by id before they are taken apart; the ids of one text then meet again without a second shuffle.
     """
-    kept = F.slice(text.tokens(F.col(column)), 1, max_len - 2)
+    words_of = text.tokens(F.col(column))
+    kept = words_of if max_len is None else F.slice(words_of, 1, max_len - 2)
     placed = texts.select(id_col, kept.alias("kept")).repartition(F.col(id_col))
     words = placed.select(id_col, F.posexplode_outer("kept").alias("place", "token"))
     known = words.join(small_side(vocabulary), "token", "left")

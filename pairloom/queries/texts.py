@@ -126,11 +126,10 @@ def _joined(name: str):
     )
 )
 def encode_tokens(spark, sf_dir):
-    """Whole documents: the length limit is that of the longest one."""
+    """Whole documents, without a length limit."""
     documents = views.table(spark, sf_dir, "documents")
     words = vocabulary.build_vocabulary(documents, "text", VOCABULARY_SIZE)
-    longest = vocabulary.token_budget(documents, ["text"]).first().text
-    encoded = vocabulary.encode(documents, words, "doc_id", "text", longest + 2)
+    encoded = vocabulary.encode(documents, words, "doc_id", "text")
     return encoded.select("doc_id", _joined("ids"), F.size("ids").alias("n"))
 
 
