@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import source_mix
+from pairloom.llm import source_mix, token_codes, token_counts
 from pairloom.llm.common import table
+from pairloom.llm.pieces import read_tokenizer
 from pairloom.queries.common import Registry, sql_key, sql_unit
 
 registry = Registry()
 QUERIES, SQL = registry.queries, registry.sql
+TOKEN_LIMIT = 512
 
 MIX_SQL = f"""WITH sizes AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
@@ -44,3 +47,17 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
+
+
+@registry()
+def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return token_codes.code_documents(table(spark, sf_dir, "documents"), spec, ["doc_id"], outputs)
+
+
+@registry()
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), spec, ["doc_id"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
