@@ -138,12 +138,12 @@ class PieceEncoder:
         return at[coded.indices.to_numpy(zero_copy_only=False)]
 
 
-def blocks(batch: pa.RecordBatch, column: str):
-    """Slices of a batch whose texts hold about BLOCK_BYTES; a longer text is a slice of its own."""
+def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES):
+    """Slices of a batch whose texts hold about ``size`` bytes; a longer text is a slice of its own."""
     offsets, _ = buffers(batch.column(column).fill_null(""))
     start = 0
     while start < batch.num_rows:
-        end = int(np.searchsorted(offsets, offsets[start] + BLOCK_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1
         end = max(start + 1, min(end, batch.num_rows))
         yield batch.slice(start, end - start)
         start = end

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import source_mix, token_codes, token_counts
+from pairloom.llm import source_mix, substring_dedup, token_codes, token_counts
 from pairloom.llm.common import table
 from pairloom.llm.pieces import read_tokenizer
 from pairloom.queries.common import Registry, sql_key, sql_unit
@@ -61,3 +61,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), spec, ["doc_id"])
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@registry()
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
