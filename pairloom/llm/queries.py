@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import source_mix, substring_dedup, token_codes, token_counts
+from pairloom.llm import ngram_join, source_mix, substring_dedup, token_codes, token_counts
 from pairloom.llm.common import table
 from pairloom.llm.pieces import read_tokenizer
 from pairloom.queries.common import Registry, sql_key, sql_unit
@@ -67,3 +67,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@registry()
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
