@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import ngram_join, source_mix, substring_dedup, token_codes, token_counts
+from pairloom.llm import ngram_join, source_mix, substring_dedup, token_codes, token_counts, toxicity
 from pairloom.llm.common import table
 from pairloom.llm.pieces import read_tokenizer
 from pairloom.queries.common import Registry, sql_key, sql_unit
@@ -73,3 +73,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@registry()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, lexicon, ["doc_id"])
+    return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
