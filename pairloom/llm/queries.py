@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import ngram_join, source_mix, substring_dedup, token_codes, token_counts, toxicity
+from pairloom.llm import ngram_join, source_mix, substring_dedup, token_codes, token_counts, toxicity, warc_store
 from pairloom.llm.common import table
 from pairloom.llm.pieces import read_tokenizer
 from pairloom.queries.common import Registry, sql_key, sql_unit
@@ -81,3 +81,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     found = toxicity.score(docs, lexicon, ["doc_id"])
     return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+WARC_SQL = """WITH payloads AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+digests AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS hex FROM payloads),
+heads AS (SELECT *, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS head FROM digests),
+bits AS (SELECT page_id, payload_bytes, head, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((
+      (CAST('0x' || substr(hex || '0', 1 + CAST(i * 5 // 4 AS INTEGER), 2) AS INTEGER)
+        >> CAST(3 - i * 5 % 4 AS INTEGER)) & 31) AS INTEGER), 1) FOR i IN range(32)], '') AS payload_digest FROM heads)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM head OR head IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM head THEN head END AS refers_to
+FROM bits"""
+
+
+@registry(WARC_SQL)
+def op5_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_store.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
