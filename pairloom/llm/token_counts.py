@@ -2,9 +2,9 @@
 
 Documents up to ``chunk_chars`` are counted where they lie: distinct pieces (see ``pieces``) are encoded once for a
 task. A longer document becomes windows that overlap their successor; windows are spread over the cluster and
-encoded by themselves, with offsets. Two neighbours are spliced at a place in their overlap where both end a token
-and which is a proven boundary, so that neither side depends on what its window left out. Documents with a pair of
-windows that finds no such place go through again with a wider overlap, at last with the whole rest of the text.
+encoded by themselves, with the places and token counts of the proven boundaries in their overlaps. Two neighbours are
+spliced at the first place that both have, so that neither side depends on what its window left out. Documents with a
+pair of windows that finds no such place go through again with a wider overlap, at last with the whole rest of the text.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); rows are kept one by one, repeated ids included;
 equal huge texts are counted once and joined back; extra columns are left out unless named in ``keep``.
@@ -15,7 +15,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +28,7 @@ OVERLAP_CHARS = 256
 WIDER = 16  # times the overlap of the round before
 
 WINDOWS = "k1 long, k2 long, place int, n_places int, start long, overlap_end long, next_start long, part string"
+PLACES = ("start", "overlap_end", "next_start")
 COUNTS = "k1 long, k2 long, place int, n_places int, n long, left_at array<long>, left_n array<long>, right_at array<long>, right_n array<long>"
 
 
@@ -73,32 +73,35 @@ def _long_counts(texts: DataFrame, spec: str, chunk: int, overlap: int) -> DataF
         [(n, pa.string() if n == "part" else pa.int32() if n in ("place", "n_places") else pa.int64()) for n in names]
     )
 
-    def count(frames):
-        from tokenizers import Tokenizer
-
+    def count(batches):
         encoder = PieceEncoder(spec)
-        tokenizer: Tokenizer = encoder.tokenizer
-        proven = regex.compile(r"(?<=\S)(?=[\t-\r ])") if encoder.cuts else None
-        for frame in frames:
-            rows = []
-            for row in frame.itertuples(index=False):
-                ends = np.array([end for _, end in tokenizer.encode(row.part, add_special_tokens=False).offsets], np.int64)
-                sides = []
-                for low, high in ((row.start, row.overlap_end), (row.next_start, row.start + len(row.part))):
-                    low, high = low - row.start, high - row.start
-                    at = [m.start() for m in proven.finditer(row.part, max(low, 1), max(high, 1))] if proven else []
-                    at = [p for p in at if low < p < high]
-                    upto = np.searchsorted(ends, at, side="right")
-                    hit = [(p, int(n)) for p, n in zip(at, upto) if n and ends[n - 1] == p]
-                    sides += [[row.start + p for p, _ in hit], [n for _, n in hit]]
-                rows.append((row.k1, row.k2, row.place, row.n_places, len(ends), *sides))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in COUNTS.split(", ")])
+        for whole in batches:
+            for batch in blocks(whole, "part"):
+                offsets, data = buffers(batch.column("part"))
+                bounds = encoder.boundaries(offsets, data)
+                which = encoder.look_up(strings(bounds, data))
+                tokens = np.concatenate([[0], np.cumsum(encoder.lengths[which])])
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                edges = np.searchsorted(bounds, offsets)
+                sides: dict[str, list] = {name: [] for name in ("left_at", "left_n", "right_at", "right_n")}
+                for i, (start, low_end, high) in enumerate(zip(*[batch.column(c).to_pylist() for c in PLACES])):
+                    # Bounds inside the window; its own ends are no proven boundaries.
+                    inner = slice(edges[i] + 1, edges[i + 1])
+                    at = start + chars[bounds[inner]] - chars[offsets[i]]
+                    n = tokens[inner] - tokens[edges[i]]
+                    for side, near in (("left", at < low_end), ("right", at > high)):
+                        sides[f"{side}_at"].append(at[near])
+                        sides[f"{side}_n"].append(n[near])
+                columns = [batch.column(c) for c in ("k1", "k2", "place", "n_places")]
+                total = pa.array(tokens[edges[1:]] - tokens[edges[:-1]], pa.int64())
+                listed = [pa.array(values, pa.list_(pa.int64())) for values in sides.values()]
+                yield pa.RecordBatch.from_arrays([*columns, total, *listed], names=[c.split()[0] for c in COUNTS.split(", ")])
 
     def together(key, frame):
         return pd.DataFrame({"k1": [key[0]], "k2": [key[1]], "n_tokens": pd.array([splice(frame)], "Int64")})
 
     parts = texts.mapInArrow(cut, WINDOWS).repartition("k1", "k2", "place")
-    counted = parts.mapInPandas(count, COUNTS)
+    counted = parts.mapInArrow(count, COUNTS)
     return counted.groupBy("k1", "k2").applyInPandas(together, "k1 long, k2 long, n_tokens long")
 
 
