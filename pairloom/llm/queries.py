@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import ngram_join, source_mix, substring_dedup, token_codes, token_counts, toxicity, warc_store
+from pairloom.llm import digests, ngram_join, source_mix, substring_dedup, token_codes, token_counts, toxicity, warc_store
 from pairloom.llm.common import table
 from pairloom.llm.pieces import read_tokenizer
 from pairloom.queries.common import Registry, sql_key, sql_unit
@@ -100,3 +100,8 @@ FROM bits"""
 def op5_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc_store.round_trip(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@registry()
+def op8_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.with_next(table(spark, sf_dir, "documents"))
