@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import digests, ngram_join, page_text, source_mix, substring_dedup, token_codes, token_counts, toxicity, warc_store
+from pairloom.llm import digests, hilbert_search, ngram_join, page_text, source_mix, substring_dedup, token_codes, token_counts, toxicity, warc_store
 from pairloom.llm.common import table
 from pairloom.llm.pieces import read_tokenizer
 from pairloom.queries.common import Registry, sql_key, sql_unit
@@ -112,3 +112,9 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = page_text.extract(pages, page_text.learn(pages), ["page_id", "url"])
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@registry()
+def op3_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hilbert_search.search(vectors, F.col("vec_id") % 20 == 0)
