@@ -335,7 +335,8 @@ def near_groups(
     docs: DataFrame, id_col: str = "doc_id", keep: list[str] | None = None, text: str = "text",
     width: int = WIDTH, alike: int = ALIKE,
 ) -> DataFrame:
-    """Columns of ``keep`` (the id), then n_shingles, set_id, component_id: the least id of the group."""
+    """Columns of ``keep`` (the id), then k1, k2 (the text's key), n_shingles, set_id, group_id and component_id: the least id
+    of the group."""
     keep = [id_col] if keep is None else keep
     spark = docs.sparkSession
     texts = docs.select(
@@ -355,12 +356,30 @@ def near_groups(
     named = sets.select("f1", "f2", "sid").join(groups.withColumnRenamed("node", "sid"), "sid", "left")
     named = named.select("f1", "f2", "sid", F.coalesce("component", "sid").alias("_group"))
     # An empty set is a group of its own: its row number stands for it.
-    placed = written(members.drop("sig", "k1", "k2").join(named, ["f1", "f2"], "left"), "placed")
+    placed = written(members.drop("sig").join(named, ["f1", "f2"], "left"), "placed")
     own = F.coalesce("_group", -F.col("t") - 1)
     placed = placed.withColumn("_group", own)
     least = placed.groupBy("_group").agg(F.min("_id").alias("component_id"))
     joined = placed.join(least, "_group")
     return joined.select(
-        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
-        F.col("n").alias("n_shingles"), F.coalesce("sid", "_group").alias("set_id"), "component_id",
+        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "k1", "k2",
+        F.col("n").alias("n_shingles"), F.coalesce("sid", "_group").alias("set_id"),
+        F.col("_group").alias("group_id"), "component_id",
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The documents without near copies: of each group the one with the least id (then text) stays, once.
+
+    Documents without words are linked with nothing and all stay. Columns are those of ``docs``.
+    """
+    own = [F.xxhash64(id_col).alias("_k0"), *[key.alias(f"_{name}") for key, name in zip(text_key(text), ("k1", "k2"))]]
+    keys = ["_k0", "_k1", "_k2"]
+    groups = near_groups(docs, id_col, [id_col], text, **settings).filter("n_shingles > 0")
+    line = F.struct(F.col(id_col).isNull(), F.col(id_col), "k1", "k2")
+    first = groups.groupBy("group_id").agg(F.min(line).alias("first"))
+    first = first.select(F.xxhash64(f"first.{id_col}").alias("_k0"), F.col("first.k1").alias("_k1"), F.col("first.k2").alias("_k2"))
+    first = written(first.distinct(), "kept-keys")
+    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = docs.filter(~wordless).select("*", *own).join(first, keys, "left_semi").dropDuplicates(keys)
+    return kept.select(*docs.columns).unionByName(docs.filter(wordless))

@@ -58,16 +58,8 @@ def source_targets(
     return levelled.select("source", "n", "source_size", "weight", target.alias("target"))
 
 
-def mix_copies(
-    docs: DataFrame,
-    weights: tuple[int, ...] = WEIGHTS,
-    share: float = SHARE,
-    most: int = MOST,
-    seed: int = SEED,
-    keep: list[str] | None = None,
-) -> DataFrame:
-    """One row for each document: ``keep`` columns, size, source_size, target, copies."""
-    keep = ["doc_id"] if keep is None else keep
+def _copies(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: int, keep: list[str]) -> DataFrame:
+    """_k0 ... (the columns of ``keep``), _size, _source_size, _target, _copies."""
     kept = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
     sizes = docs.select(
         *kept, F.col("doc_id").alias("_id"), "source", word_count("text").alias("size"), F.xxhash64("text").alias("_tie")
@@ -77,23 +69,38 @@ def mix_copies(
     targets = source_targets(placed.select("source", "size"), weights, share, most)
     firsts = placed.groupBy("source").agg(F.min("_index").alias("_first"))
     totals = targets.join(firsts, targets["source"].eqNullSafe(firsts["source"])).select(
-        targets["source"].alias("_source"), "source_size", "target", "_first"
+        targets["source"].alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_first"
     )
     start = unit(hash_key(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), seed))
-    step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    step = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
     place = (F.col("_index") - F.col("_first")).cast("double")
     found = placed.join(totals, F.col("source").eqNullSafe(F.col("_source")), "left")
     found = found.withColumns({"_step": step, "_start": start, "_place": place})
     upto = F.floor((F.col("_place") + 1) * F.col("_step") + F.col("_start"))
     before = F.floor(F.col("_place") * F.col("_step") + F.col("_start"))
-    copies = F.least(upto - before, F.lit(most)).cast("long")
-    return found.select(
-        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target", copies.alias("copies")
-    )
+    copies = F.least(upto - before, F.lit(most)).cast("long").alias("_copies")
+    return found.select(*[f"_k{i}" for i in range(len(keep))], F.col("size").alias("_size"), "_source_size", "_target", copies)
+
 
+def mix_copies(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = SHARE,
+    most: int = MOST,
+    seed: int = SEED,
+    keep: tuple[str, ...] = ("doc_id",),
+) -> DataFrame:
+    """One row for each document: ``keep`` columns, size, source_size, target, copies."""
+    found = _copies(docs, weights, share, most, seed, list(keep))
+    named = [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)]
+    return found.select(*named, *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "copies")])
 
-def mix(docs: DataFrame, **settings) -> DataFrame:
+
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED
+) -> DataFrame:
     """The mixed documents: every row of ``docs`` as often as it was taken, columns unchanged."""
-    copies = mix_copies(docs, keep=docs.columns, **settings)
-    times = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return copies.filter("copies > 0").select(*docs.columns, times.alias("_copy")).select(*docs.columns)
+    found = _copies(docs, weights, share, most, seed, docs.columns).filter("_copies > 0")
+    named = [F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)]
+    repeated = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return repeated.select(*named)

@@ -181,10 +181,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(
-    docs: DataFrame, keep: list[str], text: str = "text", width: int = WIDTH, gram: int = GRAM, tidy: bool = True
-) -> DataFrame:
-    """Columns of ``keep``, n_words, spans (removed words), n_removed, kept (text).
+def _removed(docs: DataFrame, keep: list[str], text: str, width: int, gram: int, tidy: bool) -> DataFrame:
+    """_k0 ... (the columns of ``keep``), n_words, spans, n_removed, kept.
 
     ``tidy`` joins the words of every text by one space; without it, texts that lose nothing stay as they are.
     """
@@ -226,6 +224,31 @@ def remove_repeats(
                 names=schema.names,
             )
 
-    found = packed.join(spans, KEYS, "left").mapInArrow(remove, schema)
+    return packed.join(spans, KEYS, "left").mapInArrow(remove, schema)
+
+
+def remove_repeats(
+    docs: DataFrame, keep: list[str], text: str = "text", width: int = WIDTH, gram: int = GRAM
+) -> DataFrame:
+    """Columns of ``keep``, n_words, spans (removed words), n_removed, kept (the words left, joined by one space)."""
+    found = _removed(docs, keep, text, width, gram, tidy=True)
     rest = ["n_words", "spans", "n_removed", "kept"]
     return found.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *rest)
+
+
+def without_repeats(
+    docs: DataFrame, text: str = "text", size: str | None = None, width: int = WIDTH, gram: int = GRAM
+) -> DataFrame:
+    """The documents without repeated passages, columns unchanged; texts that lose nothing stay as they are.
+
+    ``size`` names the column that holds the text's length; it follows a changed text.
+    """
+    marked = docs.withColumn("_no_text", F.col(text).isNull())
+    keep = [c for c in marked.columns if c != text]
+    found = _removed(marked, keep, text, width, gram, tidy=False)
+    place = {c: F.col(f"_k{i}") for i, c in enumerate(keep)}
+    place[text] = F.when(place["_no_text"], F.lit(None)).otherwise(F.col("kept"))
+    if size in place:
+        changed = F.length("kept").cast(docs.schema[size].dataType)
+        place[size] = F.when(F.col("n_removed") > 0, changed).otherwise(place[size])
+    return found.select(*[place[c].alias(c) for c in docs.columns])

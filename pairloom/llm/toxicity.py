@@ -228,11 +228,19 @@ def _levels(rows: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     return rows.select(*[f.name for f in kept], "_text").mapInArrow(levels, schema)
 
 
-def score(docs: DataFrame, lexicon: Lexicon, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns of ``keep``, level, score (0 to 1), predicted (1 from score 0.5 on)."""
+def _scored(docs: DataFrame, lexicon: Lexicon, keep: list[str], text: str) -> DataFrame:
     rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], folded(text).alias("_text"))
     found = _levels(rows, lexicon, [f"_k{i}" for i in range(len(keep))])
-    return found.select(
-        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
-        "level", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
-    )
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def score(docs: DataFrame, lexicon: Lexicon, keep: list[str], text: str = "text") -> DataFrame:
+    """Columns of ``keep``, level, score (0 to 1), predicted (1 from score 0.5 on)."""
+    found = _scored(docs, lexicon, keep, text)
+    return found.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "level", "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
+    """The documents that the lexicon does not take for toxic, columns unchanged."""
+    found = _scored(docs, lexicon, docs.columns, text).filter("predicted = 0")
+    return found.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)])
