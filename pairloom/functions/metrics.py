@@ -36,10 +36,14 @@ def mse(y: Column, p: Column) -> Column:
 
 
 def _floored_log(q: Column) -> Column:
-    return F.greatest(F.coalesce(F.ln(q), F.lit(LOG_FLOOR)), F.lit(LOG_FLOOR))
+    """Null stays null; zero has the floor."""
+    return F.when(q.isNotNull(), F.greatest(F.coalesce(F.ln(q), F.lit(LOG_FLOOR)), F.lit(LOG_FLOOR)))
 
 
 def bce(y: Column, p: Column) -> Column:
+    """Rows without a label or a prediction take no part; a prediction that is no probability is an error."""
+    outside = F.raise_error(F.lit("a prediction lies outside [0, 1]")).cast("double")
+    p = F.when((p < 0) | (p > 1), outside).otherwise(p)
     return F.avg(-(y * _floored_log(p) + (1 - y) * _floored_log(1 - p)))
 
 

@@ -61,10 +61,6 @@ def set_text(items) -> Column:
 
 
 def shingles(text, size: int) -> Column:
-    """Distinct substrings of ``size`` characters, none for shorter texts."""
+    """Distinct substrings of ``size`` characters, none for shorter texts; one pass along the text."""
     text = F.col(text) if isinstance(text, str) else text
-    last = F.length(text) - F.lit(size - 1)
-    return F.when(
-        last >= 1,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(size)))),
-    ).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))

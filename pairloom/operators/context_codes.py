@@ -6,12 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions import text
-from pairloom.session import small_side, written
-
-# Patterns of a listed code with its title, and of the page title.
-LINK = r'<a href="([^"]*)">([^<]*)</a>'
-PAGE_TITLE = r"<title>([^<]*)</title>"
+from pairloom.session import written
 
+Pattern = tuple[str, int]  # a regular expression and one of its groups
 
 def zip_shorter(left: Column, right: Column, names: tuple[str, str]) -> Column:
     """Pairs of the i-th elements, as many as the shorter list has."""
@@ -21,36 +18,33 @@ def zip_shorter(left: Column, right: Column, names: tuple[str, str]) -> Column:
     )
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """One row for each listed code: page, place on the page, symbol, title, page title."""
+def listed_entries(pages: DataFrame, code: Pattern, title: Pattern, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each listed code: page, place on the page, code, title, and the columns of ``keep``.
+
+    ``code`` and ``title`` are a regular expression and a group each, found on their own in the page; the i-th code
+    goes with the i-th title.
+    """
     lists = pages.select(
-        "page_id",
-        F.regexp_extract("html", PAGE_TITLE, 1).alias("page_title"),
-        F.regexp_extract_all("html", F.lit(LINK), F.lit(1)).alias("codes"),
-        F.regexp_extract_all("html", F.lit(LINK), F.lit(2)).alias("titles"),
+        "page_id", *keep, *[F.regexp_extract_all("html", F.lit(p), F.lit(g)).alias(n) for n, (p, g) in (("codes", code), ("titles", title))]
     )
     listed = lists.withColumn("entries", zip_shorter(F.col("codes"), F.col("titles"), ("code", "title")))
     # The outer form keeps the optimiser from testing the list for rows first, with a second parse.
-    exploded = listed.select("page_id", "page_title", F.posexplode_outer("entries").alias("place", "entry"))
-    return exploded.filter(F.col("place").isNotNull()).select(
-        "page_id",
-        "place",
-        F.upper(F.replace(F.col("entry.code"), F.lit("/"), F.lit(""))).alias("symbol"),
-        F.col("entry.title").alias("title"),
-        "page_title",
-    )
+    exploded = listed.select("page_id", *keep, F.posexplode_outer("entries").alias("place", "entry"))
+    return exploded.filter(F.col("place").isNotNull()).select("page_id", "place", "entry.code", "entry.title", *keep)
 
 
-def class_entries(links: DataFrame) -> DataFrame:
-    """Entries below section level with class code, raw and cleaned description."""
-    raw = F.concat(F.col("title"), F.lit(" "), F.col("page_title"))
-    return links.filter(F.length("symbol") > 1).select(
+def class_entries(listed: DataFrame) -> DataFrame:
+    """Entries below section level with class code and cleaned description.
+
+    ``listed`` holds page_id, place, symbol and raw, the text that describes the symbol.
+    """
+    return listed.filter(F.length("symbol") > 1).select(
         "page_id",
         "place",
         "symbol",
         text.class_of("symbol").alias("context"),
-        raw.alias("raw"),
-        text.description_for("symbol", raw).alias("description"),
+        "raw",
+        text.description_for("symbol", F.col("raw")).alias("description"),
     )
 
 
@@ -58,17 +52,19 @@ def code_dictionary(entries: DataFrame) -> DataFrame:
     return entries.select("context").distinct()
 
 
-def mentioned_codes(raw_texts: DataFrame, codes: DataFrame, lengths: tuple[int, ...] = (2, 3)) -> DataFrame:
-    """Which of ``codes`` occur as a substring of each distinct text: rows (raw, code).
+def mentioned_codes(raw_texts: DataFrame, codes: DataFrame) -> DataFrame:
+    """Which of ``codes`` occur as a substring of each distinct text, case kept: rows (raw, code).
 
-    A code of at most three characters occurs in a text exactly if it is one of the text's
-    substrings of that length, so containment becomes an equality join on short keys. Texts are
-    made distinct first, and substrings are made distinct inside their text.
+    A code occurs in a text exactly if it is one of the text's substrings of the code's length, so containment becomes
+    an equality join. The lengths come from the codes. Texts are made distinct first, and substrings are made
+    distinct inside their text.
     """
-    pieces = F.concat(*[text.shingles("_folded", size) for size in lengths])
-    folded = raw_texts.select("raw").distinct().withColumn("_folded", F.upper("raw"))
-    found = folded.select("raw", F.explode(pieces).alias("code"))
-    known = small_side(codes.select(F.col("context").alias("code")))
+    known = codes.select(F.col("context").alias("code")).filter(F.length("code") > 0).distinct()
+    lengths = sorted(row.size for row in known.select(F.length("code").alias("size")).distinct().collect())
+    if not lengths:
+        return raw_texts.select("raw", F.lit("").alias("code")).limit(0)
+    pieces = F.concat(*[text.shingles("raw", size) for size in lengths])
+    found = raw_texts.select("raw").distinct().select("raw", F.explode(pieces).alias("code"))
     return found.join(known, "code", "left_semi").select("raw", "code")
 
 
@@ -110,12 +106,12 @@ def mention_sets(entries: DataFrame, mentions: DataFrame) -> DataFrame:
     )
 
 
-def context_dictionary(pages: DataFrame, pages_per_span: int = 4096) -> DataFrame:
-    """Pages to the class dimension: code, description, mentioned codes.
+def context_dictionary(listed: DataFrame, pages_per_span: int = 4096) -> DataFrame:
+    """Listed symbols with their texts to the class dimension: code, description, mentioned codes.
 
     Pages are parsed once; the entries, far smaller, are written for the steps that follow.
     """
-    entries = written(class_entries(page_links(pages)), "entries")
+    entries = written(class_entries(listed), "entries")
     span = F.floor(F.col("page_id") / pages_per_span)
     descriptions = ordered_concat(entries, "context", "description", ["page_id", "place"], span)
     mentions = mention_sets(entries, mentioned_codes(entries, code_dictionary(entries)))

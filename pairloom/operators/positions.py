@@ -54,11 +54,11 @@ def weighted_position(
     key is exponential with the weight of its value, so heavy values tend to come first. The
     shares also give the distribution of the keys over the whole table, and that distribution
     function splits the order into buckets of about equal size. A value without a share is an
-    error, as the row would have no place.
+    error, as the row would have no place; a level that no row has (share 0) is left out.
     """
     buckets = 16 ** hex_digits(df.sparkSession)
     weight = F.col("share") if not inverse else 1 / F.col("share")
-    table = weights.select(F.col(by).alias("_by"), "share", weight.alias("_weight"))
+    table = weights.filter("share > 0").select(F.col(by).alias("_by"), "share", weight.alias("_weight"))
     mixture = table.agg(F.sort_array(F.collect_list(F.struct("_weight", "share"))).alias("_mixture"))
     known = F.when(
         F.col("_weight").isNull(), F.raise_error(F.lit(f"a value of {by} has no share")).cast("double")

@@ -38,9 +38,9 @@ def columns_of_fold(columns: list[str], fold: int) -> list[str]:
     return [name for name in columns if name.endswith(f"_fold_{fold}")]
 
 
-def with_fold_digits(df: DataFrame, n_folds: int) -> tuple[DataFrame, list[str]]:
-    """The fold as binary digits, counted from 1."""
-    width = n_folds.bit_length()
+def with_fold_digits(df: DataFrame, folds: list[int]) -> tuple[DataFrame, list[str]]:
+    """The fold as binary digits, counted from 1; the largest fold number gives their count."""
+    width = (max(folds) + 1).bit_length()
     digits = binary_digits(F.col("fold") + 1, width)
     names = [f"fold_digit_{i}" for i in range(width)]
     return df.withColumns(dict(zip(names, digits))), names
@@ -81,7 +81,7 @@ def train_stack(oof: DataFrame, config: StackConfig) -> Stack:
     parted = assign_split(oof, "score", config.test_size, config.seed, groups=("fold",), name="part")
     folds = sorted(row.fold for row in oof.select("fold").distinct().collect())
     if config.encode_fold:
-        parted, digits = with_fold_digits(parted, len(folds))
+        parted, digits = with_fold_digits(parted, folds)
         features = versions + digits
     rows = written(parted, "meta-rows")
     training = rows.filter(F.col("part") == "train")

@@ -82,7 +82,7 @@ def description_concat(spark, sf_dir):
 
 MENTIONS_SQL = """mentions AS (
   SELECT DISTINCT e.context, k.code FROM entries e
-  JOIN (SELECT DISTINCT context AS code FROM entries) k ON contains(upper(replace(e.raw, 'ß', 'ss')), k.code)),
+  JOIN (SELECT DISTINCT context AS code FROM entries) k ON contains(e.raw, k.code)),
 mention_text AS (SELECT context, string_agg(code, '; ' ORDER BY code) AS codes FROM mentions GROUP BY context)"""
 
 
@@ -356,12 +356,9 @@ def union_translated(spark, sf_dir):
 
 @register(c.with_ctes(*c.OOF_CTES, "SELECT id, fold, score, alpha AS pred FROM oof"))
 def union_folds(spark, sf_dir):
-    wide = c.oof_wide(spark, sf_dir).select("id", "fold", "score", F.col("alpha").alias("pred"))
-    parts = [wide.filter(F.col("fold") == k) for k in c.FOLDS]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    """All folds stay one table, so their union is a scan of it."""
+    wide = c.oof_wide(spark, sf_dir).filter(F.col("fold").isin(c.FOLDS))
+    return wide.select("id", "fold", "score", F.col("alpha").alias("pred"))
 
 
 @register(c.with_ctes(*c.OOF_CTES, c.LONG_SQL, "SELECT version, count(*) AS n, round(avg(pred), 6) AS mean_pred FROM long GROUP BY version"))

@@ -99,7 +99,7 @@ def prediction_alignment(spark, sf_dir):
         ENTRIES_SQL,
         "codes AS (SELECT DISTINCT context AS code FROM entries)",
         "texts AS (SELECT DISTINCT raw FROM entries)",
-        "SELECT raw, code FROM texts JOIN codes ON contains(upper(replace(raw, 'ß', 'ss')), code)",
+        "SELECT raw, code FROM texts JOIN codes ON contains(raw, code)",
     )
 )
 def mentioned_codes(spark, sf_dir):
@@ -111,21 +111,12 @@ def mentioned_codes(spark, sf_dir):
     c.with_ctes(
         LINKS_SQL,
         """SELECT page_id, CAST(i - 1 AS INTEGER) AS place, codes[i] AS code, titles[i] AS title
-  FROM (SELECT page_id, codes, titles[2:] AS titles FROM lists), unnest(range(1, least(len(codes), len(titles)) + 1)) AS u(i)""",
+  FROM lists, unnest(range(1, least(len(codes), len(titles)) + 1)) AS u(i)""",
     )
 )
 def code_title_zip(spark, sf_dir):
-    """The title list is one shorter than the code list here; surplus codes are left out."""
-    lists = views.table(spark, sf_dir, "pages").select(
-        "page_id",
-        F.regexp_extract_all("html", F.lit(context_codes.LINK), F.lit(1)).alias("codes"),
-        F.regexp_extract_all("html", F.lit(context_codes.LINK), F.lit(2)).alias("titles"),
-    )
-    titles = F.slice("titles", F.lit(2), F.greatest(F.size("titles") - 1, F.lit(0)))
-    zipped = context_codes.zip_shorter(F.col("codes"), titles, ("code", "title"))
-    return lists.select("page_id", F.posexplode(zipped).alias("place", "entry")).select(
-        "page_id", "place", "entry.code", "entry.title"
-    )
+    """Codes and titles are found on their own and paired by place."""
+    return context_codes.listed_entries(views.table(spark, sf_dir, "pages"), (views.LINK, 1), (views.LINK, 2))
 
 
 @register(

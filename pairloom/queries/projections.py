@@ -24,7 +24,7 @@ ENTRIES_SQL = f"""entries AS (
 
 
 def entries(spark, sf_dir):
-    return context_codes.class_entries(context_codes.page_links(views.table(spark, sf_dir, "pages")))
+    return context_codes.class_entries(views.page_links(spark, sf_dir))
 
 
 def stored_entries(spark, sf_dir):
@@ -39,7 +39,7 @@ def section_code(spark, sf_dir):
 
 @register(c.with_ctes(LINKS_SQL, "SELECT page_id, place, substr(symbol, 1, 3) AS context FROM links"))
 def class_code(spark, sf_dir):
-    links = context_codes.page_links(views.table(spark, sf_dir, "pages"))
+    links = views.page_links(spark, sf_dir)
     return links.select("page_id", "place", text.class_of("symbol").alias("context"))
 
 
@@ -93,10 +93,8 @@ def fold_cast(spark, sf_dir):
 )
 def fold_split(spark, sf_dir):
     """Sizes and mean label of both sides of one fold."""
-    df = c.folded(spark, sf_dir)
-    train, valid = df.filter(F.col("fold") != 1), df.filter(F.col("fold") == 1)
-    parts = train.withColumn("part", F.lit("train")).unionByName(valid.withColumn("part", F.lit("valid")))
-    return parts.groupBy("part").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
+    part = F.when(F.col("fold") == 1, "valid").otherwise("train")
+    return c.folded(spark, sf_dir).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
 
 
 @register(c.with_ctes(*c.FOLD_CTES, "SELECT id, fold FROM folds WHERE fold IN (0, 2)"))
@@ -111,7 +109,7 @@ def missing_class_rows(spark, sf_dir):
 
 @register(c.with_ctes(LINKS_SQL, "SELECT page_id, place, symbol FROM links WHERE length(symbol) <> 1"))
 def symbol_length_filter(spark, sf_dir):
-    links = context_codes.page_links(views.table(spark, sf_dir, "pages"))
+    links = views.page_links(spark, sf_dir)
     return links.filter(F.length("symbol") != 1).select("page_id", "place", "symbol")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairloom.functions import text
-from pairloom.operators import context_codes, dictionary, evaluation
+from pairloom.operators import dictionary, evaluation
 from pairloom.operators.positions import with_batch
 from pairloom.plans import base_models
 from pairloom.queries import common as c
@@ -22,7 +22,7 @@ LINKS_SQL = """lists AS (
          regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS titles
   FROM pages),
 links AS (
-  SELECT page_id, CAST(i - 1 AS INTEGER) AS place, upper(replace(replace(codes[i], '/', ''), 'ß', 'ss')) AS symbol,
+  SELECT page_id, CAST(i - 1 AS INTEGER) AS place, replace(codes[i], '/', '') AS symbol,
          titles[i] AS title, page_title
   FROM lists, unnest(range(1, least(len(codes), len(titles)) + 1)) AS u(i))"""
 
@@ -125,4 +125,4 @@ def model_save_load(spark, sf_dir):
 
 @register(c.with_ctes(LINKS_SQL, "SELECT * FROM links"))
 def page_link_extraction(spark, sf_dir):
-    return context_codes.page_links(views.table(spark, sf_dir, "pages"))
+    return views.page_links(spark, sf_dir).drop("raw")

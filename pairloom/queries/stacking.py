@@ -51,7 +51,7 @@ def fold_column_names(spark, sf_dir):
     )
 )
 def fold_digits(spark, sf_dir):
-    digits, names = stacking.with_fold_digits(c.folded(spark, sf_dir), 4)
+    digits, names = stacking.with_fold_digits(c.folded(spark, sf_dir), c.FOLDS)
     return digits.select("id", "fold", *names)
 
 

@@ -256,4 +256,4 @@ def translated_classes(spark, sf_dir):
     )
 )
 def context_dictionary(spark, sf_dir):
-    return context_codes.context_dictionary(views.table(spark, sf_dir, "pages"))
+    return context_codes.context_dictionary(views.page_links(spark, sf_dir))

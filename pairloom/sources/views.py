@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import hash_key, unit
+from pairloom.operators import context_codes
 from pairloom.sources import schemas
 
 SEED = 42
@@ -88,6 +89,24 @@ def test_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A listed code with its title, and the page title, in the driver's pages.
+LINK = r'<a href="([^"]*)">([^<]*)</a>'
+PAGE_TITLE = r"<title>([^<]*)</title>"
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links stand for listed codes: page, place, symbol, title, page title, and the text that describes the symbol."""
+    pages = table(spark, sf_dir, "pages").withColumn("page_title", F.regexp_extract("html", PAGE_TITLE, 1))
+    return context_codes.listed_entries(pages, (LINK, 1), (LINK, 2), ("page_title",)).select(
+        "page_id",
+        "place",
+        F.replace(F.col("code"), F.lit("/"), F.lit("")).alias("symbol"),
+        "title",
+        "page_title",
+        F.concat(F.col("title"), F.lit(" "), F.col("page_title")).alias("raw"),
+    )
+
+
 def prediction(width: float, *salts) -> Column:
     """A score with repeatable noise of the given width, to six digits."""
     noisy = F.col("score") + (unit(hash_key("id", *salts)) - 0.5) * width

@@ -1,10 +1,18 @@
+import time
+
 from pyspark.sql import functions as F
 
 from pairloom.operators import context_codes
 
+LINK = r'<a href="([^"]*)">([^<]*)</a>'
 HTML = (
     "<title>see A01 and b02 (old A03)</title>"
-    '<a href="/A">Section</a><a href="/a01">Farming [x]</a><a href="/A01B">Soil</a><a href="/B02">Mills</a>'
+    '<a href="/A">Section</a><a href="/A01">Farming [x]</a><a href="/A01B">Soil</a><a href="/B02">Mills of A01</a>'
+)
+# Codes and titles stand in different elements, one title fewer than codes.
+CLASS_PAGE = (
+    "<span class='symbol'>H</span><span class='symbol'>H01</span><span class='symbol'>H01L</span><span class='symbol'>H02</span>"
+    "<div class='class-title'>ELECTRICITY</div><div class='class-title'>BASIC ELEMENTS (H02)</div><div class='class-title'>see h02</div>"
 )
 
 
@@ -12,16 +20,33 @@ def pages(spark):
     return spark.createDataFrame([(1, HTML), (2, "<title>none</title><a href='x'>y</a>")], "page_id bigint, html string")
 
 
+def listed(spark):
+    titled = pages(spark).withColumn("page_title", F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    found = context_codes.listed_entries(titled, (LINK, 1), (LINK, 2), ("page_title",))
+    return found.withColumns({"symbol": F.replace(F.col("code"), F.lit("/"), F.lit("")), "raw": F.concat_ws(" ", "title", "page_title")})
+
+
 def test_links(spark):
-    rows = context_codes.page_links(pages(spark)).orderBy("place").collect()
+    rows = listed(spark).orderBy("place").collect()
     assert [(row.place, row.symbol, row.title) for row in rows] == [
         (0, "A", "Section"),
         (1, "A01", "Farming [x]"),
         (2, "A01B", "Soil"),
-        (3, "B02", "Mills"),
+        (3, "B02", "Mills of A01"),
     ]
 
 
+def test_codes_and_titles_from_different_elements(spark):
+    page = spark.createDataFrame([(1, CLASS_PAGE)], "page_id bigint, html string")
+    code, title = (r"class='symbol'>([^<]*)<", 1), (r"class='class-title'>([^<]*)<", 1)
+    found = context_codes.listed_entries(page, code, title).withColumnsRenamed({"code": "symbol", "title": "raw"})
+    assert [(r.place, r.symbol, r.raw) for r in found.orderBy("place").collect()] == [
+        (0, "H", "ELECTRICITY"), (1, "H01", "BASIC ELEMENTS (H02)"), (2, "H01L", "see h02"),
+    ]
+    (row,) = context_codes.context_dictionary(found).collect()
+    assert (row.context, row.description, row.mentioned_groups) == ("H01", "basic elements ", "")
+
+
 def test_zip_stops_at_the_shorter_list(spark):
     codes, titles = F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.array(F.lit("x"), F.lit("y"))
     got = spark.range(1).select(context_codes.zip_shorter(codes, titles, ("code", "title"))).first()[0]
@@ -29,11 +54,11 @@ def test_zip_stops_at_the_shorter_list(spark):
 
 
 def test_dictionary(spark):
-    rows = {row.context: row for row in context_codes.context_dictionary(pages(spark)).collect()}
+    rows = {row.context: row for row in context_codes.context_dictionary(listed(spark)).collect()}
     assert set(rows) == {"A01", "B02"}
     assert rows["A01"].description == "farming  see a01 and b02 "
-    assert rows["A01"].mentioned_groups == "A01; B02"
-    assert rows["B02"].description == "mills see a01 and b02 "
+    assert rows["A01"].mentioned_groups == "A01"
+    assert rows["B02"].description == "mills of a01 see a01 and b02 "
 
 
 def test_concat_over_many_spans(spark):
@@ -48,9 +73,19 @@ def test_concat_over_many_spans(spark):
 
 
 def test_mentions_equal_plain_search(spark):
-    texts = ["abc abd", "ABC", "xxABxx", "", "é AB"]
-    codes = ["ABC", "AB", "XX", "ZZZ"]
+    texts = ["abc abd", "ABC", "xxABxx", "", "é AB", "😀AB\nZZZZ", "b02"]
+    codes = ["ABC", "AB", "XX", "ZZZZ", "ZZ", "é", "B02", "b0"]
     raw = spark.createDataFrame([(t,) for t in texts], "raw string")
     known = spark.createDataFrame([(c,) for c in codes], "context string")
     got = {tuple(row) for row in context_codes.mentioned_codes(raw, known).collect()}
-    assert got == {(t, c) for t in texts for c in codes if c in t.upper()}
+    assert got == {(t, c) for t in texts for c in codes if c in t}
+    assert context_codes.mentioned_codes(raw, known.limit(0)).count() == 0
+
+
+def test_long_texts_take_one_pass(spark):
+    raw = spark.createDataFrame([("ab c" * 20_000 + "Q17",)], "raw string")
+    known = spark.createDataFrame([("Q17",), ("zzz",)], "context string")
+    context_codes.mentioned_codes(raw, known).collect()
+    start = time.perf_counter()
+    assert [row.code for row in context_codes.mentioned_codes(raw, known).collect()] == ["Q17"]
+    assert time.perf_counter() - start < 10

@@ -73,3 +73,11 @@ def test_unknown_names():
         metrics.loss("HINGE")
     with pytest.raises(ValueError):
         metrics.scorer("accuracy")
+
+
+def test_missing_and_impossible_probabilities(spark):
+    df = spark.createDataFrame([(1.0, 0.9), (0.0, None), (None, 0.5), (0.0, 0.0)], "y double, p double")
+    got = df.agg(metrics.bce(F.col("y"), F.col("p")).alias("loss")).first().loss
+    assert got == pytest.approx(-np.log(0.9) / 2)
+    with pytest.raises(Exception, match="outside"):
+        spark.createDataFrame([(1.0, 1.7)], "y double, p double").agg(metrics.bce(F.col("y"), F.col("p"))).collect()

@@ -68,3 +68,11 @@ def test_label_distribution(spark):
     df = spark.createDataFrame([(0.0,), (0.0,), (1.0,), (0.5,)], "score double")
     shares = {row.score: row.share for row in distribution.label_distribution(df).collect()}
     assert shares == {0.0: 0.5, 0.25: 0.0, 0.5: 0.25, 0.75: 0.0, 1.0: 0.25}
+
+
+def test_levels_without_rows_are_left_out(spark):
+    df = spark.createDataFrame([(str(i), "a" if i % 3 else "b") for i in range(30)], "id string, kind string")
+    shares = spark.createDataFrame([("a", 2 / 3), ("b", 1 / 3), ("absent", 0.0)], "kind string, share double")
+    for inverse in (False, True):
+        placed = positions.weighted_position(df, shares, "kind", inverse=inverse)
+        assert sorted(row.position for row in placed.collect()) == list(range(30))
