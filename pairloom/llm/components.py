@@ -25,11 +25,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large-star")
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        edges = written(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
         state, before = _state(edges), state
         if state == before:
             break

@@ -9,9 +9,10 @@
    for a shingle that only this side has. Pairs whose bound is too low go.
 4. *Exact.* The others are decided by the intersection of their sorted shingle arrays.
 
-A first round meets each set with its neighbour and with the middle of its tile, which ties the sets of a large
-group together with few pairs. The second round meets every pair of sets that are still in different groups. So no link
-between groups is lost, and no group is expanded into its pairs.
+Tiles below ``FEW`` sets hand on all their pairs. Of larger ones, whose sets bring their bitmaps along, a first round
+hands on each set with the one of the best bound, which ties the sets of a large group to its centre; the second round
+hands on every pair with a high enough bound whose sets are still in different groups. So no link between groups is
+lost, and no group is expanded into its pairs.
 
 Defined results: texts with fewer words than a shingle count as one shingle, texts without words (or null) are
 empty sets, linked with nothing; equal texts share a group (the group's name is the least id); null ids are named
@@ -40,6 +41,9 @@ COMMON_LEAST = 16
 COUNT_LEAST = 3  # occurrences among the texts of one task that are worth telling
 COUNT_TOGETHER = 4_000_000  # shingles of a task that are counted together
 BLOCK = 4096  # sets of a tile that meet in one block
+FEW = 8  # sets of a tile whose pairs are all handed on
+LEAST_BITS = 1024  # of a bitmap; larger sets have a bit for each member at least
+PAIRS_TOGETHER = 100_000  # pairs of a tile that are bounded together
 FILTER_BITS = 25  # places in the fixed-size filter of wanted texts
 
 
@@ -84,7 +88,7 @@ def set_names(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def bitmap_bits(size: int) -> int:
-    return max(64, 1 << int(size - 1).bit_length()) if size else 64
+    return max(LEAST_BITS, 1 << int(max(size, 1) - 1).bit_length())
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -194,7 +198,7 @@ def _early(texts: DataFrame, width: int, alike: int, common) -> DataFrame:
 
 
 def _tiles(texts: DataFrame, sets: DataFrame, width: int, alike: int, common) -> DataFrame:
-    """h, lo, hi (the tile), part, sid, n: the sets that share an early shingle with another one."""
+    """h, lo, hi (the tile), part, sid, n, size: the sets that share an early shingle with another one."""
     early = _early(texts, width, alike, common).filter("n > 0").groupBy("f1", "f2")
     early = early.agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("often").alias("often"))
     placed = written(early.join(sets.select("f1", "f2", "sid"), ["f1", "f2"]).select("sid", "n", "rare", "often"), "early")
@@ -207,78 +211,127 @@ def _tiles(texts: DataFrame, sets: DataFrame, width: int, alike: int, common) ->
     rows = rows.withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     lo, hi = F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")
-    return written(rows.select("h", lo, hi, "part", "sid", "n"), "tiles")
-
-
-def _near_pairs(tiles: DataFrame, alike: int) -> DataFrame:
-    """Each set with the one before it and with the middle one of its tile."""
-    tile = Window.partitionBy("h", "lo", "hi")
-    line = tile.orderBy("n", "sid")
-    placed = tiles.select("*", F.row_number().over(line).alias("_at"), F.count("*").over(tile).alias("_size"))
-    middle = F.col("_at") == F.floor(F.col("_size") / 2) + 1
-    placed = placed.select(
-        "sid",
-        "n",
-        F.struct(F.lag("sid").over(line).alias("sid"), F.lag("n").over(line).alias("n")).alias("before"),
-        F.max(F.when(middle, F.struct("sid", "n"))).over(tile).alias("middle"),
-    )
-    met = placed.select("sid", "n", F.explode(F.array("before", "middle")).alias("o"))
-    met = met.filter((F.col("o.sid") != F.col("sid")) & F.col("o.sid").isNotNull())
-    fits = F.least("n", "o.n") * 100 >= F.greatest("n", "o.n") * alike
-    return met.filter(fits).select(F.least("sid", "o.sid").alias("a"), F.greatest("sid", "o.sid").alias("b")).distinct()
-
-
-def _far_pairs(tiles: DataFrame, groups: DataFrame, alike: int) -> DataFrame:
-    """All pairs of a tile that are near enough in size and still in different groups."""
-    named = tiles.join(groups.withColumnRenamed("node", "sid"), "sid", "left")
-    named = named.withColumn("group", F.coalesce("component", "sid")).drop("component")
-    named = named.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi", "n", "sid")
-
-    def meet(batches):
-        held = None
-        for batch in batches:
-            rows = {c: batch.column(c).to_numpy() for c in ("h", "lo", "hi", "part", "sid", "n", "group")}
-            if held is not None:
-                rows = {c: np.concatenate([held[c], v]) for c, v in rows.items()}
-            if not len(rows["h"]):
-                continue
-            new = (np.diff(rows["h"]) != 0) | (np.diff(rows["lo"]) != 0) | (np.diff(rows["hi"]) != 0)
-            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
-            cut = starts[-1]  # the last tile may go on in the next batch
-            held = {c: v[cut:] for c, v in rows.items()}
-            yield from pairs({c: v[:cut] for c, v in rows.items()}, np.append(starts[:-1], cut))
-        if held is not None:
-            yield from pairs(held, np.array([0, len(held["h"])]))
-
-    def pairs(rows, edges):
-        """Tiles with one group have nothing to meet; the others are walked in steps of bounded size."""
-        size = len(rows["h"])
-        if not size or len(edges) < 2:
-            return
-        low = np.minimum.reduceat(rows["group"], edges[:-1])
-        high = np.maximum.reduceat(rows["group"], edges[:-1])
-        mixed = np.repeat(low != high, np.diff(edges))
-        n = rows["n"].astype(np.int64)
-        tile = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-        top = int(n.max()) + 2
-        reach = np.searchsorted(tile * top + n, tile * top + np.minimum(n * 100 // alike, top - 1), side="right")
-        count = np.where(mixed, reach - np.arange(size) - 1, 0)
-        total = np.cumsum(count)
-        done = 0
-        while done < size:
-            upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 2_000_000, side="right")))
-            at = np.arange(done, upto)
-            i = np.repeat(at, count[done:upto])
-            j = spans(at + 1, count[done:upto])
-            done = upto
-            ok = rows["group"][i] != rows["group"][j]
-            ok &= (rows["lo"][i] == rows["hi"][i]) | (rows["part"][i] != rows["part"][j])
-            a, b = rows["sid"][i[ok]], rows["sid"][j[ok]]
-            if len(a):
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    return named.mapInArrow(meet, "a long, b long").distinct()
+    return written(rows.select("h", lo, hi, "part", "sid", "n", "size"), "tiles")
+
+
+TILE = ["h", "lo", "hi"]
+
+
+def _whole_tiles(batches, names: tuple[str, ...]):
+    """Columns of one tile after the other, whatever the batches; rows come in order of tile."""
+    held: list = []
+
+    def joined():
+        return {c: np.concatenate([part[c] for part in held]) for c in names}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+        marks = np.stack([rows[c] for c in TILE], 1)
+        edges = [0, *(np.flatnonzero((np.diff(marks, axis=0) != 0).any(1)) + 1), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:]):
+            part = {c: v[a:b] for c, v in rows.items()}
+            if held and any(held[-1][c][0] != part[c][0] for c in TILE):
+                yield joined()
+                held = []
+            held.append(part)
+    if held:
+        yield joined()
+
+
+def _reach(n: np.ndarray, alike: int) -> np.ndarray:
+    """How many of the following sets, in order of size, lie in the band of each."""
+    return np.searchsorted(n, n * 100 // alike, side="right") - np.arange(len(n)) - 1
+
+
+def tile_pairs(n: np.ndarray, sigs: list[bytes], apart, alike: int):
+    """Places i, j and bound of the pairs of a tile (in order of size) that their bitmaps allow.
+
+    ``apart(i, j)`` tells which pairs are wanted.
+    """
+    sizes = np.array([len(sig) for sig in sigs])
+    folds: dict[int, np.ndarray] = {}
+    for size in np.unique(sizes):
+        rows = np.zeros((len(n), size // 8), np.uint64)
+        own, twice = np.flatnonzero(sizes == size), np.flatnonzero(sizes == 2 * size)
+        rows[own] = np.frombuffer(b"".join(sigs[i] for i in own), np.uint64).reshape(len(own), -1)
+        if len(twice):
+            wide = np.frombuffer(b"".join(sigs[i] for i in twice), np.uint64).reshape(len(twice), -1)
+            rows[twice] = wide[:, : size // 8] | wide[:, size // 8 :]
+        folds[int(size)] = rows
+    count = _reach(n, alike)
+    total = np.cumsum(count)
+    done = 0
+    while done < len(n):
+        upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + PAIRS_TOGETHER, side="right")))
+        at = np.arange(done, upto)
+        i, j = np.repeat(at, count[done:upto]), spans(at + 1, count[done:upto])
+        done = upto
+        ok = apart(i, j)
+        i, j = i[ok], j[ok]
+        for size in np.unique(sizes[i]):
+            turn = sizes[i] == size
+            a, b, rows = i[turn], j[turn], folds[int(size)]
+            x, y = rows[a], rows[b]
+            only = [np.bitwise_count(one & ~two).sum(1, dtype=np.int64) for one, two in ((x, y), (y, x))]
+            bound = np.minimum(n[a] - only[0], n[b] - only[1])
+            good = bound >= need(n[a] + n[b], alike)
+            yield a[good], b[good], bound[good]
+
+
+def _pairs(tiles: DataFrame, sets: DataFrame, groups: DataFrame | None, alike: int) -> DataFrame:
+    """Distinct pairs (a < b) of sets to decide; ``groups`` (node, component) of the first round for the second one."""
+    few = tiles.filter(F.col("size") < FEW).repartition(*TILE).sortWithinPartitions(*TILE, "n", "sid")
+    many = tiles.filter(F.col("size") >= FEW).join(sets.select("sid", "sig"), "sid")
+    if groups is None:
+        many = many.withColumn("group", F.col("sid"))
+    else:
+        many = many.join(groups.withColumnRenamed("node", "sid"), "sid", "left")
+        many = many.withColumn("group", F.coalesce("component", "sid")).drop("component")
+        mixed = many.groupBy(*TILE).agg((F.min("group") != F.max("group")).alias("mixed")).filter("mixed").drop("mixed")
+        many = many.join(mixed, TILE, "left_semi")
+    many = many.repartition(*TILE).sortWithinPartitions(*TILE, "n", "sid")
+    first_round = groups is None
+
+    def batch(a, b):
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    def meet_few(batches):
+        found: list = [[], []]
+        for rows in _whole_tiles(batches, (*TILE, "sid", "n")):
+            count = _reach(rows["n"].astype(np.int64), alike)
+            found[0].append(rows["sid"][np.repeat(np.arange(len(count)), count)])
+            found[1].append(rows["sid"][spans(np.arange(len(count)) + 1, count)])
+            if len(found[0]) == 100_000:
+                yield batch(*map(np.concatenate, found))
+                found = [[], []]
+        if found[0]:
+            yield batch(*map(np.concatenate, found))
+
+    def meet_many(batches):
+        for rows in _whole_tiles(batches, (*TILE, "part", "sid", "n", "group", "sig")):
+            group, part, sid = rows["group"], rows["part"], rows["sid"]
+            split = rows["lo"][0] != rows["hi"][0]
+
+            def apart(i, j):
+                return (group[i] != group[j]) & ((part[i] != part[j]) if split else True)
+
+            parts = list(tile_pairs(rows["n"].astype(np.int64), list(rows["sig"]), apart, alike))
+            i, j, bound = (np.concatenate(column) for column in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 3
+            if first_round and len(i):  # each set with its best one
+                own, other = np.concatenate([i, j]), np.concatenate([j, i])
+                order = np.lexsort((sid[other], -np.concatenate([bound, bound]), own))
+                first = order[np.concatenate([[True], np.diff(own[order]) > 0])]
+                i, j = own[first], other[first]
+            if len(i):
+                yield batch(sid[i], sid[j])
+
+    found = many.mapInArrow(meet_many, "a long, b long")
+    if first_round:
+        found = found.unionByName(few.mapInArrow(meet_few, "a long, b long"))
+    return found.distinct()
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
@@ -345,26 +398,33 @@ def near_groups(
     )
     members = written(_names(texts, width).withColumn("t", F.monotonically_increasing_id()), "set-names")
     one = F.min_by(F.struct("n", "sig", "k1", "k2"), "t")
-    sets = members.filter("n > 0").groupBy("f1", "f2").agg(F.min("t").alias("sid"), one.alias("one"))
-    sets = written(sets.select("f1", "f2", "sid", "one.*"), "sets")
+    sets = members.filter("n > 0").groupBy("f1", "f2")
+    sets = sets.agg(F.min("t").alias("sid"), F.min("_id").alias("least"), one.alias("one"))
+    sets = written(sets.select("f1", "f2", "sid", "least", "one.*"), "sets")
     common = spark.sparkContext.broadcast(common_shingles(texts, width))
     tiles = _tiles(texts, sets, width, alike, common)
-    near = _links(_near_pairs(tiles, alike), texts, sets, width, alike)
-    groups = written(components(near), "near-groups")
-    far = _links(_far_pairs(tiles, groups, alike), texts, sets, width, alike)
-    groups = components(near.unionByName(far))
-    named = sets.select("f1", "f2", "sid").join(groups.withColumnRenamed("node", "sid"), "sid", "left")
-    named = named.select("f1", "f2", "sid", F.coalesce("component", "sid").alias("_group"))
+    links = _links(_pairs(tiles, sets, None, alike), texts, sets, width, alike)
+    groups = written(components(links), "first-groups")
+    more = _links(_pairs(tiles, sets, groups, alike), texts, sets, width, alike)
+    # What the second round links are groups of the first one.
+    roots = more
+    for side in ("a", "b"):
+        own = groups.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+        roots = roots.join(own, side, "left").withColumn(side, F.coalesce(f"of_{side}", side)).drop(f"of_{side}")
+    joined = components(roots.select("a", "b"))
+    named = sets.select("f1", "f2", "sid", "least").join(groups.withColumnRenamed("node", "sid"), "sid", "left")
+    named = named.withColumn("node", F.coalesce("component", "sid")).drop("component").join(joined, "node", "left")
+    named = named.select("f1", "f2", "sid", "least", F.coalesce("component", "node").alias("group_id"))
+    least = named.groupBy("group_id").agg(F.min("least").alias("component_id"))
+    named = named.drop("least").join(least, "group_id")
     # An empty set is a group of its own: its row number stands for it.
-    placed = written(members.drop("sig").join(named, ["f1", "f2"], "left"), "placed")
-    own = F.coalesce("_group", -F.col("t") - 1)
-    placed = placed.withColumn("_group", own)
-    least = placed.groupBy("_group").agg(F.min("_id").alias("component_id"))
-    joined = placed.join(least, "_group")
-    return joined.select(
-        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "k1", "k2",
-        F.col("n").alias("n_shingles"), F.coalesce("sid", "_group").alias("set_id"),
-        F.col("_group").alias("group_id"), "component_id",
+    placed = members.drop("sig").join(named, ["f1", "f2"], "left")
+    empty = F.col("n") == 0
+    return placed.select(
+        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "k1", "k2", F.col("n").alias("n_shingles"),
+        F.when(empty, -F.col("t") - 1).otherwise(F.col("sid")).alias("set_id"),
+        F.when(empty, -F.col("t") - 1).otherwise(F.col("group_id")).alias("group_id"),
+        F.when(empty, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
