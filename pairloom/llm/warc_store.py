@@ -1,9 +1,10 @@
 """Write pages as WARC archives, sharded the same way on every run, and read them back.
 
-1. *Plan.* Records stand in order of (page id, payload digest). The compressed size of each record is summed up over that
-   order, and a new file begins whenever a multiple of ``file_bytes`` is passed, wherever Spark's partitions end. The
-   first keys of the files are a small table: one row for each file.
-2. *Write.* Records move once, to the task that writes their file. Headers, ids and digests are made anew from the
+1. *Plan.* Digests and compressed sizes of all records are taken first; what follows until writing moves no payload.
+   Records stand in order of (page id, payload digest). Their sizes are summed up over that order, and a new file begins
+   whenever a multiple of ``file_bytes`` is passed, wherever Spark's partitions end. The first keys of the files are a
+   small table: one row for each file.
+2. *Write.* Payloads move once, to the task that writes their file, where they meet their rows of the plan. Headers, ids and digests are made anew from the
    payload; every record is a gzip member of its own with no time stamp, so equal input gives equal bytes.
 3. *Commit.* A file is written under a name of its own attempt and renamed when complete; a repeated attempt replaces it by
    the same bytes. Spark's commit of the manifest makes the whole archive visible; readers open only files it names.
@@ -31,7 +32,6 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pairloom.llm.common import running
 from pairloom.session import scratch_path, written
@@ -71,12 +71,12 @@ def member(fields: dict[str, str | None], block: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def page_record(page_id, url, payload: bytes, head_id, head_url, is_revisit: bool) -> bytes:
-    digest = base32_sha1(payload)
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if is_revisit else http + payload
+def page_record(page_id, url, digest: str, size: int, payload: bytes | None, head_id=None, head_url=None) -> bytes:
+    """A response, or without ``payload`` a revisit of the response ``head_id``."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block = http + (payload or b"")
     fields = {
-        "WARC-Type": "revisit" if is_revisit else "response",
+        "WARC-Type": "revisit" if payload is None else "response",
         "WARC-Record-ID": record_id(page_id, digest),
         "WARC-Date": DATE,
         "WARC-Target-URI": None if url is None else header_value(url),
@@ -84,9 +84,9 @@ def page_record(page_id, url, payload: bytes, head_id, head_url, is_revisit: boo
         "WARC-Block-Digest": f"sha1:{base32_sha1(block)}",
         "Content-Type": "application/http; msgtype=response",
         "X-Page-Id": None if page_id is None else str(page_id),
-        "X-Payload-Length": str(len(payload)),
+        "X-Payload-Length": str(size),
     }
-    if is_revisit:
+    if payload is None:
         fields |= {
             "WARC-Profile": PROFILE,
             "WARC-Refers-To": record_id(head_id, digest),
@@ -102,22 +102,51 @@ def open_store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
 
 
-def _planned(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """Pages with payload, digest and the response they refer to."""
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").alias("_id"), F.col("url").alias("_url"), payload.alias("_payload"))
-    rows = rows.withColumns({"_sha": F.sha1("_payload"), "_size": F.octet_length("_payload")})
-    heads = rows.groupBy("_sha", "_size").agg(
+def _key(page_id, digest: str) -> tuple:
+    return (page_id is not None, page_id or 0, digest)
+
+
+def _measured(rows: DataFrame) -> DataFrame:
+    """_id, _url, _digest, _size, _bytes: what the plan needs to know of each page."""
+
+    def measure(batches):
+        for batch in batches:
+            out = []
+            for page_id, url, page in zip(*[batch.column(c).to_pylist() for c in ("_id", "_url", "_html")]):
+                payload = (page or "").encode()
+                digest = base32_sha1(payload)
+                out.append((digest, len(payload), len(page_record(page_id, url, digest, len(payload), payload))))
+            digests, sizes, lengths = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), batch.column("_url"), pa.array(digests, pa.string())]
+                + [pa.array(sizes, pa.int64()), pa.array(lengths, pa.int64())],
+                names=["_id", "_url", "_digest", "_size", "_bytes"],
+            )
+
+    return rows.mapInArrow(measure, "_id long, _url string, _digest string, _size long, _bytes long")
+
+
+def _plan(measured: DataFrame, least_bytes: int) -> DataFrame:
+    """The rows with _head and _head_url (null for responses) and the size that the record really has."""
+    heads = measured.groupBy("_digest", "_size").agg(
         F.count("*").alias("_n"), F.max("_id").alias("_head"), F.max_by("_url", "_id").alias("_head_url")
     )
     heads = heads.filter((F.col("_n") > 1) & (F.col("_size") >= least_bytes) & F.col("_head").isNotNull()).drop("_n")
-    found = rows.join(heads, ["_sha", "_size"], "left")
+    found = measured.join(heads, ["_digest", "_size"], "left")
     revisit = F.col("_head").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_head"))
-    return found.withColumn("_revisit", revisit)
+    found = found.withColumns({c: F.when(revisit, F.col(c)) for c in ("_head", "_head_url")})
 
+    def resize(batches):
+        for batch in batches:
+            names = ("_id", "_url", "_digest", "_size", "_head", "_head_url", "_bytes")
+            sizes = [
+                length if head is None else len(page_record(page_id, url, digest, size, None, head, head_url))
+                for page_id, url, digest, size, head, head_url, length in zip(*[batch.column(c).to_pylist() for c in names])
+            ]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:-1]], pa.array(sizes, pa.int64())], names=names)
 
-def _key(page_id, sha: str) -> tuple:
-    return (page_id is not None, page_id or 0, sha)
+    schema = "_id long, _url string, _digest string, _size long, _head long, _head_url string, _bytes long"
+    return found.mapInArrow(resize, schema)
 
 
 def write_archives(
@@ -125,39 +154,48 @@ def write_archives(
 ) -> DataFrame:
     """Write all pages below ``folder`` and return the manifest: file, records, bytes, sha256."""
     spark = pages.sparkSession
-    planned = _planned(pages, least_bytes)
-
-    def measure(batches):
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("_id", "_url", "_payload", "_head", "_head_url", "_revisit")]
-            sizes = [len(page_record(*row)) for row in zip(*columns)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_sha"), pa.array(sizes, pa.int64())], names=["_id", "_sha", "_bytes"]
-            )
-
-    sized = written(planned.mapInArrow(measure, "_id long, _sha string, _bytes long"), "record-sizes")
-    order = [F.col("_id").asc_nulls_first(), F.col("_sha")]
-    placed = running(sized, order, {"_before": "_bytes"}, "record-places")
-    place = F.floor(F.col("_before") / file_bytes)
-    first = F.struct(F.col("_id").isNotNull(), F.coalesce("_id", F.lit(0)), "_sha")
-    files = placed.groupBy(place.alias("_file")).agg(F.min(first).alias("first"))
+    rows = pages.select(F.col("page_id").alias("_id"), F.col("url").alias("_url"), F.col("html").alias("_html"))
+    measured = written(_measured(rows), "record-sizes")
+    order = [F.col("_id").asc_nulls_first(), F.col("_digest")]
+    placed = running(_plan(measured, least_bytes).drop("_url", "_size"), order, {"_before": "_bytes"}, "record-places")
+    placed = placed.withColumn("_file", F.floor(F.col("_before") / file_bytes))
+    first = F.struct(F.col("_id").isNotNull(), F.coalesce("_id", F.lit(0)), "_digest")
     # One row for each file: the keys at which files begin.
-    starts = sorted(tuple(row.first) for row in files.collect())
+    starts = sorted(tuple(row.first) for row in placed.groupBy("_file").agg(F.min(first).alias("first")).collect())
+    heads = placed.select("_id", "_digest", "_head", "_head_url").distinct()
+    target = f"{folder.rstrip('/')}/archive"
+    moved_schema = "_file int, _id long, _digest string, _kind int, _url string, _payload binary, _head long, _head_url string"
+    moved_names = [part.split()[0] for part in moved_schema.split(", ")]
+
+    def files_of(batch, digests):
+        keys = (_key(i, d) for i, d in zip(batch.column("_id").to_pylist(), digests))
+        return pa.array([max(bisect.bisect_right(starts, key) - 1, 0) for key in keys], pa.int32())
 
-    def number(batches):
+    def number_pages(batches):
         for batch in batches:
-            keys = [_key(i, s) for i, s in zip(batch.column("_id").to_pylist(), batch.column("_sha").to_pylist())]
-            found = [max(bisect.bisect_right(starts, key) - 1, 0) for key in keys]
-            yield batch.append_column("_file", pa.array(found, pa.int32()))
+            payloads = [(page or "").encode() for page in batch.column("_html").to_pylist()]
+            digests = [base32_sha1(payload) for payload in payloads]
+            n = batch.num_rows
+            columns = [files_of(batch, digests), batch.column("_id"), pa.array(digests, pa.string()), pa.array([1] * n, pa.int32())]
+            columns += [batch.column("_url"), pa.array(payloads, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=moved_names)
+
+    def number_plan(batches):
+        for batch in batches:
+            n = batch.num_rows
+            columns = [files_of(batch, batch.column("_digest").to_pylist()), batch.column("_id"), batch.column("_digest")]
+            columns += [pa.array([0] * n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())]
+            columns += [batch.column("_head"), batch.column("_head_url")]
+            yield pa.RecordBatch.from_arrays(columns, names=moved_names)
 
-    schema = T.StructType([*planned.schema.fields, T.StructField("_file", T.IntegerType())])
-    moved = planned.mapInArrow(number, schema).repartition("_file").sortWithinPartitions("_file", *order)
-    target = f"{folder.rstrip('/')}/archive"
+    moved = rows.mapInArrow(number_pages, moved_schema).unionByName(heads.mapInArrow(number_plan, moved_schema))
+    moved = moved.repartition("_file").sortWithinPartitions("_file", *order, "_kind", "_url")
 
     def write(batches):
         store, base = open_store(target)
         store.create_dir(base, recursive=True)
         held: dict = {}
+        head = (None, None)
 
         def finish():
             held["out"].close()
@@ -171,8 +209,10 @@ def write_archives(
             held["bytes"] += len(data)
 
         for batch in batches:
-            names = ("_file", "_id", "_url", "_payload", "_head", "_head_url", "_revisit")
-            for file, *row in zip(*[batch.column(c).to_pylist() for c in names]):
+            for file, page_id, digest, kind, url, payload, *planned in zip(*[batch.column(c).to_pylist() for c in moved_names]):
+                if kind == 0:  # the plan's row stands before the pages that it holds for
+                    head = planned
+                    continue
                 if held.get("file") != file:
                     if held:
                         yield finish()
@@ -181,7 +221,8 @@ def write_archives(
                     held.update(file=file, name=name, temporary=temporary, records=0, bytes=0, sha=hashlib.sha256())
                     held["out"] = store.open_output_stream(temporary, compression=None)
                     put(file_header(name))
-                put(page_record(*row))
+                body = payload if head[0] is None else None
+                put(page_record(page_id, url, digest, len(payload), body, *head))
                 held["records"] += 1
         if held:
             yield finish()
@@ -277,7 +318,8 @@ def read_archives(spark: SparkSession, folder: str, payload: bool = False) -> Da
                 if found != expected:
                     raise ValueError(f"{file}: {found} records, the manifest has {expected}")
 
-    return named.repartition("file").mapInArrow(read, schema)
+    # A stated number, as Spark would put these short rows into one task.
+    return named.repartition(max(1, named.count()), "file").mapInArrow(read, schema)
 
 
 def round_trip(pages: DataFrame, **settings) -> DataFrame:
