@@ -6,8 +6,8 @@ Aho-Corasick pass. A hit inside an exception phrase does not count. The sum of t
 the logarithm of the text's length, goes through a logistic curve.
 
 Learning takes at most ``LEARN_ROWS`` labelled rows (those with the least hash of their id; equal texts once):
-- a word's evidence is the number of different neighbours it has in toxic and in clean texts, so that copies of one
-  text do not make its words toxic;
+- a word's evidence is the number of different neighbours it has in toxic texts, so that copies of one text do not make
+  its words toxic, against its occurrences in clean ones;
 - beginnings of words add up the evidence of their words; a shorter pure beginning stands for all longer ones;
 - pairs of a term and a neighbour that only clean texts hold become exception phrases;
 - the curve is fitted to the labels.
@@ -20,6 +20,8 @@ rows are kept one by one; extra columns are left out unless named in ``keep``.
 from __future__ import annotations
 
 import math
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,9 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.llm.pieces import blocks
 from pairloom.session import written
 
 LEARN_ROWS = 20_000
+BLOCK = 1 << 20
 HOLD_OUT = 5  # rows whose crc32 of the id leaves no remainder are never learned from
 LEAST_EVIDENCE = 6
 CLEAN_SHARE = 0.02  # evidence in clean texts, as a share of that in toxic ones, that a term may have
@@ -114,26 +118,40 @@ def curve(levels: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[flo
     return float(w[0]), float(w[1])
 
 
+def _parts(batches):
+    """Batches cut to about ``BLOCK`` bytes of text, as Python's strings and sets take many times their size."""
+    for batch in batches:
+        yield from blocks(batch, "_text", BLOCK)
+
+
 def _evidence(rows: DataFrame) -> DataFrame:
-    """word, toxic, clean: in how many different surroundings each word stands."""
+    """word, toxic (different surroundings in toxic texts), clean (occurrences in clean ones)."""
 
-    def surroundings(batches):
-        for batch in batches:
+    def count(batches):
+        clean: Counter[str] = Counter()
+        for batch in _parts(batches):
             found = set()
             for text, label in zip(batch.column("_text").to_pylist(), batch.column("_label").to_pylist()):
                 parts = text.split()
-                padded = ["", *parts, ""]
-                found.update((w, label, hash((padded[i], padded[i + 2])) & 0x7FFFFFFF) for i, w in enumerate(parts))
+                if label == CLEAN:
+                    clean.update(parts)
+                else:
+                    padded = ["", *parts, ""]
+                    found.update((w, zlib.crc32(f"{padded[i]} {padded[i + 2]}".encode())) for i, w in enumerate(parts))
             if found:
-                words, labels, around = zip(*found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(words), pa.array(labels, pa.int32()), pa.array(around, pa.int64())],
-                    names=["word", "label", "around"],
-                )
+                words, around = zip(*found)
+                yield batch_of(words, around, [1] * len(words))
+        if clean:
+            yield batch_of(list(clean), [None] * len(clean), list(clean.values()))
+
+    def batch_of(words, around, n):
+        arrays = [pa.array(words, pa.string()), pa.array(around, pa.int64()), pa.array(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, names=["word", "around", "n"])
 
-    placed = rows.mapInArrow(surroundings, "word string, label int, around long").distinct()
+    placed = rows.mapInArrow(count, "word string, around long, n long").groupBy("word", "around").agg(F.sum("n").alias("n"))
     return placed.groupBy("word").agg(
-        F.sum(F.col("label")).alias("toxic"), F.sum(1 - F.col("label")).alias("clean")
+        F.count("around").alias("toxic"),
+        F.coalesce(F.sum(F.when(F.col("around").isNull(), F.col("n"))), F.lit(0)).alias("clean"),
     )
 
 
@@ -184,7 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", most: int
 
     def phrases(batches):
         automaton = plain.automaton()
-        for batch in batches:
+        for batch in _parts(batches):
             found = set()
             for text, label in zip(batch.column("_text").to_pylist(), batch.column("_label").to_pylist()):
                 for start, end, _ in plain.hits(automaton, text):
@@ -192,9 +210,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", most: int
                     left = text.rfind(" ", 0, start) if start > 0 else -1
                     right = text.find(" ", stop + 1)
                     if left >= 0:
-                        found.add((text[left : stop + 1], label, hash(text[stop : stop + 20]) & 0x7FFFFFFF))
+                        found.add((text[left : stop + 1], label, zlib.crc32(text[stop : stop + 20].encode())))
                     if right > 0:
-                        found.add((text[start : right + 1], label, hash(text[max(0, start - 20) : start]) & 0x7FFFFFFF))
+                        found.add((text[start : right + 1], label, zlib.crc32(text[max(0, start - 20) : start].encode())))
             if found:
                 columns = list(zip(*found))
                 yield pa.RecordBatch.from_arrays(
@@ -219,7 +237,7 @@ def _levels(rows: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
 
     def levels(batches):
         automaton = lexicon.automaton()
-        for batch in batches:
+        for batch in _parts(batches):
             found = [lexicon.level(automaton, text) for text in batch.column("_text").to_pylist()]
             columns = [batch.column(f.name) for f in kept]
             scores = pa.array([lexicon.score(level) for level in found], pa.float64())
