@@ -2,46 +2,86 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from pairloom.functions import arrays, text
-from pairloom.session import small_side
+from pairloom.operators.positions import numbered
+from pairloom.session import written
 
 # Ids of the special tokens; vocabulary ids follow.
 PAD, CLS, SEP_ID, UNK = 0, 1, 2, 3
 FIRST_ID = 4
+LOOKUP_BYTES = 64 << 20  # of a vocabulary that goes along with the tasks
 
 
-def build_vocabulary(texts: DataFrame, column: str, size: int = 30_000) -> DataFrame:
-    """The ``size`` most frequent tokens with their ids; counts are combined before the shuffle.
+def build_vocabulary(texts: DataFrame, column: str, size: int | None = None) -> DataFrame:
+    """Tokens with their ids, the most frequent first: all of them, or the first ``size``.
 
-    The separator has an id of its own and takes no place.
+    Counts are combined before the shuffle; places come from ranges of the order, not from one task. The separator has
+    an id of its own and takes no place.
     """
     counts = texts.select(F.explode(text.tokens(F.col(column))).alias("token")).groupBy("token").count()
-    top = counts.filter(F.col("token") != text.SEP_TOKEN).orderBy(F.desc("count"), "token").limit(size)
-    place = F.row_number().over(Window.orderBy(F.desc("count"), "token"))
-    return top.select("token", (place + F.lit(FIRST_ID - 1)).cast("int").alias("token_id"))
-
-
-def encode(texts: DataFrame, vocabulary: DataFrame, id_col: str, column: str, max_len: int | None = None) -> DataFrame:
+    placed = numbered(counts.filter(F.col("token") != text.SEP_TOKEN), [F.desc("count"), F.col("token")], "tokens")
+    chosen = placed if size is None else placed.filter(F.col("_index") < size)
+    return chosen.select("token", (F.col("_index") + FIRST_ID).cast("int").alias("token_id"))
+
+
+def encode(
+    texts: DataFrame,
+    vocabulary: DataFrame,
+    id_col: str,
+    column: str,
+    max_len: int | None = None,
+    lookup_bytes: int = LOOKUP_BYTES,
+) -> DataFrame:
     """Token ids between the two special ids, at most ``max_len`` of them if that is given.
 
-    A vocabulary of usual size is broadcast, a larger one joined by shuffle. The kept tokens
-    are placed by id before they are taken apart; the ids of one text then meet again without a second shuffle.
+    While the vocabulary takes at most ``lookup_bytes``, it goes along with the tasks, and the tokens of a batch of texts
+    are looked up where they lie. Beyond that, tokens are joined by token and texts put together by row, not by id, so
+    repeated ids stay apart.
     """
     words_of = text.tokens(F.col(column))
     kept = words_of if max_len is None else F.slice(words_of, 1, max_len - 2)
-    placed = texts.select(id_col, kept.alias("kept")).repartition(F.col(id_col))
-    words = placed.select(id_col, F.posexplode_outer("kept").alias("place", "token"))
-    known = words.join(small_side(vocabulary), "token", "left")
+    placed = texts.select(id_col, kept.alias("kept"))
+    taken = vocabulary.agg(F.sum(F.octet_length("token") + 12).alias("bytes")).first().bytes or 0
+    if taken <= lookup_bytes:
+        listed = _looked_up(placed, vocabulary, id_col)
+    else:
+        listed = _joined(placed, vocabulary, id_col)
+    return listed.select(id_col, F.concat(F.array(F.lit(CLS)), "inner", F.array(F.lit(SEP_ID))).alias("ids"))
+
+
+def _looked_up(placed: DataFrame, vocabulary: DataFrame, id_col: str) -> DataFrame:
+    known = vocabulary.toArrow()
+    tokens = pa.concat_arrays([known.column("token").combine_chunks(), pa.array([text.SEP_TOKEN])])
+    ids = pa.concat_arrays([known.column("token_id").combine_chunks(), pa.array([SEP_ID], pa.int32())])
+    schema = StructType([placed.schema[id_col], StructField("inner", ArrayType(IntegerType()))])
+
+    def look_up(batches):
+        for batch in batches:
+            lists = batch.column("kept").fill_null([])
+            found = pc.fill_null(ids.take(pc.index_in(lists.flatten(), value_set=tokens)), UNK)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            inner = pa.ListArray.from_arrays(pa.array(bounds), found.cast(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), inner], names=schema.names)
+
+    return placed.mapInArrow(look_up, schema)
+
+
+def _joined(placed: DataFrame, vocabulary: DataFrame, id_col: str) -> DataFrame:
+    rows = written(placed.withColumn("_row", F.monotonically_increasing_id()), "token-lists")
+    words = rows.select("_row", F.posexplode("kept").alias("place", "token")).join(vocabulary, "token", "left")
     special = F.when(F.col("token") == text.SEP_TOKEN, F.lit(SEP_ID))
     item = F.struct("place", F.coalesce(special, "token_id", F.lit(UNK)).alias("token_id"))
-    listed = known.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), item))).alias("items")
-    )
-    inner = F.transform("items", lambda entry: entry["token_id"])
-    return listed.select(id_col, F.concat(F.array(F.lit(CLS)), inner, F.array(F.lit(SEP_ID))).alias("ids"))
+    listed = words.groupBy("_row").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    inner = F.coalesce(F.transform("items", lambda entry: entry["token_id"]), F.array().cast("array<int>"))
+    return rows.select(id_col, "_row").join(listed, "_row", "left").select(id_col, inner.alias("inner"))
 
 
 def pad_to(encoded: DataFrame, length: int) -> DataFrame:

@@ -1,7 +1,7 @@
-"""Elastic-net grid search from one scan of sums.
+"""Elastic-net grid search from one scan of moments.
 
-A linear fit, its squared error, R2 and correlation depend on the rows only through counts, sums
-and sums of products. One aggregation by (fold, split, side) therefore replaces one Spark ML fit
+A linear fit, its squared error, R2 and correlation depend on the rows only through counts, means
+and covariances. One aggregation by (fold, split, side) therefore replaces one Spark ML fit
 for each fold, split and setting; what remains are problems as large as the number of prediction
 sets, solved in a task beside the sums.
 """
@@ -33,65 +33,73 @@ PARAMS = ["alpha", "fit_intercept", "l1_ratio"]
 
 
 def moment_columns(features: list[str], label: str) -> dict[str, Column]:
-    """Named sums: rows, label, features and all products of two of them."""
+    """Named aggregates: rows, means, and variances and covariances around them.
+
+    Centred aggregates keep their digits however far the values lie from zero.
+    """
     y = F.col(label)
-    sums = {"n": F.count("*").cast("double"), "y": F.sum(y), "yy": F.sum(y * y)}
-    sums |= {f"x_{f}": F.sum(F.col(f)) for f in features}
-    sums |= {f"xy_{f}": F.sum(F.col(f) * y) for f in features}
-    sums |= {f"xx_{f}_{g}": F.sum(F.col(f) * F.col(g)) for f, g in combinations_with_replacement(features, 2)}
-    return sums
+    found = {"n": F.count("*").cast("double"), "y": F.avg(y), "yy": F.var_pop(y)}
+    found |= {f"x_{f}": F.avg(F.col(f)) for f in features}
+    found |= {f"xy_{f}": F.covar_pop(F.col(f), y) for f in features}
+    found |= {f"xx_{f}_{g}": F.covar_pop(F.col(f), F.col(g)) for f, g in combinations_with_replacement(features, 2)}
+    return found
 
 
 def moments(df: DataFrame, features: list[str], label: str, by: list[str]) -> DataFrame:
-    """One row for each group with its named sums."""
-    sums = moment_columns(features, label)
-    return df.groupBy(*by).agg(*[value.alias(name) for name, value in sums.items()])
+    """One row for each group with its named aggregates; a missing value is an error, as fits need complete rows."""
+    missing = F.raise_error(F.lit("a prediction or a label is missing")).cast("double")
+    whole = df.withColumns({c: F.coalesce(F.col(c), missing) for c in [*features, label]})
+    return whole.groupBy(*by).agg(*[value.alias(name) for name, value in moment_columns(features, label).items()])
 
 
 def split_moments(sides: DataFrame, features: list[str]) -> DataFrame:
-    """(fold, split, train, test): the sums of both sides as arrays, plus all rows as split -1."""
+    """(fold, split, train, test): the moments of both sides as arrays."""
     names = list(moment_columns(features, "score"))
     packed = sides.select("fold", "split", "side", F.array(*names).alias("m"))
 
     def side(name: str) -> Column:
         return F.first(F.when(F.col("side") == name, F.col("m")), ignorenulls=True).alias(name)
 
-    splits = packed.groupBy("fold", "split").agg(side("train"), side("test"))
-    whole = F.zip_with("train", "test", lambda a, b: a + b)
-    every = splits.filter(F.col("split") == 0).select(
-        "fold", F.lit(ALL_ROWS).alias("split"), whole.alias("train"), whole.alias("test")
-    )
-    return splits.unionByName(every)
+    return packed.groupBy("fold", "split").agg(side("train"), side("test"))
 
 
-class _Sums:
-    """Sums of one side, unpacked to means and second moments."""
+class _Moments:
+    """Rows, means and centred second moments of one side."""
 
-    def __init__(self, packed: np.ndarray, p: int):
-        self.n, self.y, self.yy = packed[:3]
-        self.x = packed[3 : 3 + p]
-        self.xy = packed[3 + p : 3 + 2 * p]
-        self.xx = np.zeros((p, p))
-        upper = np.triu_indices(p)
-        self.xx[upper] = packed[3 + 2 * p :]
-        self.xx = self.xx + self.xx.T - np.diag(self.xx.diagonal())
+    def __init__(self, n: float, y: float, yy: float, x: np.ndarray, xy: np.ndarray, xx: np.ndarray):
+        self.n, self.y, self.yy, self.x, self.xy, self.xx = n, y, yy, x, xy, xx
+
+    @classmethod
+    def unpacked(cls, packed: np.ndarray, p: int) -> "_Moments":
+        xx = np.zeros((p, p))
+        xx[np.triu_indices(p)] = packed[3 + 2 * p :]
+        xx = xx + xx.T - np.diag(xx.diagonal())
+        return cls(*packed[:3], packed[3 : 3 + p], packed[3 + p : 3 + 2 * p], xx)
+
+    def merged(self, other: "_Moments") -> "_Moments":
+        n = self.n + other.n
+        a, b = self.n / n, other.n / n
+        dx, dy = other.x - self.x, other.y - self.y
+        return _Moments(
+            n,
+            a * self.y + b * other.y,
+            a * self.yy + b * other.yy + a * b * dy * dy,
+            a * self.x + b * other.x,
+            a * self.xy + b * other.xy + a * b * dx * dy,
+            a * self.xx + b * other.xx + a * b * np.outer(dx, dx),
+        )
 
     def problem(self, centred: bool) -> tuple[np.ndarray, np.ndarray]:
-        gram, xty = self.xx / self.n, self.xy / self.n
         if centred:
-            mean_x, mean_y = self.x / self.n, self.y / self.n
-            gram, xty = gram - np.outer(mean_x, mean_x), xty - mean_x * mean_y
-        return gram, xty
+            return self.xx, self.xy
+        return self.xx + np.outer(self.x, self.x), self.xy + self.x * self.y
 
     def scores(self, w: np.ndarray, b: float) -> tuple[float, float | None, float | None]:
-        mean_x, mean_y = self.x / self.n, self.y / self.n
-        gram, xty = self.problem(centred=True)
-        var_y = self.yy / self.n - mean_y**2
-        cov, var_p = w @ xty, w @ gram @ w
-        gap = mean_y - mean_x @ w - b
-        mse = max(var_y - 2 * cov + var_p, 0.0) + gap**2
-        r2 = 1 - mse / var_y if var_y > 0 else None
-        corr = cov / np.sqrt(var_y * var_p) if var_y > 0 and var_p > 1e-18 else None
+        cov, var_p = w @ self.xy, w @ self.xx @ w
+        gap = self.y - self.x @ w - b
+        mse = max(self.yy - 2 * cov + var_p, 0.0) + gap**2
+        r2 = 1 - mse / self.yy if self.yy > 0 else None
+        corr = cov / np.sqrt(self.yy * var_p) if self.yy > 0 and var_p > 1e-18 else None
         return -mse, r2, corr
 
 
@@ -124,23 +132,29 @@ def elastic_net_fits(packed: DataFrame, n_features: int, grid: ElasticNetGrid) -
     settings = list(product(grid.alpha, grid.fit_intercept, grid.l1_ratio))
     alpha, intercept, ratio = (np.array(column) for column in zip(*settings))
 
+    def fitted(fold: int, split: int, sides: dict[str, _Moments]) -> Iterator[tuple]:
+        known = sides["train"]
+        weights = np.zeros((len(settings), n_features))
+        for centred in (True, False):
+            turn = intercept == centred
+            if turn.any():
+                gram, xty = known.problem(centred)
+                l1, l2 = alpha * ratio, alpha * (1 - ratio)
+                weights[turn] = coordinate_descent(gram, xty, l1[turn], l2[turn], grid.max_iter)
+        for number, (w, setting) in enumerate(zip(weights, settings)):
+            b = known.y - known.x @ w if setting[1] else 0.0
+            for sample, side in sides.items():
+                yield (fold, split, number, *setting, w, b, sample, *side.scores(w, b))
+
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for fold, split, train, test in zip(batch.fold, batch.split, batch.train, batch.test):
-                sides = {"train": _Sums(np.asarray(train), n_features), "test": _Sums(np.asarray(test), n_features)}
-                weights = np.zeros((len(settings), n_features))
-                for centred in (True, False):
-                    turn = intercept == centred
-                    if turn.any():
-                        gram, xty = sides["train"].problem(centred)
-                        l1, l2 = alpha * ratio, alpha * (1 - ratio)
-                        weights[turn] = coordinate_descent(gram, xty, l1[turn], l2[turn], grid.max_iter)
-                for number, (w, setting) in enumerate(zip(weights, settings)):
-                    known = sides["train"]
-                    b = (known.y - known.x @ w) / known.n if setting[1] else 0.0
-                    for sample, sums in sides.items():
-                        rows.append((fold, split, number, *setting, w, b, sample, *sums.scores(w, b)))
+                sides = {s: _Moments.unpacked(np.asarray(m), n_features) for s, m in (("train", train), ("test", test))}
+                rows += fitted(fold, split, sides)
+                if split == 0:  # both sides of any split are all rows
+                    every = sides["train"].merged(sides["test"])
+                    rows += fitted(fold, ALL_ROWS, {"train": every, "test": every})
             yield pd.DataFrame(rows, columns=[part.split()[0] for part in _FITS.split(", ")])
 
     return packed.mapInPandas(fit, _FITS)

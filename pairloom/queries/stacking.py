@@ -63,16 +63,15 @@ SPLIT_CTES = (
 
 
 def moment_sql(features: list[str]) -> dict[str, str]:
-    names = {"n": "CAST(count(*) AS DOUBLE)", "y": "sum(score)", "yy": "sum(score * score)"}
-    names |= {f"x_{f}": f"sum({f})" for f in features}
-    names |= {f"xy_{f}": f"sum({f} * score)" for f in features}
-    names |= {f"xx_{f}_{g}": f"sum({f} * {g})" for f, g in combinations_with_replacement(features, 2)}
+    names = {"n": "CAST(count(*) AS DOUBLE)", "y": "avg(score)", "yy": "var_pop(score)"}
+    names |= {f"x_{f}": f"avg({f})" for f in features}
+    names |= {f"xy_{f}": f"covar_pop({f}, score)" for f in features}
+    names |= {f"xx_{f}_{g}": f"covar_pop({f}, {g})" for f, g in combinations_with_replacement(features, 2)}
     return names
 
 
-def digits(name: str) -> int:
-    """Products of two predictions have twelve decimals, all other terms at most eight."""
-    return 6 if name.startswith("xx") else 8
+DIGITS = 8
+NUDGE = 1e-12  # means of few decimals can lie halfway between two roundings
 
 
 def sides(spark, sf_dir, features):
@@ -84,15 +83,15 @@ def sides(spark, sf_dir, features):
     c.with_ctes(
         *SPLIT_CTES,
         "SELECT fold, split, side, "
-        + ", ".join(f"round({expr}, {digits(name)}) AS {name}" for name, expr in moment_sql(c.VERSIONS).items())
+        + ", ".join(f"round({expr} + {NUDGE}, {DIGITS}) AS {name}" for name, expr in moment_sql(c.VERSIONS).items())
         + " FROM parted GROUP BY fold, split, side",
     )
 )
 def grid_moments(spark, sf_dir):
-    """The sums that all linear fits of the grid are made from."""
+    """The moments that all linear fits of the grid are made from."""
     sums = sides(spark, sf_dir, c.VERSIONS)
     names = moment_sql(c.VERSIONS)
-    return sums.select("fold", "split", "side", *[F.round(n, digits(n)).alias(n) for n in names])
+    return sums.select("fold", "split", "side", *[F.round(F.col(n) + NUDGE, DIGITS).alias(n) for n in names])
 
 
 # The grid below blends two prediction sets with fixed weights. Its scores follow from the sums
@@ -102,10 +101,8 @@ BLEND_CTES = (
     *SPLIT_CTES,
     f"""sums AS (SELECT fold, split, side, {", ".join(f"{e} AS {n}" for n, e in moment_sql(BLENDED).items())}
   FROM parted GROUP BY fold, split, side)""",
-    """stats AS (SELECT fold, split, side, y / n AS my, x_alpha / n AS m1, x_beta / n AS m2, yy / n - (y / n) * (y / n) AS vy,
-  xy_alpha / n - (x_alpha / n) * (y / n) AS c1, xy_beta / n - (x_beta / n) * (y / n) AS c2,
-  xx_alpha_alpha / n - (x_alpha / n) * (x_alpha / n) AS v11, xx_alpha_beta / n - (x_alpha / n) * (x_beta / n) AS v12,
-  xx_beta_beta / n - (x_beta / n) * (x_beta / n) AS v22 FROM sums)""",
+    """stats AS (SELECT fold, split, side, y AS my, x_alpha AS m1, x_beta AS m2, yy AS vy, xy_alpha AS c1, xy_beta AS c2,
+  xx_alpha_alpha AS v11, xx_alpha_beta AS v12, xx_beta_beta AS v22 FROM sums)""",
     f"""settings AS (SELECT weight, shrink, fit_intercept, shrink * weight AS a1, shrink * (1 - weight) AS a2
   FROM (SELECT unnest({list(WEIGHTS)}::DOUBLE[]) AS weight), (SELECT unnest({list(SHRINKS)}::DOUBLE[]) AS shrink),
   (SELECT unnest([true, false]) AS fit_intercept))""",
@@ -127,22 +124,12 @@ BLEND_CTES = (
 
 def blend_scores(spark, sf_dir):
     """Scores of all blend settings for each fold, split and side, from the sums."""
-    n = F.col("n")
+    names = {
+        "my": "y", "m1": "x_alpha", "m2": "x_beta", "vy": "yy", "c1": "xy_alpha", "c2": "xy_beta",
+        "v11": "xx_alpha_alpha", "v12": "xx_alpha_beta", "v22": "xx_beta_beta",
+    }
     stats = small_side(sides(spark, sf_dir, BLENDED)).select(
-        "fold",
-        "split",
-        "side",
-        F.struct(
-            (F.col("y") / n).alias("my"),
-            (F.col("x_alpha") / n).alias("m1"),
-            (F.col("x_beta") / n).alias("m2"),
-            (F.col("yy") / n - (F.col("y") / n) * (F.col("y") / n)).alias("vy"),
-            (F.col("xy_alpha") / n - (F.col("x_alpha") / n) * (F.col("y") / n)).alias("c1"),
-            (F.col("xy_beta") / n - (F.col("x_beta") / n) * (F.col("y") / n)).alias("c2"),
-            (F.col("xx_alpha_alpha") / n - (F.col("x_alpha") / n) * (F.col("x_alpha") / n)).alias("v11"),
-            (F.col("xx_alpha_beta") / n - (F.col("x_alpha") / n) * (F.col("x_beta") / n)).alias("v12"),
-            (F.col("xx_beta_beta") / n - (F.col("x_beta") / n) * (F.col("x_beta") / n)).alias("v22"),
-        ).alias("m"),
+        "fold", "split", "side", F.struct(*[F.col(old).alias(new) for new, old in names.items()]).alias("m")
     )
     both = stats.groupBy("fold", "split").agg(
         F.first(F.when(F.col("side") == "train", F.col("m")), ignorenulls=True).alias("t"),

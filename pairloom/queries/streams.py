@@ -59,13 +59,11 @@ def stream_meter(spark, sf_dir):
 @register(
     """SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS run,
   count(*) AS steps, sum(round(value * 100) * (1 + event_id % 32)) / sum(1 + event_id % 32) AS avg
-FROM events
-WHERE time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 10 minutes
-GROUP BY 1, 2"""
+FROM events GROUP BY 1, 2"""
 )
 def stream_window_meter(spark, sf_dir):
-    """Hourly windows that the watermark has closed; the last, open ones stay in the state."""
+    """Hourly windows, those that the watermark has not closed yet among them."""
     steps = views.steps(spark, sf_dir, events=arriving(spark, sf_dir, "events"), keep_time=True)
-    result = meter.run_append(meter.meter_by_window(steps, ["run"], "ts", "1 hour", "10 minutes"))
+    result = meter.run_update(meter.meter_by_window(steps, ["run"], "ts", "1 hour", "10 minutes"), ["window", "run"])
     start = F.date_format(F.col("window.start"), "yyyy-MM-dd HH:mm:ss").alias("window_start")
     return result.select(start, "run", "steps", "avg")

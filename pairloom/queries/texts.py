@@ -18,7 +18,7 @@ from pairloom.sources import views
 register = c.Registry()
 QUERIES, SQL = register.queries, register.sql
 
-VOCABULARY_SIZE, BATCH = 5000, 32
+BATCH = 32
 
 
 @register(
@@ -103,8 +103,7 @@ def encode_sql(key: str, source: str, max_len: str) -> tuple[str, ...]:
     """Vocabulary and ids over ``toks`` (key, t); ids as text between the two special ids."""
     return (
         f"""vocab AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id FROM
-  (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM toks) WHERE token <> '[sep]' GROUP BY token
-   ORDER BY n DESC, token LIMIT {VOCABULARY_SIZE}))""",
+  (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM toks) WHERE token <> '[sep]' GROUP BY token))""",
         f"""picked AS (SELECT {key}, i, t[i] AS token
   FROM toks, unnest(range(1, least(len(t), {max_len} - 2) + 1)) AS u(i))""",
         f"""ids AS (SELECT {key}, count(*) AS k, string_agg(CAST(CASE WHEN token = '[sep]' THEN 2 ELSE coalesce(token_id, 3) END
@@ -128,7 +127,7 @@ def _joined(name: str):
 def encode_tokens(spark, sf_dir):
     """Whole documents, without a length limit."""
     documents = views.table(spark, sf_dir, "documents")
-    words = vocabulary.build_vocabulary(documents, "text", VOCABULARY_SIZE)
+    words = vocabulary.build_vocabulary(documents, "text")
     encoded = vocabulary.encode(documents, words, "doc_id", "text")
     return encoded.select("doc_id", _joined("ids"), F.size("ids").alias("n"))
 
@@ -149,7 +148,7 @@ def encoded_pairs(spark, sf_dir):
     """Model texts as ids, at most as long as the budget of their columns allows, and the budget."""
     df = c.composed(spark, sf_dir)
     budget = vocabulary.token_budget(df, BUDGET_COLUMNS).first().max_len
-    words = vocabulary.build_vocabulary(df, "text", VOCABULARY_SIZE)
+    words = vocabulary.build_vocabulary(df, "text")
     return vocabulary.encode(df, words, "id", "text", budget), budget
 
 

@@ -18,7 +18,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: b
     return spark.read.schema(schema).options(**CSV_OPTIONS, multiLine=multi_line).csv(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", line_breaks: bool = False) -> None:
+    """Header CSV. A text with a line break is an error unless ``line_breaks`` says that readers use ``multi_line``."""
+    if not line_breaks:
+        broken = F.raise_error(F.lit("a text with a line break does not fit a CSV of one line a row"))
+        texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+        df = df.withColumns({c: F.when(F.col(c).rlike("[\\r\\n]"), broken).otherwise(F.col(c)) for c in texts})
     df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 

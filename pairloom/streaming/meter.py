@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from pairloom.session import scratch_path
 
@@ -46,17 +47,26 @@ def run_complete(meter: DataFrame) -> DataFrame:
     return spark.read.schema(meter.schema).parquet(out)
 
 
-def run_append(meter: DataFrame) -> DataFrame:
-    """Run over what has arrived; closed windows are appended to files."""
+def run_update(meter: DataFrame, keys: list[str]) -> DataFrame:
+    """Run over what has arrived; the table holds every group of ``keys`` as it stood last, open windows included.
+
+    A micro-batch writes the groups that it changed, so closed windows can leave the state. A repeated batch
+    replaces its own folder.
+    """
     spark = meter.sparkSession
     out = scratch_path(spark, "windows")
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/_batch={number}")
+
     query = (
-        meter.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", out)
+        meter.writeStream.outputMode("update")
+        .foreachBatch(store)
         .option("checkpointLocation", scratch_path(spark, "windows-log"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(meter.schema).parquet(out)
+    rows = spark.read.schema(StructType(meter.schema.fields).add("_batch", LongType())).parquet(out)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in meter.columns if c not in keys]), "_batch").alias("_last"))
+    return last.select(*keys, "_last.*").select(*meter.columns)

@@ -1,4 +1,5 @@
 import pandas as pd
+import pytest
 
 from pairloom.operators import dictionary
 from pairloom.plans import translation
@@ -24,24 +25,33 @@ def test_one_term_fills_the_table(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_build_resumes(spark):
-    seen = []
+def test_build_resumes(spark, tmp_path):
+    calls = tmp_path / "calls"
 
     def mapper(terms: pd.Series) -> pd.Series:
+        with open(calls, "a") as file:
+            file.write(f"{len(terms)}\n")
         return terms.str.upper()
 
-    terms = spark.createDataFrame([("a,b",), ('say "c"',), ("d ",), ("done",)], "term string")
+    def broken(terms: pd.Series) -> pd.Series:
+        if "t7" in set(terms):
+            raise RuntimeError("the service is gone")
+        return mapper(terms)
+
+    rows = [(t,) for t in ("a,b", 'say "c"', "d ", "two\nlines", "done", *[f"t{i}" for i in range(20)])]
+    terms = spark.createDataFrame(rows, "term string")
     done = spark.createDataFrame([("done", "KEPT")], "term string, mapped string")
-    built = translation.build_dictionary(terms, mapper, scratch_path(spark, "t"), done, size=2)
-    rows = {row.term: (row.mapped, row.batch) for row in built.collect()}
-    assert {term: mapped for term, (mapped, _) in rows.items()} == {
-        "a,b": "A,B",
-        'say "c"': 'SAY "C"',
-        "d ": "D ",
-        "done": "KEPT",
-    }
-    assert sorted(batch for _, batch in rows.values() if batch is not None) == [0, 0, 1]
-    assert not seen
+    path = scratch_path(spark, "t")
+    with pytest.raises(Exception, match="service is gone"):
+        translation.build_dictionary(terms, broken, path, done, size=3, commits=5)
+    kept = translation.stored_entries(spark, path).count()
+    calls.unlink(missing_ok=True)
+    built = translation.build_dictionary(terms, mapper, path, done, size=3, commits=5)
+    got = {row.term: row.mapped for row in built.collect()}
+    assert got == {t: "KEPT" if t == "done" else t.upper() for (t,) in rows}
+    sizes = [int(line) for line in calls.read_text().split()]
+    assert max(sizes) <= 3 and sum(sizes) == 24 - kept
+    assert translation.build_dictionary(terms, broken, path, done, size=3).count() == 25
 
 
 def test_union_with_translated_rows(spark):

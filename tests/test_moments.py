@@ -38,8 +38,31 @@ def test_sums(rows):
     got = moments.moments(rows, FEATURES, "score", ["side"]).filter("side = 'test'").first()
     t = SIDE == "test"
     assert got.n == t.sum()
-    assert got.xx_a_b == pytest.approx((X[t, 0] * X[t, 1]).sum())
-    assert got.xy_c == pytest.approx((X[t, 2] * Y[t]).sum())
+    assert got.xx_a_b == pytest.approx(np.cov(X[t, 0], X[t, 1], bias=True)[0, 1])
+    assert got.xy_c == pytest.approx(np.cov(X[t, 2], Y[t], bias=True)[0, 1])
+
+
+def test_far_from_zero(spark, rows):
+    """The slopes of shifted features are those of the features."""
+    shifted = rows.withColumns({f: F.col(f) + 1e7 for f in FEATURES})
+    found = []
+    for df in (rows, shifted):
+        sides = moments.moments(df, FEATURES, "score", ["fold", "split", "side"])
+        fits = moments.elastic_net_fits(moments.split_moments(sides, FEATURES), 3, GRID).toPandas()
+        found.append(np.array([*one(fits, alpha=0.0, fit_intercept=True, l1_ratio=0.4).coef]))
+    assert found[1] == pytest.approx(found[0], abs=1e-5)
+
+
+def test_missing_predictions_are_an_error(spark, rows):
+    gone = rows.withColumn("a", F.when(F.col("a") > 0.5, F.col("a")))
+    with pytest.raises(Exception, match="missing"):
+        moments.moments(gone, FEATURES, "score", ["fold"]).collect()
+
+
+def test_all_rows_are_both_sides(spark, rows, fits):
+    exact = np.linalg.lstsq(np.column_stack([X, np.ones(N)]), Y, rcond=None)[0]
+    fit = one(fits, split=moments.ALL_ROWS, alpha=0.0, fit_intercept=True, l1_ratio=0.4)
+    assert [*fit.coef, fit.intercept] == pytest.approx(exact, abs=1e-8)
 
 
 def test_no_penalty_is_least_squares(fits):

@@ -16,8 +16,10 @@ def test_csv_round_trip(spark):
 def test_line_breaks_in_csv(spark):
     df = spark.createDataFrame([("1", "two\nlines")], "id string, anchor string")
     path = scratch_path(spark, "csv")
-    tables.write_csv(df, path)
+    tables.write_csv(df, path, line_breaks=True)
     assert tables.read_csv(spark, path, df.schema, multi_line=True).collect() == df.collect()
+    with pytest.raises(Exception, match="line break"):
+        tables.write_csv(df, scratch_path(spark, "csv"))
 
 
 def test_version_is_written_once(spark):

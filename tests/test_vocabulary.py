@@ -15,6 +15,19 @@ def test_encode(spark):
     assert rows == {1: [1, 5, 4, 4, 2], 2: [1, 4, 5, 2], 3: [1, 2], 4: [1, 3, 4, 2]}
 
 
+def test_joined_vocabulary_gives_the_same(spark):
+    df = texts(spark).unionByName(spark.createDataFrame([(1, "c c"), (None, "b")], "doc_id int, text string"))
+    words = vocabulary.build_vocabulary(df, "text")
+    assert words.count() == 4
+    by = [
+        sorted((str(r.doc_id), r.ids) for r in vocabulary.encode(df, words, "doc_id", "text", lookup_bytes=size).collect())
+        for size in (1 << 20, 0)
+    ]
+    assert by[0] == by[1] and len(by[0]) == 6
+    plan = vocabulary.encode(df, words, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("Exchange SinglePartition", "")
+
+
 def test_separator_has_its_own_id(spark):
     df = spark.createDataFrame([(1, "a[SEP]b[SEP]a")], "doc_id int, text string")
     words = vocabulary.build_vocabulary(df, "text", 2)
