@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.config import ForestGrid
 from pairloom.functions import metrics
+from pairloom.session import scratch_path
 
+ROWS_TOGETHER = 4096
 PARAMS = ["n_estimators", "max_depth", "min_samples_split"]
 
 
@@ -35,26 +41,92 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(df)
 
 
+def stored_splits(splits: DataFrame, features: list[str]) -> DataFrame:
+    """fold, split, side, score and features, written by fold and split so that a fit opens its own rows only."""
+    ready = assembled(splits, features).select("fold", "split", "side", "score", "features")
+    path = scratch_path(splits.sparkSession, "splits")
+    ready.write.partitionBy("fold", "split").parquet(path)
+    return splits.sparkSession.read.schema(ready.schema).parquet(path)
+
+
+class Trees:
+    """Nodes of a fitted forest, for predictions of the forest cut at any depth.
+
+    All features are tried at every node, so a tree of smaller depth is the upper part of the deeper one: one fit
+    serves all depths of the grid. There are at most trees x 2^(depth + 1) nodes.
+    """
+
+    def __init__(self, model: RandomForestRegressionModel, spark: SparkSession):
+        path = scratch_path(spark, "forest")
+        model.write().save(path)
+        node = "nodeData"
+        nodes = (
+            spark.read.parquet(f"{path}/data")
+            .select("treeID", f"{node}.id", f"{node}.prediction", f"{node}.leftChild", f"{node}.rightChild",
+                    f"{node}.split.featureIndex", F.get(f"{node}.split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"))
+            .toPandas()
+        )
+        shape = (int(nodes["treeID"].max()) + 1, int(nodes["id"].max()) + 1)
+        at = (nodes["treeID"].to_numpy(), nodes["id"].to_numpy())
+
+        def table(column: str, dtype) -> np.ndarray:
+            out = np.zeros(shape, dtype)
+            out[at] = nodes[column].fillna(0).to_numpy()
+            return out
+
+        self.value, self.cut = table("prediction", float), table("cut", float)
+        self.left, self.right, self.feature = (table(c, int) for c in ("leftChild", "rightChild", "featureIndex"))
+        leaf = self.left < 0
+        here = np.broadcast_to(np.arange(shape[1]), shape)
+        self.left, self.right = np.where(leaf, here, self.left), np.where(leaf, here, self.right)
+        self.feature = np.where(leaf, 0, self.feature)
+
+    def predictions(self, rows: np.ndarray, depths: list[int]) -> np.ndarray:
+        """(rows, depths): mean over the trees, each cut at the depth."""
+        trees = np.arange(len(self.value))
+        node = np.zeros((len(rows), len(trees)), int)
+        out = {}
+        for level in range(max(depths) + 1):
+            if level in depths:
+                out[level] = self.value[trees, node].mean(axis=1)
+            below = np.take_along_axis(rows, self.feature[trees, node], axis=1) <= self.cut[trees, node]
+            node = np.where(below, self.left[trees, node], self.right[trees, node])
+        return np.stack([out[depth] for depth in depths], axis=1)
+
+
 def forest_scores(splits: DataFrame, folds: list[int], n_splits: int, grid: ForestGrid, parallelism: int = 4) -> DataFrame:
     """Scores of every setting, fold and split on both sides.
 
-    ``splits`` holds fold, split, side, score and features, best cached or written. The fits are
+    ``splits`` comes from ``stored_splits``. One fit to the greatest depth gives the scores of all depths. The fits are
     independent Spark jobs; a few run at a time so that short ones overlap.
     """
-    settings = list(product(grid.n_estimators, grid.max_depth, grid.min_samples_split))
+    depths = sorted(grid.max_depth)
+    names = [f"depth_{depth}" for depth in depths]
 
     def fit_one(task):
-        fold, split, setting = task
+        fold, split, trees, least = task
         rows = splits.filter((F.col("fold") == fold) & (F.col("split") == split))
-        fitted = forest(*setting).fit(rows.filter(F.col("side") == "train"))
-        scores = (
-            fitted.transform(rows)
-            .groupBy(F.col("side").alias("sample"))
-            .agg(*[score(F.col("score"), F.col("rf")).alias(name) for name, score in metrics.SCORERS.items()])
+        cut = Trees(forest(trees, depths[-1], least).fit(rows.filter(F.col("side") == "train")), splits.sparkSession)
+
+        def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for first in range(0, len(frame), ROWS_TOGETHER):
+                    part = frame.iloc[first : first + ROWS_TOGETHER]
+                    found = cut.predictions(np.stack(part["features"]), depths)
+                    yield pd.concat([part[["side", "score"]].reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
+
+        schema = "side string, score double, " + ", ".join(f"{name} double" for name in names)
+        predicted = rows.select("side", "score", vector_to_array("features").alias("features")).mapInPandas(predict, schema)
+        scores = predicted.groupBy("side").agg(
+            *[score(F.col("score"), F.col(name)).alias(f"{name}:{s}") for name in names for s, score in metrics.SCORERS.items()]
         )
-        return [(fold, split, *setting, *row) for row in scores.collect()]
+        return [
+            (fold, split, trees, depth, least, row["side"], *[row[f"{name}:{s}"] for s in metrics.SCORERS])
+            for row in scores.collect()
+            for depth, name in zip(depths, names)
+        ]
 
-    tasks = list(product(folds, range(n_splits), settings))
+    tasks = list(product(folds, range(n_splits), grid.n_estimators, grid.min_samples_split))
     with ThreadPoolExecutor(parallelism) as pool:
         results = list(pool.map(inheritable_thread_target(splits.sparkSession)(fit_one), tasks))
     scorers = ", ".join(f"{name} double" for name in metrics.SCORERS)

@@ -104,14 +104,11 @@ def train_stack(oof: DataFrame, config: StackConfig) -> Stack:
         linear = small_side(moments.best_fits(fits))
         predicted = moments.with_linear_prediction(predicted, linear, features, "en")
     if "rf" in config.learners:
-        kept = forest.assembled(splits, features).select("fold", "split", "side", "score", "features").persist()
-        try:
-            rf_scores = forest.forest_scores(kept, folds, config.n_splits, config.forest)
-            for fold, setting in forest.best_settings(rf_scores).items():
-                whole = kept.filter((F.col("fold") == fold) & (F.col("split") == 0))
-                forests[fold] = forest.forest(*setting).fit(whole)
-        finally:
-            kept.unpersist()
+        kept = forest.stored_splits(splits, features)
+        rf_scores = forest.forest_scores(kept, folds, config.n_splits, config.forest)
+        for fold, setting in forest.best_settings(rf_scores).items():
+            whole = kept.filter((F.col("fold") == fold) & (F.col("split") == 0))
+            forests[fold] = forest.forest(*setting).fit(whole)
         ready = forest.assembled(predicted, features)
         parts = [model.transform(ready.filter(F.col("fold") == fold)) for fold, model in forests.items()]
         predicted = reduce(DataFrame.unionByName, parts).drop("features")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairloom.config import ForestGrid, StackConfig
+from pairloom.config import StackConfig
 from pairloom.operators import enrich
 from pairloom.operators.rank_cuts import assign_repeated_split
 from pairloom.plans import base_models, forest, moments, stacking
@@ -15,8 +15,6 @@ from pairloom.sources import views
 register = c.Registry()
 QUERIES, SQL = register.queries, register.sql
 
-FOREST_SPLITS = 2
-
 
 def _featured(spark, sf_dir):
     return base_models.with_features(c.folded_texts(spark, sf_dir))
@@ -70,18 +68,14 @@ def meta_refit(spark, sf_dir):
 
 @register()
 def forest_grid(spark, sf_dir):
-    """The short grid over all rows: one setting, every fold."""
-    splits = assign_repeated_split(c.stored_oof(spark, sf_dir), "score", FOREST_SPLITS, groups=("fold",))
-    ready = forest.assembled(splits, c.VERSIONS).select("fold", "split", "side", "score", "features").persist()
-    try:
-        return forest.forest_scores(ready, c.FOLDS, FOREST_SPLITS, ForestGrid.debug())
-    finally:
-        ready.unpersist()
+    """15 settings of 150 trees, 5 splits, 4 folds, all four scores on both sides."""
+    config = StackConfig(())
+    splits = assign_repeated_split(c.stored_oof(spark, sf_dir), "score", config.n_splits, groups=("fold",))
+    return forest.forest_scores(forest.stored_splits(splits, c.VERSIONS), c.FOLDS, config.n_splits, config.forest)
 
 
 def _stack(spark, sf_dir):
-    config = StackConfig(tuple(c.VERSIONS), n_splits=FOREST_SPLITS, forest=ForestGrid.debug())
-    return stacking.train_stack(c.oof_wide(spark, sf_dir), config)
+    return stacking.train_stack(c.oof_wide(spark, sf_dir), StackConfig(tuple(c.VERSIONS)))
 
 
 @register()

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
 from pairloom.config import ForestGrid, RunConfig, StackConfig
+from pairloom.operators.rank_cuts import assign_repeated_split
 from pairloom.plans import base_models, forest, stacking
 from pairloom.queries import common as c
 from pairloom.sources import views
@@ -74,10 +75,18 @@ def test_stacked_scores(spark, sf_dir, stack, winner):
         assert rows.agg(F.stddev("score")).first()[0] > 0.01
 
 
-def test_forest_grid(spark, sf_dir):
-    rows = QUERIES["forest_grid"](spark, sf_dir).collect()
-    assert len(rows) == 4 * 2 * 2
-    assert all(row.corr_scorer > 0.5 for row in rows)
+def test_forest_scores(spark, sf_dir):
+    """Depths cut from one fit score like fits of their own."""
+    oof = c.stored_oof(spark, sf_dir)
+    rows = forest.stored_splits(assign_repeated_split(oof, "score", 1, groups=("fold",)), c.VERSIONS)
+    grid = ForestGrid(n_estimators=(10,), max_depth=(2, 4), min_samples_split=(2,))
+    found = forest.forest_scores(rows, [0], 1, grid).toPandas().set_index(["max_depth", "sample"])
+    assert len(found) == 4
+    for depth in (2, 4):
+        mine = rows.filter("fold = 0")
+        model = forest.forest(10, depth, 2).fit(mine.filter("side = 'train'"))
+        exact = model.transform(mine.filter("side = 'test'")).agg(F.corr("score", "rf")).first()[0]
+        assert found.loc[(depth, "test"), "corr_scorer"] == pytest.approx(exact, abs=1e-9)
 
 
 def test_half_of_min_split_bounds_the_children():
