@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pairloom.operators.positions import ROW_BITS, numbered
 from pairloom.session import written
 
-ROW_BITS = 33  # monotonically_increasing_id keeps the place inside a partition in the low bits
+__all__ = ["numbered", "running", "table", "text_key"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,28 +22,6 @@ def text_key(text: Column | str) -> list[Column]:
     return [F.xxhash64(col, F.lit(1)).alias("k1"), F.xxhash64(F.lit(2), col).alias("k2")]
 
 
-def numbered(df: DataFrame, order: list[Column], name: str, index: str = "_index") -> DataFrame:
-    """Add each row's place (from 0) in the order of ``order`` over the whole table.
-
-    Rows are range-partitioned and sorted inside their range, then written once, so that places stay
-    the same whenever a task is repeated. Offsets of the ranges have one row for each partition.
-    """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = written(placed.withColumn("_at", F.monotonically_increasing_id()), name)
-    part = F.shiftright("_at", ROW_BITS).cast("int")
-    inside = F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    return (
-        placed.withColumn("_part", part)
-        .withColumn("_inside", inside)
-        .join(F.broadcast(starts), "_part")  # one row for each partition
-        .withColumn(index, F.col("_start") + F.col("_inside"))
-        .drop("_at", "_part", "_inside", "_start")
-    )
-
-
 def running(df: DataFrame, order: list[Column], sums: dict[str, str], name: str) -> DataFrame:
     """Add sums over all earlier rows of the whole table: ``sums`` maps a new column to the summed one."""
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
