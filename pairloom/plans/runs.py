@@ -6,14 +6,15 @@ or continued on another cluster:
     <output>/runs/<version>          settings of a version, written first and once
     <output>/oof/version=<v>         out-of-fold predictions
     <output>/models/version=<v>      one fitted model for each fold
-    <output>/test/version=<v>        test predictions of each fold model
+    <output>/test/version=<v>        test predictions, a column for each fold model
     <output>/submission/<name>       final scores
-    <output>/stack/<name>            leaderboard and best-model marker
+    <output>/stack/<name>            leaderboard, best-model marker, grids with summaries and curves, meta-models
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,17 @@ from pyspark.sql import functions as F
 from pairloom.config import RunConfig, StackConfig
 from pairloom.functions import arrays, metrics
 from pairloom.operators import dictionary, distribution, enrich, vocabulary
+from pairloom.operators.evaluation import row_mean
 from pairloom.operators.rank_cuts import assign_folds
 from pairloom.plans import base_models, stacking
 from pairloom.sources import schemas, tables
 
 
+SETTINGS = (
+    "version string, model string, link string, use_class_text boolean, use_mentions boolean, folds array<int>, settings string"
+)
+
+
 @dataclass(frozen=True)
 class Inputs:
     """Paths of the input tables and of the output folder."""
@@ -93,7 +100,8 @@ def train_version(
 ) -> DataFrame:
     """Train the fold models of a version; the result is its score for each fold and overall."""
     estimator = base_models.estimator(model)
-    settings = spark.createDataFrame([(config.version, model, link, str(config))], "version string, model string, link string, settings string")
+    row = (config.version, model, link, config.use_class_text, config.use_mentions, list(config.run_folds), str(config))
+    settings = spark.createDataFrame([row], SETTINGS)
     if not tables.write_new_version(settings, f"{inputs.output}/runs/{config.version}"):
         raise VersionExists(config.version)
     rows = training_rows(spark, inputs, config)
@@ -119,38 +127,58 @@ def data_report(spark: SparkSession, inputs: Inputs, config: RunConfig) -> tuple
     )
 
 
-def predict_version(
-    spark: SparkSession, inputs: Inputs, config: RunConfig, link: str = "identity"
-) -> DataFrame:
-    """Score the test rows with all fold models; the row mean is the submission."""
+def stored_settings(spark: SparkSession, inputs: Inputs, version: str):
+    """What a version was trained with: model, link, flags and folds."""
+    return spark.read.schema(SETTINGS).parquet(f"{inputs.output}/runs/{version}").first()
+
+
+def predict_version(spark: SparkSession, inputs: Inputs, version: str) -> DataFrame:
+    """Score the test rows with all fold models of a version, by its own link and flags; the row mean is the submission."""
+    own = stored_settings(spark, inputs, version)
+    config = RunConfig(version, use_class_text=own.use_class_text, use_mentions=own.use_mentions)
     test = _enriched(tables.read_csv(spark, inputs.test, schemas.PAIRS_TEST), inputs.sections, inputs.classes, config)
     texts = enrich.with_model_text(test, config.use_class_text, config.use_mentions)
-    models = base_models.load_models(f"{inputs.output}/models", config.version, config.run_folds)
-    wide = base_models.fold_predictions(base_models.with_features(texts), models, link)
-    names = [f"pred_{fold}" for fold in config.run_folds]
-    long = wide.unpivot(["id"], names, "name", "pred").select(
-        "id", F.split_part("name", F.lit("_"), F.lit(2)).cast("int").alias("fold"), "pred"
-    )
-    path = f"{inputs.output}/test/version={config.version}"
-    long.write.mode("errorifexists").parquet(path)
-    stored = spark.read.schema(long.schema).parquet(path)
-    submission = stored.groupBy("id").agg(F.avg("pred").alias("score"))
-    target = f"{inputs.output}/submission/{config.version}"
+    models = base_models.load_models(f"{inputs.output}/models", version, tuple(own.folds))
+    wide = base_models.fold_predictions(base_models.with_features(texts), models, own.link)
+    path = f"{inputs.output}/test/version={version}"
+    wide.write.mode("errorifexists").parquet(path)
+    stored = spark.read.schema(wide.schema).parquet(path)
+    submission = stored.select("id", row_mean([f"pred_{fold}" for fold in own.folds]).alias("score"))
+    target = f"{inputs.output}/submission/{version}"
     tables.write_csv(submission, target)
     return tables.read_csv(spark, target, schemas.SUBMISSION)
 
 
+def test_matrix(spark: SparkSession, inputs: Inputs, versions: list[str], folds: list[int]) -> DataFrame:
+    """The stored test predictions, one column for each version and fold; versions meet by id."""
+    schema = "id string, " + ", ".join(f"pred_{fold} double" for fold in folds)
+    parts = [
+        spark.read.schema(schema)
+        .parquet(f"{inputs.output}/test/version={version}")
+        .withColumnsRenamed({f"pred_{fold}": f"{version}_fold_{fold}" for fold in folds})
+        for version in versions
+    ]
+    return reduce(lambda left, right: left.join(right, "id"), parts)
+
+
 def stack_versions(
     spark: SparkSession, inputs: Inputs, config: StackConfig, folds: list[int], name: str = "stack"
 ) -> DataFrame:
-    """Meta-training over stored predictions, leaderboard, marker, and the stacked submission."""
+    """Meta-training over stored predictions: leaderboard, marker, grids, curves and meta-models, and the submission."""
     versions = list(config.versions)
     long = tables.read_versions(spark, f"{inputs.output}/oof", versions).filter(F.col("fold").isin(folds))
     stack = stacking.train_stack(stacking.combined_oof(long, versions), config)
     tables.write_csv(stack.mean_scores.orderBy("dataset", "model"), f"{inputs.output}/stack/{name}/leaderboard")
     tables.write_marker(stack.best, f"{inputs.output}/stack/{name}/best")
-    test = spark.read.schema("id string, fold int, pred double, version string").parquet(f"{inputs.output}/test")
-    matrix = stacking.fold_matrix(test.filter(F.col("version").isin(versions)), versions, folds)
+    stacking.save_stack(stack, f"{inputs.output}/stack/{name}")
+    return predict_stack(spark, inputs, config, folds, name)
+
+
+def predict_stack(spark: SparkSession, inputs: Inputs, config: StackConfig, folds: list[int], name: str = "stack") -> DataFrame:
+    """The stacked submission from stored meta-models; no training, any session."""
+    versions = list(config.versions)
+    stack = stacking.load_stack(spark, f"{inputs.output}/stack/{name}")
     target = f"{inputs.output}/submission/{name}"
-    tables.write_csv(stacking.stacked_scores(matrix, stack, versions, folds), target)
+    scores = stacking.stacked_scores(test_matrix(spark, inputs, versions, folds), stack, versions, folds)
+    tables.write_csv(scores, target, mode="overwrite")
     return tables.read_csv(spark, target, schemas.SUBMISSION)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import RandomForestRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.config import StackConfig
+from pairloom.functions import metrics
 from pairloom.functions.arrays import binary_digits
 from pairloom.operators import evaluation
 from pairloom.operators.rank_cuts import assign_repeated_split, assign_split
@@ -121,6 +124,61 @@ def train_stack(oof: DataFrame, config: StackConfig) -> Stack:
     return Stack(leaderboard, mean_scores, best, predicted, features, linear, linear_scores, rf_scores, forests)
 
 
+GRIDS = {
+    "linear": (moments.PARAMS, [("l1_ratio", "fit_intercept"), ("alpha", "fit_intercept")]),
+    "forest": (forest.PARAMS, [(name, None) for name in forest.PARAMS]),
+}
+
+
+def grid_report(scores: DataFrame, params: list[str], axes: list[tuple[str, str | None]]) -> tuple[DataFrame, DataFrame]:
+    """Mean and deviation of every setting, and for each metric and axis the curve through each fold's best setting."""
+    summary = evaluation.split_summary(scores, ["fold", *params], list(metrics.SCORERS))
+    curves = []
+    for value in metrics.SCORERS:
+        tested = summary.filter((F.col("sample") == "test") & F.col(f"mean_{value}").isNotNull())
+        order = F.struct(F.col(f"mean_{value}"), *[-F.col(p).cast("double") for p in params])
+        best = tested.groupBy("fold").agg(F.max_by(F.struct(*params), order).alias("_best"))
+        for x, series in axes:
+            fixed = [p for p in params if p not in (x, series)]
+            chosen = summary.join(best, "fold").filter(reduce(and_, [F.col(p) == F.col(f"_best.{p}") for p in fixed], F.lit(True)))
+            lines = ["fold"] + ([series] if series else [])
+            curve = evaluation.curve_rows(chosen, x, lines, value)
+            label = F.col(series).cast("string") if series else F.lit(None).cast("string")
+            marked = curve.withColumns({"metric": F.lit(value), "param": F.lit(x), "series": label})
+            curves.append(marked.select("fold", "metric", "param", "series", "sample", "part", F.col("ord").cast("long"), "x", "y"))
+    return summary, reduce(DataFrame.unionByName, curves)
+
+
+def save_stack(stack: Stack, path: str) -> None:
+    """Grids, their summaries and curves, and what scoring needs: features, winner and meta-models."""
+    for kind, scores in (("linear", stack.linear_scores), ("forest", stack.forest_scores)):
+        if scores is not None:
+            kept = written(scores, f"{kind}-scores")
+            kept.write.parquet(f"{path}/grid/{kind}/scores")
+            summary, curves = grid_report(kept, *GRIDS[kind])
+            summary.write.parquet(f"{path}/grid/{kind}/summary")
+            curves.write.parquet(f"{path}/grid/{kind}/curves")
+    spark = stack.best.sparkSession
+    winner = stack.best.first()
+    folds = sorted(stack.forests)
+    row = (winner.model if winner else None, stack.features, stack.linear is not None, folds)
+    spark.createDataFrame([row], "model string, features array<string>, linear boolean, forests array<int>").write.parquet(f"{path}/meta")
+    if stack.linear is not None:
+        stack.linear.write.parquet(f"{path}/models/linear")
+    for fold, model in stack.forests.items():
+        model.write().save(f"{path}/models/forest/fold={fold}")
+
+
+def load_stack(spark: SparkSession, path: str) -> Stack:
+    """The stored winner and meta-models, enough for ``stacked_scores``."""
+    meta = spark.read.parquet(f"{path}/meta").first()
+    best = spark.createDataFrame([(meta.model,)], "model string")
+    linear = spark.read.parquet(f"{path}/models/linear") if meta.linear else None
+    forests = {fold: RandomForestRegressionModel.load(f"{path}/models/forest/fold={fold}") for fold in meta.forests}
+    none = spark.createDataFrame([], "model string")
+    return Stack(none, none, best.filter("model IS NOT NULL"), none, list(meta.features), linear, forests=forests)
+
+
 def stacked_scores(matrix: DataFrame, stack: Stack, versions: list[str], folds: list[int]) -> DataFrame:
     """Final scores: the winning model of each fold on that fold's columns, averaged in the row."""
     winner = stack.best.first()

@@ -1,8 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.config import ElasticNetGrid, RunConfig, StackConfig
-from pairloom.plans import runs
+from pairloom.config import ElasticNetGrid, ForestGrid, RunConfig, StackConfig
+from pairloom.plans import runs, stacking
 from pairloom.session import scratch_path
 from pairloom.sources import schemas, tables, views
 
@@ -25,20 +25,43 @@ def test_train_predict_stack(spark, inputs):
 
     plain = replace(inputs, translated=None)
     for version, link in (("one", "identity"), ("two", "sigmoid")):
-        config = RunConfig(version=version, n_folds=2)
+        config = RunConfig(version=version, n_folds=2, use_class_text=version == "one")
         scores = runs.train_version(spark, plain, config, "linear", link).collect()
         assert {row.fold for row in scores} == {0, 1, None} and all(row.pearson > 0.8 for row in scores)
-        submission = runs.predict_version(spark, plain, config, link)
+        assert runs.stored_settings(spark, plain, version).link == link
+        submission = runs.predict_version(spark, plain, version)
         assert submission.count() == submission.select("id").distinct().count() == 150
+    linked = tables.read_csv(spark, f"{plain.output}/submission/two", schemas.SUBMISSION)
+    assert linked.filter("score <= 0.4 OR score >= 0.8").count() == 0  # a sigmoid of scores between 0 and 1
     with pytest.raises(runs.VersionExists):
         runs.train_version(spark, plain, RunConfig(version="one", n_folds=2))
-    config = StackConfig(("one", "two"), learners=("en",), elastic_net=ElasticNetGrid(alpha=(0.0, 0.2)))
-    final = runs.stack_versions(spark, plain, config, [0, 1])
-    assert final.count() == 150 and final.filter("score IS NULL").count() == 0
-    marker = tables.read_marker(spark, f"{plain.output}/stack/stack/best").first()
-    assert marker.best_model in ("en", "one", "two")
-    board = tables.read_csv(spark, f"{plain.output}/stack/stack/leaderboard", schemas.LEADERBOARD)
-    assert board.count() == 6
+    config = StackConfig(
+        ("one", "two"),
+        n_splits=2,
+        elastic_net=ElasticNetGrid(alpha=(0.0, 0.2)),
+        forest=ForestGrid(n_estimators=(5,), max_depth=(2, 3), min_samples_split=(2,)),
+    )
+    final = {row.id: row.score for row in runs.stack_versions(spark, plain, config, [0, 1]).collect()}
+    assert len(final) == 150 and None not in final.values()
+    place = f"{plain.output}/stack/stack"
+    marker = tables.read_marker(spark, f"{place}/best").first()
+    assert marker.best_model in ("en", "rf", "one", "two")
+    assert tables.read_csv(spark, f"{place}/leaderboard", schemas.LEADERBOARD).count() == 8
+    # Stored models give the same scores without training, whichever wins.
+    again = runs.predict_stack(spark.newSession(), plain, config, [0, 1])
+    assert {row.id: row.score for row in again.collect()} == final
+    stack = stacking.load_stack(spark, place)
+    assert set(stack.forests) == {0, 1}
+    matrix = runs.test_matrix(spark, plain, ["one", "two"], [0, 1])
+    for winner in ("en", "rf"):
+        chosen = replace(stack, best=spark.createDataFrame([(winner,)], "model string"))
+        assert stacking.stacked_scores(matrix, chosen, ["one", "two"], [0, 1]).filter("score IS NOT NULL").count() == 150
+    for kind, settings, axes in (("linear", 2 * 2 * 6, 2), ("forest", 2, 3)):
+        summary = spark.read.parquet(f"{place}/grid/{kind}/summary")
+        assert summary.count() == 2 * settings * 2
+        curves = spark.read.parquet(f"{place}/grid/{kind}/curves")
+        assert curves.select("metric", "param").distinct().count() == 4 * axes
+        assert curves.filter("part = 'band'").count() == 2 * curves.filter("part = 'line' AND sample = 'test'").count()
 
 
 def test_translated_rows_join_the_training_set(spark, inputs):
