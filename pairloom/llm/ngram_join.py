@@ -11,8 +11,9 @@
 
 Tiles below ``FEW`` sets hand on all their pairs. Of larger ones, whose sets bring their bitmaps along, a first round
 hands on each set with the one of the best bound, which ties the sets of a large group to its centre; the second round
-hands on every pair with a high enough bound whose sets are still in different groups. So no link between groups is
-lost, and no group is expanded into its pairs.
+hands on every pair with a high enough bound whose sets are still in different groups. Alike sets meet in many tiles;
+a pair with a common shingle among the first ``LEAD`` of both is handed on by the tile of the least such one only. So no
+link between groups is lost, and no group is expanded into its pairs.
 
 Defined results: texts with fewer words than a shingle count as one shingle, texts without words (or null) are
 empty sets, linked with nothing; equal texts share a group (the group's name is the least id); null ids are named
@@ -44,6 +45,7 @@ BLOCK = 4096  # sets of a tile that meet in one block
 FEW = 8  # sets of a tile whose pairs are all handed on
 LEAST_BITS = 1024  # of a bitmap; larger sets have a bit for each member at least
 PAIRS_TOGETHER = 100_000  # pairs of a tile that are bounded together
+LEAD = 4  # earliest shingles that tell whether a pair belongs to another tile
 FILTER_BITS = 25  # places in the fixed-size filter of wanted texts
 
 
@@ -197,11 +199,13 @@ def _early(texts: DataFrame, width: int, alike: int, common) -> DataFrame:
     return texts.select("_text").mapInArrow(early, "f1 long, f2 long, n int, rare array<long>, often array<long>")
 
 
-def _tiles(texts: DataFrame, sets: DataFrame, width: int, alike: int, common) -> DataFrame:
-    """h, lo, hi (the tile), part, sid, n, size: the sets that share an early shingle with another one."""
+def _tiles(texts: DataFrame, sets: DataFrame, width: int, alike: int, common) -> tuple[DataFrame, DataFrame]:
+    """h, lo, hi (the tile), part, sid, n, size of the sets that share an early shingle with another one; and sid, lead."""
     early = _early(texts, width, alike, common).filter("n > 0").groupBy("f1", "f2")
     early = early.agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("often").alias("often"))
-    placed = written(early.join(sets.select("f1", "f2", "sid"), ["f1", "f2"]).select("sid", "n", "rare", "often"), "early")
+    lead = F.slice(F.concat("rare", "often"), 1, LEAD).alias("lead")
+    placed = early.join(sets.select("f1", "f2", "sid"), ["f1", "f2"]).select("sid", "n", "rare", "often", lead)
+    placed = written(placed, "early")
     rare = placed.select("sid", "n", F.explode("rare").alias("h"))
     rare = rare.withColumn("size", F.count("*").over(Window.partitionBy("h"))).filter("size > 1")
     often = placed.select("sid", "n", F.explode("often").alias("h"))
@@ -211,7 +215,7 @@ def _tiles(texts: DataFrame, sets: DataFrame, width: int, alike: int, common) ->
     rows = rows.withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     lo, hi = F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")
-    return written(rows.select("h", lo, hi, "part", "sid", "n", "size"), "tiles")
+    return written(rows.select("h", lo, hi, "part", "sid", "n", "size"), "tiles"), placed.select("sid", "lead")
 
 
 TILE = ["h", "lo", "hi"]
@@ -280,10 +284,18 @@ def tile_pairs(n: np.ndarray, sigs: list[bytes], apart, alike: int):
             yield a[good], b[good], bound[good]
 
 
+def elsewhere(lead_a: np.ndarray, lead_b: np.ndarray, h: int) -> np.ndarray:
+    """Which pairs another tile than that of ``h`` hands on; leads are padded with the greatest number."""
+    top = np.iinfo(np.int64).max
+    same = (lead_a[:, :, None] == lead_b[:, None, :]).any(2)
+    least = np.where(same, lead_a, top).min(1)
+    return (least != top) & (least != h)
+
+
 def _pairs(tiles: DataFrame, sets: DataFrame, groups: DataFrame | None, alike: int) -> DataFrame:
     """Distinct pairs (a < b) of sets to decide; ``groups`` (node, component) of the first round for the second one."""
     few = tiles.filter(F.col("size") < FEW).repartition(*TILE).sortWithinPartitions(*TILE, "n", "sid")
-    many = tiles.filter(F.col("size") >= FEW).join(sets.select("sid", "sig"), "sid")
+    many = tiles.filter(F.col("size") >= FEW).join(sets.select("sid", "sig", "lead"), "sid")
     if groups is None:
         many = many.withColumn("group", F.col("sid"))
     else:
@@ -311,8 +323,12 @@ def _pairs(tiles: DataFrame, sets: DataFrame, groups: DataFrame | None, alike: i
             yield batch(*map(np.concatenate, found))
 
     def meet_many(batches):
-        for rows in _whole_tiles(batches, (*TILE, "part", "sid", "n", "group", "sig")):
+        top = np.iinfo(np.int64).max
+        for rows in _whole_tiles(batches, (*TILE, "part", "sid", "n", "group", "sig", "lead")):
             group, part, sid = rows["group"], rows["part"], rows["sid"]
+            lead = np.full((len(sid), LEAD), top, np.int64)
+            for place, known in enumerate(rows["lead"]):
+                lead[place, : len(known)] = known
             split = rows["lo"][0] != rows["hi"][0]
 
             def apart(i, j):
@@ -320,6 +336,8 @@ def _pairs(tiles: DataFrame, sets: DataFrame, groups: DataFrame | None, alike: i
 
             parts = list(tile_pairs(rows["n"].astype(np.int64), list(rows["sig"]), apart, alike))
             i, j, bound = (np.concatenate(column) for column in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 3
+            here = ~elsewhere(lead[i], lead[j], rows["h"][0])
+            i, j, bound = i[here], j[here], bound[here]
             if first_round and len(i):  # each set with its best one
                 own, other = np.concatenate([i, j]), np.concatenate([j, i])
                 order = np.lexsort((sid[other], -np.concatenate([bound, bound]), own))
@@ -402,10 +420,11 @@ def near_groups(
     sets = sets.agg(F.min("t").alias("sid"), F.min("_id").alias("least"), one.alias("one"))
     sets = written(sets.select("f1", "f2", "sid", "least", "one.*"), "sets")
     common = spark.sparkContext.broadcast(common_shingles(texts, width))
-    tiles = _tiles(texts, sets, width, alike, common)
-    links = _links(_pairs(tiles, sets, None, alike), texts, sets, width, alike)
+    tiles, leads = _tiles(texts, sets, width, alike, common)
+    marked = sets.join(leads, "sid")
+    links = _links(_pairs(tiles, marked, None, alike), texts, sets, width, alike)
     groups = written(components(links), "first-groups")
-    more = _links(_pairs(tiles, sets, groups, alike), texts, sets, width, alike)
+    more = _links(_pairs(tiles, marked, groups, alike), texts, sets, width, alike)
     # What the second round links are groups of the first one.
     roots = more
     for side in ("a", "b"):
