@@ -12,8 +12,8 @@
 Tiles below ``FEW`` sets hand on all their pairs. Of larger ones, whose sets bring their bitmaps along, a first round
 hands on each set with the one of the best bound, which ties the sets of a large group to its centre; the second round
 hands on every pair with a high enough bound whose sets are still in different groups. Alike sets meet in many tiles;
-a pair with a common shingle among the first ``LEAD`` of both is handed on by the tile of the least such one only. So no
-link between groups is lost, and no group is expanded into its pairs.
+a pair with a common one among the ``LEAD`` least larger tiles of both is handed on by the least such one only. So no link
+between groups is lost, and no group is expanded into its pairs.
 
 Defined results: texts with fewer words than a shingle count as one shingle, texts without words (or null) are
 empty sets, linked with nothing; equal texts share a group (the group's name is the least id); null ids are named
@@ -45,7 +45,7 @@ BLOCK = 4096  # sets of a tile that meet in one block
 FEW = 8  # sets of a tile whose pairs are all handed on
 LEAST_BITS = 1024  # of a bitmap; larger sets have a bit for each member at least
 PAIRS_TOGETHER = 100_000  # pairs of a tile that are bounded together
-LEAD = 4  # earliest shingles that tell whether a pair belongs to another tile
+LEAD = 4  # larger tiles of a set that tell whether a pair belongs to another one
 FILTER_BITS = 25  # places in the fixed-size filter of wanted texts
 
 
@@ -199,13 +199,11 @@ def _early(texts: DataFrame, width: int, alike: int, common) -> DataFrame:
     return texts.select("_text").mapInArrow(early, "f1 long, f2 long, n int, rare array<long>, often array<long>")
 
 
-def _tiles(texts: DataFrame, sets: DataFrame, width: int, alike: int, common) -> tuple[DataFrame, DataFrame]:
-    """h, lo, hi (the tile), part, sid, n, size of the sets that share an early shingle with another one; and sid, lead."""
+def _tiles(texts: DataFrame, sets: DataFrame, width: int, alike: int, common) -> DataFrame:
+    """h, lo, hi (the tile), part, sid, n, size: the sets that share an early shingle with another one."""
     early = _early(texts, width, alike, common).filter("n > 0").groupBy("f1", "f2")
     early = early.agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("often").alias("often"))
-    lead = F.slice(F.concat("rare", "often"), 1, LEAD).alias("lead")
-    placed = early.join(sets.select("f1", "f2", "sid"), ["f1", "f2"]).select("sid", "n", "rare", "often", lead)
-    placed = written(placed, "early")
+    placed = written(early.join(sets.select("f1", "f2", "sid"), ["f1", "f2"]).select("sid", "n", "rare", "often"), "early")
     rare = placed.select("sid", "n", F.explode("rare").alias("h"))
     rare = rare.withColumn("size", F.count("*").over(Window.partitionBy("h"))).filter("size > 1")
     often = placed.select("sid", "n", F.explode("often").alias("h"))
@@ -215,7 +213,7 @@ def _tiles(texts: DataFrame, sets: DataFrame, width: int, alike: int, common) ->
     rows = rows.withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     lo, hi = F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")
-    return written(rows.select("h", lo, hi, "part", "sid", "n", "size"), "tiles"), placed.select("sid", "lead")
+    return written(rows.select("h", lo, hi, "part", "sid", "n", "size"), "tiles")
 
 
 TILE = ["h", "lo", "hi"]
@@ -295,14 +293,15 @@ def elsewhere(lead_a: np.ndarray, lead_b: np.ndarray, h: int) -> np.ndarray:
 def _pairs(tiles: DataFrame, sets: DataFrame, groups: DataFrame | None, alike: int) -> DataFrame:
     """Distinct pairs (a < b) of sets to decide; ``groups`` (node, component) of the first round for the second one."""
     few = tiles.filter(F.col("size") < FEW).repartition(*TILE).sortWithinPartitions(*TILE, "n", "sid")
-    many = tiles.filter(F.col("size") >= FEW).join(sets.select("sid", "sig", "lead"), "sid")
+    many = tiles.filter(F.col("size") >= FEW)
     if groups is None:
         many = many.withColumn("group", F.col("sid"))
-    else:
+    else:  # only tiles of several groups go on, before bitmaps join them
         many = many.join(groups.withColumnRenamed("node", "sid"), "sid", "left")
         many = many.withColumn("group", F.coalesce("component", "sid")).drop("component")
         mixed = many.groupBy(*TILE).agg((F.min("group") != F.max("group")).alias("mixed")).filter("mixed").drop("mixed")
         many = many.join(mixed, TILE, "left_semi")
+    many = many.join(sets.select("sid", "sig", "lead"), "sid")
     many = many.repartition(*TILE).sortWithinPartitions(*TILE, "n", "sid")
     first_round = groups is None
 
@@ -420,8 +419,10 @@ def near_groups(
     sets = sets.agg(F.min("t").alias("sid"), F.min("_id").alias("least"), one.alias("one"))
     sets = written(sets.select("f1", "f2", "sid", "least", "one.*"), "sets")
     common = spark.sparkContext.broadcast(common_shingles(texts, width))
-    tiles, leads = _tiles(texts, sets, width, alike, common)
-    marked = sets.join(leads, "sid")
+    tiles = _tiles(texts, sets, width, alike, common)
+    # The least tiles of each set, as far as they are not small; at most as many as its early shingles.
+    leads = tiles.filter(F.col("size") >= FEW).groupBy("sid").agg(F.array_sort(F.collect_set("h")).alias("tiles"))
+    marked = written(sets.join(leads, "sid").select("sid", "sig", F.slice("tiles", 1, LEAD).alias("lead")), "leads")
     links = _links(_pairs(tiles, marked, None, alike), texts, sets, width, alike)
     groups = written(components(links), "first-groups")
     more = _links(_pairs(tiles, marked, groups, alike), texts, sets, width, alike)
