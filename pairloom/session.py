@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
 
@@ -33,7 +35,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "pairloom
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder of the session.
 
-    Only a local master without that setting falls back to a folder of this machine.
+    Only a local master without that setting falls back to a folder of this machine, which goes with the process.
     """
     global _local_scratch
     base = spark.conf.get(CHECKPOINT_DIR, None)
@@ -42,6 +44,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
         if _local_scratch is None:
             _local_scratch = tempfile.mkdtemp(prefix="pairloom-")
+            atexit.register(shutil.rmtree, _local_scratch, ignore_errors=True)
         base = _local_scratch
     return f"{base.rstrip('/')}/pairloom/{name}-{uuid.uuid4().hex}"
 
