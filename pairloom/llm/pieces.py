@@ -17,8 +17,8 @@ import os
 import numpy as np
 import pyarrow as pa
 
-MEMO_PIECES = 400_000  # distinct pieces remembered by a task before it starts afresh
-BLOCK_BYTES = 8 << 20  # text bytes looked at together
+MEMO_PIECES = 300_000  # distinct pieces remembered by a task before it starts afresh
+BLOCK_BYTES = 3 << 20  # text bytes looked at together
 
 
 def read_tokenizer(path: str) -> str:
