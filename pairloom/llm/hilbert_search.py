@@ -4,15 +4,20 @@ Largest inner product becomes least distance by one more component, which lifts
 (queries get 0 there). Each curve projects the lifted vectors to a few random directions, shifts them, and orders them
 along a Hilbert curve. Spark range-partitions the order; places in it are cut into tiles of ``TILE`` rows.
 A query visits the tiles around its own place, ``reach`` of the table to either side, and takes its best of each. The
-finds of all tiles and curves are merged, and the best are ranked again by the exact product of the original vectors.
+finds of all tiles and curves are merged.
+
+Equal vectors are placed and asked for once. Of equal vectors only the ``k`` + 1 smallest ids can be returned (one may be
+the query's own), so these stand for the group. A tile gives the ``k`` + 1 best ids of a query: rounded products only
+rule out what lies below the last of them by more than any rounding, and what is left is ranked by the product summed
+in the order of the components, the one that is returned. Nothing that could be among the best of the visited tiles is
+left out, ties included.
 
 ``reach`` is a share of the table. How much recall it buys depends on the vectors: where they have no structure
 (independent directions in 64 dimensions) neighbours in space are hardly nearer on any curve, and only wide windows
 find them; clustered vectors do with far less.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take
-no part, nor do rows without an id; a row that repeats an id counts once for each vector it has, by its best score;
-ties go to the smaller id; fewer candidates than ``k`` give them all.
+no part, nor do rows without an id; a repeated id counts once, by the best of its vectors; ties go to the smaller id; fewer candidates than ``k`` give them all.
 """
 
 from __future__ import annotations
@@ -31,7 +36,6 @@ DIRECTIONS = 10
 BITS = 6
 TILE = 2048
 REACH = 0.2
-SPARE = 5  # finds beyond k that are ranked again, as sums in another order may swap near ties
 SEED = 3
 
 
@@ -82,6 +86,40 @@ def usable(vector: Column, size: int) -> Column:
     return (F.size(vector) == size) & finite & F.exists(number, lambda x: x != 0)
 
 
+class Tile:
+    """Ids and vectors of a tile, by id; the best ids of any queries."""
+
+    def __init__(self, ids: np.ndarray, points: np.ndarray):
+        self.ids, code = np.unique(ids, return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        self.code, self.points = code[order], points[order]
+        self.starts = np.searchsorted(self.code, np.arange(len(self.ids)))
+        self.longest = np.sqrt((points * points).sum(1).max())
+
+    def best(self, asks: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of ``asks``, id and score of the ``most`` best ids of each row, ties to the smaller id."""
+        count, size = asks.shape
+        scores = asks @ self.points.T
+        by_id = scores if len(self.ids) == len(self.code) else np.maximum.reduceat(scores, self.starts, axis=1)
+        most = min(most, len(self.ids))
+        level = np.partition(by_id, len(self.ids) - most, axis=1)[:, len(self.ids) - most]
+        lengths = np.sqrt((asks * asks).sum(1))
+        limits = np.finfo(np.float64)
+        margin = 4 * (size + 2) * (limits.eps * lengths * self.longest + limits.tiny)
+        row, at = np.nonzero(scores >= (level - margin)[:, None])
+        score = np.zeros(len(row))
+        for i in range(size):  # the order of sums that the ranking uses
+            score += asks[row, i] * self.points[at, i]
+        code = self.code[at]
+        order = np.lexsort((code, -score, row))
+        row, code, score = row[order], code[order], score[order]
+        if by_id is not scores:  # an id counts by its best vector
+            first = np.sort(np.unique(row * len(self.ids) + code, return_index=True)[1])
+            row, code, score = row[first], code[first], score[first]
+        kept = np.arange(len(row)) - np.searchsorted(row, np.arange(count))[row] < most
+        return row[kept], self.ids[code[kept]], score[kept]
+
+
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
 
@@ -102,7 +140,17 @@ def search(
     most = sizes.orderBy(F.desc("count"), F.desc("size")).first()
     size = most.size if most else 1
     numbers = F.transform("v", lambda x: x.cast("double"))
-    rows = written(rows.filter(usable(F.col("v"), size)).withColumn("v", numbers), "vectors")
+    rows = rows.filter(usable(F.col("v"), size)).withColumn("v", numbers)
+    same = [F.xxhash64("v", F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2")]  # 128 bits that stand for a vector
+    owned = rows.select("id", F.coalesce("query", F.lit(False)).alias("query"), *same, "v").groupBy("id", "h1", "h2")
+    owned = written(owned.agg(F.max("query").alias("query"), F.first("v").alias("v")), "vectors")
+    line = Window.partitionBy("h1", "h2").orderBy("id")
+    rows = owned.withColumn("_at", F.row_number().over(line)).filter(F.col("_at") <= k + 1)
+    rows = rows.select(F.lit(0).alias("kind"), "h1", "h2", "id", "v")
+    asked = owned.filter("query").dropDuplicates(["h1", "h2"])
+    asked = asked.select(F.lit(1).alias("kind"), "h1", "h2", F.lit(None).cast(owned.schema["id"].dataType).alias("id"), "v")
+    points = written(rows.unionByName(asked), "points")
+    rows = points.filter("kind = 0")
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     whole = rows.agg(F.count("*").alias("n"), F.max(square).alias("most"), F.avg(square).alias("mean")).first()
     places = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("mean")).collect()
@@ -118,33 +166,25 @@ def search(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = _matrix(batch.column("v"), size)
-            norms = (own * own).sum(1)
-            lift = np.sqrt(np.maximum(top - norms, 0.0))
-            asks = batch.column("query").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
-            as_query = own[asks] * np.sqrt(top / norms[asks])[:, None]
-            for kind, points, part in (
-                (0, np.column_stack([own, lift]), batch),
-                (1, np.column_stack([as_query, np.zeros(len(as_query))]), batch.filter(pa.array(asks))),
-            ):
+            kinds = batch.column("kind").to_numpy()
+            for kind in (0, 1):
+                part = batch.filter(pa.array(kinds == kind))
+                own = _matrix(part.column("v"), size)
+                norms = (own * own).sum(1)
+                if kind:
+                    lifted = np.column_stack([own * np.sqrt(top / norms)[:, None], np.zeros(len(own))])
+                else:
+                    lifted = np.column_stack([own, np.sqrt(np.maximum(top - norms, 0.0))])
                 for number, line in enumerate(lines):
-                    keys = line.keys(points, mean, spread)
-                    count = len(keys)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(count, number, np.int32)),
-                            pa.array(keys, pa.int64()),
-                            pa.array(np.full(count, kind, np.int32)),
-                            part.column("id"),
-                            part.column("v"),
-                        ],
-                        names=["curve", "key", "kind", "id", "v"],
-                    )
-
-    id_type = rows.schema["id"].dataType.simpleString()
-    line = rows.mapInArrow(keyed, f"curve int, key long, kind int, id {id_type}, v array<double>")
-    placed = numbered(line, [F.col("curve"), F.col("key"), F.col("kind"), F.col("id")], "curve-places", "place")
-    queries = rows.filter("query").count()
+                    keys = pa.array(line.keys(lifted, mean, spread), pa.int64())
+                    curve = pa.array(np.full(len(keys), number, np.int32))
+                    yield pa.RecordBatch.from_arrays([curve, keys, *part.columns], names=["curve", "key", *part.schema.names])
+
+    id_type = points.schema["id"].dataType.simpleString()
+    line = points.mapInArrow(keyed, f"curve int, key long, kind int, h1 long, h2 long, id {id_type}, v array<double>")
+    order = [F.col(c) for c in ("curve", "key", "kind", "h1", "h2", "id")]
+    placed = numbered(line, order, "curve-places", "place")
+    queries = points.filter("kind = 1").count()
     length = whole.n + queries  # rows of each curve
     placed = placed.withColumn("place", F.col("place") - F.col("curve") * F.lit(length))
     window = F.lit(max(int(2 * reach * length), 2 * k))
@@ -152,8 +192,8 @@ def search(
     stop = F.least(start + window, F.lit(length - 1))
     home = F.col("place") - F.col("place") % tile
     visited = F.sequence(F.floor(start / tile).cast("long"), F.floor(stop / tile).cast("long"))
-    asked = placed.filter("kind = 1").select("curve", F.explode(visited).alias("tile"), "kind", "id", "v")
-    held = placed.filter("kind = 0").select("curve", (home / tile).cast("long").alias("tile"), "kind", "id", "v")
+    asked = placed.filter("kind = 1").select("curve", F.explode(visited).alias("tile"), "kind", "h1", "h2", "id", "v")
+    held = placed.filter("kind = 0").select("curve", (home / tile).cast("long").alias("tile"), "kind", "h1", "h2", "id", "v")
     together = held.unionByName(asked).repartition("curve", "tile").sortWithinPartitions("curve", "tile", "kind")
 
     def look(batches):
@@ -173,39 +213,39 @@ def search(
                     ids.append(part.column("id").to_numpy(zero_copy_only=False))
                     points.append(_matrix(part.column("v"), size))
                 elif points:
-                    block = block or (np.concatenate(ids), np.concatenate(points))
-                    yield from best(part, *block)
+                    block = block or Tile(np.concatenate(ids), np.concatenate(points))
+                    yield from best(part, block)
 
-    def best(part, ids, points):
+    def best(part, block):
         for first in range(0, part.num_rows, 512):
             asks = part.slice(first, 512)
-            own = asks.column("id").to_numpy(zero_copy_only=False)
-            scores = _matrix(asks.column("v"), size) @ points.T
-            scores[own[:, None] == ids[None, :]] = -np.inf
-            keep = min(k + SPARE, len(ids))
-            at = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
-            found = np.take_along_axis(scores, at, 1)
-            bounds = pa.array(np.arange(0, at.size + 1, keep), pa.int32())
+            row, near, score = block.best(_matrix(asks.column("v"), size), k + 1)
+            bounds = pa.array(np.searchsorted(row, np.arange(asks.num_rows + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    asks.column("id"),
-                    pa.ListArray.from_arrays(bounds, pa.array(ids[at.ravel()], part.schema.field("id").type)),
-                    pa.ListArray.from_arrays(bounds, pa.array(found.ravel())),
+                    asks.column("h1"),
+                    asks.column("h2"),
+                    pa.ListArray.from_arrays(bounds, pa.array(near, part.schema.field("id").type)),
+                    pa.ListArray.from_arrays(bounds, pa.array(score)),
                 ],
-                names=["query_id", "ids", "scores"],
+                names=["h1", "h2", "ids", "scores"],
             )
 
-    found = together.mapInArrow(look, f"query_id {id_type}, ids array<{id_type}>, scores array<double>")
-    pairs = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("f"))
-    pairs = pairs.select("query_id", F.col("f.ids").alias("id"), F.col("f.scores").alias("near"))
-    pairs = pairs.filter(F.col("near") > float("-inf")).groupBy("query_id", "id").agg(F.max("near").alias("near"))
+    found = together.mapInArrow(look, f"h1 long, h2 long, ids array<{id_type}>, scores array<double>")
+    pairs = found.select("h1", "h2", F.explode(F.arrays_zip("ids", "scores")).alias("f"))
+    pairs = pairs.select("h1", "h2", F.col("f.ids").alias("id"), F.col("f.scores").alias("near"))
+    pairs = pairs.groupBy("h1", "h2", "id").agg(F.max("near").alias("near"))
+    order = Window.partitionBy("h1", "h2").orderBy(F.desc("near"), "id")
+    pairs = pairs.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= k + 1)
+    asks = owned.filter("query").select(F.col("id").alias("query_id"), "h1", "h2", F.col("v").alias("q"))
+    pairs = pairs.join(asks.drop("q"), ["h1", "h2"]).filter("id != query_id")
+    pairs = pairs.groupBy("query_id", "id").agg(F.max("near").alias("near"))
     order = Window.partitionBy("query_id")
-    pairs = pairs.withColumn("_at", F.row_number().over(order.orderBy(F.desc("near"), "id"))).filter(F.col("_at") <= k + SPARE)
-    ends = rows.select("id", "v")
-    asks = rows.filter("query").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    pairs = pairs.withColumn("_at", F.row_number().over(order.orderBy(F.desc("near"), "id"))).filter(F.col("_at") <= k)
+    # Scores by the best of all vectors of the two ids, visited or not.
+    ends = owned.select("id", "v")
     product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    exact = pairs.select("query_id", "id").join(ends, "id").join(asks, "query_id")
+    exact = pairs.select("query_id", "id").join(ends, "id").join(asks.select("query_id", "q"), "query_id")
     exact = exact.groupBy("query_id", "id").agg(F.max(product).alias("score"))
     rank = F.row_number().over(order.orderBy(F.desc("score"), "id")).alias("rank")
-    ranked = exact.select("query_id", rank, F.col("id").alias("vec_id"), "score")
-    return ranked.filter(F.col("rank") <= k)
+    return exact.select("query_id", rank, F.col("id").alias("vec_id"), "score")

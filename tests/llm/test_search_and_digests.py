@@ -69,6 +69,51 @@ def test_recall_of_many_tiles(spark):
     assert recall(frame, found) >= 0.9
 
 
+def whole(rows):
+    """Integer vectors, so that products are exact: the 20 best of all, by product and then by id."""
+    known = {i: v for i, v, _ in rows}
+    ids, points = np.array(list(known)), np.array(list(known.values()))
+    out = {}
+    for i in ids[ids % 20 == 0]:
+        near = points @ np.array(known[i])
+        out[i] = [j for j in ids[np.lexsort((ids, -near))] if j != i][:20]
+    return out
+
+
+def nearest(frame, **options):
+    out = {}
+    for r in hilbert_search.search(frame, F.col("vec_id") % 20 == 0, **options).orderBy("rank").collect():
+        out.setdefault(r.query_id, []).append(r.vec_id)
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"tile": 64, "reach": 0.5}])
+def test_equal_vectors_and_repeated_rows(spark, options):
+    """Groups larger than k, scattered over the files, and rows that stand three times."""
+    chance = np.random.default_rng(2)
+    points = chance.integers(-9, 10, (700, 64)).astype(float)
+    points[:300] = np.sign(points[:300])  # many ties of unequal vectors
+    rows = [(int(i), point.tolist(), 1) for i, point in zip(chance.permutation(700), points)]
+    copied = [(int(i), rows[650][1], 1) for i in chance.permutation(np.arange(1000, 1500))]
+    schema = "vec_id long, embedding array<double>, key int"
+    frame = spark.createDataFrame(rows + copied, schema).repartition(3)
+    assert nearest(frame, **options) == whole(rows + copied)
+    assert nearest(spark.createDataFrame(3 * rows, schema).repartition(3), **options) == whole(rows)
+
+
+def test_tile_keeps_the_best_ids():
+    chance = np.random.default_rng(5)
+    points = chance.integers(-1, 2, (900, 8)).astype(float)  # few vectors, so ties abound
+    ids, asks = chance.permutation(np.arange(900) // 3), chance.integers(-1, 2, (40, 8)).astype(float)
+    row, found, score = hilbert_search.Tile(ids, points).best(asks, 21)
+    for i, ask in enumerate(asks):
+        known = {}
+        for j, near in zip(ids, points @ ask):
+            known[j] = max(near, known.get(j, -np.inf))
+        best = sorted((-near, j) for j, near in known.items())[:21]
+        assert [(-s, j) for j, s in zip(found[row == i], score[row == i])] == best
+
+
 def test_entropy_bins():
     data = np.random.default_rng(1).integers(97, 110, 3000).astype(np.uint8)
     data[500:700] = 97
