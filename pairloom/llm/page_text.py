@@ -54,13 +54,15 @@ CLOSES_P = frozenset(
     "section table ul".split()
 )
 ROOTS = frozenset(["html", "body"])
+NAMED = frozenset(["article", "main"])
 
 
 class Block(NamedTuple):
     text: str
     tags: tuple[str, ...]  # open elements, outermost first
-    marks: tuple[str, ...]  # words of their class, id and role
+    marks: tuple[str, ...]  # words of their class, id and role, without html's and body's
     linked: int  # signs of the text inside links
+    inner: tuple[tuple[str, tuple[str, ...]], ...] = ()  # elements from the outermost article or main on, and their words
 
 
 def blocks(page: str) -> list[Block]:
@@ -76,8 +78,11 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(part for part, _ in parts)).split())
             if text:
                 linked = sum(len(part) for part, in_link in parts if in_link)
-                marks = tuple(mark for _, own in stack for mark in own)
-                found.append(Block(text, tuple(tag for tag, _ in stack if tag not in ROOTS), marks, linked))
+                around = [(tag, own) for tag, own in stack if tag not in ROOTS]
+                tags = tuple(tag for tag, _ in around)
+                named = next((i for i, tag in enumerate(tags) if tag in NAMED), len(tags))
+                marks = tuple(mark for _, own in around for mark in own)
+                found.append(Block(text, tags, marks, linked, tuple(around[named:])))
             parts = []
 
     def drop(index: int):
@@ -251,16 +256,36 @@ def _scaled(rest: float, main: float) -> tuple[float, float]:
 
 # ---- Labelled pages ---------------------------------------------------------------------------------------------
 
-NAMED = frozenset(["article", "main"])
 APART = frozenset("nav header footer aside form menu dialog head".split())
+APART_MARKS = frozenset(
+    "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments complementary "
+    "consent contentinfo cookie cookies footer menu modal nav navbar navigation newsletter notice pager pagination popup "
+    "promo promotion recommended related reply respond share sharing sidebar social sponsor sponsored subscribe "
+    "subscription widget".split()
+)
 
 
 def labelled_by_markup(page: str) -> tuple[list[Block], list[int]] | None:
-    """Blocks and labels of a page whose article is named by its markup, else None."""
+    """Blocks and labels of a page whose article is named by its markup, else None.
+
+    Names of adverts, comments and the like count on elements inside the article or main, not on these themselves (a
+    post may be called comments-open) nor around them. Comments may be articles inside main, so all below the outermost
+    one is judged; where that leaves nothing (a wrapper called with-sidebar), only what is below the innermost one.
+    """
     found = blocks(page)
-    if not any(NAMED & set(block.tags) for block in found):
-        return None
-    return found, [int(bool(NAMED & set(b.tags)) and not APART & set(b.tags) and not b.marks) for b in found]
+
+    def is_main(block: Block, innermost: bool) -> bool:
+        if not block.inner or APART & set(block.tags):
+            return False
+        last = max(i for i, (tag, _) in enumerate(block.inner) if tag in NAMED)
+        below = block.inner[last:] if innermost else block.inner
+        return not any(tag not in NAMED and APART_MARKS & set(own) for tag, own in below)
+
+    for innermost in (False, True):
+        labels = [int(is_main(block, innermost)) for block in found]
+        if MAIN in labels:
+            return found, labels
+    return None
 
 
 MAIN_SIGN = "\u0001"

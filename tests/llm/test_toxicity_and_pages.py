@@ -115,6 +115,35 @@ def test_path_is_the_likeliest(field):
         assert p == pytest.approx(sum(math.exp(weight(labels)) for labels in every if labels[i]) / total, rel=1e-6, abs=1e-9)
 
 
+WRAPPED = (
+    ('<body class="home blog">', "<article>", "</article>"),
+    ('<body><div id="page">', "<article>", "</article>"),
+    ("<body>", '<article class="post comments-open">', "</article>"),
+    ("<body>", '<main id="content"><div class="with-sidebar"><article id="post-1">', "</article></div></main>"),
+)
+
+
+@pytest.mark.parametrize("body, begin, end", WRAPPED)
+def test_names_around_the_article(spark, sf_dir, body, begin, end):
+    def wrapped(page):
+        return page.replace("<body>", body).replace("<article>", begin).replace("</article>", end)
+
+    found, labels = page_text.labelled_by_markup(wrapped(PAGE))
+    assert [b.text for b, y in zip(found, labels) if y] == ["Title & more", "First part of it.", "Second part."]
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").orderBy("page_id").limit(60).collect()]
+    field = page_text.train([wrapped(page) for page in pages])
+    assert field.main_text(wrapped(PAGE)) == "Title & more First part of it. Second part."
+
+
+def test_names_inside_the_article():
+    page = """<main><article class="post"><p class="lead">One.</p><div class="ad">Buy.</div><p>Two.</p></article>
+    <ol class="comment-list"><li class="comment"><article class="comment-body"><p>Nice.</p></article></ol></main>"""
+    found, labels = page_text.labelled_by_markup(page)
+    assert [b.text for b, y in zip(found, labels) if y] == ["One.", "Two."]
+    assert page_text.labelled_by_markup("<main><p class=ad>Buy.</p></main><p>x") is None
+    assert page_text.labelled_by_markup("<div class=home><p>x") is None
+
+
 def test_odd_pages(field, spark):
     rows = [(1, None), (2, ""), (None, PAGE), (3, PAGE), (3, PAGE), (4, "<p>" + "word " * 60_000), (5, "<<<>>><p"), (6, "</p></div>")]
     pages = spark.createDataFrame([(i, h, "x") for i, h in rows], "page_id long, html string, text string")
