@@ -84,6 +84,15 @@ def test_leaf_blocks():
     assert page_text.blocks("<p>never <b>closed <!-- x") [0].text == "never closed"
 
 
+def test_icons(field):
+    """A self-closed svg, and an element whose name only begins like one that is skipped, take no text with them."""
+    icons = ('<svg class="icon"/>', '<svg viewBox="0 0 1 1" />', "<svg/>", "<svg><path d='M0'/>x</svg>", "<svg-icon></svg-icon>")
+    for icon in icons:
+        assert " ".join(b.text for b in page_text.blocks(f"<p>a {icon} b<p>c")) == "a b c"
+        page = PAGE.replace("First", f"{icon}First")
+        assert field.main_text(page) == "Title & more First part of it. Second part."
+
+
 def test_held_out_layouts(field, spark, sf_dir):
     pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(40).collect()]
     texts = [b.text for page in pages for b in page_text.blocks(page)]
