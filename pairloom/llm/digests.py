@@ -14,8 +14,9 @@ following one's beginning. Texts are range-partitioned once; only the first and
 neighbouring ranges, as a table of two rows for each range.
 
 Defined results: null texts count as empty and have an empty fingerprint, alike to empty ones only (1.0, else 0.0); texts
-shorter than two windows have every stretch of ``SHORT`` bytes (or all of them) as a feature; equal texts have equal fingerprints; null ids come last; equal ids go by
-text; the only text of a table follows itself.
+shorter than ``LEAST_BYTES`` and any with fewer than ``FEW`` windows as features have every stretch of ``SHORT`` bytes (or
+all of them) as a feature instead, so only empty texts have an empty fingerprint; equal texts have equal fingerprints; null
+ids come last; equal ids go by text; the only text of a table follows itself.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ from pairloom.session import written
 
 WINDOW = 64
 SHORT = 8
+LEAST_BYTES = 8 * WINDOW  # below, windows are too few to tell a text from its edited form
+FEW = 4
 BINS = 1000
 LEAST_BIN = 100
 POINTS = 16
@@ -105,44 +108,69 @@ def rarity(texts: DataFrame, text: str) -> list[int]:
 
 def features(offsets: np.ndarray, data: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Owner and hash of the features of all texts, in order of place; each hash once for a text."""
-    bins = entropy_bins(data)
     sizes = np.diff(offsets)
-    place, owner, ends = [], [], []
+    signs = data.astype(np.uint64) + np.uint64(1)
+    place, owner, ends = _windows(offsets, data, ranks)
+    large = sizes[owner] >= LEAST_BYTES
+    small = _stretches(offsets, np.flatnonzero((sizes > 0) & (sizes < LEAST_BYTES)))
+    place, owner, ends = (np.concatenate([a[large], b]) for a, b in zip((place, owner, ends), small))
+    place, owner, hashes = _once(place, owner, ends, signs)
+    few = (sizes >= LEAST_BYTES) & (np.bincount(owner, minlength=len(sizes)) < FEW)
+    if few.any():
+        kept = ~few[owner]
+        more = _once(*_stretches(offsets, np.flatnonzero(few)), signs)
+        place, owner, hashes = (np.concatenate([a[kept], b]) for a, b in zip((place, owner, hashes), more))
+    order = np.lexsort((place, owner))
+    return owner[order], hashes[order]
+
+
+def _stretches(offsets: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, owner and end of all stretches of SHORT bytes, or the whole text if it is shorter."""
+    if not len(texts):
+        return texts, texts, texts
+    sizes = offsets[texts + 1] - offsets[texts]
+    width = np.minimum(SHORT, sizes)
+    counts = sizes - width + 1
+    at = spans(offsets[texts], counts)
+    return at, np.repeat(texts, counts), at + np.repeat(width, counts)
+
+
+def _windows(offsets: np.ndarray, data: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, owner and end of the windows that win enough neighbourhoods of their text."""
+    none = np.zeros(0, np.int64)
+    bins = entropy_bins(data)
     size = len(bins)
-    if size:
-        key = ranks[bins].astype(np.int64) << 40 | np.arange(size)
-        least, reach = key, 1
-        while reach < WINDOW:
-            step = min(reach, WINDOW - reach)
-            least = np.minimum(least[: len(least) - step], least[step:]) if len(least) > step else least[:0]
-            reach += step
-        groups = sizes - 2 * WINDOW + 2  # groups of WINDOW windows that lie inside one text
-        many = np.flatnonzero(groups > 0)
-        if len(many):
-            starts, counts = offsets[many], groups[many]
-            at = spans(starts, counts)
-            won = least[at] & ((1 << 40) - 1)
-            points = np.bincount(won, minlength=size)
-            text = np.repeat(many, counts)
-            enough = np.minimum(POINTS, groups[text])
-            fresh = np.ones(len(won), bool)
-            fresh[1:] = won[1:] != won[:-1]
-            hit = fresh & (points[won] >= enough) & (bins[won] >= LEAST_BIN)
-            place.append(won[hit]), owner.append(text[hit]), ends.append(won[hit] + WINDOW)
-    for i in np.flatnonzero((sizes > 0) & (sizes < 2 * WINDOW - 1)):
-        start, width = int(offsets[i]), min(SHORT, int(sizes[i]))
-        at = np.arange(start, start + int(sizes[i]) - width + 1)
-        place.append(at), owner.append(np.full(len(at), i)), ends.append(at + width)
-    if not place:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    place, owner, ends = (np.concatenate(part).astype(np.int64) for part in (place, owner, ends))
-    hashes = words.stretches(data.astype(np.uint64) + np.uint64(1), place, ends)
+    groups = np.diff(offsets) - 2 * WINDOW + 2  # groups of WINDOW windows that lie inside one text
+    many = np.flatnonzero(groups > 0)
+    if not len(many):
+        return none, none, none
+    key = ranks[bins].astype(np.int64) << 40 | np.arange(size)
+    least, reach = key, 1
+    while reach < WINDOW:
+        step = min(reach, WINDOW - reach)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        reach += step
+    starts, counts = offsets[many], groups[many]
+    won = least[spans(starts, counts)] & ((1 << 40) - 1)
+    points = np.bincount(won, minlength=size)
+    text = np.repeat(many, counts)
+    enough = np.minimum(POINTS, groups[text])
+    fresh = np.ones(len(won), bool)
+    fresh[1:] = won[1:] != won[:-1]
+    hit = fresh & (points[won] >= enough) & (bins[won] >= LEAST_BIN)
+    return won[hit], text[hit], won[hit] + WINDOW
+
+
+def _once(place: np.ndarray, owner: np.ndarray, ends: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, owner and hash of stretches, each hash once for a text."""
+    if not len(place):
+        return place, owner, np.zeros(0, np.uint64)
+    hashes = words.stretches(signs, place, ends)
     order = np.lexsort((place, hashes, owner))
     first = np.ones(len(order), bool)
     first[1:] = (owner[order][1:] != owner[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
     chosen = order[first]
-    chosen = chosen[np.lexsort((place[chosen], owner[chosen]))]
-    return owner[chosen], hashes[chosen]
+    return place[chosen], owner[chosen], hashes[chosen]
 
 
 def fingerprints(offsets: np.ndarray, data: np.ndarray, ranks: np.ndarray) -> list[np.ndarray]:

@@ -151,6 +151,24 @@ def test_following_texts(spark, partitions):
     assert len(same) == 1
 
 
+def test_short_texts():
+    """Texts that hold few neighbourhoods of windows are told apart, and near their own edited form."""
+    chance = np.random.default_rng(6)
+    ranks = np.arange(digests.BINS, -1, -1)
+    near, far = [], []
+    for size in range(127, 700, 3):
+        one, two = ("".join(chance.choice(list("abcdefghijklmnop "), size)) for _ in range(2))
+        own, changed, other = digests._chains([one, digests.edited(one, two), two], ranks)
+        assert len(own)
+        near.append(digests.likeness(own, changed))
+        far.append(digests.likeness(own, other))
+    assert min(near[:120]) > 0.4 and np.mean(near) > 0.5 and np.mean(far) < 0.1
+    dashes, stars, spaces, noted = digests._chains(["-" * 200, "*" * 5000, " " * 700, "-" * 5000 + "a"], ranks)
+    assert len(dashes) and len(spaces)
+    assert digests.likeness(dashes, stars) < 0.2 and digests.likeness(stars, spaces) < 0.2
+    assert 0 < digests.likeness(dashes, noted) <= 1
+
+
 def test_single_text_follows_itself(spark):
     (row,) = digests.with_next(spark.createDataFrame([(1, "abc" * 60)], "doc_id long, text string")).collect()
     assert row.near_next == 1.0
