@@ -4,9 +4,9 @@ A rolling hash over the bytes cuts a text into chunks, so documents that share a
 the passage stands. A chunk met again is not encoded again: its ids are copied. A cut may fall inside a word, where
 the tokens of both sides are wrong, so each join is repaired: the window around the cut widens on both sides to the
 nearest proven boundaries (see ``pieces``), from which on both encodings agree whatever stands beyond, and the window
-is encoded by itself. Chunks are shared inside a task, in blocks of some megabytes; the distinct pieces below them
-are remembered for the whole task. Sharing them between tasks would send every text and every id through a shuffle,
-which costs more than encoding them.
+is encoded by itself. Chunks are shared inside a task: equal ones of a block are encoded once, and the ids of the last
+``MEMO_CHUNKS`` distinct chunks, by 128-bit hash, serve later blocks. The distinct pieces below them are remembered, too.
+They are not shared between tasks, as that would send every text and every id through a shuffle.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to an empty text; rows are kept
 one by one, repeated ids included; extra columns are left out unless named in ``keep``.
@@ -15,6 +15,7 @@ one by one, repeated ids included; extra columns are left out unless named in ``
 from __future__ import annotations
 
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pairloom.llm.pieces import PieceEncoder, blocks, buffers, spans, strings, s
 
 HASH_STEPS = (1, 2, 4, 8)  # doubling the window of the rolling hash: 16 bytes at last
 CHUNK_BITS = 8  # a cut every 256 bytes on average
+MEMO_CHUNKS = 1 << 15  # distinct chunks whose ids a task remembers, about 8 MB of text
 OUTPUTS = {
     "n_tokens": T.LongType(),
     "ids": T.ArrayType(T.IntegerType()),
@@ -63,6 +65,7 @@ class DocumentCoder:
         self.pieces = PieceEncoder(spec)
         self.tokenizer = self.pieces.tokenizer
         self.gear = gear_table()
+        self.memo: dict[bytes, bytes] = {}  # hash of a chunk and its ids, the oldest first
         self.names = None
         if self.tokenizer.decoder is None:  # tokens are joined by spaces then
             size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -75,12 +78,29 @@ class DocumentCoder:
         bounds = chunk_bounds(offsets, rolling_cuts(data, self.gear), proven) if self.pieces.cuts else proven
         coded = strings(bounds, data).dictionary_encode()
         which = coded.indices.to_numpy(zero_copy_only=False)
-        chunk_ids, chunk_at = self._encode_chunks(coded.dictionary)
+        chunk_ids, chunk_at = self._recall_chunks(coded.dictionary)
         lengths = (chunk_at[1:] - chunk_at[:-1])[which]
         ids = chunk_ids[spans(chunk_at[:-1][which], lengths)]
         per_text = sums_between(lengths, np.searchsorted(bounds, offsets))
         return ids, np.concatenate([[0], np.cumsum(per_text)])
 
+    def _recall_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks and the bounds of each, encoding only those that are not remembered."""
+        offsets, data = buffers(chunks)
+        whole, at = memoryview(data), offsets.tolist()
+        keys = [hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(at[:-1], at[1:])]
+        coded = [self.memo.get(key) for key in keys]
+        fresh = [i for i, ids in enumerate(coded) if ids is None]
+        if fresh:
+            ids, bounds = self._encode_chunks(chunks.take(pa.array(fresh, pa.int64())))
+            raw, ends = ids.astype(np.int32).tobytes(), (bounds * 4).tolist()
+            for i, a, b in zip(fresh, ends[:-1], ends[1:]):
+                coded[i] = self.memo[keys[i]] = raw[a:b]
+            for key in list(islice(self.memo, max(len(self.memo) - MEMO_CHUNKS, 0))):
+                del self.memo[key]
+        lengths = np.array([len(ids) // 4 for ids in coded], np.int64)
+        return np.frombuffer(b"".join(coded), np.int32), np.concatenate([[0], np.cumsum(lengths)])
+
     def _encode_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         offsets, data = buffers(chunks)
         bounds = self.pieces.boundaries(offsets, data)

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,6 +51,22 @@ def test_codes(spark, name):
     assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
 
 
+def test_chunks_of_earlier_blocks(monkeypatch):
+    """A copy in a later block is not encoded again, and ids stay the same when chunks are forgotten."""
+    spec = read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    coder, counted = token_codes.DocumentCoder(spec), []
+    encode = coder._encode_chunks
+    coder._encode_chunks = lambda chunks: counted.append(len(chunks)) or encode(chunks)
+    copy = " ".join(f"word{i} and {i * i}" for i in range(3000))
+    texts = [copy, "x " + copy, copy + " y", "", "short"]
+    first, *_ = [coder.encode(pa.array([text])) for text in texts]
+    assert counted[0] > 50 and max(counted[1:]) < 8
+    assert (coder.encode(pa.array([copy]))[0] == first[0]).all()
+    assert first[0].tolist() == coder.tokenizer.encode(copy, add_special_tokens=False).ids
+    monkeypatch.setattr(token_codes, "MEMO_CHUNKS", 10)
+    assert (coder.encode(pa.array([copy + " z"]))[0][:1000] == first[0][:1000]).all() and len(coder.memo) == 10
+
+
 @pytest.mark.parametrize("name", FILES)
 def test_counts_of_spliced_windows(spark, name):
     spec = read_tokenizer(public_tokenizers.path(name))
