@@ -170,7 +170,7 @@ def assign_split(
     return _without_cuts(joined.withColumn(name, side), keys)
 
 
-def assign_repeated_split(
+def with_test_splits(
     df: DataFrame,
     stratum: str | list[str],
     n_splits: int = 5,
@@ -178,15 +178,47 @@ def assign_repeated_split(
     seed: int = 39,
     id_col: str = "id",
     groups: tuple[str, ...] = (),
+    name: str = "test_splits",
 ) -> DataFrame:
-    """Several independent splits: every row once for each ``split`` with its ``side``."""
+    """Several independent splits in one column: bit s is set in rows that are test rows of split s.
+
+    Keys of all splits are counted where a row lies; the row itself is joined once, with the cuts of its stratum.
+    """
+    if not 1 <= n_splits <= 31:
+        raise ValueError("n_splits must lie between 1 and 31")
     strata = [stratum] if isinstance(stratum, str) else list(stratum)
-    keys = ["split", *groups, *strata]
+    own = [*groups, *strata]
+    keys = ["split", *own]
     numbers = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))
-    key = hash_key(id_col, seed, F.col("split"))
-    keyed = df.select(id_col, *groups, *strata, numbers.alias("split")).select(*keys, key.alias("_key"))
-    cuts = cut_keys(keyed, keys, _quotas(test_size, ["split", *groups], strata))
-    repeated = df.select("*", numbers.alias("split"))
-    joined, passed = cuts_passed(repeated, cuts, keys, key, 1)
-    side = F.when(passed == 0, F.lit("test")).otherwise(F.lit("train"))
-    return _without_cuts(joined.withColumn("side", side), keys)
+    keyed = df.select(id_col, *own, numbers.alias("split")).select(*keys, hash_key(id_col, seed, F.col("split")).alias("_key"))
+    found = cut_keys(keyed, keys, _quotas(test_size, ["split", *groups], strata))
+    cuts = found.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("split", F.get("_cuts", F.lit(0))))).alias("_cuts"))
+    named = _renamed(cuts, own)
+    joined = df.join(named, _match(df, named, own), "left")
+    bits = sum(
+        F.when(F.coalesce(F.element_at("_cuts", F.lit(s)) < hash_key(id_col, seed, F.lit(s)), F.lit(False)), F.lit(0)).otherwise(F.lit(1 << s))
+        for s in range(n_splits)
+    )
+    return _without_cuts(joined.withColumn(name, bits.cast("int")), own)
+
+
+def in_test(split: int | Column, bits: str = "test_splits") -> Column:
+    """Whether a row is a test row of the split."""
+    place = F.lit(1 << split) if isinstance(split, int) else F.shiftleft(F.lit(1), split)
+    return F.col(bits).bitwiseAND(place) != 0
+
+
+def assign_repeated_split(
+    df: DataFrame,
+    stratum: str | list[str],
+    n_splits: int = 5,
+    test_size: float = 0.2,
+    seed: int = 39,
+    id_col: str = "id",
+    groups: tuple[str, ...] = (),
+) -> DataFrame:
+    """Several independent splits: every row once for each ``split`` with its ``side``."""
+    marked = with_test_splits(df, stratum, n_splits, test_size, seed, id_col, groups, "_test")
+    repeated = marked.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    place = F.expr("shiftright(_test, split) & 1")
+    return repeated.withColumn("side", F.when(place == 1, F.lit("test")).otherwise(F.lit("train"))).drop("_test")

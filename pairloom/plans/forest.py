@@ -1,4 +1,9 @@
-"""Random-forest meta-learner: grid search over the repeated splits of each fold."""
+"""Random-forest meta-learner: grid search over the repeated splits of each fold.
+
+A forest is fitted without any bound on its nodes but the greatest depth and one row a child. All features are tried at every node,
+and what a node is split by does not depend on the bounds, so a forest with a smaller depth or a least number of rows for a split is the
+same forest cut where a bound first holds. One fit for each fold, split and number of trees serves the whole grid.
+"""
 
 from __future__ import annotations
 
@@ -12,26 +17,27 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.config import ForestGrid
 from pairloom.functions import metrics
+from pairloom.operators.rank_cuts import in_test
 from pairloom.session import scratch_path
 
 ROWS_TOGETHER = 4096
 PARAMS = ["n_estimators", "max_depth", "min_samples_split"]
+NODES = "tree int, node int, value double, rows bigint, left int, right int, feature int, cut double"
 
 
-def forest(n_estimators: int, max_depth: int, min_samples_split: int, seed: int = 39) -> RandomForestRegressor:
-    """Spark bounds the rows of a child, not of the node that is split: half the number."""
+def forest(n_estimators: int, max_depth: int, seed: int = 39) -> RandomForestRegressor:
     return RandomForestRegressor(
         featuresCol="features",
         labelCol="score",
         predictionCol="rf",
         numTrees=n_estimators,
         maxDepth=max_depth,
-        minInstancesPerNode=max(1, min_samples_split // 2),
+        minInstancesPerNode=1,
         featureSubsetStrategy="all",
         seed=seed,
     )
@@ -41,97 +47,159 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(df)
 
 
-def stored_splits(splits: DataFrame, features: list[str]) -> DataFrame:
-    """fold, split, side, score and features, written by fold and split so that a fit opens its own rows only."""
-    ready = assembled(splits, features).select("fold", "split", "side", "score", "features")
-    path = scratch_path(splits.sparkSession, "splits")
-    ready.write.partitionBy("fold", "split").parquet(path)
-    return splits.sparkSession.read.schema(ready.schema).parquet(path)
+def stored_rows(rows: DataFrame, features: list[str]) -> DataFrame:
+    """fold, test_splits, score and features, written by fold so that a fit opens the rows of its own fold only."""
+    ready = assembled(rows, features).select("fold", "test_splits", "score", "features")
+    path = scratch_path(rows.sparkSession, "forest-rows")
+    ready.write.partitionBy("fold").parquet(path)
+    return rows.sparkSession.read.schema(ready.schema).parquet(path)
+
+
+def node_table(model: RandomForestRegressionModel, spark: SparkSession) -> pd.DataFrame:
+    """The nodes of a fitted forest, read from what it saves: at most trees x 2^(depth + 1) rows.
+
+    The layout is that of the library's stored models. One that lacks a field, or whose trees do not hang together, is an error.
+    """
+    path = scratch_path(spark, "forest")
+    model.write().save(path)
+    data = spark.read.parquet(f"{path}/data")
+    wanted = {
+        "tree": "treeID", "node": "nodeData.id", "value": "nodeData.prediction", "rows": "nodeData.rawCount", "left": "nodeData.leftChild",
+        "right": "nodeData.rightChild", "feature": "nodeData.split.featureIndex", "cut": "nodeData.split.leftCategoriesOrThreshold",
+    }
+    fields = {f"nodeData.{f.name}" for f in data.schema["nodeData"].dataType.fields} if "nodeData" in data.columns else set()
+    if "nodeData.split" in fields:
+        fields |= {f"nodeData.split.{f.name}" for f in data.schema["nodeData"].dataType["split"].dataType.fields}
+    missing = sorted(set(wanted.values()) - fields - set(data.columns))
+    if missing:
+        raise RuntimeError(f"stored forests of this library version have another layout: no {', '.join(missing)}")
+    columns = {name: F.col(path) for name, path in wanted.items()}
+    columns["cut"] = F.get(columns["cut"], F.lit(0))
+    nodes = data.select(*[column.alias(name) for name, column in columns.items()]).toPandas()
+    inner = nodes[nodes["left"] >= 0]
+    both = inner.merge(nodes, left_on=["tree", "left"], right_on=["tree", "node"], suffixes=("", "_l")).merge(
+        nodes, left_on=["tree", "right"], right_on=["tree", "node"], suffixes=("", "_r")
+    )
+    if len(both) != len(inner) or (both["rows"] != both["rows_l"] + both["rows_r"]).any() or nodes["tree"].nunique() != model.getNumTrees:
+        raise RuntimeError("stored forests of this library version have another layout: children do not add up to their node")
+    return nodes.fillna({"feature": 0, "cut": 0.0}).astype({"tree": "int32", "node": "int32", "feature": "int32", "left": "int32", "right": "int32"})
 
 
 class Trees:
-    """Nodes of a fitted forest, for predictions of the forest cut at any depth.
+    """A fitted forest, for predictions of the forest cut at any depth and least number of rows.
 
-    All features are tried at every node, so a tree of smaller depth is the upper part of the deeper one: one fit
-    serves all depths of the grid. There are at most trees x 2^(depth + 1) nodes.
+    A node's rows are those drawn for its tree, a row drawn twice counts twice.
     """
 
-    def __init__(self, model: RandomForestRegressionModel, spark: SparkSession):
-        path = scratch_path(spark, "forest")
-        model.write().save(path)
-        node = "nodeData"
-        nodes = (
-            spark.read.parquet(f"{path}/data")
-            .select("treeID", f"{node}.id", f"{node}.prediction", f"{node}.leftChild", f"{node}.rightChild",
-                    f"{node}.split.featureIndex", F.get(f"{node}.split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"))
-            .toPandas()
-        )
-        shape = (int(nodes["treeID"].max()) + 1, int(nodes["id"].max()) + 1)
-        at = (nodes["treeID"].to_numpy(), nodes["id"].to_numpy())
+    def __init__(self, nodes: pd.DataFrame):
+        self.nodes = nodes
+        shape = (int(nodes["tree"].max()) + 1, int(nodes["node"].max()) + 1)
+        at = (nodes["tree"].to_numpy(), nodes["node"].to_numpy())
 
         def table(column: str, dtype) -> np.ndarray:
             out = np.zeros(shape, dtype)
-            out[at] = nodes[column].fillna(0).to_numpy()
+            out[at] = nodes[column].to_numpy()
             return out
 
-        self.value, self.cut = table("prediction", float), table("cut", float)
-        self.left, self.right, self.feature = (table(c, int) for c in ("leftChild", "rightChild", "featureIndex"))
-        leaf = self.left < 0
-        here = np.broadcast_to(np.arange(shape[1]), shape)
-        self.left, self.right = np.where(leaf, here, self.left), np.where(leaf, here, self.right)
-        self.feature = np.where(leaf, 0, self.feature)
+        self.value, self.cut = table("value", float), table("cut", float)
+        self.left, self.right, self.feature, self.rows = (table(c, int) for c in ("left", "right", "feature", "rows"))
+        self.leaf = self.left < 0
 
-    def predictions(self, rows: np.ndarray, depths: list[int]) -> np.ndarray:
-        """(rows, depths): mean over the trees, each cut at the depth."""
+    def predictions(self, rows: np.ndarray, settings: list[tuple[int, int]]) -> np.ndarray:
+        """(rows, settings): mean over the trees, each cut at the depth and where a node has fewer rows than the bound."""
         trees = np.arange(len(self.value))
-        node = np.zeros((len(rows), len(trees)), int)
-        out = {}
-        for level in range(max(depths) + 1):
-            if level in depths:
-                out[level] = self.value[trees, node].mean(axis=1)
-            below = np.take_along_axis(rows, self.feature[trees, node], axis=1) <= self.cut[trees, node]
-            node = np.where(below, self.left[trees, node], self.right[trees, node])
-        return np.stack([out[depth] for depth in depths], axis=1)
+        here = np.broadcast_to(np.arange(self.value.shape[1]), self.value.shape)
+        out = np.zeros((len(rows), len(settings)))
+        for least in {least for _, least in settings}:
+            stop = self.leaf | (self.rows < least)
+            left, right = np.where(stop, here, self.left), np.where(stop, here, self.right)
+            feature = np.where(stop, 0, self.feature)
+            depths = {depth: place for place, (depth, bound) in enumerate(settings) if bound == least}
+            node = np.zeros((len(rows), len(trees)), int)
+            for level in range(max(depths) + 1):
+                if level in depths:
+                    out[:, depths[level]] = self.value[trees, node].mean(axis=1)
+                below = np.take_along_axis(rows, feature[trees, node], axis=1) <= self.cut[trees, node]
+                node = np.where(below, left[trees, node], right[trees, node])
+        return out
+
+    def cut_at(self, depth: int, least: int) -> "Trees":
+        """The forest of one setting, with no nodes below those cut."""
+        nodes = self.nodes
+        kept, level = nodes[nodes["node"] == 0], 0
+        parts = []
+        while len(kept):
+            stop = (kept["left"] < 0) | (kept["rows"] < least) | (level >= depth)
+            parts.append(kept.assign(left=kept["left"].where(~stop, -1), right=kept["right"].where(~stop, -1)))
+            inner = kept[~stop]
+            below = pd.concat([inner[["tree", side]].rename(columns={side: "node"}) for side in ("left", "right")])
+            kept, level = nodes.merge(below, on=["tree", "node"]), level + 1
+        return Trees(pd.concat(parts, ignore_index=True))
+
+
+def predicted_by(trees: Trees, features: list[Column]) -> Column:
+    """The mean prediction of all trees, as a column of batches."""
+    depth = trees.value.shape[1]  # no path is longer than the nodes of a tree
+    whole = [(min(depth, 64), 0)]
+
+    @F.pandas_udf("double")
+    def guess(rows: pd.Series) -> pd.Series:
+        parts = [
+            trees.predictions(np.stack(rows.iloc[first : first + ROWS_TOGETHER]), whole)[:, 0]
+            for first in range(0, len(rows), ROWS_TOGETHER)
+        ]
+        return pd.Series(np.concatenate(parts) if parts else [])
+
+    return guess(F.array(*features))
 
 
-def forest_scores(splits: DataFrame, folds: list[int], n_splits: int, grid: ForestGrid, parallelism: int = 4) -> DataFrame:
+def with_forest_prediction(df: DataFrame, forests: dict[int, Trees], features: list[str], name: str = "rf") -> DataFrame:
+    """Predict each row by the forest of its fold, all folds in one scan; null for a fold without one."""
+    columns = [F.col(f).cast("double") for f in features]
+    found = df.withColumns({f"_{name}_{fold}": F.when(F.col("fold") == fold, predicted_by(trees, columns)) for fold, trees in forests.items()})
+    own = [f"_{name}_{fold}" for fold in forests]
+    return found.withColumn(name, F.coalesce(*own, F.lit(None).cast("double"))).drop(*own)
+
+
+def forest_scores(rows: DataFrame, folds: list[int], n_splits: int, grid: ForestGrid, parallelism: int = 4) -> DataFrame:
     """Scores of every setting, fold and split on both sides.
 
-    ``splits`` comes from ``stored_splits``. One fit to the greatest depth gives the scores of all depths. The fits are
+    ``rows`` comes from ``stored_rows``. One fit to the greatest depth gives the scores of all depths and bounds. The fits are
     independent Spark jobs; a few run at a time so that short ones overlap.
     """
-    depths = sorted(grid.max_depth)
-    names = [f"depth_{depth}" for depth in depths]
+    settings = list(product(sorted(grid.max_depth), grid.min_samples_split))
+    names = [f"p{place}" for place in range(len(settings))]
 
     def fit_one(task):
-        fold, split, trees, least = task
-        rows = splits.filter((F.col("fold") == fold) & (F.col("split") == split))
-        cut = Trees(forest(trees, depths[-1], least).fit(rows.filter(F.col("side") == "train")), splits.sparkSession)
+        fold, split, trees = task
+        own = rows.filter(F.col("fold") == fold).withColumn("side", F.when(in_test(split), "test").otherwise("train"))
+        model = forest(trees, max(grid.max_depth)).fit(own.filter(F.col("side") == "train"))
+        whole = Trees(node_table(model, rows.sparkSession))
 
         def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for first in range(0, len(frame), ROWS_TOGETHER):
                     part = frame.iloc[first : first + ROWS_TOGETHER]
-                    found = cut.predictions(np.stack(part["features"]), depths)
+                    found = whole.predictions(np.stack(part["features"]), settings)
                     yield pd.concat([part[["side", "score"]].reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
 
         schema = "side string, score double, " + ", ".join(f"{name} double" for name in names)
-        predicted = rows.select("side", "score", vector_to_array("features").alias("features")).mapInPandas(predict, schema)
+        predicted = own.select("side", "score", vector_to_array("features").alias("features")).mapInPandas(predict, schema)
         scores = predicted.groupBy("side").agg(
             *[score(F.col("score"), F.col(name)).alias(f"{name}:{s}") for name in names for s, score in metrics.SCORERS.items()]
         )
         return [
-            (fold, split, trees, depth, least, row["side"], *[row[f"{name}:{s}"] for s in metrics.SCORERS])
+            (fold, split, trees, *setting, row["side"], *[row[f"{name}:{s}"] for s in metrics.SCORERS])
             for row in scores.collect()
-            for depth, name in zip(depths, names)
+            for setting, name in zip(settings, names)
         ]
 
-    tasks = list(product(folds, range(n_splits), grid.n_estimators, grid.min_samples_split))
+    tasks = list(product(folds, range(n_splits), grid.n_estimators))
     with ThreadPoolExecutor(parallelism) as pool:
-        results = list(pool.map(inheritable_thread_target(splits.sparkSession)(fit_one), tasks))
+        results = list(pool.map(inheritable_thread_target(rows.sparkSession)(fit_one), tasks))
     scorers = ", ".join(f"{name} double" for name in metrics.SCORERS)
     schema = f"fold int, split int, n_estimators int, max_depth int, min_samples_split int, sample string, {scorers}"
-    return splits.sparkSession.createDataFrame([row for rows in results for row in rows], schema)
+    return rows.sparkSession.createDataFrame([row for found in results for row in found], schema)
 
 
 def best_settings(scores: DataFrame) -> dict[int, tuple[int, int, int]]:
@@ -140,3 +208,22 @@ def best_settings(scores: DataFrame) -> dict[int, tuple[int, int, int]]:
     order = F.struct("cv", *[-F.col(p) for p in PARAMS])
     best = tested.groupBy("fold").agg(F.max_by(F.struct(*PARAMS), order).alias("best"))
     return {row.fold: tuple(row.best) for row in best.collect()}
+
+
+def refitted(rows: DataFrame, best: dict[int, tuple[int, int, int]]) -> dict[int, Trees]:
+    """The best forest of each fold, fitted on all of its rows and cut by its setting."""
+    out = {}
+    for fold, (trees, depth, least) in best.items():
+        model = forest(trees, depth).fit(rows.filter(F.col("fold") == fold))
+        out[fold] = Trees(node_table(model, rows.sparkSession)).cut_at(depth, least)
+    return out
+
+
+def save_forests(spark: SparkSession, forests: dict[int, Trees], path: str) -> None:
+    """One table of nodes, by fold."""
+    for fold, trees in forests.items():
+        spark.createDataFrame(trees.nodes[[part.split()[0] for part in NODES.split(", ")]], NODES).write.parquet(f"{path}/fold={fold}")
+
+
+def load_forests(spark: SparkSession, path: str, folds: list[int]) -> dict[int, Trees]:
+    return {fold: Trees(spark.read.schema(NODES).parquet(f"{path}/fold={fold}").toPandas()) for fold in folds}

@@ -9,6 +9,7 @@ sets, solved in a task beside the sums.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations_with_replacement, product
 
 import numpy as np
@@ -22,7 +23,8 @@ from pairloom.functions.arrays import dot
 from pairloom.session import small_side
 
 ALL_ROWS = -1
-TOLERANCE = 1e-10
+ROWS_TOGETHER = 4096
+TOLERANCE = 1e-13
 
 _FITS = (
     "fold int, split int, setting int, alpha double, fit_intercept boolean, l1_ratio double, "
@@ -52,15 +54,51 @@ def moments(df: DataFrame, features: list[str], label: str, by: list[str]) -> Da
     return whole.groupBy(*by).agg(*[value.alias(name) for name, value in moment_columns(features, label).items()])
 
 
-def split_moments(sides: DataFrame, features: list[str]) -> DataFrame:
-    """(fold, split, train, test): the moments of both sides as arrays."""
-    names = list(moment_columns(features, "score"))
-    packed = sides.select("fold", "split", "side", F.array(*names).alias("m"))
+def split_moments(rows: DataFrame, features: list[str], label: str, n_splits: int, bits: str = "test_splits") -> DataFrame:
+    """(fold, split, train, test): the moments of both sides as arrays, in the order of ``moment_columns``.
 
-    def side(name: str) -> Column:
-        return F.first(F.when(F.col("side") == name, F.col("m")), ignorenulls=True).alias(name)
+    ``rows`` hold fold, features, label and the bits of their test sides, each once. A task hands on the moments of its rows, for each
+    fold once for all rows and once for the test rows of each split. They are merged by fold, and the train side is all rows
+    less the test rows. A missing value is an error.
+    """
+    columns = [*features, label]
 
-    return packed.groupBy("fold", "split").agg(side("train"), side("test"))
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, _Moments] = {}
+        for batch in batches:
+            values, tests = batch[columns].to_numpy(float), batch[bits].to_numpy()
+            if np.isnan(values).any():
+                raise ValueError("a prediction or a label is missing")
+            for fold, places in batch.groupby("fold").indices.items():
+                own, test = values[places], tests[places]
+                for split in range(ALL_ROWS, n_splits):
+                    part = own if split == ALL_ROWS else own[(test >> split) & 1 == 1]
+                    found = _Moments.of(part[:, :-1], part[:, -1])
+                    key = (int(fold), split)
+                    held[key] = held[key].merged(found) if key in held else found
+        if held:
+            yield pd.DataFrame([(*key, found.packed()) for key, found in held.items()], columns=["fold", "split", "m"])
+
+    def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        found = {
+            split: reduce(_Moments.merged, [_Moments.unpacked(np.asarray(m), len(features)) for m in own["m"]])
+            for split, own in parts.groupby("split")
+        }
+        every = found.pop(ALL_ROWS)
+        made = [(key[0], split, every.without(test).packed(), test.packed()) for split, test in found.items()]
+        return pd.DataFrame(made, columns=["fold", "split", "train", "test"])
+
+    partial = rows.select("fold", bits, *[F.col(c).cast("double").alias(c) for c in columns])
+    partial = partial.mapInPandas(gather, "fold int, split int, m array<double>")
+    return partial.groupBy("fold").applyInPandas(merge, "fold int, split int, train array<double>, test array<double>")
+
+
+def by_side(packed: DataFrame, features: list[str], label: str) -> DataFrame:
+    """fold, split, side and the named moments, a row for each side."""
+    names = list(moment_columns(features, label))
+    sides = F.inline(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("m")) for side in ("train", "test")]))
+    rows = packed.select("fold", "split", sides)
+    return rows.select("fold", "split", "side", *[F.col("m")[i].alias(name) for i, name in enumerate(names)])
 
 
 class _Moments:
@@ -69,6 +107,18 @@ class _Moments:
     def __init__(self, n: float, y: float, yy: float, x: np.ndarray, xy: np.ndarray, xx: np.ndarray):
         self.n, self.y, self.yy, self.x, self.xy, self.xx = n, y, yy, x, xy, xx
 
+    @classmethod
+    def of(cls, x: np.ndarray, y: np.ndarray) -> "_Moments":
+        p = x.shape[1]
+        if not len(y):
+            return cls(0.0, 0.0, 0.0, np.zeros(p), np.zeros(p), np.zeros((p, p)))
+        mx, my = x.mean(axis=0), float(y.mean())
+        dx, dy = x - mx, y - my
+        return cls(float(len(y)), my, float(dy @ dy) / len(y), mx, dx.T @ dy / len(y), dx.T @ dx / len(y))
+
+    def packed(self) -> list[float]:
+        return [self.n, self.y, self.yy, *self.x, *self.xy, *self.xx[np.triu_indices(len(self.x))]]
+
     @classmethod
     def unpacked(cls, packed: np.ndarray, p: int) -> "_Moments":
         xx = np.zeros((p, p))
@@ -77,6 +127,8 @@ class _Moments:
         return cls(*packed[:3], packed[3 : 3 + p], packed[3 + p : 3 + 2 * p], xx)
 
     def merged(self, other: "_Moments") -> "_Moments":
+        if not self.n or not other.n:
+            return self if self.n else other
         n = self.n + other.n
         a, b = self.n / n, other.n / n
         dx, dy = other.x - self.x, other.y - self.y
@@ -89,6 +141,24 @@ class _Moments:
             a * self.xx + b * other.xx + a * b * np.outer(dx, dx),
         )
 
+    def without(self, part: "_Moments") -> "_Moments":
+        """The other rows, where ``part`` holds some of these."""
+        n = self.n - part.n
+        if not part.n or not n:
+            return self if n else _Moments.of(np.zeros((0, len(self.x))), np.zeros(0))
+        a, b = self.n / n, part.n / n
+        y, x = a * self.y - b * part.y, a * self.x - b * part.x
+        dx, dy = part.x - x, part.y - y
+        share = part.n / self.n
+        return _Moments(
+            n,
+            y,
+            max(a * self.yy - b * part.yy - share * dy * dy, 0.0),
+            x,
+            a * self.xy - b * part.xy - share * dx * dy,
+            a * self.xx - b * part.xx - share * np.outer(dx, dx),
+        )
+
     def problem(self, centred: bool) -> tuple[np.ndarray, np.ndarray]:
         if centred:
             return self.xx, self.xy
@@ -160,36 +230,41 @@ def elastic_net_fits(packed: DataFrame, n_features: int, grid: ElasticNetGrid) -
     return packed.mapInPandas(fit, _FITS)
 
 
-def absolute_errors(rows: DataFrame, fits: DataFrame, features: list[str], label: str) -> DataFrame:
+def absolute_errors(rows: DataFrame, fits: DataFrame, features: list[str], label: str, bits: str = "test_splits") -> DataFrame:
     """Mean absolute error of each fit, the one score that needs the rows again.
 
-    ``rows`` are (fold, split, side, features, label). The coefficients of the grid, a table of
-    folds x splits x settings, go along with the tasks. A task adds up the errors of its rows for
-    all settings at once and hands on one row for each (fold, split, side, setting).
+    ``rows`` are (fold, bits, features, label), each once. The coefficients of the grid, a table of folds x splits x settings,
+    go along with the tasks. A task adds up the errors of its rows for all splits and settings at once and hands on one row
+    for each (fold, split, side, setting); those of the train side are those of all rows less those of the test rows.
     """
     trained = fits.filter((F.col("sample") == "train") & (F.col("split") != ALL_ROWS))
     table = trained.select("fold", "split", "setting", "coef", "intercept").toPandas()
     models = {
-        key: (part["setting"].to_numpy(), np.stack(part["coef"]), part["intercept"].to_numpy())
-        for key, part in table.groupby(["fold", "split"])
+        fold: (part["split"].to_numpy(), part["setting"].to_numpy(), np.stack(part["coef"]).T, part["intercept"].to_numpy())
+        for fold, part in table.groupby("fold")
     }
-    groups = ["fold", "split", "sample"]
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[tuple, tuple[int, np.ndarray]] = {}
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for key, part in batch.groupby(groups):
-                _, coefs, intercepts = models[key[:2]]
-                guesses = part[features].to_numpy() @ coefs.T + intercepts
-                errors = np.abs(part[label].to_numpy()[:, None] - guesses).sum(axis=0)
-                n, before = totals.get(key, (0, 0.0))
-                totals[key] = (n + len(part), before + errors)
-        for key, (n, errors) in totals.items():
-            settings = models[key[:2]][0]
-            yield pd.DataFrame({**dict(zip(groups, key)), "setting": settings, "n": n, "error": errors})
+            x, y, tests = batch[features].to_numpy(float), batch[label].to_numpy(float), batch[bits].to_numpy()
+            for fold, places in batch.groupby("fold").indices.items():
+                splits, _, coefs, intercepts = models[fold]
+                for first in range(0, len(places), ROWS_TOGETHER):
+                    at = places[first : first + ROWS_TOGETHER]
+                    errors = np.abs(y[at, None] - (x[at] @ coefs + intercepts))
+                    test = (tests[at, None] >> splits) & 1
+                    found = np.stack([np.full(len(splits), len(at)), errors.sum(0), test.sum(0), (errors * test).sum(0)])
+                    totals[fold] = totals.get(fold, 0) + found
+        for fold, (n, error, n_test, error_test) in totals.items():
+            splits, settings = models[fold][:2]
+            for sample, count, total in (("test", n_test, error_test), ("train", n - n_test, error - error_test)):
+                yield pd.DataFrame(
+                    {"fold": fold, "split": splits, "sample": sample, "setting": settings, "n": count.astype(int), "error": total}
+                )
 
     schema = "fold int, split int, sample string, setting int, n bigint, error double"
-    partial = rows.select("fold", "split", F.col("side").alias("sample"), *features, label).mapInPandas(add_up, schema)
+    partial = rows.select("fold", bits, *features, label).mapInPandas(add_up, schema)
     return partial.groupBy("fold", "split", "setting", "sample").agg(
         (-F.sum("error") / F.sum("n")).alias("neg_mean_absolute_error")
     )

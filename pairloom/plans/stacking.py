@@ -6,7 +6,6 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
 
-from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from pairloom.config import StackConfig
 from pairloom.functions import metrics
 from pairloom.functions.arrays import binary_digits
 from pairloom.operators import evaluation
-from pairloom.operators.rank_cuts import assign_repeated_split, assign_split
+from pairloom.operators.rank_cuts import assign_split, with_test_splits
 from pairloom.plans import forest, moments
 from pairloom.session import small_side, written
 
@@ -88,31 +87,25 @@ def train_stack(oof: DataFrame, config: StackConfig) -> Stack:
         features = versions + digits
     rows = written(parted, "meta-rows")
     training = rows.filter(F.col("part") == "train")
-    splits = assign_repeated_split(
-        training, "score", config.n_splits, config.test_size, config.seed + 1, groups=("fold",)
-    )
+    marked = with_test_splits(training, "score", config.n_splits, config.test_size, config.seed + 1, groups=("fold",))
+    marked = written(marked, "meta-splits")
     predicted = rows
     linear = linear_scores = rf_scores = None
     forests = {}
     if "en" in config.learners:
-        sides = moments.moments(splits, features, "score", ["fold", "split", "side"])
-        packed = moments.split_moments(sides, features)
+        packed = moments.split_moments(marked, features, "score", config.n_splits)
         fits = small_side(moments.elastic_net_fits(packed, len(features), config.elastic_net))
-        absolute = moments.absolute_errors(splits, fits, features, "score")
+        absolute = moments.absolute_errors(marked, fits, features, "score")
         linear_scores = fits.filter(F.col("split") != moments.ALL_ROWS).join(
             absolute, ["fold", "split", "setting", "sample"]
         )
         linear = small_side(moments.best_fits(fits))
         predicted = moments.with_linear_prediction(predicted, linear, features, "en")
     if "rf" in config.learners:
-        kept = forest.stored_splits(splits, features)
+        kept = forest.stored_rows(marked, features)
         rf_scores = forest.forest_scores(kept, folds, config.n_splits, config.forest)
-        for fold, setting in forest.best_settings(rf_scores).items():
-            whole = kept.filter((F.col("fold") == fold) & (F.col("split") == 0))
-            forests[fold] = forest.forest(*setting).fit(whole)
-        ready = forest.assembled(predicted, features)
-        parts = [model.transform(ready.filter(F.col("fold") == fold)) for fold, model in forests.items()]
-        predicted = reduce(DataFrame.unionByName, parts).drop("features")
+        forests = forest.refitted(kept, forest.best_settings(rf_scores))
+        predicted = forest.with_forest_prediction(predicted, forests, features)
     models = versions + list(config.learners)
     dataset = F.concat(F.lit("em_"), F.col("part"), F.lit("_set")).alias("dataset")
     scored = predicted.select("fold", dataset, "score", *models)
@@ -163,8 +156,7 @@ def save_stack(stack: Stack, path: str) -> None:
     spark.createDataFrame([row], "model string, features array<string>, linear boolean, forests array<int>").write.parquet(f"{path}/meta")
     if stack.linear is not None:
         stack.linear.write.parquet(f"{path}/models/linear")
-    for fold, model in stack.forests.items():
-        model.write().save(f"{path}/models/forest/fold={fold}")
+    forest.save_forests(spark, stack.forests, f"{path}/models/forest")
 
 
 def load_stack(spark: SparkSession, path: str) -> Stack:
@@ -172,7 +164,7 @@ def load_stack(spark: SparkSession, path: str) -> Stack:
     meta = spark.read.parquet(f"{path}/meta").first()
     best = spark.createDataFrame([(meta.model,)], "model string")
     linear = spark.read.parquet(f"{path}/models/linear") if meta.linear else None
-    forests = {fold: RandomForestRegressionModel.load(f"{path}/models/forest/fold={fold}") for fold in meta.forests}
+    forests = forest.load_forests(spark, f"{path}/models/forest", list(meta.forests))
     none = spark.createDataFrame([], "model string")
     return Stack(none, none, best.filter("model IS NOT NULL"), none, list(meta.features), linear, forests=forests)
 
@@ -195,9 +187,8 @@ def stacked_scores(matrix: DataFrame, stack: Stack, versions: list[str], folds:
             scored = scored.withColumn(target, outputs[target])
         elif winner.model == "rf":
             extra = _digits_of(fold, len(stack.features) - len(versions))
-            named = scored.withColumns({f"_d_{i}": F.lit(d) for i, d in enumerate(extra)})
-            ready = forest.assembled(named, columns + [f"_d_{i}" for i in range(len(extra))])
-            scored = stack.forests[fold].transform(ready).withColumnRenamed("rf", target).drop("features")
+            values = [F.col(c) for c in columns] + [F.lit(float(d)) for d in extra]
+            scored = scored.withColumn(target, forest.predicted_by(stack.forests[fold], values))
         else:
             scored = scored.withColumn(target, F.col(f"{winner.model}_fold_{fold}"))
     return scored.select("id", evaluation.row_mean([f"_out_{fold}" for fold in folds]).alias("score"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from pairloom.config import StackConfig
 from pairloom.operators import enrich
-from pairloom.operators.rank_cuts import assign_repeated_split
+from pairloom.operators.rank_cuts import with_test_splits
 from pairloom.plans import base_models, forest, moments, stacking
 from pairloom.queries import common as c
-from pairloom.session import small_side
+from pairloom.queries.stacking import N_SPLITS, SPLIT_CTES, moment_sql
+from pairloom.session import small_side, written
 from pairloom.sources import views
 
 register = c.Registry()
@@ -39,39 +42,126 @@ def fold_ensemble_inference(spark, sf_dir):
     return base_models.fold_ensemble(base_models.with_features(enrich.with_model_text(test)), models)
 
 
-def _linear(oof):
-    splits = assign_repeated_split(oof, "score", groups=("fold",))
-    sides = moments.moments(splits, c.VERSIONS, "score", ["fold", "split", "side"])
-    fits = small_side(
-        moments.elastic_net_fits(moments.split_moments(sides, c.VERSIONS), len(c.VERSIONS), StackConfig(()).elastic_net)
+GRID = StackConfig(()).elastic_net
+SETTINGS = list(product(GRID.alpha, GRID.fit_intercept, GRID.l1_ratio))
+SWEEPS = 400  # of coordinate descent in SQL; both sides agree to far more digits than are compared
+PLACES = 5
+NUDGE = 3e-9  # scores of a constant guess are fractions that can lie halfway between two roundings
+SCORES = ["neg_mean_squared_error", "r2", "corr_scorer", "neg_mean_absolute_error"]
+
+
+def _pair(i: int, j: int, names: list[str]) -> str:
+    return f"xx_{names[min(i, j)]}_{names[max(i, j)]}"
+
+
+def _step(i: int, names: list[str]) -> str:
+    """The new weight of one feature, given the new ones before it and the old ones behind it."""
+    rest = "".join(f" - g{min(i, j)}{max(i, j)} * {'n' if j < i else 'w'}{j}" for j in range(len(names)) if j != i)
+    return (
+        f"CASE WHEN g{i}{i} + l2 > 1e-15 THEN sign(c{i}{rest}) * greatest(abs(c{i}{rest}) - l1, 0) / (g{i}{i} + l2) ELSE 0 END AS n{i}"
     )
-    return splits, fits
 
 
-@register()
+def linear_ctes(names: list[str]) -> tuple[str, ...]:
+    """Fits of every setting, fold and split (-1: all rows) by coordinate descent from the sums, with their scores on both sides."""
+    every = range(len(names))
+    sums = ", ".join(f"{expr} AS {name}" for name, expr in moment_sql(names).items())
+    gram = [
+        f"{_pair(i, j, names)} + CASE WHEN fit_intercept THEN 0 ELSE x_{names[i]} * x_{names[j]} END AS g{i}{j}" for i in every for j in every if i <= j
+    ]
+    sides = [f"xy_{names[i]} + CASE WHEN fit_intercept THEN 0 ELSE x_{names[i]} * y END AS c{i}" for i in every]
+    means = " + ".join(f"w{i} * x_{names[i]}" for i in every)
+    cov = " + ".join(f"w{i} * xy_{names[i]}" for i in every)
+    var = " + ".join(f"w{i} * w{j} * {_pair(i, j, names)}" for i in every for j in every)
+    settings = ", ".join(f"({n}, {a}::DOUBLE, {str(f).lower()}, {r}::DOUBLE)" for n, (a, f, r) in enumerate(SETTINGS))
+    return (
+        *SPLIT_CTES,
+        f"""sums AS MATERIALIZED (SELECT fold, split, side, {sums} FROM parted GROUP BY fold, split, side
+  UNION ALL SELECT fold, -1, 'train', {sums} FROM oof GROUP BY fold)""",
+        f"settings(setting, alpha, fit_intercept, l1_ratio) AS (VALUES {settings})",
+        f"""problems AS MATERIALIZED (SELECT fold, split, setting, alpha, fit_intercept, l1_ratio, alpha * l1_ratio AS l1, alpha * (1 - l1_ratio) AS l2,
+  {", ".join(gram + sides)} FROM sums CROSS JOIN settings WHERE side = 'train')""",
+        f"""sweeps AS (SELECT fold, split, setting, 0 AS turn, {", ".join(f"0.0::DOUBLE AS w{i}" for i in every)} FROM problems
+  UNION ALL SELECT fold, split, setting, turn + 1, {", ".join(f"n{i}" for i in every)} FROM (
+    SELECT s.*, {", ".join(_step(i, names) for i in every)} FROM sweeps s JOIN problems USING (fold, split, setting) WHERE turn < {SWEEPS}))""",
+        f"""fits AS MATERIALIZED (SELECT fold, split, setting, alpha, fit_intercept, l1_ratio, {", ".join(f"w{i}" for i in every)},
+  CASE WHEN fit_intercept THEN y - ({means}) ELSE 0 END AS b
+  FROM (SELECT * FROM sweeps WHERE turn = {SWEEPS}) JOIN problems USING (fold, split, setting)
+  JOIN (SELECT * FROM sums WHERE side = 'train') USING (fold, split))""",
+        f"""scored AS (SELECT fold, split, setting, side, alpha, fit_intercept, l1_ratio, {cov} AS cov, {var} AS vp, yy, y - ({means}) - b AS gap
+  FROM fits JOIN sums USING (fold, split) WHERE split >= 0)""",
+        """scores AS MATERIALIZED (SELECT *, -(greatest(yy - 2 * cov + vp, 0) + gap * gap) AS neg_mean_squared_error,
+  CASE WHEN yy > 0 AND vp > 1e-18 THEN cov / sqrt(yy * vp) END AS corr_scorer FROM scored)""",
+        f"""absolute AS (SELECT p.fold, p.split, setting, side,
+  -avg(abs(score - b - ({" + ".join(f"w{i} * p.{names[i]}" for i in every)}))) AS neg_mean_absolute_error
+  FROM parted p JOIN fits f ON p.fold = f.fold AND p.split = f.split GROUP BY ALL)""",
+        """means AS (SELECT fold, setting, CASE WHEN count(corr_scorer) = count(*) THEN avg(corr_scorer) END AS cv_score
+  FROM scores WHERE side = 'test' GROUP BY ALL)""",
+        """best AS (SELECT fold, setting FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY cv_score DESC NULLS LAST, setting) AS place
+  FROM means) WHERE place = 1)""",
+        f"""refitted AS (SELECT id, fold, score, {", ".join(f"oof.{name}" for name in names)}, b + {" + ".join(f"w{i} * oof.{names[i]}" for i in every)} AS en
+  FROM oof JOIN fits USING (fold) JOIN best USING (fold, setting) WHERE split = -1)""",
+    )
+
+
+def _recursive(*parts: str) -> str:
+    return c.with_ctes(*parts).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _fixed(expr: str, name: str) -> str:
+    return f"round({expr} + {NUDGE}, {PLACES}) AS {name}"
+
+
+def _places(name: str):
+    return F.round(F.col(name) + NUDGE, PLACES).alias(name)
+
+
+def _linear(oof, features=None):
+    """Rows with the bits of their test sides, and the fits of all settings."""
+    features = c.VERSIONS if features is None else features
+    marked = written(with_test_splits(oof, "score", N_SPLITS, groups=("fold",)), "meta-splits")
+    packed = moments.split_moments(marked, features, "score", N_SPLITS)
+    return marked, small_side(moments.elastic_net_fits(packed, len(features), GRID))
+
+
+def _grid(spark, sf_dir, features):
+    marked, fits = _linear(c.stored_oof(spark, sf_dir), features)
+    absolute = moments.absolute_errors(marked, fits, features, "score")
+    keys = ["fold", "split", "setting", "sample"]
+    tested = fits.filter(F.col("split") != moments.ALL_ROWS).drop("coef", "intercept").join(absolute, keys)
+    return tested.select(*keys, *moments.PARAMS, *[_places(name) for name in SCORES])
+
+
+def _grid_sql(names: list[str]) -> str:
+    return _recursive(
+        *linear_ctes(names),
+        f"""SELECT fold, split, setting, side AS sample, alpha, fit_intercept, l1_ratio, {_fixed("neg_mean_squared_error", "neg_mean_squared_error")},
+  CASE WHEN yy > 0 THEN {_fixed("1 + neg_mean_squared_error / yy", "r2").replace(" AS r2", "")} END AS r2, {_fixed("corr_scorer", "corr_scorer")},
+  {_fixed("neg_mean_absolute_error", "neg_mean_absolute_error")} FROM scores JOIN absolute USING (fold, split, setting, side)""",
+    )
+
+
+@register(_grid_sql(c.VERSIONS))
 def elastic_net_grid(spark, sf_dir):
     """60 settings, 5 splits, 4 folds, all four scores on both sides."""
-    splits, fits = _linear(c.stored_oof(spark, sf_dir))
-    absolute = moments.absolute_errors(splits, fits, c.VERSIONS, "score")
-    keys = ["fold", "split", "setting", "sample"]
-    return fits.filter(F.col("split") != moments.ALL_ROWS).drop("coef", "intercept").join(absolute, keys)
+    return _grid(spark, sf_dir, c.VERSIONS)
 
 
-@register()
+@register(_recursive(*linear_ctes(c.VERSIONS), f"SELECT id, fold, score, {_fixed('en', 'en')} FROM refitted"))
 def meta_refit(spark, sf_dir):
     """The best linear setting of each fold, fitted on all of its rows, predicts every row."""
     oof = c.stored_oof(spark, sf_dir)
     _, fits = _linear(oof)
     predicted = moments.with_linear_prediction(oof, moments.best_fits(fits), c.VERSIONS, "en")
-    return predicted.select("id", "fold", "score", "en")
+    return predicted.select("id", "fold", "score", _places("en"))
 
 
 @register()
 def forest_grid(spark, sf_dir):
     """15 settings of 150 trees, 5 splits, 4 folds, all four scores on both sides."""
     config = StackConfig(())
-    splits = assign_repeated_split(c.stored_oof(spark, sf_dir), "score", config.n_splits, groups=("fold",))
-    return forest.forest_scores(forest.stored_splits(splits, c.VERSIONS), c.FOLDS, config.n_splits, config.forest)
+    marked = with_test_splits(c.stored_oof(spark, sf_dir), "score", config.n_splits, groups=("fold",))
+    return forest.forest_scores(forest.stored_rows(marked, c.VERSIONS), c.FOLDS, config.n_splits, config.forest)
 
 
 def _stack(spark, sf_dir):

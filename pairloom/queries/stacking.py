@@ -7,7 +7,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import functions as F
 
 from pairloom.operators import evaluation
-from pairloom.operators.rank_cuts import assign_repeated_split
+from pairloom.operators.rank_cuts import with_test_splits
 from pairloom.plans import moments, stacking
 from pairloom.queries import common as c
 from pairloom.queries.aggregates import BEST_SQL, BOARD_CTES, MEAN_SQL, board
@@ -71,12 +71,13 @@ def moment_sql(features: list[str]) -> dict[str, str]:
 
 
 DIGITS = 8
+N_SPLITS = 5
 NUDGE = 1e-12  # means of few decimals can lie halfway between two roundings
 
 
 def sides(spark, sf_dir, features):
-    splits = assign_repeated_split(c.stored_oof(spark, sf_dir), "score", groups=("fold",))
-    return moments.moments(splits, features, "score", ["fold", "split", "side"])
+    marked = with_test_splits(c.stored_oof(spark, sf_dir), "score", N_SPLITS, groups=("fold",))
+    return moments.by_side(moments.split_moments(marked, features, "score", N_SPLITS), features, "score")
 
 
 @register(

@@ -1,9 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
 from pairloom.config import ForestGrid, RunConfig, StackConfig
-from pairloom.operators.rank_cuts import assign_repeated_split
+from pairloom.operators.rank_cuts import in_test, with_test_splits
 from pairloom.plans import base_models, forest, stacking
 from pairloom.queries import common as c
 from pairloom.sources import views
@@ -77,21 +78,85 @@ def test_stacked_scores(spark, sf_dir, stack, winner):
 
 def test_forest_scores(spark, sf_dir):
     """Depths cut from one fit score like fits of their own."""
-    oof = c.stored_oof(spark, sf_dir)
-    rows = forest.stored_splits(assign_repeated_split(oof, "score", 1, groups=("fold",)), c.VERSIONS)
+    rows = forest.stored_rows(with_test_splits(c.stored_oof(spark, sf_dir), "score", 1, groups=("fold",)), c.VERSIONS)
     grid = ForestGrid(n_estimators=(10,), max_depth=(2, 4), min_samples_split=(2,))
     found = forest.forest_scores(rows, [0], 1, grid).toPandas().set_index(["max_depth", "sample"])
     assert len(found) == 4
     for depth in (2, 4):
         mine = rows.filter("fold = 0")
-        model = forest.forest(10, depth, 2).fit(mine.filter("side = 'train'"))
-        exact = model.transform(mine.filter("side = 'test'")).agg(F.corr("score", "rf")).first()[0]
+        model = forest.forest(10, depth).fit(mine.filter(~in_test(0)))
+        exact = model.transform(mine.filter(in_test(0))).agg(F.corr("score", "rf")).first()[0]
         assert found.loc[(depth, "test"), "corr_scorer"] == pytest.approx(exact, abs=1e-9)
 
 
-def test_half_of_min_split_bounds_the_children():
-    assert forest.ForestGrid().min_samples_split == (2, 4, 6)
-    assert [forest.forest(150, 4, m).getMinInstancesPerNode() for m in (2, 4, 6)] == [1, 2, 3]
+def grown(x, y, depth, least):
+    """A regression tree by definition: the best split of every node with enough rows, at midpoints between neighbouring values."""
+    if depth == 0 or len(y) < least or np.ptp(y) == 0:
+        return float(y.mean())
+    best = None
+    for feature in range(x.shape[1]):
+        values = np.unique(x[:, feature])
+        for cut in (values[:-1] + values[1:]) / 2:
+            left = x[:, feature] <= cut
+            loss = y[left].var() * left.sum() + y[~left].var() * (~left).sum()
+            if best is None or loss < best[0] - 1e-12:
+                best = (loss, feature, cut, left)
+    if best is None:
+        return float(y.mean())
+    _, feature, cut, left = best
+    return feature, cut, grown(x[left], y[left], depth - 1, least), grown(x[~left], y[~left], depth - 1, least)
+
+
+def walked(tree, row):
+    while isinstance(tree, tuple):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def test_least_rows_of_a_split(spark):
+    """Cutting the whole tree at small nodes is growing it with that bound, which no bound on children gives."""
+    chance = np.random.default_rng(4)
+    x = chance.integers(0, 6, (60, 2)).astype(float)
+    y = chance.normal(size=60) + x[:, 0]
+    data = spark.createDataFrame([(*map(float, row), float(v)) for row, v in zip(x, y)], "a double, b double, score double")
+    model = forest.forest(1, 8).setBootstrap(False).fit(forest.assembled(data, ["a", "b"]))
+    trees = forest.Trees(forest.node_table(model, spark))
+    settings = [(depth, least) for depth in (2, 5, 8) for least in (2, 4, 6, 17)]
+    found = trees.predictions(x, settings)
+    for place, (depth, least) in enumerate(settings):
+        exact = [walked(grown(x, y, depth, least), row) for row in x]
+        assert found[:, place] == pytest.approx(exact, abs=1e-9), (depth, least)
+        small = trees.cut_at(depth, least)
+        assert len(small.nodes) <= len(trees.nodes)
+        assert small.predictions(x, [(30, 0)])[:, 0] == pytest.approx(exact, abs=1e-9)
+    assert np.abs(found[:, settings.index((8, 2))] - found[:, settings.index((8, 6))]).max() > 0.01
+
+
+def test_another_layout_is_an_error(spark, monkeypatch):
+    data = spark.createDataFrame([(0.0, 1.0), (1.0, 2.0)], "a double, score double")
+    model = forest.forest(2, 2).fit(forest.assembled(data, ["a"]))
+    assert len(forest.node_table(model, spark)) >= 2
+
+    class Renamed:
+        getNumTrees = 2
+
+        def write(self):
+            return self
+
+        def save(self, path):
+            spark.createDataFrame([(0, 1)], "tree int, node int").write.parquet(f"{path}/data")
+
+    with pytest.raises(RuntimeError, match="layout"):
+        forest.node_table(Renamed(), spark)
+
+
+def test_forests_are_stored(spark, tmp_path, stack):
+    forest.save_forests(spark, stack.forests, f"{tmp_path}/forest")
+    again = forest.load_forests(spark, f"{tmp_path}/forest", list(stack.forests))
+    width = len(stack.features)
+    rows = np.random.default_rng(0).random((50, width))
+    for fold, trees in stack.forests.items():
+        assert again[fold].predictions(rows, [(9, 0)]) == pytest.approx(trees.predictions(rows, [(9, 0)]))
 
 
 def test_unknown_names_are_errors(spark, sf_dir):

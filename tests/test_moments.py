@@ -21,10 +21,13 @@ def rows(spark):
     return spark.createDataFrame(data, "fold int, split int, side string, score double, a double, b double, c double")
 
 
+def with_bits(rows):
+    return rows.withColumn("test_splits", (F.col("side") == "test").cast("int")).repartition(3)
+
+
 @pytest.fixture(scope="module")
 def fits(rows):
-    sides = moments.moments(rows, FEATURES, "score", ["fold", "split", "side"])
-    return moments.elastic_net_fits(moments.split_moments(sides, FEATURES), 3, GRID).toPandas()
+    return moments.elastic_net_fits(moments.split_moments(with_bits(rows), FEATURES, "score", 1), 3, GRID).toPandas()
 
 
 def one(fits, sample="train", split=0, **params):
@@ -47,8 +50,7 @@ def test_far_from_zero(spark, rows):
     shifted = rows.withColumns({f: F.col(f) + 1e7 for f in FEATURES})
     found = []
     for df in (rows, shifted):
-        sides = moments.moments(df, FEATURES, "score", ["fold", "split", "side"])
-        fits = moments.elastic_net_fits(moments.split_moments(sides, FEATURES), 3, GRID).toPandas()
+        fits = moments.elastic_net_fits(moments.split_moments(with_bits(df), FEATURES, "score", 1), 3, GRID).toPandas()
         found.append(np.array([*one(fits, alpha=0.0, fit_intercept=True, l1_ratio=0.4).coef]))
     assert found[1] == pytest.approx(found[0], abs=1e-5)
 
@@ -57,6 +59,29 @@ def test_missing_predictions_are_an_error(spark, rows):
     gone = rows.withColumn("a", F.when(F.col("a") > 0.5, F.col("a")))
     with pytest.raises(Exception, match="missing"):
         moments.moments(gone, FEATURES, "score", ["fold"]).collect()
+    with pytest.raises(Exception, match="missing"):
+        moments.split_moments(with_bits(gone), FEATURES, "score", 1).collect()
+
+
+def test_sides_by_subtraction(spark):
+    """All rows less the test rows give the train rows' own moments, however far from zero the values lie."""
+    chance = np.random.default_rng(1)
+    data = [(i % 2, int(chance.integers(0, 8)), float(v), float(v * 0.3 + 1e6), float(-v)) for i, v in enumerate(chance.normal(1e4, 3, 500))]
+    rows = spark.createDataFrame(data, "fold int, test_splits int, score double, a double, b double").repartition(4)
+    found = moments.by_side(moments.split_moments(rows, ["a", "b"], "score", 3), ["a", "b"], "score").collect()
+    assert len(found) == 2 * 3 * 2
+    for row in found:
+        mine = np.array([d[2:] for d in data if d[0] == row.fold and (d[1] >> row.split & 1) == (row.side == "test")])
+        assert row.n == len(mine) and row.y == pytest.approx(mine[:, 0].mean(), rel=1e-12)
+        assert row.yy == pytest.approx(mine[:, 0].var(), rel=1e-9)
+        assert row.xx_a_b == pytest.approx(np.cov(mine[:, 1], mine[:, 2], bias=True)[0, 1], rel=1e-9)
+        assert row.xy_a == pytest.approx(np.cov(mine[:, 1], mine[:, 0], bias=True)[0, 1], rel=1e-9)
+
+
+def test_sides_without_rows(spark):
+    rows = spark.createDataFrame([(0, 1, 1.0, 2.0), (0, 1, 3.0, 5.0)], "fold int, test_splits int, score double, a double")
+    found = {r.side: r for r in moments.by_side(moments.split_moments(rows, ["a"], "score", 1), ["a"], "score").collect()}
+    assert (found["test"].n, found["test"].y, found["train"].n, found["train"].xx_a_a) == (2, 2, 0, 0)
 
 
 def test_all_rows_are_both_sides(spark, rows, fits):
@@ -105,7 +130,7 @@ def test_agrees_with_spark_ml(rows, fits):
 
 
 def test_absolute_errors(spark, rows, fits):
-    got = moments.absolute_errors(rows, spark.createDataFrame(fits), FEATURES, "score").toPandas()
+    got = moments.absolute_errors(with_bits(rows), spark.createDataFrame(fits), FEATURES, "score").toPandas()
     fit = one(fits, "test", alpha=0.2, fit_intercept=True, l1_ratio=0.4)
     t = SIDE == "test"
     p = X[t] @ np.array(fit.coef) + fit.intercept
