@@ -4,7 +4,8 @@
 2. *Tiles.* In any one order of all shingles, two sets that are alike share a shingle among their first
    ``n - need + 1``. The order is by hash, with the shingles of very many texts last, so that common passages
    open no tiles. A tile holds the sets with the same early shingle, in order of size, and a set meets only the band of
-   sizes that can still be alike. Tiles above ``BLOCK`` sets are cut into blocks that meet two by two.
+   sizes that can still be alike. Of larger tiles with the same members, as the shingles of a shared passage open, one stays. Tiles
+   above ``BLOCK`` sets are cut into blocks that meet two by two.
 3. *Signatures.* Each pair of a tile gets a bound of its overlap from hashed bitmaps: a bit that only one side has stands
    for a shingle that only this side has. Pairs whose bound is too low go.
 4. *Exact.* The others are decided by the intersection of their sorted shingle arrays.
@@ -44,7 +45,8 @@ COUNT_TOGETHER = 4_000_000  # shingles of a task that are counted together
 BLOCK = 4096  # sets of a tile that meet in one block
 FEW = 8  # sets of a tile whose pairs are all handed on
 LEAST_BITS = 1024  # of a bitmap; larger sets have a bit for each member at least
-PAIRS_TOGETHER = 100_000  # pairs of a tile that are bounded together
+PAIRS_TOGETHER = 100_000  # pairs of a tile that are bounded together, fewer where their bitmaps
+TURN_BYTES = 8 << 20  # take more than this
 LEAD = 4  # larger tiles of a set that tell whether a pair belongs to another one
 FILTER_BITS = 25  # places in the fixed-size filter of wanted texts
 
@@ -199,21 +201,61 @@ def _early(texts: DataFrame, width: int, alike: int, common) -> DataFrame:
     return texts.select("_text").mapInArrow(early, "f1 long, f2 long, n int, rare array<long>, often array<long>")
 
 
+def _set_id(f1, f2):
+    """A set's number: 63 bits of its name."""
+    return F.xxhash64(f1, f2).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def _bits(keys: DataFrame, key: str) -> DataFrame:
+    """_word, _bits: a filter of fixed size that holds the keys, and others by chance."""
+    word = F.shiftright(F.col(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6).alias("_word")
+    return keys.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({key} & 63 AS INT))")).alias("_bits"))
+
+
+def _with_hit(rows: DataFrame, bits: DataFrame, key: str) -> DataFrame:
+    """Add _hit: whether the filter may hold the row's key."""
+    word = F.shiftright(F.col(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6)
+    found = rows.withColumn("_word", word).join(F.broadcast(bits), "_word", "left")  # at most 2^(FILTER_BITS - 6) rows
+    hit = F.expr(f"coalesce(shiftright(_bits, CAST({key} & 63 AS INT)) & 1, 0) = 1")
+    return found.withColumn("_hit", hit).drop("_word", "_bits")
+
+
 def _tiles(texts: DataFrame, sets: DataFrame, width: int, alike: int, common) -> DataFrame:
-    """h, lo, hi (the tile), part, sid, n, size: the sets that share an early shingle with another one."""
-    early = _early(texts, width, alike, common).filter("n > 0").groupBy("f1", "f2")
-    early = early.agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("often").alias("often"))
-    placed = written(early.join(sets.select("f1", "f2", "sid"), ["f1", "f2"]).select("sid", "n", "rare", "often"), "early")
+    """h (the tile), sid, n, size: the sets that share an early shingle with another one.
+
+    Only sets of several texts, and those that a filter of fixed size takes for such, are brought together by a shuffle.
+    """
+    early = _early(texts, width, alike, common).filter("n > 0").withColumn("sid", _set_id("f1", "f2"))
+    early = written(_with_hit(early, _bits(sets.filter("texts > 1"), "f1"), "f1"), "early")
+    several = early.filter("_hit").groupBy("f1", "f2", "sid")
+    several = several.agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("often").alias("often"))
+    columns = ["sid", "n", "rare", "often"]
+    placed = early.filter("NOT _hit").select(*columns).unionByName(several.select(*columns))
     rare = placed.select("sid", "n", F.explode("rare").alias("h"))
     rare = rare.withColumn("size", F.count("*").over(Window.partitionBy("h"))).filter("size > 1")
     often = placed.select("sid", "n", F.explode("often").alias("h"))
     counts = often.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
     rows = rare.select("h", "sid", "n", "size").unionByName(often.join(counts, "h").select("h", "sid", "n", "size"))
+    return written(rows, "tiles")
+
+
+def _large_tiles(tiles: DataFrame) -> DataFrame:
+    """The tiles of ``FEW`` sets and more; of those with the same members the one with the least shingle."""
+    many = tiles.filter(F.col("size") >= FEW)
+    lists = many.groupBy("h").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("sid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("x2")
+    )
+    kept = lists.groupBy("size", "x1", "x2").agg(F.min("h").alias("h")).select("h")
+    return written(many.join(kept, "h", "left_semi"), "large-tiles")
+
+
+def _in_blocks(tiles: DataFrame, *more: str) -> DataFrame:
+    """h, lo, hi (the block of a tile), part, sid, n and ``more``: a tile's sets, once for every other part."""
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("int"))
+    rows = tiles.withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     lo, hi = F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")
-    return written(rows.select("h", lo, hi, "part", "sid", "n", "size"), "tiles")
+    return rows.select("h", lo, hi, "part", "sid", "n", *more)
 
 
 TILE = ["h", "lo", "hi"]
@@ -253,20 +295,21 @@ def tile_pairs(n: np.ndarray, sigs: list[bytes], apart, alike: int):
     ``apart(i, j)`` tells which pairs are wanted.
     """
     sizes = np.array([len(sig) for sig in sigs])
+    widths = np.unique(sizes)
     folds: dict[int, np.ndarray] = {}
-    for size in np.unique(sizes):
+    for size in widths:  # wider bitmaps folded until they are as wide
         rows = np.zeros((len(n), size // 8), np.uint64)
-        own, twice = np.flatnonzero(sizes == size), np.flatnonzero(sizes == 2 * size)
-        rows[own] = np.frombuffer(b"".join(sigs[i] for i in own), np.uint64).reshape(len(own), -1)
-        if len(twice):
-            wide = np.frombuffer(b"".join(sigs[i] for i in twice), np.uint64).reshape(len(twice), -1)
-            rows[twice] = wide[:, : size // 8] | wide[:, size // 8 :]
+        for width in widths[widths >= size]:
+            own = np.flatnonzero(sizes == width)
+            wide = np.frombuffer(b"".join(sigs[i] for i in own), np.uint64).reshape(len(own), width // size, size // 8)
+            rows[own] = np.bitwise_or.reduce(wide, axis=1)
         folds[int(size)] = rows
+    together = max(1, min(PAIRS_TOGETHER, TURN_BYTES // int(widths.max(initial=8))))
     count = _reach(n, alike)
     total = np.cumsum(count)
     done = 0
     while done < len(n):
-        upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + PAIRS_TOGETHER, side="right")))
+        upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + together, side="right")))
         at = np.arange(done, upto)
         i, j = np.repeat(at, count[done:upto]), spans(at + 1, count[done:upto])
         done = upto
@@ -290,18 +333,25 @@ def elsewhere(lead_a: np.ndarray, lead_b: np.ndarray, h: int) -> np.ndarray:
     return (least != top) & (least != h)
 
 
-def _pairs(tiles: DataFrame, sets: DataFrame, groups: DataFrame | None, alike: int) -> DataFrame:
+def best_of(own: np.ndarray, other: np.ndarray, bound: np.ndarray, best: np.ndarray, partner: np.ndarray) -> None:
+    """Set the best bound of each set of ``own`` and its partner (of several the least) where they beat those known."""
+    order = np.lexsort((other, -bound, own))
+    order = order[np.concatenate([[True], np.diff(own[order]) > 0])]
+    own, other, bound = own[order], other[order], bound[order]
+    better = (bound > best[own]) | ((bound == best[own]) & (other < partner[own]))
+    best[own[better]], partner[own[better]] = bound[better], other[better]
+
+
+def _pairs(few: DataFrame | None, large: DataFrame, sets: DataFrame, groups: DataFrame | None, alike: int) -> DataFrame:
     """Distinct pairs (a < b) of sets to decide; ``groups`` (node, component) of the first round for the second one."""
-    few = tiles.filter(F.col("size") < FEW).repartition(*TILE).sortWithinPartitions(*TILE, "n", "sid")
-    many = tiles.filter(F.col("size") >= FEW)
     if groups is None:
-        many = many.withColumn("group", F.col("sid"))
+        many = large.withColumn("group", F.col("sid"))
     else:  # only tiles of several groups go on, before bitmaps join them
-        many = many.join(groups.withColumnRenamed("node", "sid"), "sid", "left")
+        many = large.join(groups.withColumnRenamed("node", "sid"), "sid", "left")
         many = many.withColumn("group", F.coalesce("component", "sid")).drop("component")
-        mixed = many.groupBy(*TILE).agg((F.min("group") != F.max("group")).alias("mixed")).filter("mixed").drop("mixed")
-        many = many.join(mixed, TILE, "left_semi")
-    many = many.join(sets.select("sid", "sig", "lead"), "sid")
+        mixed = many.groupBy("h").agg((F.min("group") != F.max("group")).alias("mixed")).filter("mixed").select("h")
+        many = many.join(mixed, "h", "left_semi")
+    many = _in_blocks(many.join(sets.select("sid", "sig", "lead"), "sid"), "group", "sig", "lead")
     many = many.repartition(*TILE).sortWithinPartitions(*TILE, "n", "sid")
     first_round = groups is None
 
@@ -333,20 +383,23 @@ def _pairs(tiles: DataFrame, sets: DataFrame, groups: DataFrame | None, alike: i
             def apart(i, j):
                 return (group[i] != group[j]) & ((part[i] != part[j]) if split else True)
 
-            parts = list(tile_pairs(rows["n"].astype(np.int64), list(rows["sig"]), apart, alike))
-            i, j, bound = (np.concatenate(column) for column in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 3
-            here = ~elsewhere(lead[i], lead[j], rows["h"][0])
-            i, j, bound = i[here], j[here], bound[here]
-            if first_round and len(i):  # each set with its best one
-                own, other = np.concatenate([i, j]), np.concatenate([j, i])
-                order = np.lexsort((sid[other], -np.concatenate([bound, bound]), own))
-                first = order[np.concatenate([[True], np.diff(own[order]) > 0])]
-                i, j = own[first], other[first]
-            if len(i):
-                yield batch(sid[i], sid[j])
+            best, partner = np.full(len(sid), -1), np.full(len(sid), top)
+            for i, j, bound in tile_pairs(rows["n"].astype(np.int64), list(rows["sig"]), apart, alike):
+                here = ~elsewhere(lead[i], lead[j], rows["h"][0])
+                i, j, bound = i[here], j[here], bound[here]
+                if not len(i):
+                    continue
+                if first_round:  # each set with its best one
+                    best_of(np.concatenate([i, j]), np.concatenate([sid[j], sid[i]]), np.concatenate([bound, bound]), best, partner)
+                else:
+                    yield batch(sid[i], sid[j])
+            tied = best >= 0
+            if tied.any():
+                yield batch(sid[tied], partner[tied])
 
     found = many.mapInArrow(meet_many, "a long, b long")
     if first_round:
+        few = _in_blocks(few).repartition(*TILE).sortWithinPartitions(*TILE, "n", "sid")
         found = found.unionByName(few.mapInArrow(meet_few, "a long, b long"))
     return found.distinct()
 
@@ -368,12 +421,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
 
 def _wanted(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """Texts of ``keys`` (sid, k1, k2); a filter of fixed size spares most others the shuffle."""
-    place = F.col("k1").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    bits = keys.groupBy(F.shiftright(place, 6).alias("_word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(k1 & 63 AS INT))")).alias("_bits")
-    )
-    hit = F.expr("(shiftright(_bits, CAST(k1 & 63 AS INT)) & 1) = 1")
-    near = texts.withColumn("_word", F.shiftright(place, 6)).join(F.broadcast(bits), "_word").filter(hit)
+    near = _with_hit(texts, _bits(keys, "k1"), "k1").filter("_hit")
     return near.select("k1", "k2", "_text").join(keys, ["k1", "k2"]).groupBy("sid").agg(F.first("_text").alias("_text"))
 
 
@@ -416,16 +464,17 @@ def near_groups(
     members = written(_names(texts, width).withColumn("t", F.monotonically_increasing_id()), "set-names")
     one = F.min_by(F.struct("n", "sig", "k1", "k2"), "t")
     sets = members.filter("n > 0").groupBy("f1", "f2")
-    sets = sets.agg(F.min("t").alias("sid"), F.min("_id").alias("least"), one.alias("one"))
-    sets = written(sets.select("f1", "f2", "sid", "least", "one.*"), "sets")
+    sets = sets.agg(F.count("*").alias("texts"), F.min("_id").alias("least"), one.alias("one"))
+    sets = written(sets.select("f1", "f2", _set_id("f1", "f2").alias("sid"), "texts", "least", "one.*"), "sets")
     common = spark.sparkContext.broadcast(common_shingles(texts, width))
     tiles = _tiles(texts, sets, width, alike, common)
     # The least tiles of each set, as far as they are not small; at most as many as its early shingles.
-    leads = tiles.filter(F.col("size") >= FEW).groupBy("sid").agg(F.array_sort(F.collect_set("h")).alias("tiles"))
+    large = _large_tiles(tiles)
+    leads = large.groupBy("sid").agg(F.array_sort(F.collect_set("h")).alias("tiles"))
     marked = written(sets.join(leads, "sid").select("sid", "sig", F.slice("tiles", 1, LEAD).alias("lead")), "leads")
-    links = _links(_pairs(tiles, marked, None, alike), texts, sets, width, alike)
+    links = _links(_pairs(tiles.filter(F.col("size") < FEW), large, marked, None, alike), texts, sets, width, alike)
     groups = written(components(links), "first-groups")
-    more = _links(_pairs(tiles, marked, groups, alike), texts, sets, width, alike)
+    more = _links(_pairs(None, large, marked, groups, alike), texts, sets, width, alike)
     # What the second round links are groups of the first one.
     roots = more
     for side in ("a", "b"):

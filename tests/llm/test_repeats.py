@@ -91,6 +91,50 @@ def test_bounds_hold():
     assert ngram_join.need(32, 75) == 14
 
 
+def test_wider_bitmaps_are_folded_until_equal(spark, monkeypatch):
+    """At low likeness partners can be four times as wide."""
+    monkeypatch.setattr(ngram_join, "LEAST_BITS", 64)
+    words = [f"w{i}" for i in range(1188)]
+    rows = [(1, " ".join(words[:300])), (2, " ".join(words)), (3, "lonely text of very few words")]
+    found = ngram_join.near_groups(frame(spark, rows), alike=20)
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(1, 1), (2, 1), (3, 3)]
+    sigs = [ngram_join.bitmap(np.arange(size, dtype=np.uint64)) for size in (296, 1184)]
+    assert [len(sig) for sig in sigs] == [64, 256]
+    pairs = list(ngram_join.tile_pairs(np.array([296, 1184]), sigs, lambda i, j: np.ones(len(i), bool), 20))
+    assert [tuple(map(list, p)) for p in pairs] == [([0], [1], [296])]
+
+
+def test_large_tile_keeps_one_partner_for_each_set():
+    """8 million pairs of one tile are bounded in turns; what is held is one partner a set."""
+    chance = np.random.default_rng(0)
+    n = np.full(4000, 300)
+    sigs = [chance.integers(0, 2**63, 16, np.uint64).tobytes() for _ in n]
+    best, partner, most = np.full(4000, -1), np.full(4000, 1 << 62), 0
+    for i, j, bound in ngram_join.tile_pairs(n, sigs, lambda i, j: np.ones(len(i), bool), 1):
+        most = max(most, len(i))
+        ngram_join.best_of(np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([bound, bound]), best, partner)
+    assert most <= 70_000 and (best >= 0).all()
+    bits = np.unpackbits(np.frombuffer(b"".join(sigs), np.uint8).reshape(4000, -1), axis=1, bitorder="little").astype(np.int32)
+    for place in (0, 17, 3999):
+        shared = bits @ bits[place]
+        bound = np.minimum(300 - (bits.sum(1) - shared), 300 - (bits[place].sum() - shared))
+        bound[place] = -1
+        assert best[place] == bound.max() and partner[place] == bound.argmax()
+
+
+def test_groups_of_many_near_copies(spark):
+    chance = random.Random(3)
+    text = [f"t{i}" for i in range(200)]
+    rows = [(9000, " ".join(f"s{i}" for i in range(200)))]
+    for i in range(3000):
+        copy = list(text)
+        copy[chance.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    found = ngram_join.near_groups(frame(spark, rows)).collect()
+    assert {r.component_id for r in found if r.doc_id < 9000} == {0} and len(found) == 3001
+    assert [r.component_id for r in found if r.doc_id == 9000] == [9000]
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [(1, "a b c")]).filter("doc_id > 1")
     assert ngram_join.near_groups(empty).count() == 0
