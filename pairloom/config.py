@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class RunConfig:
-    """Settings of one version. ``balance_by`` and what follows serve an external trainer."""
+    """Settings of one version; the defaults are fixed values. ``balance_by`` and what follows serve an external trainer."""
 
     version: str = "base"
     n_folds: int = 4
@@ -42,6 +42,7 @@ class RunConfig:
         return cls(**{"n_folds": 2, "sample_rows": 200, **changes})
 
 
+# Grids and defaults of both meta-learners.
 @dataclass(frozen=True)
 class ElasticNetGrid:
     alpha: tuple[float, ...] = (0.0, 0.2, 0.4, 0.5, 0.75)
@@ -71,7 +72,7 @@ class StackConfig:
     learners: tuple[str, ...] = ("rf", "en")
     n_splits: int = 5
     test_size: float = 0.2
-    seed: int = 39
-    encode_fold: bool = False
+    seed: int = 39  # fixed value
+    encode_fold: bool | str | dict = False  # True or 'digits', 'onehot', or own values for each fold
     elastic_net: ElasticNetGrid = field(default_factory=ElasticNetGrid)
     forest: ForestGrid = field(default_factory=ForestGrid)

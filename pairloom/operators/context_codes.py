@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pairloom.functions import text
 from pairloom.session import written
 
+FEW_CODES = 10_000  # codes that are looked up inside a text's row
+FEW_CODES_SIGNS = 200_000
+MAP_BITS = 22  # places of the bitmap for more codes
 Pattern = tuple[str, int]  # a regular expression and one of its groups
 
 def zip_shorter(left: Column, right: Column, names: tuple[str, str]) -> Column:
@@ -55,17 +58,26 @@ def code_dictionary(entries: DataFrame) -> DataFrame:
 def mentioned_codes(raw_texts: DataFrame, codes: DataFrame) -> DataFrame:
     """Which of ``codes`` occur as a substring of each distinct text, case kept: rows (raw, code).
 
-    A code occurs in a text exactly if it is one of the text's substrings of the code's length, so containment becomes
-    an equality join. The lengths come from the codes. Texts are made distinct first, and substrings are made
-    distinct inside their text.
+    A code occurs in a text exactly if it is one of the text's substrings of the code's length. Texts are made distinct
+    first, and substrings inside their text. As long as the codes are few, a text hands on those of its substrings
+    that are codes. Beyond that it hands on those that a bitmap of fixed size takes for codes, and an equality join decides.
     """
     known = codes.select(F.col("context").alias("code")).filter(F.length("code") > 0).distinct()
-    lengths = sorted(row.size for row in known.select(F.length("code").alias("size")).distinct().collect())
+    few = [row.code for row in known.limit(FEW_CODES + 1).collect()]
+    inside = len(few) <= FEW_CODES and sum(map(len, few)) <= FEW_CODES_SIGNS
+    lengths = sorted({len(code) for code in few} if inside else {row.n for row in known.select(F.length("code").alias("n")).distinct().collect()})
     if not lengths:
         return raw_texts.select("raw", F.lit("").alias("code")).limit(0)
     pieces = F.concat(*[text.shingles("raw", size) for size in lengths])
-    found = raw_texts.select("raw").distinct().select("raw", F.explode(pieces).alias("code"))
-    return found.join(known, "code", "left_semi").select("raw", "code")
+    distinct = raw_texts.select("raw").distinct()
+    if inside:
+        return distinct.select("raw", F.explode(F.filter(pieces, lambda piece: piece.isin(few))).alias("code"))
+    place = F.xxhash64("code").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    mark = known.select(F.shiftright(place, 6).alias("_word"), F.expr("shiftleft(1L, CAST(xxhash64(code) & 63 AS INT))").alias("_bit"))
+    bitmap = mark.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))  # at most 2^(MAP_BITS - 6) rows
+    found = distinct.select("raw", F.explode(pieces).alias("code")).withColumn("_word", F.shiftright(place, 6))
+    near = found.join(F.broadcast(bitmap), "_word").filter(F.expr("shiftright(_bits, CAST(xxhash64(code) & 63 AS INT)) & 1") == 1)
+    return near.select("raw", "code").join(known, "code", "left_semi").select("raw", "code")
 
 
 def ordered_concat(entries: DataFrame, key: str, value: str, order: list[str], span_of: Column) -> DataFrame:

@@ -3,7 +3,7 @@
 Every run reads tables below one folder layout and leaves tables there, so a run can be repeated
 or continued on another cluster:
 
-    <output>/runs/<version>          settings of a version, written first and once
+    <output>/runs/<version>          settings of a version; claimed first, committed once everything else stands
     <output>/oof/version=<v>         out-of-fold predictions
     <output>/models/version=<v>      one fitted model for each fold
     <output>/test/version=<v>        test predictions, a column for each fold model
@@ -25,7 +25,8 @@ from pairloom.operators import dictionary, distribution, enrich, vocabulary
 from pairloom.operators.evaluation import row_mean
 from pairloom.operators.rank_cuts import assign_folds
 from pairloom.plans import base_models, stacking
-from pairloom.sources import schemas, tables
+from pairloom.sources import claims, schemas, tables
+from pairloom.streaming import scoring
 
 
 SETTINGS = (
@@ -96,22 +97,34 @@ def training_rows(spark: SparkSession, inputs: Inputs, config: RunConfig) -> Dat
 
 
 def train_version(
-    spark: SparkSession, inputs: Inputs, config: RunConfig, model: str = "linear", link: str = "identity"
+    spark: SparkSession,
+    inputs: Inputs,
+    config: RunConfig,
+    model: str = "linear",
+    link: str = "identity",
+    stale_after: float | None = None,
 ) -> DataFrame:
-    """Train the fold models of a version; the result is its score for each fold and overall."""
+    """Train the fold models of a version; the result is its score for each fold and overall.
+
+    Of several runs with the same version one trains. A run that broke off leaves its claim, which another one takes over if
+    it is at least ``stale_after`` seconds old.
+    """
     estimator = base_models.estimator(model)
     row = (config.version, model, link, config.use_class_text, config.use_mentions, list(config.run_folds), str(config))
     settings = spark.createDataFrame([row], SETTINGS)
-    if not tables.write_new_version(settings, f"{inputs.output}/runs/{config.version}"):
+    own = claims.claim(spark, f"{inputs.output}/runs/{config.version}", stale_after)
+    if own is None:
         raise VersionExists(config.version)
     rows = training_rows(spark, inputs, config)
     oof, models = base_models.cross_validate(
         base_models.with_features(rows), estimator, config.run_folds, config.version, link
     )
     base_models.save_models(models, f"{inputs.output}/models", config.version)
-    oof.select(*schemas.OOF.fieldNames()).drop("version").write.mode("errorifexists").parquet(
+    oof.select(*schemas.OOF.fieldNames()).drop("version").write.mode("overwrite").parquet(
         f"{inputs.output}/oof/version={config.version}"
     )
+    settings.write.parquet(own.attempt)
+    own.commit()
     scored = oof.rollup("fold").agg(metrics.pearson(F.col("score"), F.col("pred")).alias("pearson"))
     return scored.withColumn("version", F.lit(config.version))
 
@@ -128,18 +141,38 @@ def data_report(spark: SparkSession, inputs: Inputs, config: RunConfig) -> tuple
 
 
 def stored_settings(spark: SparkSession, inputs: Inputs, version: str):
-    """What a version was trained with: model, link, flags and folds."""
+    """What a version was trained with: model, link, flags and folds; an error until its run has committed."""
+    if not claims.committed(spark, f"{inputs.output}/runs/{version}"):
+        raise ValueError(f"version {version!r} is not trained")
     return spark.read.schema(SETTINGS).parquet(f"{inputs.output}/runs/{version}").first()
 
 
+def version_predictions(pairs: DataFrame, inputs: Inputs, version: str) -> DataFrame:
+    """id and one prediction for each stored fold model of a version, by its own link and flags; ``pairs`` may be a stream."""
+    own = stored_settings(pairs.sparkSession, inputs, version)
+    config = RunConfig(version, use_class_text=own.use_class_text, use_mentions=own.use_mentions)
+    texts = enrich.with_model_text(
+        _enriched(pairs, inputs.sections, inputs.classes, config), config.use_class_text, config.use_mentions
+    )
+    models = base_models.load_models(f"{inputs.output}/models", version, tuple(own.folds))
+    return base_models.fold_predictions(base_models.with_features(texts), models, own.link)
+
+
+def score_arriving(arriving: DataFrame, inputs: Inputs, version: str, path: str, progress: str) -> DataFrame:
+    """Score the pairs that have arrived since the last call with a version's stored fold models; the result is the whole table.
+
+    ``progress`` is the checkpoint of the stream: a call that broke off is taken up there, and no pair is scored twice.
+    """
+    folds = list(stored_settings(arriving.sparkSession, inputs, version).folds)
+    wide = version_predictions(arriving, inputs, version)
+    scored = wide.select("id", row_mean([f"pred_{fold}" for fold in folds]).alias("score"))
+    return scoring.append_available(scored, path, progress)
+
+
 def predict_version(spark: SparkSession, inputs: Inputs, version: str) -> DataFrame:
     """Score the test rows with all fold models of a version, by its own link and flags; the row mean is the submission."""
     own = stored_settings(spark, inputs, version)
-    config = RunConfig(version, use_class_text=own.use_class_text, use_mentions=own.use_mentions)
-    test = _enriched(tables.read_csv(spark, inputs.test, schemas.PAIRS_TEST), inputs.sections, inputs.classes, config)
-    texts = enrich.with_model_text(test, config.use_class_text, config.use_mentions)
-    models = base_models.load_models(f"{inputs.output}/models", version, tuple(own.folds))
-    wide = base_models.fold_predictions(base_models.with_features(texts), models, own.link)
+    wide = version_predictions(tables.read_csv(spark, inputs.test, schemas.PAIRS_TEST), inputs, version)
     path = f"{inputs.output}/test/version={version}"
     wide.write.mode("errorifexists").parquet(path)
     stored = spark.read.schema(wide.schema).parquet(path)

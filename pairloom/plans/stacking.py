@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom.config import StackConfig
 from pairloom.functions import metrics
-from pairloom.functions.arrays import binary_digits
-from pairloom.operators import evaluation
+from pairloom.operators import evaluation, fold_encoder
 from pairloom.operators.rank_cuts import assign_split, with_test_splits
 from pairloom.plans import forest, moments
 from pairloom.session import small_side, written
@@ -42,10 +41,8 @@ def columns_of_fold(columns: list[str], fold: int) -> list[str]:
 
 def with_fold_digits(df: DataFrame, folds: list[int]) -> tuple[DataFrame, list[str]]:
     """The fold as binary digits, counted from 1; the largest fold number gives their count."""
-    width = (max(folds) + 1).bit_length()
-    digits = binary_digits(F.col("fold") + 1, width)
-    names = [f"fold_digit_{i}" for i in range(width)]
-    return df.withColumns(dict(zip(names, digits))), names
+    encoder = fold_encoder.digits(folds)
+    return encoder.encoded(df), list(encoder.names)
 
 
 def gate(best: DataFrame, learners: tuple[str, ...] = LEARNERS) -> DataFrame:
@@ -67,6 +64,7 @@ class Stack:
     linear_scores: DataFrame | None = None
     forest_scores: DataFrame | None = None
     forests: dict = field(default_factory=dict)
+    encoder: fold_encoder.FoldEncoder | None = None
 
 
 def train_stack(oof: DataFrame, config: StackConfig) -> Stack:
@@ -82,9 +80,10 @@ def train_stack(oof: DataFrame, config: StackConfig) -> Stack:
     features = versions
     parted = assign_split(oof, "score", config.test_size, config.seed, groups=("fold",), name="part")
     folds = sorted(row.fold for row in oof.select("fold").distinct().collect())
-    if config.encode_fold:
-        parted, digits = with_fold_digits(parted, folds)
-        features = versions + digits
+    encoder = fold_encoder.fit_encoder(config.encode_fold, folds)
+    if encoder is not None:
+        parted = encoder.encoded(parted)
+        features = versions + list(encoder.names)
     rows = written(parted, "meta-rows")
     training = rows.filter(F.col("part") == "train")
     marked = with_test_splits(training, "score", config.n_splits, config.test_size, config.seed + 1, groups=("fold",))
@@ -112,7 +111,7 @@ def train_stack(oof: DataFrame, config: StackConfig) -> Stack:
     leaderboard = small_side(evaluation.score_models(scored, models, by=("fold", "dataset")))
     mean_scores = evaluation.mean_leaderboard(leaderboard)
     best = small_side(evaluation.best_model(mean_scores))
-    return Stack(leaderboard, mean_scores, best, predicted, features, linear, linear_scores, rf_scores, forests)
+    return Stack(leaderboard, mean_scores, best, predicted, features, linear, linear_scores, rf_scores, forests, encoder)
 
 
 GRIDS = {
@@ -152,8 +151,11 @@ def save_stack(stack: Stack, path: str) -> None:
     spark = stack.best.sparkSession
     winner = stack.best.first()
     folds = sorted(stack.forests)
-    row = (winner.model if winner else None, stack.features, stack.linear is not None, folds)
-    spark.createDataFrame([row], "model string, features array<string>, linear boolean, forests array<int>").write.parquet(f"{path}/meta")
+    row = (winner.model if winner else None, stack.features, stack.linear is not None, folds, stack.encoder is not None)
+    schema = "model string, features array<string>, linear boolean, forests array<int>, encoder boolean"
+    if stack.encoder is not None:
+        stack.encoder.save(spark, f"{path}/models/fold-encoder")
+    spark.createDataFrame([row], schema).write.parquet(f"{path}/meta")
     if stack.linear is not None:
         stack.linear.write.parquet(f"{path}/models/linear")
     forest.save_forests(spark, stack.forests, f"{path}/models/forest")
@@ -166,7 +168,9 @@ def load_stack(spark: SparkSession, path: str) -> Stack:
     linear = spark.read.parquet(f"{path}/models/linear") if meta.linear else None
     forests = forest.load_forests(spark, f"{path}/models/forest", list(meta.forests))
     none = spark.createDataFrame([], "model string")
-    return Stack(none, none, best.filter("model IS NOT NULL"), none, list(meta.features), linear, forests=forests)
+    encoder = fold_encoder.FoldEncoder.load(spark, f"{path}/models/fold-encoder") if meta.encoder else None
+    winner = best.filter("model IS NOT NULL")
+    return Stack(none, none, winner, none, list(meta.features), linear, forests=forests, encoder=encoder)
 
 
 def stacked_scores(matrix: DataFrame, stack: Stack, versions: list[str], folds: list[int]) -> DataFrame:
@@ -179,20 +183,15 @@ def stacked_scores(matrix: DataFrame, stack: Stack, versions: list[str], folds:
     for fold in folds:
         columns = [f"{version}_fold_{fold}" for version in versions]
         target = f"_out_{fold}"
+        encoded = [F.lit(value) for value in stack.encoder.values(fold)] if stack.encoder else []
         if winner.model == "en":
             fit = stack.linear.filter(F.col("fold") == fold).first()
-            extra = _digits_of(fold, len(stack.features) - len(versions))
-            values = [F.col(c) for c in columns] + [F.lit(d) for d in extra]
+            values = [F.col(c) for c in columns] + encoded
             outputs[target] = sum((F.lit(w) * x for w, x in zip(fit.coef, values)), F.lit(fit.intercept))
             scored = scored.withColumn(target, outputs[target])
         elif winner.model == "rf":
-            extra = _digits_of(fold, len(stack.features) - len(versions))
-            values = [F.col(c) for c in columns] + [F.lit(float(d)) for d in extra]
+            values = [F.col(c) for c in columns] + encoded
             scored = scored.withColumn(target, forest.predicted_by(stack.forests[fold], values))
         else:
             scored = scored.withColumn(target, F.col(f"{winner.model}_fold_{fold}"))
     return scored.select("id", evaluation.row_mean([f"_out_{fold}" for fold in folds]).alias("score"))
-
-
-def _digits_of(fold: int, width: int) -> list[int]:
-    return [(fold + 1) >> b & 1 for b in range(width - 1, -1, -1)]

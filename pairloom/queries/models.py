@@ -4,25 +4,103 @@ from __future__ import annotations
 
 from itertools import product
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from pairloom.config import StackConfig
 from pairloom.operators import enrich
+from pairloom.operators.pair_features import with_pair_features
 from pairloom.operators.rank_cuts import with_test_splits
 from pairloom.plans import base_models, forest, moments, stacking
 from pairloom.queries import common as c
-from pairloom.queries.stacking import N_SPLITS, SPLIT_CTES, moment_sql
-from pairloom.session import small_side, written
+from pairloom.queries.stacking import N_SPLITS, moment_sql
+from pairloom.queries.texts import FEATURES_SQL
+from pairloom.session import scratch_path, small_side, written
 from pairloom.sources import views
 
 register = c.Registry()
 QUERIES, SQL = register.queries, register.sql
 
+GRID = StackConfig(()).elastic_net
+SETTINGS = list(product(GRID.alpha, GRID.fit_intercept, GRID.l1_ratio))
+SWEEPS = 400  # of coordinate descent in SQL; both sides agree to far more digits than are compared
+PLACES = 5
+NUDGE = 3e-9  # scores of a constant guess are fractions that can lie halfway between two roundings
+SCORES = ["neg_mean_squared_error", "r2", "corr_scorer", "neg_mean_absolute_error"]
+
 
 def _featured(spark, sf_dir):
     return base_models.with_features(c.folded_texts(spark, sf_dir))
 
 
+BASE_PENALTY = 0.001
+
+
+def _edit_features(df):
+    """One feature, so that the fit has a closed form."""
+    return VectorAssembler(inputCols=["edit_distance"], outputCol="features").transform(with_pair_features(df))
+
+
+# The penalty is divided by the label's deviation and holds for the feature divided by its own.
+ONE_FEATURE_CTES = (
+    FEATURES_SQL,
+    "rows AS (SELECT e.id, score, fold, edit_distance AS x FROM enriched e JOIN features f ON f.id = e.id JOIN folds ON folds.id = e.id)",
+    f"""known AS (SELECT k AS fold, avg(x) AS mx, avg(score) AS my,
+  covar_pop(x, score) / (var_pop(x) * (1 + {BASE_PENALTY} / stddev_pop(score))) AS slope
+  FROM rows, range(0, {views.N_FOLDS}) AS r(k) WHERE fold <> k GROUP BY k)""",
+)
+ONE_FEATURE_SOURCE = (*c.ENRICH_CTES, *c.FOLD_CTES[1:])
+
+
+@register(
+    c.with_ctes(
+        *ONE_FEATURE_SOURCE,
+        *ONE_FEATURE_CTES,
+        "SELECT id, rows.fold, score, round(my + slope * (x - mx) + 3e-9, 5) AS pred FROM rows JOIN known ON known.fold = rows.fold",
+    )
+)
+def oof_one_feature(spark, sf_dir):
+    """Out-of-fold predictions of the base model with one feature."""
+    df = _edit_features(c.folded_texts(spark, sf_dir))
+    oof, _ = base_models.cross_validate(df, base_models.estimator("linear"), tuple(c.FOLDS), "one")
+    return oof.select("id", "fold", "score", F.round(F.col("pred") + NUDGE, PLACES).alias("pred"))
+
+
+@register(
+    c.with_ctes(
+        *ONE_FEATURE_SOURCE,
+        *ONE_FEATURE_CTES,
+        c.TEST_SQL,
+        """SELECT id, round(avg(my + slope * (CAST(levenshtein(anchor, target) AS DOUBLE) - mx)) + 3e-9, 5) AS score
+  FROM test_pairs, known GROUP BY id""",
+    )
+)
+def ensemble_one_feature(spark, sf_dir):
+    """Test rows scored by all stored fold models of the one-feature model in one scan, averaged."""
+    df = _edit_features(c.folded_texts(spark, sf_dir))
+    _, models = base_models.cross_validate(df, base_models.estimator("linear"), tuple(c.FOLDS), "one")
+    path = scratch_path(spark, "models")
+    base_models.save_models(models, path, "one")
+    stored = base_models.load_models(path, "one", tuple(c.FOLDS))
+    test = enrich.enrich(views.test_pairs(spark, sf_dir), views.sections(spark, sf_dir), views.classes(spark, sf_dir))
+    scored = base_models.fold_ensemble(_edit_features(enrich.with_model_text(test)), stored)
+    return scored.select("id", F.round(F.col("score") + NUDGE, PLACES).alias("score"))
+
+
+@register(
+    c.with_ctes(
+        *c.FOLD_CTES,
+        f"""SELECT CAST(k AS INTEGER) AS fold, count(*) FILTER (WHERE fold <> k) AS trained, count(*) FILTER (WHERE fold = k) AS predicted,
+  true AS unbiased, true AS stationary, true AS once, true AS own_model FROM folds, range(0, {views.N_FOLDS}) AS r(k) GROUP BY k""",
+    )
+)
+def oof_certificate(spark, sf_dir):
+    """The stored fold models are the best fits of their training rows, and every pair is predicted once, by the model of its fold."""
+    df = _featured(spark, sf_dir)
+    oof, models = base_models.cross_validate(df, base_models.estimator("linear"), tuple(c.FOLDS), "linear")
+    return base_models.certificate(df, oof, models, BASE_PENALTY)
+
+
 @register()
 def oof_base_model(spark, sf_dir):
     """Every pair is predicted by the model that did not see its fold."""
@@ -42,14 +120,6 @@ def fold_ensemble_inference(spark, sf_dir):
     return base_models.fold_ensemble(base_models.with_features(enrich.with_model_text(test)), models)
 
 
-GRID = StackConfig(()).elastic_net
-SETTINGS = list(product(GRID.alpha, GRID.fit_intercept, GRID.l1_ratio))
-SWEEPS = 400  # of coordinate descent in SQL; both sides agree to far more digits than are compared
-PLACES = 5
-NUDGE = 3e-9  # scores of a constant guess are fractions that can lie halfway between two roundings
-SCORES = ["neg_mean_squared_error", "r2", "corr_scorer", "neg_mean_absolute_error"]
-
-
 def _pair(i: int, j: int, names: list[str]) -> str:
     return f"xx_{names[min(i, j)]}_{names[max(i, j)]}"
 
@@ -62,7 +132,7 @@ def _step(i: int, names: list[str]) -> str:
     )
 
 
-def linear_ctes(names: list[str]) -> tuple[str, ...]:
+def linear_ctes(names: list[str], source: tuple[str, ...] = c.OOF_CTES, rows: str = "oof", seed: int = 39) -> tuple[str, ...]:
     """Fits of every setting, fold and split (-1: all rows) by coordinate descent from the sums, with their scores on both sides."""
     every = range(len(names))
     sums = ", ".join(f"{expr} AS {name}" for name, expr in moment_sql(names).items())
@@ -75,9 +145,11 @@ def linear_ctes(names: list[str]) -> tuple[str, ...]:
     var = " + ".join(f"w{i} * w{j} * {_pair(i, j, names)}" for i in every for j in every)
     settings = ", ".join(f"({n}, {a}::DOUBLE, {str(f).lower()}, {r}::DOUBLE)" for n, (a, f, r) in enumerate(SETTINGS))
     return (
-        *SPLIT_CTES,
+        *source,
+        f"repeated AS (SELECT {rows}.*, CAST(k AS INTEGER) AS split FROM {rows}, range(0, 5) AS r(k))",
+        c.split_sql("repeated", "score", f"md5(id || ':{seed}:' || CAST(split AS VARCHAR))", groups="(fold, split)"),
         f"""sums AS MATERIALIZED (SELECT fold, split, side, {sums} FROM parted GROUP BY fold, split, side
-  UNION ALL SELECT fold, -1, 'train', {sums} FROM oof GROUP BY fold)""",
+  UNION ALL SELECT fold, -1, 'train', {sums} FROM {rows} GROUP BY fold)""",
         f"settings(setting, alpha, fit_intercept, l1_ratio) AS (VALUES {settings})",
         f"""problems AS MATERIALIZED (SELECT fold, split, setting, alpha, fit_intercept, l1_ratio, alpha * l1_ratio AS l1, alpha * (1 - l1_ratio) AS l2,
   {", ".join(gram + sides)} FROM sums CROSS JOIN settings WHERE side = 'train')""",
@@ -179,3 +251,58 @@ def stacked_inference(spark, sf_dir):
     """Test scores of the best model, one meta-model for each fold, averaged."""
     matrix = stacking.fold_matrix(c.test_long(spark, sf_dir), c.VERSIONS, c.FOLDS)
     return stacking.stacked_scores(matrix, _stack(spark, sf_dir), c.VERSIONS, c.FOLDS)
+
+
+# The stack of the linear meta-learner alone can be followed in SQL from the splits to the scores.
+STACK_SOURCE = (
+    *c.OOF_CTES,
+    c.split_sql("oof", "score", c.sql_key("id", 39), groups="fold", name="halves", col="part"),
+    "training AS (SELECT * EXCLUDE (part) FROM halves WHERE part = 'train')",
+)
+MODELS = [*c.VERSIONS, "en"]
+STACK_CTES = (
+    *linear_ctes(c.VERSIONS, STACK_SOURCE, "training", 40),
+    "chosen AS (SELECT * FROM fits JOIN best USING (fold, setting) WHERE split = -1)",
+    f"""stacked AS (SELECT h.*, b + {" + ".join(f"w{i} * h.{v}" for i, v in enumerate(c.VERSIONS))} AS en FROM halves h JOIN chosen USING (fold))""",
+    "board AS (" + " UNION ALL ".join(
+        f"SELECT fold, 'em_' || part || '_set' AS dataset, '{m}' AS model, {c.sql_pearson('score', 'stacked.' + m)} AS s FROM stacked GROUP BY fold, part"
+        for m in MODELS
+    ) + ")",
+    "mean_board AS (SELECT model, dataset, avg(s) AS score FROM board GROUP BY ALL)",
+    "winner AS (SELECT model FROM mean_board WHERE dataset = 'em_test_set' AND score IS NOT NULL ORDER BY score DESC, model LIMIT 1)",
+)
+
+
+def _linear_stack(spark, sf_dir):
+    return stacking.train_stack(c.oof_wide(spark, sf_dir), StackConfig(tuple(c.VERSIONS), learners=("en",)))
+
+
+@register(_recursive(*STACK_CTES, f"SELECT model, dataset, {_fixed('score', 'score')} FROM mean_board"))
+def linear_meta_training(spark, sf_dir):
+    """Mean leaderboard of the single models and the linear meta-learner."""
+    return _linear_stack(spark, sf_dir).mean_scores.select("model", "dataset", _places("score"))
+
+
+def _fold_score(fold: int) -> str:
+    linear = f"(SELECT b FROM chosen WHERE fold = {fold})" + "".join(
+        f" + (SELECT w{i} FROM chosen WHERE fold = {fold}) * {v}_fold_{fold}" for i, v in enumerate(c.VERSIONS)
+    )
+    singles = " ".join(f"WHEN '{v}' THEN {v}_fold_{fold}" for v in c.VERSIONS)
+    return f"CASE (SELECT model FROM winner) WHEN 'en' THEN {linear} {singles} END"
+
+
+@register(
+    _recursive(
+        *STACK_CTES,
+        c.TEST_SQL,
+        c.MATRIX_SQL,
+        f"SELECT id, {_fixed('(' + ' + '.join(_fold_score(k) for k in c.FOLDS) + f') / {len(c.FOLDS)}', 'score')} FROM matrix",
+    )
+)
+def linear_stacked_inference(spark, sf_dir):
+    """Test scores of the best model of that stack, stored and loaded again, one meta-model for each fold, averaged."""
+    path = scratch_path(spark, "stack")
+    stacking.save_stack(_linear_stack(spark, sf_dir), path)
+    matrix = stacking.fold_matrix(c.test_long(spark, sf_dir), c.VERSIONS, c.FOLDS)
+    scores = stacking.stacked_scores(matrix, stacking.load_stack(spark, path), c.VERSIONS, c.FOLDS)
+    return scores.select("id", _places("score"))

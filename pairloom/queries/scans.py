@@ -10,7 +10,7 @@ from pairloom.operators.positions import with_batch
 from pairloom.plans import base_models
 from pairloom.queries import common as c
 from pairloom.session import scratch_path, written
-from pairloom.sources import schemas, tables, views
+from pairloom.sources import claims, schemas, tables, views
 
 register = c.Registry()
 QUERIES, SQL = register.queries, register.sql
@@ -101,8 +101,8 @@ def versioned_write_guard(spark, sf_dir):
     """The second write of a version is refused and leaves the first one as it was."""
     path = scratch_path(spark, "guarded")
     rows = views.pairs(spark, sf_dir).select("id").withColumn("version", F.lit("first"))
-    tables.write_new_version(rows, path)
-    replaced = tables.write_new_version(rows.withColumn("version", F.lit("second")), path)
+    claims.write_new_version(rows, path)
+    replaced = claims.write_new_version(rows.withColumn("version", F.lit("second")), path)
     return (
         tables.read_table(spark, path)
         .groupBy("version")

@@ -6,12 +6,12 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import functions as F
 
-from pairloom.operators import evaluation
+from pairloom.operators import evaluation, fold_encoder
 from pairloom.operators.rank_cuts import with_test_splits
 from pairloom.plans import moments, stacking
 from pairloom.queries import common as c
 from pairloom.queries.aggregates import BEST_SQL, BOARD_CTES, MEAN_SQL, board
-from pairloom.session import small_side
+from pairloom.session import scratch_path, small_side
 
 register = c.Registry()
 QUERIES, SQL = register.queries, register.sql
@@ -52,7 +52,21 @@ def fold_column_names(spark, sf_dir):
 )
 def fold_digits(spark, sf_dir):
     digits, names = stacking.with_fold_digits(c.folded(spark, sf_dir), c.FOLDS)
-    return digits.select("id", "fold", *names)
+    return digits.select("id", "fold", *[F.col(name).cast("int").alias(name) for name in names])
+
+
+@register(
+    c.with_ctes(
+        *c.FOLD_CTES,
+        f"SELECT id, fold, {', '.join(f'CAST(fold = {k} AS DOUBLE) AS fold_is_{k}' for k in c.FOLDS)} FROM folds",
+    )
+)
+def fold_one_hot(spark, sf_dir):
+    """A stored encoder, loaded again, gives every row the columns of its fold."""
+    path = scratch_path(spark, "encoder")
+    fold_encoder.fit_encoder("onehot", c.FOLDS).save(spark, path)
+    encoder = fold_encoder.FoldEncoder.load(spark, path)
+    return encoder.encoded(c.folded(spark, sf_dir)).select("id", "fold", *encoder.names)
 
 
 SPLIT_CTES = (

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from pairloom.sources import schemas
 
@@ -58,17 +57,6 @@ def read_versions(spark: SparkSession, path: str, versions: list[str]) -> DataFr
     return spark.read.schema(schemas.OOF).parquet(path).filter(F.col("version").isin(versions))
 
 
-def write_new_version(df: DataFrame, path: str) -> bool:
-    """Write once; False when the version is there already and stays as it is."""
-    try:
-        df.write.mode("errorifexists").parquet(path)
-    except AnalysisException as error:
-        if "PATH_ALREADY_EXISTS" in str(error.getCondition()):
-            return False
-        raise
-    return True
-
-
 def write_marker(best: DataFrame, path: str) -> None:
     best.select(F.col("model").alias("best_model")).coalesce(1).write.json(path)
 

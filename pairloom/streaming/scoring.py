@@ -21,13 +21,21 @@ def score_available(
     """Score everything that has arrived, write it to files once, and read the table."""
     spark = pairs.sparkSession
     scored = score(enriched_stream(pairs, sections, classes))
-    out = scratch_path(spark, "scored")
+    return append_available(scored, scratch_path(spark, "scored"), scratch_path(spark, "scored-log"))
+
+
+def append_available(scored: DataFrame, path: str, progress: str) -> DataFrame:
+    """Append what a stream has not delivered yet to the table at ``path``, and read the table.
+
+    ``progress`` keeps what was delivered. The table's own log names the files of finished batches, so those of a batch that
+    broke off, and is done again, are not read.
+    """
     query = (
         scored.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", scratch_path(spark, "scored-log"))
+        .option("path", path)
+        .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(scored.schema).parquet(out)
+    return scored.sparkSession.read.schema(scored.schema).parquet(path)

@@ -89,3 +89,14 @@ def test_long_texts_take_one_pass(spark):
     start = time.perf_counter()
     assert [row.code for row in context_codes.mentioned_codes(raw, known).collect()] == ["Q17"]
     assert time.perf_counter() - start < 10
+
+
+def test_few_and_many_codes_agree(spark, monkeypatch):
+    from pairloom.operators import context_codes
+
+    texts = spark.createDataFrame([("see A01 and b12.",), ("A0 A01A01",), ("",), (None,), ("none here",)], "raw string")
+    codes = spark.createDataFrame([("A01",), ("A0",), ("b12",), ("zz",), ("",)], "context string")
+    few = sorted(context_codes.mentioned_codes(texts, codes).collect())
+    monkeypatch.setattr(context_codes, "FEW_CODES", 1)
+    many = sorted(context_codes.mentioned_codes(texts, codes).collect())
+    assert few == many and len(few) == 5

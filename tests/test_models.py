@@ -7,6 +7,7 @@ from pairloom.config import ForestGrid, RunConfig, StackConfig
 from pairloom.operators.rank_cuts import in_test, with_test_splits
 from pairloom.plans import base_models, forest, stacking
 from pairloom.queries import common as c
+from pairloom.session import scratch_path
 from pairloom.sources import views
 
 QUERIES = spark_entry.queries()
@@ -150,6 +151,38 @@ def test_another_layout_is_an_error(spark, monkeypatch):
         forest.node_table(Renamed(), spark)
 
 
+@pytest.mark.parametrize("choice", ["onehot", {0: [1.5], 1: [0.0], 2: [-1.0], 3: [9.0]}])
+def test_stored_stack_scores_with_its_encoder(spark, sf_dir, choice):
+    config = StackConfig(tuple(c.VERSIONS), learners=("en",), n_splits=2, encode_fold=choice)
+    made = stacking.train_stack(c.stored_oof(spark, sf_dir), config)
+    path = scratch_path(spark, "stack")
+    stacking.save_stack(made, path)
+    again = stacking.load_stack(spark, path)
+    assert again.encoder == made.encoder and len(again.features) == len(c.VERSIONS) + len(made.encoder.names)
+    matrix = stacking.fold_matrix(c.test_long(spark, sf_dir), c.VERSIONS, c.FOLDS)
+    one, two = (
+        sorted(stacking.stacked_scores(matrix, stack, c.VERSIONS, c.FOLDS).collect()) for stack in (made, again)
+    )
+    assert one == two and len(one) == 150
+    with pytest.raises(ValueError, match="fold 9"):
+        stacking.stacked_scores(matrix, again, c.VERSIONS, [9])
+
+
+def test_wrong_models_have_no_certificate(spark, sf_dir):
+    df = base_models.with_features(c.folded_texts(spark, sf_dir))
+    oof, models = base_models.cross_validate(df, base_models.estimator("linear"), (0, 1), "v")
+    part = df.filter("fold < 2")
+    good = {r.fold: r for r in base_models.certificate(df, oof, models, 0.001).collect()}
+    assert all(r.unbiased and r.stationary and r.once and r.own_model for r in good.values()) and len(good) == 2
+    swapped = {0: models[1], 1: models[0]}
+    bad = base_models.certificate(df, oof, swapped, 0.001).collect()
+    assert not any(r.unbiased or r.stationary or r.own_model for r in bad)
+    twice = base_models.certificate(part, oof.unionByName(oof.filter("fold = 1")), models, 0.001).collect()
+    assert {r.fold: r.once for r in twice} == {0: True, 1: False}
+    weaker = base_models.certificate(df, oof, models, 0.01).collect()
+    assert all(r.unbiased and not r.stationary for r in weaker)
+
+
 def test_forests_are_stored(spark, tmp_path, stack):
     forest.save_forests(spark, stack.forests, f"{tmp_path}/forest")
     again = forest.load_forests(spark, f"{tmp_path}/forest", list(stack.forests))

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from pairloom.config import ElasticNetGrid, ForestGrid, RunConfig, StackConfig
 from pairloom.plans import runs, stacking
 from pairloom.session import scratch_path
-from pairloom.sources import schemas, tables, views
+from pairloom.sources import claims, schemas, tables, views
+from pairloom.streaming import scoring
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +21,57 @@ def inputs(spark, sf_dir):
     return runs.Inputs(output=f"{base}/out", **paths)
 
 
+def check_stream(spark, inputs, version):
+    """Pairs that arrive in parts, in a stream that is stopped and taken up again, are scored once, as in batch."""
+    base = scratch_path(spark, "arriving")
+    test = tables.read_csv(spark, inputs.test, schemas.PAIRS_TEST).orderBy("id")
+    rows = test.collect()
+
+    def arrive(part):
+        spark.createDataFrame(part, schemas.PAIRS_TEST).repartition(2).write.mode("append").parquet(f"{base}/in")
+
+    def score():
+        return runs.score_arriving(arriving, inputs, version, f"{base}/out", f"{base}/progress")
+
+    arrive(rows[:40])
+    arriving = spark.readStream.schema(schemas.PAIRS_TEST).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    assert score().count() == 40
+    assert score().count() == 40  # nothing new
+    arrive(rows[40:90])
+    stop_in_the_middle(arriving, inputs, version, base)
+    arrive(rows[90:])
+    found = {row.id: row.score for row in score().collect()}
+    assert score().count() == len(rows) == len(found)
+    batch = tables.read_csv(spark, f"{inputs.output}/submission/{version}", schemas.SUBMISSION)
+    want = {row.id: row.score for row in batch.collect()}
+    assert found == pytest.approx(want, abs=1e-12)
+
+
+def stop_in_the_middle(arriving, inputs, version, base):
+    """A batch fails after some of its rows: its files stay, but not in the table's log."""
+    wide = runs.version_predictions(arriving, inputs, version)
+    broken = F.when(F.hash("id") % 5 == 0, F.raise_error(F.lit("executor lost")).cast("double")).otherwise(F.lit(0.0))
+    with pytest.raises(Exception, match="executor lost"):
+        scoring.append_available(wide.select("id", broken.alias("score")), f"{base}/out", f"{base}/progress")
+
+
+def test_broken_training_is_taken_over(spark, sf_dir, inputs):
+    """A run that broke off leaves a claim and parts of its output; the next one replaces them."""
+    from dataclasses import replace
+
+    plain = replace(inputs, translated=None)
+    config = RunConfig(version="three", n_folds=2)
+    own = claims.claim(spark, f"{plain.output}/runs/three")
+    spark.range(2).write.parquet(f"{plain.output}/oof/version=three")
+    with pytest.raises(runs.VersionExists):
+        runs.train_version(spark, plain, config)
+    with pytest.raises(ValueError, match="not trained"):
+        runs.predict_version(spark, plain, "three")
+    assert runs.train_version(spark, plain, config, stale_after=0).count() == 3
+    assert not own.held()
+    assert tables.read_versions(spark, f"{plain.output}/oof", ["three"]).filter("pred IS NOT NULL").count() == 1500
+
+
 def test_train_predict_stack(spark, inputs):
     from dataclasses import replace
 
@@ -35,6 +87,7 @@ def test_train_predict_stack(spark, inputs):
     assert linked.filter("score <= 0.4 OR score >= 0.8").count() == 0  # a sigmoid of scores between 0 and 1
     with pytest.raises(runs.VersionExists):
         runs.train_version(spark, plain, RunConfig(version="one", n_folds=2))
+    check_stream(spark, plain, "two")
     config = StackConfig(
         ("one", "two"),
         n_splits=2,
