@@ -405,8 +405,10 @@ def _pairs(few: DataFrame | None, large: DataFrame, sets: DataFrame, groups: Dat
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
-    """Pairs whose bitmaps allow the overlap they need."""
-    small = sets.select("sid", "n", "sig")
+    """Pairs whose bitmaps allow the overlap they need; the filter of fixed size keeps the bitmaps of most others in place."""
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
+    small = _with_hit(sets.select("sid", "n", "sig"), _bits(ends, "sid"), "sid").filter("_hit").drop("_hit")
     for side in ("a", "b"):
         own = small.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"))
         pairs = pairs.join(own, side)
@@ -471,7 +473,8 @@ def near_groups(
     # The least tiles of each set, as far as they are not small; at most as many as its early shingles.
     large = _large_tiles(tiles)
     leads = large.groupBy("sid").agg(F.array_sort(F.collect_set("h")).alias("tiles"))
-    marked = written(sets.join(leads, "sid").select("sid", "sig", F.slice("tiles", 1, LEAD).alias("lead")), "leads")
+    inside = _with_hit(sets, _bits(large, "sid"), "sid").filter("_hit")
+    marked = written(inside.join(leads, "sid").select("sid", "sig", F.slice("tiles", 1, LEAD).alias("lead")), "leads")
     links = _links(_pairs(tiles.filter(F.col("size") < FEW), large, marked, None, alike), texts, sets, width, alike)
     groups = written(components(links), "first-groups")
     more = _links(_pairs(None, large, marked, groups, alike), texts, sets, width, alike)
