@@ -22,13 +22,13 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pairloom.llm.pieces import blocks
 from pairloom.session import written
@@ -232,18 +232,19 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", most: int
 
 
 def _levels(rows: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
-    kept = [f for f in rows.schema if f.name in keep]
-    schema = T.StructType([*kept, T.StructField("level", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    """Columns of ``keep``, level and score; only the folded text goes through Python."""
 
-    def levels(batches):
+    @F.arrow_udf("struct<level:double,score:double>")
+    def judge(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = lexicon.automaton()
-        for batch in _parts(batches):
-            found = [lexicon.level(automaton, text) for text in batch.column("_text").to_pylist()]
-            columns = [batch.column(f.name) for f in kept]
+        for texts in arrays:
+            found = []
+            for part in _parts([pa.RecordBatch.from_arrays([texts], names=["_text"])]):
+                found += [lexicon.level(automaton, text) for text in part.column("_text").to_pylist()]
             scores = pa.array([lexicon.score(level) for level in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64()), scores], names=schema.names)
+            yield pa.StructArray.from_arrays([pa.array(found, pa.float64()), scores], ["level", "score"])
 
-    return rows.select(*[f.name for f in kept], "_text").mapInArrow(levels, schema)
+    return rows.select(*keep, judge("_text").alias("_judged")).select(*keep, "_judged.level", "_judged.score")
 
 
 def _scored(docs: DataFrame, lexicon: Lexicon, keep: list[str], text: str) -> DataFrame:
