@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from pairloom.operators.positions import ROW_BITS, numbered
 from pairloom.session import written
 
-__all__ = ["numbered", "running", "table", "text_key"]
+__all__ = ["discard", "numbered", "running", "table", "text_key"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,15 @@ def text_key(text: Column | str) -> list[Column]:
     return [F.xxhash64(col, F.lit(1)).alias("k1"), F.xxhash64(F.lit(2), col).alias("k2")]
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``written`` made, once all that was built on it stands written itself."""
+    spark = table.sparkSession
+    files = table.inputFiles()
+    if files and "/pairloom/" in files[0]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def running(df: DataFrame, order: list[Column], sums: dict[str, str], name: str) -> DataFrame:
     """Add sums over all earlier rows of the whole table: ``sums`` maps a new column to the summed one."""
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)

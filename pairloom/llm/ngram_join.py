@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pairloom.llm import words
-from pairloom.llm.common import text_key
+from pairloom.llm.common import discard, text_key
 from pairloom.llm.components import components
 from pairloom.llm.pieces import blocks, buffers, spans
 from pairloom.session import written
@@ -236,7 +236,9 @@ def _tiles(texts: DataFrame, sets: DataFrame, width: int, alike: int, common) ->
     often = placed.select("sid", "n", F.explode("often").alias("h"))
     counts = often.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
     rows = rare.select("h", "sid", "n", "size").unionByName(often.join(counts, "h").select("h", "sid", "n", "size"))
-    return written(rows, "tiles")
+    tiles = written(rows, "tiles")
+    discard(early)
+    return tiles
 
 
 def _large_tiles(tiles: DataFrame) -> DataFrame:
