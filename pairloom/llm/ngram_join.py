@@ -135,9 +135,13 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([rows], pa.int64())], names=["h", "n"])
 
     def told(held):
-        hashes, counts = np.unique(np.concatenate(held), return_counts=True)
-        many = counts >= COUNT_LEAST
-        return pa.RecordBatch.from_arrays([pa.array(hashes[many].view(np.int64)), pa.array(counts[many])], names=["h", "n"])
+        hashes = np.concatenate(held)
+        held.clear()
+        hashes.sort()
+        enough = hashes[COUNT_LEAST - 1 :] == hashes[: max(len(hashes) - COUNT_LEAST + 1, 0)]
+        found = np.unique(hashes[: len(enough)][enough])
+        counts = np.searchsorted(hashes, found, side="right") - np.searchsorted(hashes, found)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["h", "n"])
 
     counted = texts.select("_text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     counted = written(counted, "shingle-counts")

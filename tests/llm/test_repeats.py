@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairloom.llm import ngram_join, queries, substring_dedup, words
 from pairloom.llm.components import components
@@ -135,6 +136,17 @@ def test_groups_of_many_near_copies(spark):
     assert [r.component_id for r in found if r.doc_id == 9000] == [9000]
 
 
+def test_common_shingles(spark, monkeypatch):
+    """Whatever stands often enough in a task is told with its count."""
+    for name, value in {"COMMON_LEAST": 4, "COUNT_LEAST": 2, "COUNT_TOGETHER": 40}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = [(i, f"a b c d e x{i} y{i}") for i in range(30)] + [(99, None), (98, "")]
+    texts = frame(spark, rows).select(F.col("text").alias("_text")).coalesce(1)
+    found = ngram_join.common_shingles(texts, 5)
+    shared = words.Words(np.array([0, 9]), np.frombuffer(b"a b c d e", np.uint8))
+    assert found.tolist() == words.windows(shared.hashes(fold=True), 5).tolist()
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [(1, "a b c")]).filter("doc_id > 1")
     assert ngram_join.near_groups(empty).count() == 0
