@@ -42,6 +42,7 @@ COMMON_SHARE = 5000  # a shingle of more than one text in so many is common
 COMMON_LEAST = 16
 COUNT_LEAST = 3  # occurrences among the texts of one task that are worth telling
 COUNT_TOGETHER = 4_000_000  # shingles of a task that are counted together
+TEXT_BYTES = 1 << 19  # of texts that a task looks at together; their hashes take some forty times as much
 BLOCK = 4096  # sets of a tile that meet in one block
 FEW = 8  # sets of a tile whose pairs are all handed on
 LEAST_BITS = 1024  # of a bitmap; larger sets have a bit for each member at least
@@ -122,7 +123,7 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     def count(batches):
         held, size, rows = [], 0, 0
         for whole in batches:
-            for batch in blocks(whole, "_text", words.BLOCK):
+            for batch in blocks(whole, "_text", TEXT_BYTES):
                 shingles, _ = shingle_sets(*buffers(batch.column("_text").fill_null("")), width)
                 held.append(shingles)
                 size += len(shingles)
@@ -163,7 +164,7 @@ def _names(texts: DataFrame, width: int) -> DataFrame:
 
     def name(batches):
         for whole in batches:
-            for batch in blocks(whole, "_text", words.BLOCK):
+            for batch in blocks(whole, "_text", TEXT_BYTES):
                 shingles, at = shingle_sets(*buffers(batch.column("_text").fill_null("")), width)
                 f1, f2 = set_names(shingles, at)
                 sigs = [bitmap(shingles[a:b]) for a, b in zip(at[:-1], at[1:])]
@@ -182,7 +183,7 @@ def _early(texts: DataFrame, width: int, alike: int, common) -> DataFrame:
     def early(batches):
         last = common.value
         for whole in batches:
-            for batch in blocks(whole, "_text", words.BLOCK):
+            for batch in blocks(whole, "_text", TEXT_BYTES):
                 shingles, at = shingle_sets(*buffers(batch.column("_text").fill_null("")), width)
                 f1, f2 = set_names(shingles, at)
                 n = np.diff(at)
@@ -443,8 +444,8 @@ def _links(pairs: DataFrame, texts: DataFrame, sets: DataFrame, width: int, alik
 
     def decide(batches):
         for whole in batches:
-            for half in blocks(whole, "text_a", words.BLOCK):
-                for batch in blocks(half, "text_b", words.BLOCK):
+            for half in blocks(whole, "text_a", TEXT_BYTES):
+                for batch in blocks(half, "text_b", TEXT_BYTES):
                     sides = [shingle_sets(*buffers(batch.column(f"text_{s}")), width) for s in ("a", "b")]
                     (x, x_at), (y, y_at) = sides
                     keep = []
