@@ -78,7 +78,7 @@ def test_registered(spark, sf_dir):
     assert found["pipeline"] is corpus_pipeline.run
     assert set(queries.QUERIES) <= set(found)
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     rows = corpus_pipeline.run(spark, sf_dir)
     assert rows.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
     assert rows.count() > 0
