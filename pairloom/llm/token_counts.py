@@ -3,8 +3,10 @@
 Documents up to ``chunk_chars`` are counted where they lie: distinct pieces (see ``pieces``) are encoded once for a
 task. A longer document becomes windows that overlap their successor; windows are spread over the cluster and
 encoded by themselves, with the places and token counts of the proven boundaries in their overlaps. Two neighbours are
-spliced at the first place that both have, so that neither side depends on what its window left out. Documents with a
-pair of windows that finds no such place go through again with a wider overlap, at last with the whole rest of the text.
+spliced at the first place that both have, so that neither side depends on what its window left out. Where a pair of
+windows finds no such place, the overlap is widened to the whole of the neighbour: runs of up to ``WIDER`` such windows
+go through again as one, at last the whole text. The windows of a round hold the text once, besides the overlaps, so a
+text without boundaries costs its size for each of a few rounds (the logarithm of its windows to the base ``WIDER``).
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); rows are kept one by one, repeated ids included;
 equal huge texts are counted once and joined back; extra columns are left out unless named in ``keep``.
@@ -25,52 +27,58 @@ from pairloom.session import written
 
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 256
-WIDER = 16  # times the overlap of the round before
+WIDER = 16  # windows that become one where they find no boundary
 
-WINDOWS = "k1 long, k2 long, place int, n_places int, start long, overlap_end long, next_start long, part string"
+WINDOWS = "k1 long, k2 long, place int, start long, overlap_end long, next_start long, part string"
 PLACES = ("start", "overlap_end", "next_start")
-COUNTS = "k1 long, k2 long, place int, n_places int, n long, left_at array<long>, left_n array<long>, right_at array<long>, right_n array<long>"
+COUNTS = "k1 long, k2 long, place int, start long, n long, left_at array<long>, left_n array<long>, right_at array<long>, right_n array<long>"
 
 
-def windows(text: str, chunk: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(start, end of the overlap with the window before, end) of each window."""
-    starts = list(range(0, max(len(text), 1), chunk))
-    ends = [min(start + chunk + overlap, len(text)) for start in starts]
-    while len(starts) > 1 and ends[-2] == len(text):  # the rest lies in the overlap
+def windows(size: int, starts: list[int], overlap: int) -> list[tuple[int, int, int]]:
+    """(start, end of the overlap with the window before, end) of the windows of a text of ``size`` signs."""
+    starts = list(starts)
+    ends = [min(start + overlap, size) for start in starts[1:]] + [size]
+    while len(starts) > 1 and ends[-2] == size:  # the rest lies in the overlap
         starts.pop(), ends.pop()
     return [(s, ends[i - 1] if i else 0, e) for i, (s, e) in enumerate(zip(starts, ends))]
 
 
-def splice(parts: pd.DataFrame) -> int | None:
-    """Tokens of a text from the counts of its windows; None when two neighbours share no boundary."""
+def splice(parts: pd.DataFrame) -> tuple[int | None, list[int]]:
+    """Tokens of a text from the counts of its windows; where neighbours share no boundary, None and wider windows' starts."""
     parts = parts.drop_duplicates("place").sort_values("place")
-    total, begin = 0, 0
+    total, begin, joined, failed = 0, 0, 1, False
     rows = list(parts.itertuples(index=False))
+    starts = [int(rows[0].start)]
     for row, after in zip(rows, rows[1:]):
         ours = dict(zip(row.right_at, row.right_n))
         common = [(ours[p], n) for p, n in zip(after.left_at, after.left_n) if p in ours and ours[p] >= begin]
-        if not common:
-            return None
-        total += common[0][0] - begin
-        begin = common[0][1]
-    return total + rows[-1].n - begin
+        failed = failed or not common
+        if common:
+            total += common[0][0] - begin
+        begin = common[0][1] if common else 0
+        if common or joined == WIDER:
+            starts.append(int(after.start))
+            joined = 1
+        else:
+            joined += 1
+    return (None, starts) if failed else (total + int(rows[-1].n) - begin, [])
 
 
-def _long_counts(texts: DataFrame, spec: str, chunk: int, overlap: int) -> DataFrame:
-    """k1, k2, n_tokens (null where windows could not be aligned) of distinct long texts."""
+def _long_counts(texts: DataFrame, spec: str, overlap: int) -> DataFrame:
+    """k1, k2, n_tokens (null where windows could not be aligned), starts of wider windows of distinct long texts."""
 
     def cut(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole, "_text")):
             for row in batch.to_pylist():
-                found = windows(row["_text"], chunk, overlap)
+                found = windows(len(row["_text"]), row["starts"], overlap)
                 for place, (start, overlap_end, end) in enumerate(found):
                     next_start = found[place + 1][0] if place + 1 < len(found) else end
-                    columns = [row["k1"], row["k2"], place, len(found), start, overlap_end, next_start, row["_text"][start:end]]
+                    columns = [row["k1"], row["k2"], place, start, overlap_end, next_start, row["_text"][start:end]]
                     yield pa.RecordBatch.from_pylist([dict(zip(names, columns))], schema=arrow)
 
     names = [part.split()[0] for part in WINDOWS.split(", ")]
     arrow = pa.schema(
-        [(n, pa.string() if n == "part" else pa.int32() if n in ("place", "n_places") else pa.int64()) for n in names]
+        [(n, pa.string() if n == "part" else pa.int32() if n == "place" else pa.int64()) for n in names]
     )
 
     def count(batches):
@@ -92,17 +100,18 @@ def _long_counts(texts: DataFrame, spec: str, chunk: int, overlap: int) -> DataF
                     for side, near in (("left", at < low_end), ("right", at > high)):
                         sides[f"{side}_at"].append(at[near])
                         sides[f"{side}_n"].append(n[near])
-                columns = [batch.column(c) for c in ("k1", "k2", "place", "n_places")]
+                columns = [batch.column(c) for c in ("k1", "k2", "place", "start")]
                 total = pa.array(tokens[edges[1:]] - tokens[edges[:-1]], pa.int64())
                 listed = [pa.array(values, pa.list_(pa.int64())) for values in sides.values()]
                 yield pa.RecordBatch.from_arrays([*columns, total, *listed], names=[c.split()[0] for c in COUNTS.split(", ")])
 
     def together(key, frame):
-        return pd.DataFrame({"k1": [key[0]], "k2": [key[1]], "n_tokens": pd.array([splice(frame)], "Int64")})
+        total, starts = splice(frame)
+        return pd.DataFrame({"k1": [key[0]], "k2": [key[1]], "n_tokens": pd.array([total], "Int64"), "starts": [starts]})
 
     parts = texts.mapInArrow(cut, WINDOWS).repartition("k1", "k2", "place")
     counted = parts.mapInArrow(count, COUNTS)
-    return counted.groupBy("k1", "k2").applyInPandas(together, "k1 long, k2 long, n_tokens long")
+    return counted.groupBy("k1", "k2").applyInPandas(together, "k1 long, k2 long, n_tokens long, starts array<long>")
 
 
 def count_tokens(
@@ -136,15 +145,16 @@ def count_tokens(
     size = F.coalesce(F.length("_text"), F.lit(0))
     short = chosen.filter(size <= chunk_chars).mapInArrow(count, schema)
     long = chosen.filter(size > chunk_chars).withColumns(dict(zip(("k1", "k2"), text_key("_text"))))
-    pending = long.groupBy("k1", "k2").agg(F.first("_text").alias("_text"))
-    rounds, overlap = [], overlap_chars
+    distinct = long.groupBy("k1", "k2").agg(F.first("_text").alias("_text"))
+    starts = F.sequence(F.lit(0).cast("long"), F.length("_text").cast("long") - 1, F.lit(chunk_chars).cast("long"))
+    pending, rounds = distinct.withColumn("starts", starts), []
     while True:
-        counted = written(_long_counts(pending, spec, chunk_chars, overlap), "token-counts")
-        rounds.append(counted.filter("n_tokens IS NOT NULL"))
-        left = counted.filter("n_tokens IS NULL").select("k1", "k2")
+        counted = written(_long_counts(pending, spec, overlap_chars), "token-counts")
+        rounds.append(counted.filter("n_tokens IS NOT NULL").drop("starts"))
+        left = counted.filter("n_tokens IS NULL").select("k1", "k2", "starts")
         if left.isEmpty():
             break
-        pending, overlap = pending.join(left, ["k1", "k2"], "left_semi"), overlap * WIDER
+        pending = distinct.join(left, ["k1", "k2"])
     found = rounds[0]
     for more in rounds[1:]:
         found = found.unionByName(more)

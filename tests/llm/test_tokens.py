@@ -76,10 +76,44 @@ def test_counts_of_spliced_windows(spark, name):
 
 
 def test_windows_cover_the_text():
-    text = "abcdefghij"
-    found = token_counts.windows(text, 4, 2)
-    assert found == [(0, 0, 6), (4, 6, 10)]
-    assert token_counts.windows("", 4, 2) == [(0, 0, 0)]
+    assert token_counts.windows(10, [0, 4, 8], 2) == [(0, 0, 6), (4, 6, 10)]
+    assert token_counts.windows(9, [0, 4], 2) == [(0, 0, 6), (4, 6, 9)]
+    assert token_counts.windows(0, [0], 2) == [(0, 0, 0)]
+
+
+def test_windows_without_boundaries_join():
+    """Only windows on both sides of a place without a common boundary become one, at most ``WIDER`` of them."""
+    import pandas as pd
+
+    def parts(good):
+        rows = []
+        for i in range(len(good) + 1):
+            right = [10 * i + 11] if i < len(good) and good[i] else []
+            left = [10 * i + 1] if i and good[i - 1] else []
+            rows.append((i, 10 * i, 6, left, [1] * len(left), right, [5] * len(right)))
+        return pd.DataFrame(rows, columns=["place", "start", "n", "left_at", "left_n", "right_at", "right_n"])
+
+    assert token_counts.splice(parts([True, True])) == (5 + 4 + 5, [])
+    assert token_counts.splice(parts([True, False, True, False])) == (None, [0, 10, 30])
+    wide = token_counts.splice(parts([False] * 40))
+    assert wide == (None, [0, 10 * token_counts.WIDER, 20 * token_counts.WIDER])
+
+
+def test_long_texts_without_white_space(spark, monkeypatch):
+    """Texts over the real chunk size, with no place to cut, between texts that have some."""
+    chance = random.Random(5)
+    solid = "".join(chance.choice("abcdefgh") for _ in range(300_000))
+    spaced = " ".join("".join(chance.choice("abcdefgh") for _ in range(9)) for _ in range(5000))
+    rows = [(1, solid), (2, spaced + solid[:60_000] + spaced), (3, spaced), (4, solid)]
+    spec = read_tokenizer(public_tokenizers.path(FILES[1]))
+    found = token_counts.count_tokens(frame(spark, rows), spec, ["doc_id"]).collect()
+    want = [(i, len(text.encode()), len(ids)) for i, text, ids, _ in exact(FILES[1], rows)]
+    assert sorted(map(tuple, found)) == sorted(want)
+    size, starts, cut = len(solid), list(range(0, len(solid), token_counts.CHUNK_CHARS)), 0
+    while len(starts) > 1:
+        cut += sum(end - start for start, _, end in token_counts.windows(size, starts, token_counts.OVERLAP_CHARS))
+        starts = starts[:: token_counts.WIDER]
+    assert cut + size < 3.2 * size
 
 
 def test_empty_table(spark):
