@@ -8,7 +8,8 @@ the logarithm of the text's length, goes through a logistic curve.
 Learning takes at most ``LEARN_ROWS`` labelled rows (those with the least hash of their id; equal texts once):
 - a word's evidence is the number of different neighbours it has in toxic texts, so that copies of one text do not make
   its words toxic, against its occurrences in clean ones;
-- beginnings of words add up the evidence of their words; a shorter pure beginning stands for all longer ones;
+- beginnings of words, up to ``MOST_BEGINNING`` letters, add up the evidence of their words; a shorter pure beginning
+  stands for all longer ones;
 - pairs of a term and a neighbour that only clean texts hold become exception phrases;
 - the curve is fitted to the labels.
 ``SEED_TERMS`` take part even where few labelled rows hold them, unless clean texts speak against them.
@@ -21,9 +22,11 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,7 @@ HOLD_OUT = 5  # rows whose crc32 of the id leaves no remainder are never learned
 LEAST_EVIDENCE = 6
 CLEAN_SHARE = 0.02  # evidence in clean texts, as a share of that in toxic ones, that a term may have
 LEAST_BEGINNING = 4
+MOST_BEGINNING = 64  # letters; longer terms are whole words
 LEAST_CLEAN_PHRASES = 3
 SEED_WEIGHT = 4.0
 # Insults that are toxic in nearly any text; weights are learned where labelled rows hold them.
@@ -92,8 +96,10 @@ class Lexicon:
     def hits(self, automaton, text: str) -> list[tuple[int, int, float]]:
         """Start, end and weight of the hits that no exception phrase covers."""
         found = [(end - size + 1, end + 1, weight) for end, (size, weight) in automaton.iter(text)]
-        excused = [(a, b) for a, b, weight in found if weight == 0.0]
-        return [h for h in found if h[2] and not any(a <= h[0] and h[1] <= b for a, b in excused)]
+        excused = sorted((a, b) for a, b, weight in found if weight == 0.0)
+        starts = [a for a, _ in excused]
+        furthest = [0, *accumulate((b for _, b in excused), max)]  # the last end of the stretches up to each one
+        return [h for h in found if h[2] and furthest[bisect_right(starts, h[0])] < h[1]]
 
     def level(self, automaton, text: str) -> float:
         total = sum(weight for _, _, weight in self.hits(automaton, text))
@@ -159,7 +165,7 @@ def _terms(evidence: DataFrame) -> dict[str, float]:
     totals = evidence.agg(F.sum("toxic"), F.sum("clean")).first()
     all_toxic, all_clean = totals[0] or 0, totals[1] or 0
     whole = evidence.select(F.concat(F.lit(" "), "word", F.lit(" ")).alias("term"), "toxic", "clean")
-    sizes = F.sequence(F.lit(LEAST_BEGINNING), F.length("word"))
+    sizes = F.sequence(F.lit(LEAST_BEGINNING), F.least(F.length("word"), F.lit(MOST_BEGINNING)))
     longer = evidence.filter(F.length("word") >= LEAST_BEGINNING)
     begins = longer.select("word", F.explode(sizes).alias("size"), "toxic", "clean")
     begins = begins.select(F.concat(F.lit(" "), F.expr("substring(word, 1, size)")).alias("term"), "toxic", "clean")
@@ -179,7 +185,7 @@ def _terms(evidence: DataFrame) -> dict[str, float]:
     terms: dict[str, float] = {}
     for term in sorted(counts, key=lambda t: (len(t), t)):
         toxic, clean = counts[term]
-        covered = any(term[:n] in terms for n in range(2, len(term)))
+        covered = any(term[:n] in terms for n in range(2, min(len(term), MOST_BEGINNING + 2)))
         if not covered and toxic >= LEAST_EVIDENCE and clean <= CLEAN_SHARE * toxic:
             terms[term] = max(weight(toxic, clean), 1.0)
     for word in SEED_TERMS:
