@@ -10,8 +10,13 @@ Labelled pages for training are made from a bounded sample of the corpus (``LEAR
 their texts are set again into layouts with and without such markup, among menus, headers, sidebars, notices,
 adverts, forms, reader comments and footers, whose labels are known because they were put there.
 
-Defined results: a null or empty page has an empty text; markup that is never closed ends with the page; rows are kept
-one by one, repeated ids included; extra columns are left out unless named in ``keep``.
+Markup is scanned once from left to right: where a tag that starts at any place would end is known beforehand, so pages
+full of open quotes or open tags cost no more than others of their size.
+
+Defined results: a null or empty page has an empty text; comments, scripts and the like that are never closed end with
+the page; a tag that is never closed, or whose quotes are not, is text; comments end as browsers end them (``-->``,
+``--!>``, ``<!-->``, ``<!--->``); rows are kept one by one, repeated ids included; extra columns are left out unless
+named in ``keep``.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ import html
 import math
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,20 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.llm.pieces import blocks as byte_blocks
+
 LEARN_PAGES = 200
 LEARN_CHARS = 100_000
+BLOCK = 1 << 20  # bytes of pages held as Python's strings together
 EPOCHS = 8
 SEED = 11
 REST, MAIN = 0, 1
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|object)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+COMMENT_END = re.compile(r"--!?>")
+# Elements whose content is no text of the page.
+SKIPPED = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in "script style template textarea svg iframe".split()}
+NAME_END = re.compile(r"[\s/>]|\Z")
+SIGNS = re.compile(r"[>\"']")
 MARK = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 NAME = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,10 +73,61 @@ class Block(NamedTuple):
     inner: tuple[tuple[str, tuple[str, ...]], ...] = ()  # elements from the outermost article or main on, and their words
 
 
+class Tag(NamedTuple):
+    start: int
+    end: int
+    name: str | None = None  # None: markup that opens and closes nothing
+    closing: bool = False
+    attributes: str = ""
+
+
+def tags(page: str) -> Iterator[Tag]:
+    """Markup of a page in order: tags, and comments, declarations and skipped elements as tags without a name."""
+    signs = [match.start() for match in SIGNS.finditer(page)]
+    # ends[k]: end of a tag that reaches signs[k] outside quotes, -1 if it has none; from the back, as quotes look ahead.
+    ends, later = [-1] * (len(signs) + 1), {"'": -1, '"': -1}
+    for k in range(len(signs) - 1, -1, -1):
+        sign = page[signs[k]]
+        if sign == ">":
+            ends[k] = signs[k] + 1
+        else:
+            ends[k] = ends[later[sign] + 1] if later[sign] >= 0 else -1
+            later[sign] = k
+    last = page.rfind(">")
+    at, name_end = page.find("<"), 0
+    while 0 <= at < last or (at >= 0 and page.startswith("<!--", at)):
+        found, sign = None, page[at + 1 : at + 2]
+        if page.startswith("<!--", at):
+            near = ">" if page.startswith(">", at + 4) else "->" if page.startswith("->", at + 4) else ""
+            close = None if near else COMMENT_END.search(page, at + 4)
+            found = Tag(at, at + 4 + len(near) if near else close.end() if close else len(page))
+        elif sign in ("!", "?"):
+            found = Tag(at, page.find(">", at) + 1)
+        else:
+            closing = sign == "/"
+            begin = at + 1 + closing
+            if page[begin : begin + 1].isascii() and page[begin : begin + 1].isalpha():
+                if name_end <= begin:
+                    name_end = NAME_END.search(page, begin).start()
+                end = ends[bisect_left(signs, name_end)]
+                if end >= 0:
+                    name = page[begin:name_end].lower()
+                    found = Tag(at, end, name, closing, page[name_end : end - 1])
+                    if not closing and name in SKIPPED and not (name == "svg" and page[end - 2] == "/"):
+                        close = SKIPPED[name].search(page, end)
+                        found = Tag(at, close.end() if close else len(page))
+                    elif not closing and name == "svg":
+                        found = Tag(at, end)
+        if found:
+            yield found
+        at = page.find("<", found.end if found else at + 1)
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order, white space as one space, character references decoded."""
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()  # open elements by name, so that a name without any is not looked for
     parts: list[tuple[str, bool]] = []
     links = 0
 
@@ -88,22 +146,22 @@ def blocks(page: str) -> list[Block]:
 
     def drop(index: int):
         nonlocal links
-        links -= sum(tag == "a" for tag, _ in stack[index:])
+        for tag, _ in stack[index:]:
+            opened[tag] -= 1
+            links -= tag == "a"
         del stack[index:]
 
     at = 0
-    for match in TOKEN.finditer(page):
-        if match.start() > at:
-            parts.append((page[at : match.start()], links > 0))
-        at = match.end()
-        name = match.group(3)
-        if name is None:
+    for start, end, tag, closing, attributes in tags(page):
+        if start > at:
+            parts.append((page[at:start], links > 0))
+        at = end
+        if tag is None:
             continue
-        tag, closing = name.lower(), bool(match.group(2))
         if tag not in INLINE:
             close_block()
         if closing:
-            for index in range(len(stack) - 1, -1, -1):
+            for index in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[index][0] == tag:
                     drop(index)
                     break
@@ -112,7 +170,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             same = ("p",) if tag in CLOSES_P else (tag,)
-            for index in range(len(stack) - 1, -1, -1):
+            for index in range(len(stack) - 1, -1, -1) if any(opened[name] for name in same) else ():
                 if stack[index][0] in same:
                     drop(index)
                     break
@@ -120,11 +178,11 @@ def blocks(page: str) -> list[Block]:
                     break
         if tag in VOID:
             continue
-        attributes = match.group(4)
         marks = tuple(
             word for _, value in MARK.findall(attributes) for word in NAME.findall(value.lower())
         ) if attributes else ()
         stack.append((tag, marks))
+        opened[tag] += 1
         links += tag == "a"
     if at < len(page):
         parts.append((page[at:], links > 0))
@@ -400,9 +458,20 @@ def train(sample: list[str], seed: int = SEED) -> Field:
 
 
 def learn(pages: DataFrame, column: str = "html") -> Field:
-    rows = pages.select(F.col(column).alias("_html")).filter(F.length("_html").between(1, LEARN_CHARS))
-    chosen = rows.orderBy(F.xxhash64("_html"), "_html").limit(LEARN_PAGES).collect()  # a bounded sample
-    return train([row._html for row in chosen])
+    rows = pages.select(F.xxhash64(column).alias("_key"), F.col(column).alias("_html"))
+    rows = rows.filter(F.length("_html").between(1, LEARN_CHARS))
+    # Keys are chosen first, so that no more than the pages of the sample reach the driver; equal pages count once.
+    keys = [row._key for row in rows.select("_key").distinct().orderBy("_key").limit(LEARN_PAGES).collect()]
+
+    def once(batches):
+        seen = set()
+        for batch in batches:
+            fresh = [i for i, key in enumerate(batch.column("_key").to_pylist()) if not (key in seen or seen.add(key))]
+            if fresh:
+                yield batch.take(pa.array(fresh))
+
+    chosen = rows.filter(F.col("_key").isin(keys)).mapInArrow(once, rows.schema).groupBy("_key").agg(F.min("_html").alias("_html"))
+    return train([row._html for row in sorted(chosen.collect(), key=lambda row: row._key)])
 
 
 def extract(pages: DataFrame, field: Field, keep: list[str], column: str = "html") -> DataFrame:
@@ -412,7 +481,7 @@ def extract(pages: DataFrame, field: Field, keep: list[str], column: str = "html
     schema = T.StructType([*fields, T.StructField("_out", T.StringType())])
 
     def extracted(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_blocks(whole, "_html", BLOCK)):
             texts = [field.main_text(page or "") for page in batch.column("_html").to_pylist()]
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=schema.names)

@@ -42,6 +42,23 @@ def test_learning(spark):
     assert {r.doc_id for r in clean.collect()} == {i for i in range(600) if i % 5} | {900, 901}
 
 
+def test_long_words_and_many_excused_hits(spark):
+    import time
+
+    lexicon = toxicity.Lexicon({" bad ": 2.0, " ba": 1.0}, (" not bad ", " bad luck "))
+    automaton, start = lexicon.automaton(), time.process_time()
+    text = " not bad luck" * 100_000 + " bad " + "ba" * 10
+    hits = lexicon.hits(automaton, text + " ")
+    assert sorted((text[a:b], w) for a, b, w in hits) == sorted([(" bad ", 2.0), (" ba", 1.0), (" ba", 1.0)])
+    assert time.process_time() - start < 10
+    words = [chr(97 + i) + "x" * 1_000_000 for i in range(3)] + ["ba" + "d" * 1_000_000 + c for c in "xyz"]
+    docs = spark.createDataFrame([(i, f"you {w} {j}") for i, (w, j) in enumerate((w, j) for w in words for j in "abc")], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic")
+    start = time.time()
+    toxicity.learn(docs, labels)
+    assert time.time() - start < 30
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "what an idiot"), (2, "fine")], "doc_id long, text string")
     lexicon = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -84,6 +101,44 @@ def test_leaf_blocks():
     assert page_text.blocks("<p>never <b>closed <!-- x") [0].text == "never closed"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>a<!-->b<p>c", "ab c"),
+        ("<p>a<!--->b<p>c", "ab c"),
+        ("<p>a<!-- x --!>b<p>c<!-- y -->d", "ab cd"),
+        ("<p>a<!-- x -- > y -->b", "ab"),
+        ("<p>a<!-- never closed <p>b", "a"),
+        ("<p>a<script>if (a<b) '</p>'</script >b<STYLE>p</style>c", "abc"),
+        ("<p>a<script>never <p>closed", "a"),
+        ("<p>a<noscript>b</noscript> <object data=x>c</object>", "a b c"),
+        ("<p>a<b title='x > y' data=\"'\">b</b>c", "abc"),
+        ("<p>1 < 2 <3 <p title='open>x", "1 < 2 <3 <p title='open>x"),
+        ("<!DOCTYPE html><?xml x?><p>a</ p>b</x>c", "a</ p>bc"),
+        ("a<", "a<"),
+    ],
+)
+def test_markup(page, text):
+    assert "".join(b.text for b in page_text.blocks(page)).replace(" ", "") == text.replace(" ", "")
+
+
+@pytest.mark.parametrize("part", ['<a "', "<script ", "<a ", "<a", "<!", "<!-", "</x ", "<a \"<b '", "</b>", "<b><hr>", "<script>", "'<i>\""])
+def test_broken_markup_takes_linear_time(part):
+    import time
+
+    page, start = "<p>" + part * (1_000_000 // len(part)), time.process_time()
+    page_text.blocks(page)
+    assert time.process_time() - start < 10
+
+
+def test_sample_holds_equal_pages_once(spark):
+    rows = [(i, PAGE.replace("First", f"First{i % 7}")) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").repartition(5)
+    once = spark.createDataFrame(rows[:7], "page_id long, html string")
+    few, many = page_text.learn(once), page_text.learn(pages)
+    assert many.weights == few.weights and many.steps == few.steps
+
+
 def test_icons(field):
     """A self-closed svg, and an element whose name only begins like one that is skipped, take no text with them."""
     icons = ('<svg class="icon"/>', '<svg viewBox="0 0 1 1" />', "<svg/>", "<svg><path d='M0'/>x</svg>", "<svg-icon></svg-icon>")
