@@ -6,16 +6,19 @@
    points are features. Windows of little entropy (runs of one sign) never are.
 3. *Digest.* Features, in order of place, go into Bloom filters of ``FILTER_BITS`` bits by five parts of their hash;
    after ``FILTER_FEATURES`` features the next filter of the chain begins.
-4. *Likeness.* Each filter of the shorter chain takes its best match of the longer one: common bits, less those expected by
+   Texts shorter than ``LEAST_BYTES``, and any with fewer than ``FEW`` windows as features, have a second chain whose
+   features are all their stretches of ``SHORT`` bytes (or the whole text, if it is shorter).
+4. *Likeness.* Two texts are compared by their second chains if both have one, else by their windows, which every text
+   keeps, so a text and a part of it share features on whatever side of ``LEAST_BYTES`` they lie. Each filter of the shorter chain takes its best match of the longer one: common bits, less those expected by
    chance, as a share of the most there could be; matches are weighed by the bits of the filter.
 
 ``with_next`` also compares each text with the following one (descending id) and with an edited form that ends in the
 following one's beginning. Texts are range-partitioned once; only the first and last text of a range meet the
 neighbouring ranges, as a table of two rows for each range.
 
-Defined results: null texts count as empty and have an empty fingerprint, alike to empty ones only (1.0, else 0.0); texts
-shorter than ``LEAST_BYTES`` and any with fewer than ``FEW`` windows as features have every stretch of ``SHORT`` bytes (or
-all of them) as a feature instead, so only empty texts have an empty fingerprint; equal texts have equal fingerprints; null
+Defined results: null texts count as empty and have an empty fingerprint, alike to empty ones only (1.0, else 0.0); only
+empty texts have an empty fingerprint; texts too short for a neighbourhood of windows (under 127 bytes) share nothing
+with texts that have no second chain; equal texts have equal fingerprints; null
 ids come last; equal ids go by text; the only text of a table follows itself.
 """
 
@@ -24,6 +27,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,7 @@ from pairloom.session import written
 
 WINDOW = 64
 SHORT = 8
-LEAST_BYTES = 8 * WINDOW  # below, windows are too few to tell a text from its edited form
+LEAST_BYTES = 8 * WINDOW  # below, windows alone are too few to tell a text from its edited form
 FEW = 4
 BINS = 1000
 LEAST_BIN = 100
@@ -106,22 +110,16 @@ def rarity(texts: DataFrame, text: str) -> list[int]:
     return ranks
 
 
-def features(offsets: np.ndarray, data: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and hash of the features of all texts, in order of place; each hash once for a text."""
+Hashed = tuple[np.ndarray, np.ndarray]  # owner and hash of features
+
+
+def features(offsets: np.ndarray, data: np.ndarray, ranks: np.ndarray) -> tuple[Hashed, Hashed]:
+    """Windows and stretches that are features of the texts, in order of place; each hash once for a text."""
     sizes = np.diff(offsets)
     signs = data.astype(np.uint64) + np.uint64(1)
-    place, owner, ends = _windows(offsets, data, ranks)
-    large = sizes[owner] >= LEAST_BYTES
-    small = _stretches(offsets, np.flatnonzero((sizes > 0) & (sizes < LEAST_BYTES)))
-    place, owner, ends = (np.concatenate([a[large], b]) for a, b in zip((place, owner, ends), small))
-    place, owner, hashes = _once(place, owner, ends, signs)
-    few = (sizes >= LEAST_BYTES) & (np.bincount(owner, minlength=len(sizes)) < FEW)
-    if few.any():
-        kept = ~few[owner]
-        more = _once(*_stretches(offsets, np.flatnonzero(few)), signs)
-        place, owner, hashes = (np.concatenate([a[kept], b]) for a, b in zip((place, owner, hashes), more))
-    order = np.lexsort((place, owner))
-    return owner[order], hashes[order]
+    windows = _once(*_windows(offsets, data, ranks), signs)
+    few = (sizes < LEAST_BYTES) | (np.bincount(windows[0], minlength=len(sizes)) < FEW)
+    return windows, _once(*_stretches(offsets, np.flatnonzero(few & (sizes > 0))), signs)
 
 
 def _stretches(offsets: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,22 +159,34 @@ def _windows(offsets: np.ndarray, data: np.ndarray, ranks: np.ndarray) -> tuple[
     return won[hit], text[hit], won[hit] + WINDOW
 
 
-def _once(place: np.ndarray, owner: np.ndarray, ends: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place, owner and hash of stretches, each hash once for a text."""
+def _once(place: np.ndarray, owner: np.ndarray, ends: np.ndarray, signs: np.ndarray) -> Hashed:
+    """Owner and hash of stretches in order of place, each hash once for a text."""
     if not len(place):
-        return place, owner, np.zeros(0, np.uint64)
+        return owner, np.zeros(0, np.uint64)
     hashes = words.stretches(signs, place, ends)
     order = np.lexsort((place, hashes, owner))
     first = np.ones(len(order), bool)
     first[1:] = (owner[order][1:] != owner[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
     chosen = order[first]
-    return place[chosen], owner[chosen], hashes[chosen]
+    chosen = chosen[np.lexsort((place[chosen], owner[chosen]))]
+    return owner[chosen], hashes[chosen]
+
 
+class Fingerprint(NamedTuple):
+    """Chains of filters, a row of bits for each filter."""
 
-def fingerprints(offsets: np.ndarray, data: np.ndarray, ranks: np.ndarray) -> list[np.ndarray]:
-    """Chain of filters of each text, a row of bits for each filter."""
-    owner, hashes = features(offsets, data, ranks)
+    windows: np.ndarray
+    stretches: np.ndarray
+
+
+def fingerprints(offsets: np.ndarray, data: np.ndarray, ranks: np.ndarray) -> list[Fingerprint]:
     rows = len(offsets) - 1
+    windows, stretches = (_filters(*hashed, rows) for hashed in features(offsets, data, ranks))
+    return [Fingerprint(*chains) for chains in zip(windows, stretches)]
+
+
+def _filters(owner: np.ndarray, hashes: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Chain of filters of each text."""
     bounds = np.searchsorted(owner, np.arange(rows + 1))
     filters = -(-np.diff(bounds) // FILTER_FEATURES)
     first = np.concatenate([[0], np.cumsum(filters)])
@@ -189,21 +199,32 @@ def fingerprints(offsets: np.ndarray, data: np.ndarray, ranks: np.ndarray) -> li
     return [bits[a:b] for a, b in zip(first[:-1], first[1:])]
 
 
-def as_text(chain: np.ndarray) -> str:
-    return base64.b64encode(np.packbits(chain, axis=1).tobytes()).decode()
+def as_text(found: Fingerprint) -> str:
+    """Both chains in base64, the second one after a dot; without a dot there is no second one."""
+    windows, stretches = (base64.b64encode(np.packbits(chain, axis=1).tobytes()).decode() for chain in found)
+    return f"{windows}.{stretches}" if stretches else windows
 
 
-def from_text(digest: str) -> np.ndarray:
-    data = np.frombuffer(base64.b64decode(digest), np.uint8).reshape(-1, FILTER_BITS // 8)
-    return np.unpackbits(data, axis=1)
+def from_text(digest: str) -> Fingerprint:
+    windows, _, stretches = digest.partition(".")
+    chains = [np.frombuffer(base64.b64decode(part), np.uint8).reshape(-1, FILTER_BITS // 8) for part in (windows, stretches)]
+    return Fingerprint(*[np.unpackbits(chain, axis=1) for chain in chains])
 
 
-def likeness(one: np.ndarray, two: np.ndarray) -> float:
-    """0 to 1; 1 for equal chains."""
-    if one.shape == two.shape and (one == two).all():
+def likeness(one: Fingerprint, two: Fingerprint) -> float:
+    """0 to 1; 1 for equal fingerprints."""
+    if len(one.stretches) and len(two.stretches):
+        return _likeness(one.stretches, two.stretches)
+    if not any(map(len, one)) and not any(map(len, two)):
         return 1.0
+    return _likeness(one.windows, two.windows)
+
+
+def _likeness(one: np.ndarray, two: np.ndarray) -> float:
     if not len(one) or not len(two):
         return 0.0
+    if one.shape == two.shape and (one == two).all():
+        return 1.0
     short, long = (one, two) if len(one) <= len(two) else (two, one)
     a, b = short.astype(np.float32), long.astype(np.float32)
     own, other = a.sum(1), b.sum(1)
@@ -226,13 +247,13 @@ FIELDS = [
 ]
 
 
-def _chains(texts: list[str], ranks: np.ndarray) -> list[np.ndarray]:
+def _chains(texts: list[str], ranks: np.ndarray) -> list[Fingerprint]:
     data = [text.encode() for text in texts]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
     return fingerprints(offsets, np.frombuffer(b"".join(data), np.uint8), ranks)
 
 
-def _compared(text: str, chain: np.ndarray, changed: str, changed_chain: np.ndarray, after: np.ndarray) -> tuple:
+def _compared(text: str, chain: Fingerprint, changed: str, changed_chain: Fingerprint, after: Fingerprint) -> tuple:
     sha = hashlib.sha256(changed.encode()).hexdigest()
     return len(text), sha, as_text(chain), as_text(changed_chain), likeness(chain, changed_chain), likeness(chain, after)
 

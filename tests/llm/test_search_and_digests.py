@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.llm import digests, hilbert_search, queries
+from pairloom.llm import digests, hilbert_search, queries, words
 
 
 def test_hilbert_neighbours_touch():
@@ -159,16 +159,84 @@ def test_short_texts():
     for size in range(127, 700, 3):
         one, two = ("".join(chance.choice(list("abcdefghijklmnop "), size)) for _ in range(2))
         own, changed, other = digests._chains([one, digests.edited(one, two), two], ranks)
-        assert len(own)
+        assert digests.as_text(own)
         near.append(digests.likeness(own, changed))
         far.append(digests.likeness(own, other))
     assert min(near[:120]) > 0.4 and np.mean(near) > 0.5 and np.mean(far) < 0.1
     dashes, stars, spaces, noted = digests._chains(["-" * 200, "*" * 5000, " " * 700, "-" * 5000 + "a"], ranks)
-    assert len(dashes) and len(spaces)
+    assert digests.as_text(dashes) and digests.as_text(spaces)
     assert digests.likeness(dashes, stars) < 0.2 and digests.likeness(stars, spaces) < 0.2
     assert 0 < digests.likeness(dashes, noted) <= 1
 
 
+def words_of(chance, size):
+    text = ""
+    while len(text) < size:
+        text += "".join(chance.choice(list("etaoinshrdlucmfwypvbg"), chance.integers(2, 10))) + chance.choice([" ", " ", " ", ", ", ". "])
+    return text[:size]
+
+
+def test_likeness_across_sizes():
+    """A text beside its first two thirds and beside itself with one byte more, at all sizes."""
+    chance = np.random.default_rng(8)
+    ranks = np.arange(digests.BINS, -1, -1)
+    parts, longer, changed = {}, {}, {}
+    for size in [*range(200, 2000, 25), *range(500, 775, 3)]:
+        text, other = words_of(chance, size), words_of(chance, size)
+        own, part, more, after = digests._chains([text, text[: size * 2 // 3], text + "q", digests.edited(text, other)], ranks)
+        parts[size], longer[size] = digests.likeness(own, part), digests.likeness(own, more)
+        changed[size] = digests.likeness(own, after)
+    across = [size for size in parts if 512 <= size < 768]  # the text on one side of the bound, its part on the other
+    assert min(parts[size] for size in across) > 0.5 and np.mean([parts[size] for size in across]) > 0.85
+    assert min(parts.values()) > 0.5 and min(longer.values()) > 0.8
+    assert np.mean([changed[size] for size in across]) > 0.45
+    short, long = words_of(chance, 400), words_of(chance, 900)
+    assert digests.likeness(*digests._chains([short, long], ranks)) < 0.3
+
+
+def plain_fingerprint(text, ranks):
+    """Both chains by their definition, one window after the other."""
+    data = text.encode()
+    size, wide = len(data), digests.WINDOW
+
+    def entropy(at):
+        share = np.bincount(np.frombuffer(data[at : at + wide], np.uint8))
+        share = share[share > 0] / wide
+        return int(-(share * np.log2(share)).sum() * digests.BINS / np.log2(wide) + 0.5)
+
+    bins = [entropy(at) for at in range(size - wide + 1)]
+    points = {}
+    groups = max(0, len(bins) - wide + 1)
+    for first in range(groups):
+        best = min(range(first, first + wide), key=lambda at: (ranks[bins[at]], at))
+        points[best] = points.get(best, 0) + 1
+    enough = min(digests.POINTS, groups)
+    at = sorted(i for i, n in points.items() if n >= enough and bins[i] >= digests.LEAST_BIN)
+    windows = list(dict.fromkeys(data[i : i + wide] for i in at))
+    short = min(digests.SHORT, size)
+    stretches = list(dict.fromkeys(data[i : i + short] for i in range(size - short + 1))) if size else []
+    return windows, stretches if size < digests.LEAST_BYTES or len(windows) < digests.FEW else []
+
+
+def test_features_by_definition():
+    """Counts of features and the filters they fill, against a construction without arrays over all texts."""
+    chance = np.random.default_rng(9)
+    ranks = np.random.default_rng(10).permutation(digests.BINS + 1)
+    texts = [words_of(chance, size) for size in (0, 1, 7, 8, 9, 63, 64, 126, 127, 300, 511, 512, 900, 3000)]
+    texts += ["ab" * 400, "-" * 600, "é你" * 120]
+    for text, found in zip(texts, digests._chains(texts, ranks)):
+        for features, chain in zip(plain_fingerprint(text, ranks), found):
+            assert len(chain) == -(-len(features) // digests.FILTER_FEATURES)
+            bits = np.zeros_like(chain)
+            for i, feature in enumerate(features):
+                signs = np.frombuffer(feature, np.uint8).astype(np.uint64) + np.uint64(1)
+                (key,) = words.stretches(signs, np.array([0]), np.array([len(signs)]))
+                for part in range(digests.HASHES):
+                    bits[i // digests.FILTER_FEATURES, int(key) >> 9 * part & 511] = 1
+            assert (bits == chain).all()
+        assert digests.likeness(found, digests.from_text(digests.as_text(found))) == 1.0
+
+
 def test_single_text_follows_itself(spark):
     (row,) = digests.with_next(spark.createDataFrame([(1, "abc" * 60)], "doc_id long, text string")).collect()
     assert row.near_next == 1.0
