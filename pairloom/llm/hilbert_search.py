@@ -3,8 +3,11 @@
 Largest inner product becomes least distance by one more component, which lifts every vector to the greatest norm
 (queries get 0 there). Each curve projects the lifted vectors to a few random directions, shifts them, and orders them
 along a Hilbert curve. Spark range-partitions the order; places in it are cut into tiles of ``TILE`` rows.
-A query visits the tiles around its own place, ``reach`` of the table to either side, and takes its best of each. The
-finds of all tiles and curves are merged.
+A query visits the tiles around its own place, ``reach`` of the table to either side. Neighbouring tiles form about
+``RANGES`` ranges a curve (more where one would hold over ``RANGE_ROWS`` rows). A task holds the queries that meet a range,
+at most about ``ASKS`` of them (more are dealt into groups), takes its vectors tile by tile, and keeps one running list of
+the best for each query, so a range hands on one list a query, however many tiles it has. The lists of all ranges
+and curves are merged.
 
 Equal vectors are placed and asked for once. Of equal vectors only the ``k`` + 1 smallest ids can be returned (one may be
 the query's own), so these stand for the group. A tile gives the ``k`` + 1 best ids of a query: rounded products only
@@ -22,10 +25,14 @@ no part, nor do rows without an id; a repeated id counts once, by the best of it
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from pairloom.llm.common import numbered
@@ -36,6 +43,9 @@ DIRECTIONS = 10
 BITS = 6
 TILE = 2048
 REACH = 0.2
+RANGES = 8  # of a curve; a query meets those that its window touches
+RANGE_ROWS = 1 << 20
+ASKS = 1 << 15  # queries whose best ids a task keeps at a time
 SEED = 3
 
 
@@ -120,6 +130,54 @@ class Tile:
         return row[kept], self.ids[code[kept]], score[kept]
 
 
+def best_of(row: np.ndarray, near: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``most`` best ids of each row, an id by its best score, ties to the smaller id."""
+    _, code = np.unique(near, return_inverse=True)
+    order = np.lexsort((-score, code, row))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (row[order][1:] != row[order][:-1]) | (code[order][1:] != code[order][:-1])
+    order = order[fresh]
+    order = order[np.lexsort((code[order], -score[order], row[order]))]
+    place = row[order]
+    order = order[np.arange(len(order)) - np.searchsorted(place, place) < most]
+    return row[order], near[order], score[order]
+
+
+class Asks:
+    """Queries of a range with the tiles they visit, and the best ids found for each so far."""
+
+    def __init__(self, parts: list[pa.RecordBatch], size: int, most: int):
+        self.parts, self.most = parts, most
+        self.first, self.last = (
+            np.concatenate([part.column(c).to_numpy() for part in parts]) for c in ("tile", "last")
+        )
+        self.vectors = np.concatenate([_matrix(part.column("v"), size) for part in parts])
+        self.best = None
+
+    def meet(self, number: int, tile: Tile) -> None:
+        there = np.flatnonzero((self.first <= number) & (number <= self.last))
+        found = [] if self.best is None else [self.best]
+        for at in range(0, len(there), 512):
+            some = there[at : at + 512]
+            row, near, score = tile.best(self.vectors[some], self.most)
+            found.append((some[row], near, score))
+        if found:
+            self.best = best_of(*[np.concatenate(columns) for columns in zip(*found)], self.most)
+
+    def lists(self, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        if self.best is None:
+            return
+        row, near, score = self.best
+        start = 0
+        for part in self.parts:
+            bounds = np.searchsorted(row, np.arange(start, start + part.num_rows + 1))
+            inside, start = slice(bounds[0], bounds[-1]), start + part.num_rows
+            offsets = pa.array(bounds - bounds[0], pa.int32())
+            ids = pa.ListArray.from_arrays(offsets, pa.array(near[inside], id_type))
+            scores = pa.ListArray.from_arrays(offsets, pa.array(score[inside]))
+            yield pa.RecordBatch.from_arrays([part.column("h1"), part.column("h2"), ids, scores], names=["h1", "h2", "ids", "scores"])
+
+
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
 
@@ -191,45 +249,65 @@ def search(
     start = F.greatest(F.lit(0), F.least(F.col("place") - F.floor(window / 2), F.lit(length) - window))
     stop = F.least(start + window, F.lit(length - 1))
     home = F.col("place") - F.col("place") % tile
-    visited = F.sequence(F.floor(start / tile).cast("long"), F.floor(stop / tile).cast("long"))
-    asked = placed.filter("kind = 1").select("curve", F.explode(visited).alias("tile"), "kind", "h1", "h2", "id", "v")
-    held = placed.filter("kind = 0").select("curve", (home / tile).cast("long").alias("tile"), "kind", "h1", "h2", "id", "v")
-    together = held.unionByName(asked).repartition("curve", "tile").sortWithinPartitions("curve", "tile", "kind")
+    tiles = max(1, -(-length // tile))
+    wide = max(1, min(-(-tiles // RANGES), RANGE_ROWS // tile))  # tiles of a range
+    groups = max(1, math.ceil(queries * min(1.0, 2 * reach + 2 * wide / tiles) / ASKS))
+    first, last = (F.floor(end / tile).cast("long") for end in (start, stop))
+    met = F.sequence(F.floor(first / wide).cast("long"), F.floor(last / wide).cast("long"))
+    group = F.pmod(F.col("h1"), F.lit(groups)).cast("int")
+    rest = ["h1", "h2", "id", "v"]
+    asked = placed.filter("kind = 1").select(
+        "curve", F.explode(met).alias("range"), group.alias("group"), F.lit(0).alias("step"), first.alias("tile"), last.alias("last"), *rest
+    )
+    own = (home / tile).cast("long")
+    held = placed.filter("kind = 0").select(
+        "curve", F.floor(own / wide).cast("long").alias("range"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"),
+        F.lit(1).alias("step"), own.alias("tile"), own.alias("last"), *rest,
+    )
+    together = held.unionByName(asked).repartition("curve", "range", "group")
+    together = together.sortWithinPartitions("curve", "range", "group", "step", "tile")
 
     def look(batches):
-        key, ids, points = None, [], []
-        block = None
+        key, number, asks = None, None, None
+        waiting, ids, points = [], [], []
+
+        def end_tile():
+            if ids and asks is not None:
+                asks.meet(number, Tile(np.concatenate(ids), np.concatenate(points)))
+            ids.clear(), points.clear()
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            marks = np.stack([batch.column(c).to_numpy() for c in ("curve", "tile", "kind")], 1)
+            marks = np.stack([batch.column(c).to_numpy() for c in ("curve", "range", "group", "step", "tile")], 1)
+            marks[marks[:, 3] == 0, 4] = -1  # queries stay together, whichever tile they begin with
             edges = np.flatnonzero((np.diff(marks, axis=0) != 0).any(1)) + 1
             for a, b in zip([0, *edges], [*edges, batch.num_rows]):
-                curve, place, kind = marks[a]
+                *place, step, here = marks[a]
                 part = batch.slice(int(a), int(b - a))
-                if (curve, place) != key:
-                    key, ids, points, block = (curve, place), [], [], None
-                if kind == 0:
+                if place != key:
+                    end_tile()
+                    if asks is not None:
+                        yield from asks.lists(id_arrow)
+                    key, number, asks = place, None, None
+                    waiting.clear()
+                if step == 0:
+                    waiting.append(part)
+                    continue
+                if waiting:
+                    asks = Asks(waiting[:], size, k + 1)
+                    waiting.clear()
+                if here != number:
+                    end_tile()
+                    number = here
+                if asks is not None:
                     ids.append(part.column("id").to_numpy(zero_copy_only=False))
                     points.append(_matrix(part.column("v"), size))
-                elif points:
-                    block = block or Tile(np.concatenate(ids), np.concatenate(points))
-                    yield from best(part, block)
-
-    def best(part, block):
-        for first in range(0, part.num_rows, 512):
-            asks = part.slice(first, 512)
-            row, near, score = block.best(_matrix(asks.column("v"), size), k + 1)
-            bounds = pa.array(np.searchsorted(row, np.arange(asks.num_rows + 1)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    asks.column("h1"),
-                    asks.column("h2"),
-                    pa.ListArray.from_arrays(bounds, pa.array(near, part.schema.field("id").type)),
-                    pa.ListArray.from_arrays(bounds, pa.array(score)),
-                ],
-                names=["h1", "h2", "ids", "scores"],
-            )
+        end_tile()
+        if asks is not None:
+            yield from asks.lists(id_arrow)
+
+    id_arrow = to_arrow_type(points.schema["id"].dataType)
 
     found = together.mapInArrow(look, f"h1 long, h2 long, ids array<{id_type}>, scores array<double>")
     pairs = found.select("h1", "h2", F.explode(F.arrays_zip("ids", "scores")).alias("f"))

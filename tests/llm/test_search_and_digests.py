@@ -87,6 +87,37 @@ def nearest(frame, **options):
     return out
 
 
+def test_lists_do_not_depend_on_ranges(spark, monkeypatch):
+    """One range a tile, ranges of several tiles, and queries in groups give the same finds."""
+    frame = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+
+    def found():
+        rows = hilbert_search.search(frame, F.col("vec_id") % 20 == 0, tile=32, reach=0.1)
+        return sorted(map(tuple, rows.collect()))
+
+    usual = found()
+    monkeypatch.setattr(hilbert_search, "RANGES", 1000)
+    assert found() == usual
+    monkeypatch.setattr(hilbert_search, "RANGES", 1)
+    monkeypatch.setattr(hilbert_search, "ASKS", 7)
+    assert found() == usual
+    monkeypatch.setattr(hilbert_search, "RANGE_ROWS", 100)
+    assert found() == usual
+
+
+def test_running_lists():
+    chance = np.random.default_rng(3)
+    row, near = chance.integers(0, 9, 800), chance.integers(0, 60, 800)
+    score = chance.integers(0, 6, 800).astype(float)
+    got = hilbert_search.best_of(row, near, score, 5)
+    for i in range(9):
+        best = {}
+        for j, s in zip(near[row == i], score[row == i]):
+            best[j] = max(s, best.get(j, s))
+        want = sorted((-s, j) for j, s in best.items())[:5]
+        assert [(-s, j) for j, s in zip(got[1][got[0] == i], got[2][got[0] == i])] == want
+
+
 @pytest.mark.parametrize("options", [{}, {"tile": 64, "reach": 0.5}])
 def test_equal_vectors_and_repeated_rows(spark, options):
     """Groups larger than k, scattered over the files, and rows that stand three times."""
