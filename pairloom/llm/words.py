@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 2 << 20
+SLICE = 1 << 17  # bytes that are turned into numbers together
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -32,10 +33,17 @@ class Words:
 
     def hashes(self, fold: bool = False) -> np.ndarray:
         """One hash for each word; ``fold`` takes A-Z as a-z."""
-        values = self.data.astype(np.uint64)
-        if fold:
-            values += ((self.data >= 65) & (self.data <= 90)).astype(np.uint64) * np.uint64(32)
-        return stretches(values + np.uint64(1), self.starts, self.ends)
+        out = np.empty(len(self.starts), np.uint64)
+        edges = np.flatnonzero(np.diff(self.starts // SLICE)) + 1
+        for a, b in zip([0, *edges], [*edges, len(out)] if len(out) else []):  # few bytes at a time, as 64-bit numbers
+            low = self.starts[a]
+            data = self.data[low : self.ends[b - 1]]
+            values = data.astype(np.uint64)
+            if fold:
+                values += ((data >= 65) & (data <= 90)).astype(np.uint64) * np.uint64(32)
+            values += np.uint64(1)
+            out[a:b] = stretches(values, self.starts[a:b] - low, self.ends[a:b] - low)
+        return out
 
 
 _powers: dict[str, np.ndarray] = {}
@@ -44,7 +52,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < size:
         for name, base in (("up", BASE), ("down", INVERSE)):
-            steps = np.full(max(size, BLOCK), base, np.uint64)
+            steps = np.full(max(2 * size, SLICE), base, np.uint64)
             steps[0] = 1
             _powers[name] = np.cumprod(steps)
     return _powers["up"][:size], _powers["down"][:size]

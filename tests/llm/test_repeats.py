@@ -196,6 +196,23 @@ def test_clean_texts_stay_as_they_are(spark):
     assert {r.doc_id: (r.text, r.n) for r in found.collect()} == {1: ("a  b\tc", 1), 2: (None, 1), 3: ("", 0), 4: ("v", 1)}
 
 
+def test_words_are_hashed_alike_in_any_slices(monkeypatch):
+    texts = ["", "One two  three", "x" * 300 + " two", "\ttwo ONE", " ", "three " * 40, "äö two\x0bthree"]
+    found = [text.encode() for text in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+    read = words.Words(offsets, np.frombuffer(b"".join(found), np.uint8))
+    for fold in (False, True):
+        whole = read.hashes(fold)
+        split = [word.lower() if fold and word.isascii() else word for text in found for word in text.split()]
+        assert len(whole) == len(split) and len(set(whole.tolist())) == len(set(split))
+        assert len(set(zip(whole.tolist(), split))) == len(set(split))
+        for size in (1, 7, 64):
+            monkeypatch.setattr(words, "SLICE", size)
+            assert (read.hashes(fold) == whole).all()
+            monkeypatch.undo()
+    assert not len(words.Words(np.zeros(1, np.int64), np.zeros(0, np.uint8)).hashes())
+
+
 def test_sliding_least():
     values = np.array([5, 3, 3, 9, 1, 4], np.uint64)
     assert words.sliding_least(values, 3).tolist() == [1, 1, 4, 4]
