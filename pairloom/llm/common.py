@@ -9,7 +9,9 @@ from pyspark.sql.window import Window
 from pairloom.operators.positions import ROW_BITS, numbered
 from pairloom.session import written
 
-__all__ = ["discard", "numbered", "running", "table", "text_key"]
+__all__ = ["discard", "numbered", "running", "stored", "table", "text_key"]
+
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,17 @@ def text_key(text: Column | str) -> list[Column]:
     return [F.xxhash64(col, F.lit(1)).alias("k1"), F.xxhash64(F.lit(2), col).alias("k2")]
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``written``, and the shuffle files of that job go as soon as the table stands, not when the driver next collects garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, "false")
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that ``written`` made, once all that was built on it stands written itself."""
     spark = table.sparkSession

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.session import written
+from pairloom.llm.common import discard, stored
 
 
 def _state(edges: DataFrame):
@@ -20,7 +20,7 @@ def _state(edges: DataFrame):
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the least node that it reaches) of every node of a link."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    edges = written(edges, "links")
+    edges = stored(edges, "links")
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,7 +28,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        earlier = edges
+        edges = stored(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        discard(earlier)
         state, before = _state(edges), state
         if state == before:
             break

@@ -31,10 +31,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pairloom.llm import words
-from pairloom.llm.common import discard, text_key
+from pairloom.llm.common import discard, stored, text_key
 from pairloom.llm.components import components
 from pairloom.llm.pieces import blocks, buffers, spans
-from pairloom.session import written
 
 WIDTH = 5
 ALIKE = 75  # per cent
@@ -121,23 +120,22 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     """
 
     def count(batches):
-        held, size, rows = [], 0, 0
+        held, size, rows = np.empty(COUNT_TOGETHER, np.uint64), 0, 0
         for whole in batches:
             for batch in blocks(whole, "_text", TEXT_BYTES):
                 shingles, _ = shingle_sets(*buffers(batch.column("_text").fill_null("")), width)
-                held.append(shingles)
-                size += len(shingles)
                 rows += batch.num_rows
-                if size >= COUNT_TOGETHER:
-                    yield told(held)
-                    held, size = [], 0
-        if held:
-            yield told(held)
+                while len(shingles):
+                    fits = min(len(shingles), COUNT_TOGETHER - size)
+                    held[size : size + fits] = shingles[:fits]
+                    size, shingles = size + fits, shingles[fits:]
+                    if size == COUNT_TOGETHER:
+                        yield told(held)
+                        size = 0
+        yield told(held[:size])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([rows], pa.int64())], names=["h", "n"])
 
-    def told(held):
-        hashes = np.concatenate(held)
-        held.clear()
+    def told(hashes):
         hashes.sort()
         enough = hashes[COUNT_LEAST - 1 :] == hashes[: max(len(hashes) - COUNT_LEAST + 1, 0)]
         found = np.unique(hashes[: len(enough)][enough])
@@ -145,10 +143,11 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["h", "n"])
 
     counted = texts.select("_text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    counted = written(counted, "shingle-counts")
+    counted = stored(counted, "shingle-counts")
     rows = counted.filter("h IS NULL").agg(F.sum("n")).first()[0] or 0
     least = max(COMMON_LEAST, rows // COMMON_SHARE)
     found = counted.filter(F.col("h").isNotNull() & (F.col("n") >= least)).select("h").toArrow()
+    discard(counted)
     return np.sort(found.column("h").to_numpy().view(np.uint64))
 
 
@@ -231,7 +230,7 @@ def _tiles(texts: DataFrame, sets: DataFrame, width: int, alike: int, common) ->
     Only sets of several texts, and those that a filter of fixed size takes for such, are brought together by a shuffle.
     """
     early = _early(texts, width, alike, common).filter("n > 0").withColumn("sid", _set_id("f1", "f2"))
-    early = written(_with_hit(early, _bits(sets.filter("texts > 1"), "f1"), "f1"), "early")
+    early = stored(_with_hit(early, _bits(sets.filter("texts > 1"), "f1"), "f1"), "early")
     several = early.filter("_hit").groupBy("f1", "f2", "sid")
     several = several.agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("often").alias("often"))
     columns = ["sid", "n", "rare", "often"]
@@ -241,7 +240,7 @@ def _tiles(texts: DataFrame, sets: DataFrame, width: int, alike: int, common) ->
     often = placed.select("sid", "n", F.explode("often").alias("h"))
     counts = often.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
     rows = rare.select("h", "sid", "n", "size").unionByName(often.join(counts, "h").select("h", "sid", "n", "size"))
-    tiles = written(rows, "tiles")
+    tiles = stored(rows, "tiles")
     discard(early)
     return tiles
 
@@ -253,7 +252,7 @@ def _large_tiles(tiles: DataFrame) -> DataFrame:
         F.count("*").alias("size"), F.bit_xor(F.xxhash64("sid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("x2")
     )
     kept = lists.groupBy("size", "x1", "x2").agg(F.min("h").alias("h")).select("h")
-    return written(many.join(kept, "h", "left_semi"), "large-tiles")
+    return stored(many.join(kept, "h", "left_semi"), "large-tiles")
 
 
 def _in_blocks(tiles: DataFrame, *more: str) -> DataFrame:
@@ -413,7 +412,6 @@ def _pairs(few: DataFrame | None, large: DataFrame, sets: DataFrame, groups: Dat
 
 def _bounded(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
     """Pairs whose bitmaps allow the overlap they need; the filter of fixed size keeps the bitmaps of most others in place."""
-    pairs = written(pairs, "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
     small = _with_hit(sets.select("sid", "n", "sig"), _bits(ends, "sid"), "sid").filter("_hit").drop("_hit")
     for side in ("a", "b"):
@@ -436,9 +434,11 @@ def _wanted(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, texts: DataFrame, sets: DataFrame, width: int, alike: int) -> DataFrame:
     """The pairs that are alike, by their sorted shingle arrays."""
-    pairs = written(_bounded(pairs, sets, alike), "bounded-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    found = written(_wanted(texts, sets.join(ends, "sid").select("sid", "k1", "k2")), "pair-texts")
+    met = stored(pairs, "pairs")
+    kept = stored(_bounded(met, sets, alike), "bounded-pairs")
+    discard(met)
+    pairs, ends = kept, kept.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    found = stored(_wanted(texts, sets.join(ends, "sid").select("sid", "k1", "k2")), "pair-texts")
     for side in ("a", "b"):
         pairs = pairs.join(found.select(F.col("sid").alias(side), F.col("_text").alias(f"text_{side}")), side)
 
@@ -455,7 +455,10 @@ def _links(pairs: DataFrame, texts: DataFrame, sets: DataFrame, width: int, alik
                         keep.append(100 * shared >= alike * (len(one) + len(two) - shared))
                     yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(pairs.select("a", "b", "text_a", "text_b").mapInArrow(decide, "a long, b long"), "links")
+    links = stored(pairs.select("a", "b", "text_a", "text_b").mapInArrow(decide, "a long, b long"), "links")
+    discard(found)
+    discard(kept)
+    return links
 
 
 def near_groups(
@@ -470,21 +473,24 @@ def near_groups(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)],
         F.col(id_col).alias("_id"), *text_key(text), F.coalesce(text, F.lit("")).alias("_text"),
     )
-    members = written(_names(texts, width).withColumn("t", F.monotonically_increasing_id()), "set-names")
+    members = stored(_names(texts, width).withColumn("t", F.monotonically_increasing_id()), "set-names")
     one = F.min_by(F.struct("n", "sig", "k1", "k2"), "t")
     sets = members.filter("n > 0").groupBy("f1", "f2")
     sets = sets.agg(F.count("*").alias("texts"), F.min("_id").alias("least"), one.alias("one"))
-    sets = written(sets.select("f1", "f2", _set_id("f1", "f2").alias("sid"), "texts", "least", "one.*"), "sets")
+    sets = stored(sets.select("f1", "f2", _set_id("f1", "f2").alias("sid"), "texts", "least", "one.*"), "sets")
     common = spark.sparkContext.broadcast(common_shingles(texts, width))
     tiles = _tiles(texts, sets, width, alike, common)
     # The least tiles of each set, as far as they are not small; at most as many as its early shingles.
     large = _large_tiles(tiles)
     leads = large.groupBy("sid").agg(F.array_sort(F.collect_set("h")).alias("tiles"))
     inside = _with_hit(sets, _bits(large, "sid"), "sid").filter("_hit")
-    marked = written(inside.join(leads, "sid").select("sid", "sig", F.slice("tiles", 1, LEAD).alias("lead")), "leads")
+    marked = stored(inside.join(leads, "sid").select("sid", "sig", F.slice("tiles", 1, LEAD).alias("lead")), "leads")
     links = _links(_pairs(tiles.filter(F.col("size") < FEW), large, marked, None, alike), texts, sets, width, alike)
-    groups = written(components(links), "first-groups")
+    discard(tiles)
+    groups = stored(components(links), "first-groups")
     more = _links(_pairs(None, large, marked, groups, alike), texts, sets, width, alike)
+    for used in (large, marked):
+        discard(used)
     # What the second round links are groups of the first one.
     roots = more
     for side in ("a", "b"):
@@ -518,7 +524,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **s
     line = F.struct(F.col(id_col).isNull(), F.col(id_col), "k1", "k2")
     first = groups.groupBy("group_id").agg(F.min(line).alias("first"))
     first = first.select(F.xxhash64(f"first.{id_col}").alias("_k0"), F.col("first.k1").alias("_k1"), F.col("first.k2").alias("_k2"))
-    first = written(first.distinct(), "kept-keys")
+    first = stored(first.distinct(), "kept-keys")
     wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     kept = docs.filter(~wordless).select("*", *own).join(first, keys, "left_semi").dropDuplicates(keys)
     return kept.select(*docs.columns).unionByName(docs.filter(wordless))
