@@ -47,6 +47,7 @@ FEW = 8  # sets of a tile whose pairs are all handed on
 LEAST_BITS = 1024  # of a bitmap; larger sets have a bit for each member at least
 PAIRS_TOGETHER = 100_000  # pairs of a tile that are bounded together, fewer where their bitmaps
 TURN_BYTES = 8 << 20  # take more than this
+TILE_BITS = 48  # of a shingle's hash that name its tile; sets that meet by chance are told apart like any others
 LEAD = 4  # larger tiles of a set that tell whether a pair belongs to another one
 FILTER_BITS = 25  # places in the fixed-size filter of wanted texts
 
@@ -235,7 +236,8 @@ def _tiles(texts: DataFrame, sets: DataFrame, width: int, alike: int, common) ->
     several = several.agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("often").alias("often"))
     columns = ["sid", "n", "rare", "often"]
     placed = early.filter("NOT _hit").select(*columns).unionByName(several.select(*columns))
-    rare = placed.select("sid", "n", F.explode("rare").alias("h"))
+    names = F.array_distinct(F.transform("rare", lambda h: h.bitwiseAND(F.lit((1 << TILE_BITS) - 1))))
+    rare = placed.select("sid", "n", F.explode(names).alias("h"))
     rare = rare.withColumn("size", F.count("*").over(Window.partitionBy("h"))).filter("size > 1")
     often = placed.select("sid", "n", F.explode("often").alias("h"))
     counts = often.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
@@ -473,11 +475,13 @@ def near_groups(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)],
         F.col(id_col).alias("_id"), *text_key(text), F.coalesce(text, F.lit("")).alias("_text"),
     )
-    members = stored(_names(texts, width).withColumn("t", F.monotonically_increasing_id()), "set-names")
+    signed = stored(_names(texts, width).withColumn("t", F.monotonically_increasing_id()), "set-names")
     one = F.min_by(F.struct("n", "sig", "k1", "k2"), "t")
-    sets = members.filter("n > 0").groupBy("f1", "f2")
+    sets = signed.filter("n > 0").groupBy("f1", "f2")
     sets = sets.agg(F.count("*").alias("texts"), F.min("_id").alias("least"), one.alias("one"))
     sets = stored(sets.select("f1", "f2", _set_id("f1", "f2").alias("sid"), "texts", "least", "one.*"), "sets")
+    members = stored(signed.drop("sig"), "set-rows")
+    discard(signed)
     common = spark.sparkContext.broadcast(common_shingles(texts, width))
     tiles = _tiles(texts, sets, width, alike, common)
     # The least tiles of each set, as far as they are not small; at most as many as its early shingles.
@@ -503,7 +507,7 @@ def near_groups(
     least = named.groupBy("group_id").agg(F.min("least").alias("component_id"))
     named = named.drop("least").join(least, "group_id")
     # An empty set is a group of its own: its row number stands for it.
-    placed = members.drop("sig").join(named, ["f1", "f2"], "left")
+    placed = members.join(named, ["f1", "f2"], "left")
     empty = F.col("n") == 0
     return placed.select(
         *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "k1", "k2", F.col("n").alias("n_shingles"),

@@ -61,7 +61,10 @@ def frame(spark, rows):
     return spark.createDataFrame(made, "doc_id long, text string, sig string, n int, source string").repartition(4)
 
 
-@pytest.mark.parametrize("settings", [{}, {"COMMON_LEAST": 5, "COUNT_LEAST": 1, "BLOCK": 7, "FEW": 3, "LEAST_BITS": 64}])
+SMALL = {"COMMON_LEAST": 5, "COUNT_LEAST": 1, "BLOCK": 7, "FEW": 3, "LEAST_BITS": 64}
+
+
+@pytest.mark.parametrize("settings", [{}, SMALL, SMALL | {"TILE_BITS": 4}])
 def test_near_groups(spark, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(ngram_join, name, value)
