@@ -77,7 +77,7 @@ def mentioned_codes(raw_texts: DataFrame, codes: DataFrame) -> DataFrame:
     bitmap = mark.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))  # at most 2^(MAP_BITS - 6) rows
     found = distinct.select("raw", F.explode(pieces).alias("code")).withColumn("_word", F.shiftright(place, 6))
     near = found.join(F.broadcast(bitmap), "_word").filter(F.expr("shiftright(_bits, CAST(xxhash64(code) & 63 AS INT)) & 1") == 1)
-    return near.select("raw", "code").join(known, "code", "left_semi").select("raw", "code")
+    return near.select("raw", "code").join(known.hint("merge"), "code", "left_semi").select("raw", "code")
 
 
 def ordered_concat(entries: DataFrame, key: str, value: str, order: list[str], span_of: Column) -> DataFrame:
@@ -99,7 +99,7 @@ def ordered_concat(entries: DataFrame, key: str, value: str, order: list[str], s
     whole = (
         pieces.select(key, F.struct("_span", "_text").alias("_item")).groupBy(key).agg(joined("_item").alias(value))
     )
-    return keys.join(whole, key, "left").withColumn(value, F.coalesce(value, F.lit("")))
+    return keys.join(whole.hint("merge"), key, "left").withColumn(value, F.coalesce(value, F.lit("")))
 
 
 def mention_sets(entries: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -108,12 +108,14 @@ def mention_sets(entries: DataFrame, mentions: DataFrame) -> DataFrame:
     Duplicate (class, mention) pairs go before the sets are built, so a set never holds more than
     the code dictionary.
     """
-    links = entries.select("context", "raw").distinct().join(mentions, "raw").select("context", "code").distinct()
+    # Files of entries are far smaller than their rows, so joins are hinted: no side is taken to the driver by file size.
+    own = entries.select("context", "raw").distinct().hint("merge")
+    links = own.join(mentions, "raw").select("context", "code").distinct()
     sets = links.groupBy("context").agg(F.collect_set("code").alias("codes"))
     return (
         entries.select("context")
         .distinct()
-        .join(sets, "context", "left")
+        .join(sets.hint("merge"), "context", "left")
         .select("context", text.set_text(F.coalesce("codes", F.array().cast("array<string>"))).alias("mentioned_groups"))
     )
 
@@ -127,4 +129,4 @@ def context_dictionary(listed: DataFrame, pages_per_span: int = 4096) -> DataFra
     span = F.floor(F.col("page_id") / pages_per_span)
     descriptions = ordered_concat(entries, "context", "description", ["page_id", "place"], span)
     mentions = mention_sets(entries, mentioned_codes(entries, code_dictionary(entries)))
-    return descriptions.join(mentions, "context")
+    return descriptions.join(mentions.hint("merge"), "context")

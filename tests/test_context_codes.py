@@ -100,3 +100,17 @@ def test_few_and_many_codes_agree(spark, monkeypatch):
     monkeypatch.setattr(context_codes, "FEW_CODES", 1)
     many = sorted(context_codes.mentioned_codes(texts, codes).collect())
     assert few == many and len(few) == 5
+
+
+def test_entries_are_not_taken_to_the_driver(spark):
+    """Repeated texts compress to small files, so a join that trusts file sizes would broadcast them."""
+    from pairloom.session import written
+
+    rows = spark.range(3000).select(
+        F.col("id").alias("page_id"), F.lit(0).alias("place"), F.concat(F.lit("A0"), F.col("id") % 2).alias("symbol"), F.lit("see A01 " * 20).alias("raw")
+    )
+    entries = written(context_codes.class_entries(rows), "entries")
+    mentions = context_codes.mentioned_codes(entries, context_codes.code_dictionary(entries))
+    for found in (context_codes.mention_sets(entries, mentions), context_codes.context_dictionary(rows)):
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {row.context: row.mentioned_groups for row in found.collect()} == {"A00": "A01", "A01": "A01"}
