@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom import session
 from pairloom.operators import pooling, vocabulary
 
 
@@ -28,6 +29,28 @@ def test_joined_vocabulary_gives_the_same(spark):
     assert "Exchange" not in plan.replace("Exchange SinglePartition", "")
 
 
+def test_only_rare_tokens_are_joined(spark, monkeypatch):
+    """Of a vocabulary above the bound the frequent tokens are looked up; a text hands on each rare one once, and texts without stay."""
+    held = []
+
+    def written(table, name):
+        held.append(session.written(table, name))
+        return held[-1]
+
+    monkeypatch.setattr(vocabulary, "IDS_TOGETHER", 1)
+    rows = [(1, "a b a rare b rare x a"), (2, "a [SEP] b"), (2, None), (3, "b odd a odd rare new"), (None, "a b b")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    words = vocabulary.build_vocabulary(df, "text").filter("token <> 'new'")
+    assert vocabulary.first_rare(words, 2 * 13) == 6 and vocabulary.first_rare(words, 1 << 20) is None
+    monkeypatch.setattr(vocabulary, "written", written)
+    by = [
+        sorted((str(r.doc_id), r.ids) for r in vocabulary.encode(df, words, "doc_id", "text", lookup_bytes=size).collect())
+        for size in (1 << 20, 2 * 13, 0)
+    ]
+    assert by[0] == by[1] == by[2] and len(by[0]) == 5
+    assert sorted(sorted(row.rare) for row in held[0].collect()) == [[], [], [], ["new", "odd", "rare"], ["rare", "x"]]
+
+
 def test_separator_has_its_own_id(spark):
     df = spark.createDataFrame([(1, "a[SEP]b[SEP]a")], "doc_id int, text string")
     words = vocabulary.build_vocabulary(df, "text", 2)
