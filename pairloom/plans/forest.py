@@ -39,6 +39,7 @@ def forest(n_estimators: int, max_depth: int, seed: int = 39) -> RandomForestReg
         maxDepth=max_depth,
         minInstancesPerNode=1,
         featureSubsetStrategy="all",
+        cacheNodeIds=True,  # a row goes on from its nodes, not from the roots at every level
         seed=seed,
     )
 
@@ -104,23 +105,48 @@ class Trees:
         self.value, self.cut = table("value", float), table("cut", float)
         self.left, self.right, self.feature, self.rows = (table(c, int) for c in ("left", "right", "feature", "rows"))
         self.leaf = self.left < 0
+        # Nodes as places in the flat tables, a leaf is its own child.
+        first = np.arange(shape[0])[:, None] * shape[1]
+        here = first + np.arange(shape[1])
+        self.below = np.stack([np.where(self.leaf, here, first + side) for side in (self.left, self.right)], axis=2).reshape(-1, 2)
+        self.levels = [first[:, 0]]  # inner nodes of each level above their children
+        while len(inner := self.levels[-1][~self.leaf.ravel()[self.levels[-1]]]):
+            self.levels[-1] = inner
+            self.levels.append(self.below[inner].ravel())
+        self.levels.pop()
+        self.known: dict = {}
+
+    def ends(self, settings: list[tuple[int, int]]) -> np.ndarray:
+        """(settings, nodes): the value of the node where a path to each node ends, cut by the setting."""
+        if (key := tuple(settings)) not in self.known:
+            value, rows = self.value.ravel(), self.rows.ravel()
+            out = np.tile(value, (len(settings), 1))
+            for place, (depth, least) in enumerate(settings):
+                stopped = np.zeros(len(value), bool)
+                for level, nodes in enumerate(self.levels):
+                    stop = stopped[nodes] | (rows[nodes] < least) | (level >= depth)
+                    held = nodes[stop]
+                    for side in (0, 1):
+                        below = self.below[held, side]
+                        out[place, below] = out[place, held]
+                        stopped[below] = True
+            self.known[key] = out
+        return self.known[key]
 
     def predictions(self, rows: np.ndarray, settings: list[tuple[int, int]]) -> np.ndarray:
-        """(rows, settings): mean over the trees, each cut at the depth and where a node has fewer rows than the bound."""
-        trees = np.arange(len(self.value))
-        here = np.broadcast_to(np.arange(self.value.shape[1]), self.value.shape)
+        """(rows, settings): mean over the trees, each cut at the depth and where a node has fewer rows than the bound.
+
+        A row goes down once; what each setting gives for the leaf it comes to is known beforehand.
+        """
+        feature, cut, below = self.feature.ravel(), self.cut.ravel(), self.below.ravel()
+        values, start = rows.ravel(), np.arange(len(rows))[:, None] * rows.shape[1]
+        node = np.tile(np.arange(len(self.value)) * self.value.shape[1], (len(rows), 1))
+        for _ in self.levels:
+            right = ~(values[start + feature[node]] <= cut[node])
+            node = below[2 * node + right]
         out = np.zeros((len(rows), len(settings)))
-        for least in {least for _, least in settings}:
-            stop = self.leaf | (self.rows < least)
-            left, right = np.where(stop, here, self.left), np.where(stop, here, self.right)
-            feature = np.where(stop, 0, self.feature)
-            depths = {depth: place for place, (depth, bound) in enumerate(settings) if bound == least}
-            node = np.zeros((len(rows), len(trees)), int)
-            for level in range(max(depths) + 1):
-                if level in depths:
-                    out[:, depths[level]] = self.value[trees, node].mean(axis=1)
-                below = np.take_along_axis(rows, feature[trees, node], axis=1) <= self.cut[trees, node]
-                node = np.where(below, left[trees, node], right[trees, node])
+        for place, ends in enumerate(self.ends(settings)):
+            out[:, place] = ends[node].mean(axis=1)
         return out
 
     def cut_at(self, depth: int, least: int) -> "Trees":
@@ -139,29 +165,34 @@ class Trees:
 
 def predicted_by(trees: Trees, features: list[Column]) -> Column:
     """The mean prediction of all trees, as a column of batches."""
-    depth = trees.value.shape[1]  # no path is longer than the nodes of a tree
-    whole = [(min(depth, 64), 0)]
+    return guess_by(trees)(F.array(*features))
+
+
+def guess_by(trees: Trees):
+    """The same of an array of features; null for a null array."""
+    whole = [(len(trees.levels), 0)]
 
     @F.pandas_udf("double")
     def guess(rows: pd.Series) -> pd.Series:
-        parts = [
-            trees.predictions(np.stack(rows.iloc[first : first + ROWS_TOGETHER]), whole)[:, 0]
-            for first in range(0, len(rows), ROWS_TOGETHER)
-        ]
-        return pd.Series(np.concatenate(parts) if parts else [])
+        given = np.flatnonzero(rows.notna())
+        out = np.full(len(rows), np.nan)
+        for first in range(0, len(given), ROWS_TOGETHER):
+            part = given[first : first + ROWS_TOGETHER]
+            out[part] = trees.predictions(np.stack(rows.iloc[part]), whole)[:, 0]
+        return pd.Series(out)
 
-    return guess(F.array(*features))
+    return guess
 
 
 def with_forest_prediction(df: DataFrame, forests: dict[int, Trees], features: list[str], name: str = "rf") -> DataFrame:
     """Predict each row by the forest of its fold, all folds in one scan; null for a fold without one."""
-    columns = [F.col(f).cast("double") for f in features]
-    found = df.withColumns({f"_{name}_{fold}": F.when(F.col("fold") == fold, predicted_by(trees, columns)) for fold, trees in forests.items()})
+    columns = F.array(*[F.col(f).cast("double") for f in features])  # null for the forests of other folds, as a function of batches sees all rows
+    found = df.withColumns({f"_{name}_{fold}": guess_by(trees)(F.when(F.col("fold") == fold, columns)) for fold, trees in forests.items()})
     own = [f"_{name}_{fold}" for fold in forests]
     return found.withColumn(name, F.coalesce(*own, F.lit(None).cast("double"))).drop(*own)
 
 
-def forest_scores(rows: DataFrame, folds: list[int], n_splits: int, grid: ForestGrid, parallelism: int = 4) -> DataFrame:
+def forest_scores(rows: DataFrame, folds: list[int], n_splits: int, grid: ForestGrid, parallelism: int = 8) -> DataFrame:
     """Scores of every setting, fold and split on both sides.
 
     ``rows`` comes from ``stored_rows``. One fit to the greatest depth gives the scores of all depths and bounds. The fits are

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +212,47 @@ def test_settings_are_checked():
             RunConfig(**wrong)
     assert RunConfig.debug().run_folds == (0, 1)
     assert RunConfig(target_size=5, loss="CE").run_folds == (0, 1, 2, 3)
+
+
+NODE_COLUMNS = ["tree", "node", "value", "rows", "left", "right", "feature", "cut"]
+
+
+def test_forest_predicts_rows_of_its_fold_only(spark):
+    """Each row is sent down the forest of its own fold, not down all of them."""
+
+    class Own(forest.Trees):
+        def __init__(self, fold):
+            super().__init__(pd.DataFrame([(0, 0, fold + 0.5, 4, -1, -1, 0, 0.0)], columns=NODE_COLUMNS))
+            self.fold = fold
+
+        def predictions(self, rows, settings):
+            if (rows[:, 0] != self.fold).any():
+                raise ValueError("a row of another fold")
+            return super().predictions(rows, settings)
+
+    df = spark.range(30).select((F.col("id") % 3).cast("int").alias("fold"), (F.col("id") % 3).cast("double").alias("x"))
+    got = forest.with_forest_prediction(df, {0: Own(0), 1: Own(1)}, ["x"]).collect()
+    assert {(row.fold, row.rf) for row in got} == {(0, 0.5), (1, 1.5), (2, None)} and len(got) == 30
+
+
+def test_rows_go_down_once_for_all_settings():
+    """One path of a row gives what the definition gives for every depth and least number of rows."""
+    nodes = [
+        (0, 0, 0.5, 9, 1, 4, 0, 0.5), (0, 1, 0.2, 5, 2, 3, 1, 0.5), (0, 2, 0.1, 2, -1, -1, 0, 0.0), (0, 3, 0.3, 3, -1, -1, 0, 0.0),
+        (0, 4, 0.9, 4, 5, 6, 1, 0.2), (0, 5, 0.8, 1, -1, -1, 0, 0.0), (0, 6, 1.0, 3, -1, -1, 0, 0.0), (1, 0, 0.4, 9, -1, -1, 0, 0.0),
+    ]
+    trees = forest.Trees(pd.DataFrame(nodes, columns=NODE_COLUMNS))
+    by_node = {node[:2]: node for node in nodes}
+
+    def walk(row, tree, depth, least):
+        at, level = by_node[tree, 0], 0
+        while at[4] >= 0 and at[3] >= least and level < depth:
+            at, level = by_node[tree, at[4] if row[at[6]] <= at[7] else at[5]], level + 1
+        return at[2]
+
+    rows = np.array([[x, y] for x in (0.0, 0.5, 0.6) for y in (0.1, 0.2, 0.4, 0.9)])
+    settings = [(depth, least) for depth in range(4) for least in (0, 2, 5, 6, 10)]
+    want = [[(walk(row, 0, *s) + walk(row, 1, *s)) / 2 for s in settings] for row in rows]
+    assert trees.predictions(rows, settings) == pytest.approx(np.array(want), abs=1e-15)
+    assert len(trees.levels) == 2  # steps of a path, whatever the depths asked for
+    assert forest.forest(5, 3).getCacheNodeIds()
