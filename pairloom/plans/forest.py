@@ -241,13 +241,16 @@ def best_settings(scores: DataFrame) -> dict[int, tuple[int, int, int]]:
     return {row.fold: tuple(row.best) for row in best.collect()}
 
 
-def refitted(rows: DataFrame, best: dict[int, tuple[int, int, int]]) -> dict[int, Trees]:
-    """The best forest of each fold, fitted on all of its rows and cut by its setting."""
-    out = {}
-    for fold, (trees, depth, least) in best.items():
+def refitted(rows: DataFrame, best: dict[int, tuple[int, int, int]], parallelism: int = 8) -> dict[int, Trees]:
+    """The best forest of each fold, fitted on all of its rows and cut by its setting; a few fits run at a time."""
+
+    def fit_one(task):
+        fold, (trees, depth, least) = task
         model = forest(trees, depth).fit(rows.filter(F.col("fold") == fold))
-        out[fold] = Trees(node_table(model, rows.sparkSession)).cut_at(depth, least)
-    return out
+        return fold, Trees(node_table(model, rows.sparkSession)).cut_at(depth, least)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return dict(pool.map(inheritable_thread_target(rows.sparkSession)(fit_one), best.items()))
 
 
 def save_forests(spark: SparkSession, forests: dict[int, Trees], path: str) -> None:

@@ -256,3 +256,21 @@ def test_rows_go_down_once_for_all_settings():
     assert trees.predictions(rows, settings) == pytest.approx(np.array(want), abs=1e-15)
     assert len(trees.levels) == 2  # steps of a path, whatever the depths asked for
     assert forest.forest(5, 3).getCacheNodeIds()
+
+
+def test_refits_run_at_the_same_time(spark, monkeypatch):
+    """The fits of all folds are under way before the first one ends; each fold gets its own forest."""
+    from threading import Barrier
+
+    together, fitted = Barrier(2, timeout=60), forest.node_table
+
+    def node_table(model, session):
+        together.wait()
+        return fitted(model, session)
+
+    monkeypatch.setattr(forest, "node_table", node_table)
+    rows = spark.range(40).select((F.col("id") % 2).cast("int").alias("fold"), F.lit(0).alias("test_splits"),
+        (F.col("id") % 2 * 10 + F.col("id") % 5).cast("double").alias("score"), (F.col("id") % 5).cast("double").alias("x"))
+    found = forest.refitted(forest.stored_rows(rows, ["x"]), {0: (5, 2, 2), 1: (5, 3, 4)})
+    assert list(found) == [0, 1]
+    assert found[0].value[0, 0] < 5 < 10 <= found[1].value[0, 0] and len(found[0].levels) <= 2
