@@ -12,6 +12,8 @@ from pairloom.session import written
 __all__ = ["discard", "numbered", "running", "stored", "table", "text_key"]
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+STORED_CONF = {SHUFFLE_CLEANUP: "true", BATCH_BYTES: str(4 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,14 +27,19 @@ def text_key(text: Column | str) -> list[Column]:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``written``, and the shuffle files of that job go as soon as the table stands, not when the driver next collects garbage."""
+    """``written``, and the shuffle files of that job go as soon as the table stands, not when the driver next collects garbage.
+
+    Its tasks send few bytes to Python at once: long texts and bitmaps take their memory on both sides.
+    """
     conf = df.sparkSession.conf
-    before = conf.get(SHUFFLE_CLEANUP, "false")
-    conf.set(SHUFFLE_CLEANUP, "true")
+    before = {key: conf.get(key) for key in STORED_CONF}
+    for key, value in STORED_CONF.items():
+        conf.set(key, value)
     try:
         return written(df, name)
     finally:
-        conf.set(SHUFFLE_CLEANUP, before)
+        for key, value in before.items():
+            conf.set(key, value)
 
 
 def discard(table: DataFrame) -> None:

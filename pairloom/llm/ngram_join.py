@@ -3,14 +3,15 @@
 1. *Sets.* Each text becomes its distinct shingle hashes. Equal sets are one set from here on.
 2. *Tiles.* In any one order of all shingles, two sets that are alike share a shingle among their first
    ``n - need + 1``. The order is by hash, with the shingles of very many texts last, so that common passages
-   open no tiles. A tile holds the sets with the same early shingle, in order of size, and a set meets only the band of
-   sizes that can still be alike. Of larger tiles with the same members, as the shingles of a shared passage open, one stays. Tiles
-   above ``BLOCK`` sets are cut into blocks that meet two by two.
+   open no tiles. A tile holds the sets with the same early shingle, in order of size. In the first tile that two alike sets
+   share, all that they share stands from that shingle on; so its place in a set bounds the size of the partners that the set
+   can have there (``most``), and sets that can meet no other one leave the tile. Of larger tiles with the same members, as the
+   shingles of a shared passage open, the first one stays. Tiles above ``BLOCK`` sets are cut into blocks that meet two by two.
 3. *Signatures.* Each pair of a tile gets a bound of its overlap from hashed bitmaps: a bit that only one side has stands
    for a shingle that only this side has. Pairs whose bound is too low go.
 4. *Exact.* The others are decided by the intersection of their sorted shingle arrays.
 
-Tiles below ``FEW`` sets hand on all their pairs. Of larger ones, whose sets bring their bitmaps along, a first round
+Tiles below ``FEW`` sets hand on all pairs that can meet. Of larger ones, whose sets bring their bitmaps along, a first round
 hands on each set with the one of the best bound, which ties the sets of a large group to its centre; the second round
 hands on every pair with a high enough bound whose sets are still in different groups. Alike sets meet in many tiles;
 a pair with a common one among the ``LEAD`` least larger tiles of both is handed on by the least such one only. So no link
@@ -48,6 +49,8 @@ LEAST_BITS = 1024  # of a bitmap; larger sets have a bit for each member at leas
 PAIRS_TOGETHER = 100_000  # pairs of a tile that are bounded together, fewer where their bitmaps
 TURN_BYTES = 8 << 20  # take more than this
 TILE_BITS = 48  # of a shingle's hash that name its tile; sets that meet by chance are told apart like any others
+PLACE_BITS = 15  # of a shingle's place in its set, which travel beside them; greater places count as the greatest
+PAIRS_HELD = 500_000  # pairs of a task that are freed of repeats together
 LEAD = 4  # larger tiles of a set that tell whether a pair belongs to another one
 FILTER_BITS = 25  # places in the fixed-size filter of wanted texts
 
@@ -225,9 +228,15 @@ def _with_hit(rows: DataFrame, bits: DataFrame, key: str) -> DataFrame:
     return found.withColumn("_hit", hit).drop("_word", "_bits")
 
 
+def _most(place, alike: int):
+    """The size of the largest set that one of ``n`` can be alike with, if nothing before ``place`` is shared."""
+    return F.expr(f"CAST((n - {place}) * {100 + alike}L DIV {alike} - n AS INT)").alias("most")
+
+
 def _tiles(texts: DataFrame, sets: DataFrame, width: int, alike: int, common) -> DataFrame:
-    """h (the tile), sid, n, size: the sets that share an early shingle with another one.
+    """h (the tile), sid, n, most, size, other: the sets that can meet another one with the same early shingle.
 
+    Tiles are numbered in the order of the shingles. Of those below ``FEW`` sets there are the pairs sid, other in place of the sets.
     Only sets of several texts, and those that a filter of fixed size takes for such, are brought together by a shuffle.
     """
     early = _early(texts, width, alike, common).filter("n > 0").withColumn("sid", _set_id("f1", "f2"))
@@ -236,20 +245,119 @@ def _tiles(texts: DataFrame, sets: DataFrame, width: int, alike: int, common) ->
     several = several.agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("often").alias("often"))
     columns = ["sid", "n", "rare", "often"]
     placed = early.filter("NOT _hit").select(*columns).unionByName(several.select(*columns))
-    names = F.array_distinct(F.transform("rare", lambda h: h.bitwiseAND(F.lit((1 << TILE_BITS) - 1))))
-    rare = placed.select("sid", "n", F.explode(names).alias("h"))
+    names = F.array_distinct(F.transform("rare", lambda h: F.shiftrightunsigned(h, 64 - TILE_BITS)))
+    place = F.least("place", F.lit((1 << PLACE_BITS) - 1)).cast("long")
+    rare = placed.select("n", "sid", F.posexplode(names).alias("place", "h"))
+    rare = rare.select("n", "sid", F.shiftleft(place, TILE_BITS).bitwiseOR(F.col("h")).alias("placed"))
+    tile = F.col("placed").bitwiseAND(F.lit((1 << TILE_BITS) - 1))
+    rare = rare.repartition(tile).withColumn("h", tile)
     rare = rare.withColumn("size", F.count("*").over(Window.partitionBy("h"))).filter("size > 1")
-    often = placed.select("sid", "n", F.explode("often").alias("h"))
-    counts = often.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = rare.select("h", "sid", "n", "size").unionByName(often.join(counts, "h").select("h", "sid", "n", "size"))
-    tiles = stored(rows, "tiles")
+    rare = rare.select("h", "sid", "n", _most(f"shiftright(placed, {TILE_BITS})", alike))
+    # Shingles of very many texts come after all others. Few sets have any among their early ones.
+    name = F.shiftrightunsigned("h", 2).bitwiseOR(F.lit(1 << 62)).alias("h")
+    often = placed.select("n", "sid", F.size("rare").alias("rare"), F.posexplode("often").alias("place", "h"))
+    often = often.select(name, "sid", "n", _most("(place + greatest(rare, 0))", alike))
+    counts = often.groupBy("h").agg(F.greatest(F.count("*"), F.lit(FEW)).alias("size"), (F.count("*") > 1).alias("met")).filter("met")
+    often = often.join(counts, "h").select("h", "sid", "n", "most", "size", F.lit(None).cast("long").alias("other"))
+    tiles = stored(rare.mapInArrow(_meeting(FEW), "h long, sid long, n int, most int, size long, other long").unionByName(often), "tiles")
     discard(early)
     return tiles
 
 
+def meeting(h: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which sets of a tile can meet another one of it; rows are in order of tile and size."""
+    base = np.cumsum(np.concatenate([[0], np.diff(h) != 0])) << 35
+    sizes, reach = base + n, base + np.maximum(most, 0)
+    upto = np.searchsorted(sizes, reach, side="right")
+    best = np.maximum.accumulate(reach)  # the greatest reach among the sets so far, and the one after it
+    second = np.concatenate([[-1], np.maximum.accumulate(np.minimum(reach[1:], best[:-1]))])
+    return (upto > 0) & (np.where(most >= n, second[upto - 1], best[upto - 1]) >= sizes)
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (np.diff(a) != 0) | (np.diff(b) != 0)
+    return np.stack([a[fresh], b[fresh]], 1)
+
+
+class PairsHeld:
+    """Pairs of a task, without those that repeat among some ``PAIRS_HELD``."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether it is time to ``take`` them."""
+        self.parts.append(np.stack([a, b], 1))
+        self.size += len(a)
+        if self.size <= PAIRS_HELD:
+            return False
+        self.parts = [distinct_pairs(*np.concatenate(self.parts).T)]
+        self.size = len(self.parts[0])
+        return self.size > PAIRS_HELD // 2
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        pairs = distinct_pairs(*np.concatenate([np.zeros((0, 2), np.int64), *self.parts]).T)
+        self.parts, self.size = [], 0
+        return pairs[:, 0], pairs[:, 1]
+
+
+def _meeting(few: int):
+    """A function of batches in order of tile (h, sid, n, most): rows of larger tiles, and pairs of those below ``few`` sets."""
+    columns = ("h", "sid", "n", "most")
+
+    def whole(batches):
+        held: list = []
+        for batch in batches:
+            if batch.num_rows:
+                rows = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]
+                last = int(np.searchsorted(rows[0] == rows[0][-1], True))
+                if held and (last or held[-1][0][-1] != rows[0][0]):
+                    yield map(np.concatenate, zip(*held, [r[:last] for r in rows]))
+                    held = []
+                elif last:
+                    yield [r[:last] for r in rows]
+                held.append([r[last:] for r in rows])
+        if held:
+            yield map(np.concatenate, zip(*held))
+
+    def out(h, sid, n, most, size, other):
+        values = [pa.array(h), pa.array(sid), pa.array(n, pa.int32()), pa.array(most, pa.int32()), pa.array(size), other]
+        return pa.RecordBatch.from_arrays(values, names=["h", "sid", "n", "most", "size", "other"])
+
+    def paired(a, b):
+        none = np.zeros(len(a), np.int64)
+        return out(none, a, none, none, none, pa.array(b))
+
+    def meet(batches):
+        pairs = PairsHeld()
+        for rows in whole(batches):
+            h, sid, n, most = rows
+            order = np.lexsort((sid, n, h))
+            order = order[meeting(h[order], n[order], most[order])]
+            h, sid, n, most = h[order], sid[order], n[order], most[order]
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(h) != 0, [True]])) if len(h) else np.zeros(1, int)
+            sizes = np.repeat(np.diff(edges), np.diff(edges))
+            for step in range(1, few - 1):
+                a = np.flatnonzero((sizes[step:] < few) & (h[step:] == h[: max(len(h) - step, 0)]))
+                b = a + step
+                a, b = (side[(n[b] <= most[a]) & (n[a] <= most[b])] for side in (a, b))
+                if pairs.add(sid[a], sid[b]):
+                    yield paired(*pairs.take())
+            many = sizes >= few
+            if many.any():
+                yield out(h[many], sid[many], n[many], most[many], sizes[many], pa.nulls(int(many.sum()), pa.int64()))
+        yield paired(*pairs.take())
+
+    return meet
+
+
 def _large_tiles(tiles: DataFrame) -> DataFrame:
-    """The tiles of ``FEW`` sets and more; of those with the same members the one with the least shingle."""
-    many = tiles.filter(F.col("size") >= FEW)
+    """The tiles of ``FEW`` sets and more; of those with the same members the first one."""
+    many = tiles.filter("other IS NULL").drop("other")
     lists = many.groupBy("h").agg(
         F.count("*").alias("size"), F.bit_xor(F.xxhash64("sid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("x2")
     )
@@ -292,15 +400,15 @@ def _whole_tiles(batches, names: tuple[str, ...]):
         yield joined()
 
 
-def _reach(n: np.ndarray, alike: int) -> np.ndarray:
-    """How many of the following sets, in order of size, lie in the band of each."""
-    return np.searchsorted(n, n * 100 // alike, side="right") - np.arange(len(n)) - 1
+def _reach(n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many of the following sets, in order of size, are no larger than the most of each."""
+    return np.maximum(np.searchsorted(n, most, side="right") - np.arange(len(n)) - 1, 0)
 
 
-def tile_pairs(n: np.ndarray, sigs: list[bytes], apart, alike: int):
+def tile_pairs(n: np.ndarray, sigs: list[bytes], apart, alike: int, most: np.ndarray | None = None):
     """Places i, j and bound of the pairs of a tile (in order of size) that their bitmaps allow.
 
-    ``apart(i, j)`` tells which pairs are wanted.
+    ``apart(i, j)`` tells which pairs are wanted, ``most`` the largest partner of each set.
     """
     sizes = np.array([len(sig) for sig in sigs])
     widths = np.unique(sizes)
@@ -313,7 +421,8 @@ def tile_pairs(n: np.ndarray, sigs: list[bytes], apart, alike: int):
             rows[own] = np.bitwise_or.reduce(wide, axis=1)
         folds[int(size)] = rows
     together = max(1, min(PAIRS_TOGETHER, TURN_BYTES // int(widths.max(initial=8))))
-    count = _reach(n, alike)
+    most = n * 100 // alike if most is None else most
+    count = _reach(n, most)
     total = np.cumsum(count)
     done = 0
     while done < len(n):
@@ -321,7 +430,7 @@ def tile_pairs(n: np.ndarray, sigs: list[bytes], apart, alike: int):
         at = np.arange(done, upto)
         i, j = np.repeat(at, count[done:upto]), spans(at + 1, count[done:upto])
         done = upto
-        ok = apart(i, j)
+        ok = (n[i] <= most[j]) & apart(i, j)
         i, j = i[ok], j[ok]
         for size in np.unique(sizes[i]):
             turn = sizes[i] == size
@@ -350,8 +459,8 @@ def best_of(own: np.ndarray, other: np.ndarray, bound: np.ndarray, best: np.ndar
     best[own[better]], partner[own[better]] = bound[better], other[better]
 
 
-def _pairs(few: DataFrame | None, large: DataFrame, sets: DataFrame, groups: DataFrame | None, alike: int) -> DataFrame:
-    """Distinct pairs (a < b) of sets to decide; ``groups`` (node, component) of the first round for the second one."""
+def _pairs(large: DataFrame, sets: DataFrame, groups: DataFrame | None, alike: int) -> DataFrame:
+    """Distinct pairs (a < b) of sets of larger tiles to decide; ``groups`` (node, component) of the first round for the second one."""
     if groups is None:
         many = large.withColumn("group", F.col("sid"))
     else:  # only tiles of several groups go on, before bitmaps join them
@@ -359,29 +468,17 @@ def _pairs(few: DataFrame | None, large: DataFrame, sets: DataFrame, groups: Dat
         many = many.withColumn("group", F.coalesce("component", "sid")).drop("component")
         mixed = many.groupBy("h").agg((F.min("group") != F.max("group")).alias("mixed")).filter("mixed").select("h")
         many = many.join(mixed, "h", "left_semi")
-    many = _in_blocks(many.join(sets.select("sid", "sig", "lead"), "sid"), "group", "sig", "lead")
+    many = _in_blocks(many.join(sets.select("sid", "sig", "lead"), "sid"), "most", "group", "sig", "lead")
     many = many.repartition(*TILE).sortWithinPartitions(*TILE, "n", "sid")
     first_round = groups is None
 
     def batch(a, b):
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    def meet_few(batches):
-        found: list = [[], []]
-        for rows in _whole_tiles(batches, (*TILE, "sid", "n")):
-            count = _reach(rows["n"].astype(np.int64), alike)
-            found[0].append(rows["sid"][np.repeat(np.arange(len(count)), count)])
-            found[1].append(rows["sid"][spans(np.arange(len(count)) + 1, count)])
-            if len(found[0]) == 100_000:
-                yield batch(*map(np.concatenate, found))
-                found = [[], []]
-        if found[0]:
-            yield batch(*map(np.concatenate, found))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def meet_many(batches):
         top = np.iinfo(np.int64).max
-        for rows in _whole_tiles(batches, (*TILE, "part", "sid", "n", "group", "sig", "lead")):
+        pairs = PairsHeld()
+        for rows in _whole_tiles(batches, (*TILE, "part", "sid", "n", "most", "group", "sig", "lead")):
             group, part, sid = rows["group"], rows["part"], rows["sid"]
             lead = np.full((len(sid), LEAD), top, np.int64)
             for place, known in enumerate(rows["lead"]):
@@ -392,24 +489,22 @@ def _pairs(few: DataFrame | None, large: DataFrame, sets: DataFrame, groups: Dat
                 return (group[i] != group[j]) & ((part[i] != part[j]) if split else True)
 
             best, partner = np.full(len(sid), -1), np.full(len(sid), top)
-            for i, j, bound in tile_pairs(rows["n"].astype(np.int64), list(rows["sig"]), apart, alike):
+            n, most = rows["n"].astype(np.int64), rows["most"].astype(np.int64)
+            for i, j, bound in tile_pairs(n, list(rows["sig"]), apart, alike, most):
                 here = ~elsewhere(lead[i], lead[j], rows["h"][0])
                 i, j, bound = i[here], j[here], bound[here]
                 if not len(i):
                     continue
                 if first_round:  # each set with its best one
                     best_of(np.concatenate([i, j]), np.concatenate([sid[j], sid[i]]), np.concatenate([bound, bound]), best, partner)
-                else:
-                    yield batch(sid[i], sid[j])
+                elif pairs.add(sid[i], sid[j]):
+                    yield batch(*pairs.take())
             tied = best >= 0
-            if tied.any():
-                yield batch(sid[tied], partner[tied])
+            if pairs.add(sid[tied], partner[tied]):
+                yield batch(*pairs.take())
+        yield batch(*pairs.take())
 
-    found = many.mapInArrow(meet_many, "a long, b long")
-    if first_round:
-        few = _in_blocks(few).repartition(*TILE).sortWithinPartitions(*TILE, "n", "sid")
-        found = found.unionByName(few.mapInArrow(meet_few, "a long, b long"))
-    return found.distinct()
+    return many.mapInArrow(meet_many, "a long, b long").distinct()
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
@@ -431,14 +526,13 @@ def _bounded(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
 def _wanted(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """Texts of ``keys`` (sid, k1, k2); a filter of fixed size spares most others the shuffle."""
     near = _with_hit(texts, _bits(keys, "k1"), "k1").filter("_hit")
-    return near.select("k1", "k2", "_text").join(keys, ["k1", "k2"]).groupBy("sid").agg(F.first("_text").alias("_text"))
+    found = near.select("k1", "k2", "_text").join(keys, ["k1", "k2"]).groupBy("k1", "k2", "sid").agg(F.first("_text").alias("_text"))
+    return found.select("sid", "_text")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, sets: DataFrame, width: int, alike: int) -> DataFrame:
     """The pairs that are alike, by their sorted shingle arrays."""
-    met = stored(pairs, "pairs")
-    kept = stored(_bounded(met, sets, alike), "bounded-pairs")
-    discard(met)
+    kept = stored(pairs, "pairs")
     pairs, ends = kept, kept.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     found = stored(_wanted(texts, sets.join(ends, "sid").select("sid", "k1", "k2")), "pair-texts")
     for side in ("a", "b"):
@@ -484,15 +578,19 @@ def near_groups(
     discard(signed)
     common = spark.sparkContext.broadcast(common_shingles(texts, width))
     tiles = _tiles(texts, sets, width, alike, common)
-    # The least tiles of each set, as far as they are not small; at most as many as its early shingles.
     large = _large_tiles(tiles)
+    few = tiles.filter("other IS NOT NULL").select(F.col("sid").alias("a"), F.col("other").alias("b"))
+    few = stored(few.distinct(), "few-pairs")
+    discard(tiles)
+    # The least tiles of each set, as far as they are not small; at most as many as its early shingles.
     leads = large.groupBy("sid").agg(F.array_sort(F.collect_set("h")).alias("tiles"))
     inside = _with_hit(sets, _bits(large, "sid"), "sid").filter("_hit")
     marked = stored(inside.join(leads, "sid").select("sid", "sig", F.slice("tiles", 1, LEAD).alias("lead")), "leads")
-    links = _links(_pairs(tiles.filter(F.col("size") < FEW), large, marked, None, alike), texts, sets, width, alike)
-    discard(tiles)
+    met = _bounded(few, sets, alike).unionByName(_pairs(large, marked, None, alike)).distinct()
+    links = _links(met, texts, sets, width, alike)
+    discard(few)
     groups = stored(components(links), "first-groups")
-    more = _links(_pairs(None, large, marked, groups, alike), texts, sets, width, alike)
+    more = _links(_pairs(large, marked, groups, alike), texts, sets, width, alike)
     for used in (large, marked):
         discard(used)
     # What the second round links are groups of the first one.
