@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +12,7 @@ from pyspark.sql.window import Window
 from pairloom.operators.positions import ROW_BITS, numbered
 from pairloom.session import written
 
-__all__ = ["discard", "numbered", "running", "stored", "table", "text_key"]
+__all__ = ["discard", "freeing", "give_back", "numbered", "running", "stored", "table", "text_key"]
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -51,6 +54,26 @@ def discard(table: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system: neither Arrow's pool nor the C library does by itself."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim is not None:
+        trim(0)
+
+
+def freeing(work):
+    """``work``, a task's function of its batches; what it has freed leaves the worker, which lives on beside later stages."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def running(df: DataFrame, order: list[Column], sums: dict[str, str], name: str) -> DataFrame:
     """Add sums over all earlier rows of the whole table: ``sums`` maps a new column to the summed one."""
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)

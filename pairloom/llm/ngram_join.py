@@ -13,7 +13,8 @@
 
 Tiles below ``FEW`` sets hand on all pairs that can meet. Of larger ones, whose sets bring their bitmaps along, a first round
 hands on each set with the one of the best bound, which ties the sets of a large group to its centre; the second round
-hands on every pair with a high enough bound whose sets are still in different groups. Alike sets meet in many tiles;
+looks at the sets that had more pairs in a tile, and hands on those with a high enough bound whose sets are still in different
+groups and that have not been decided. Alike sets meet in many tiles;
 a pair with a common one among the ``LEAD`` least larger tiles of both is handed on by the least such one only. So no link
 between groups is lost, and no group is expanded into its pairs.
 
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pairloom.llm import words
-from pairloom.llm.common import discard, stored, text_key
+from pairloom.llm.common import discard, freeing, stored, text_key
 from pairloom.llm.components import components
 from pairloom.llm.pieces import blocks, buffers, spans
 
@@ -49,7 +50,8 @@ LEAST_BITS = 1024  # of a bitmap; larger sets have a bit for each member at leas
 PAIRS_TOGETHER = 100_000  # pairs of a tile that are bounded together, fewer where their bitmaps
 TURN_BYTES = 8 << 20  # take more than this
 TILE_BITS = 48  # of a shingle's hash that name its tile; sets that meet by chance are told apart like any others
-PLACE_BITS = 15  # of a shingle's place in its set, which travel beside them; greater places count as the greatest
+DEALT_ROWS = 1 << 19  # sets in tiles that a task deals out together
+RANGES = 4  # of tiles for each task that reads them
 PAIRS_HELD = 500_000  # pairs of a task that are freed of repeats together
 LEAD = 4  # larger tiles of a set that tell whether a pair belongs to another one
 FILTER_BITS = 25  # places in the fixed-size filter of wanted texts
@@ -146,7 +148,7 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
         counts = np.searchsorted(hashes, found, side="right") - np.searchsorted(hashes, found)
         return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["h", "n"])
 
-    counted = texts.select("_text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = texts.select("_text").mapInArrow(freeing(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     counted = stored(counted, "shingle-counts")
     rows = counted.filter("h IS NULL").agg(F.sum("n")).first()[0] or 0
     least = max(COMMON_LEAST, rows // COMMON_SHARE)
@@ -155,40 +157,25 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     return np.sort(found.column("h").to_numpy().view(np.uint64))
 
 
-def _names(texts: DataFrame, width: int) -> DataFrame:
-    """The columns of ``texts`` but the text, then n, f1, f2 (the set's name) and sig (its bitmap)."""
+def _signed(texts: DataFrame, width: int, alike: int, common) -> DataFrame:
+    """The columns of ``texts`` but the text, then n, f1, f2 (the set's name), sig (its bitmap), and the set's early shingles:
+    ``rare`` and ``often`` ones."""
     rest = [f for f in texts.schema if f.name != "_text"]
     schema = T.StructType(
         rest
         + [T.StructField("n", T.LongType())]
         + [T.StructField(f, T.LongType()) for f in ("f1", "f2")]
         + [T.StructField("sig", T.BinaryType())]
+        + [T.StructField(f, T.ArrayType(T.LongType())) for f in ("rare", "often")]
     )
 
-    def name(batches):
-        for whole in batches:
-            for batch in blocks(whole, "_text", TEXT_BYTES):
-                shingles, at = shingle_sets(*buffers(batch.column("_text").fill_null("")), width)
-                f1, f2 = set_names(shingles, at)
-                sigs = [bitmap(shingles[a:b]) for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(f.name) for f in rest]
-                    + [pa.array(np.diff(at), pa.int64()), pa.array(f1), pa.array(f2), pa.array(sigs, pa.binary())],
-                    names=schema.names,
-                )
-
-    return texts.mapInArrow(name, schema)
-
-
-def _early(texts: DataFrame, width: int, alike: int, common) -> DataFrame:
-    """f1, f2, n and the early shingles of each set: ``rare`` and ``often`` ones."""
-
-    def early(batches):
+    def sign(batches):
         last = common.value
         for whole in batches:
             for batch in blocks(whole, "_text", TEXT_BYTES):
                 shingles, at = shingle_sets(*buffers(batch.column("_text").fill_null("")), width)
                 f1, f2 = set_names(shingles, at)
+                sigs = [bitmap(shingles[a:b]) for a, b in zip(at[:-1], at[1:])]
                 n = np.diff(at)
                 first = n + (-alike * n) // 100 + 1  # n - ceil(n * alike / 100) + 1
                 first[n == 0] = 0
@@ -203,28 +190,31 @@ def _early(texts: DataFrame, width: int, alike: int, common) -> DataFrame:
                     bounds = np.searchsorted(owner[part], np.arange(len(n) + 1))
                     lists.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(shingles[part].view(np.int64))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(f1), pa.array(f2), pa.array(n, pa.int32()), *lists], names=["f1", "f2", "n", "rare", "often"]
+                    [batch.column(f.name) for f in rest]
+                    + [pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), pa.array(sigs, pa.binary()), *lists],
+                    names=schema.names,
                 )
 
-    return texts.select("_text").mapInArrow(early, "f1 long, f2 long, n int, rare array<long>, often array<long>")
+    return texts.mapInArrow(freeing(sign), schema)
 
 
-def _set_id(f1, f2):
-    """A set's number: 63 bits of its name."""
-    return F.xxhash64(f1, f2).bitwiseAND(F.lit((1 << 63) - 1))
+def _place(key: str):
+    """A key's place in the filter: its word, and its bit there."""
+    place = F.xxhash64(key)
+    return F.shiftright(place.bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6), f"CAST(xxhash64({key}) & 63 AS INT)"
 
 
 def _bits(keys: DataFrame, key: str) -> DataFrame:
     """_word, _bits: a filter of fixed size that holds the keys, and others by chance."""
-    word = F.shiftright(F.col(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6).alias("_word")
-    return keys.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({key} & 63 AS INT))")).alias("_bits"))
+    word, bit = _place(key)
+    return keys.groupBy(word.alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("_bits"))
 
 
 def _with_hit(rows: DataFrame, bits: DataFrame, key: str) -> DataFrame:
     """Add _hit: whether the filter may hold the row's key."""
-    word = F.shiftright(F.col(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6)
+    word, bit = _place(key)
     found = rows.withColumn("_word", word).join(F.broadcast(bits), "_word", "left")  # at most 2^(FILTER_BITS - 6) rows
-    hit = F.expr(f"coalesce(shiftright(_bits, CAST({key} & 63 AS INT)) & 1, 0) = 1")
+    hit = F.expr(f"coalesce(shiftright(_bits, {bit}) & 1, 0) = 1")
     return found.withColumn("_hit", hit).drop("_word", "_bits")
 
 
@@ -233,34 +223,110 @@ def _most(place, alike: int):
     return F.expr(f"CAST((n - {place}) * {100 + alike}L DIV {alike} - n AS INT)").alias("most")
 
 
-def _tiles(texts: DataFrame, sets: DataFrame, width: int, alike: int, common) -> DataFrame:
+PLACED = np.dtype([("h", "<i8"), ("sid", "<i8"), ("n", "<i4"), ("place", "<i4")])  # a set in a tile, as it travels
+
+
+def packed(rows: np.ndarray) -> bytes:
+    """First bytes of all rows, then second ones and so on: what is equal or small stands together for the shuffle's compression."""
+    return rows.view(np.uint8).reshape(len(rows), rows.dtype.itemsize).T.tobytes()
+
+
+def unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind)[:, 0]
+
+
+def _dealing(ranges: int, bits: int):
+    """A function of batches of sets (sid, n, rare): for each of ``ranges`` ranges of tiles the rows of some ``DEALT_ROWS``, packed."""
+
+    def told(held):
+        rows = np.concatenate(held)
+        rows = rows[np.argsort(rows["h"], kind="stable")]
+        of = (rows["h"] * ranges) >> bits
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(of) != 0, [True]]))
+        data = [packed(rows[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(of[edges[:-1]], pa.int32()), pa.array(data, pa.binary())], names=["tiles", "rows"])
+
+    def deal(batches):
+        held, size = [], 0
+        for whole in batches:
+            step = max(1, DEALT_ROWS * whole.num_rows // max(1, len(whole.column("rare").flatten())))
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                lists = batch.column("rare")
+                names = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+                count = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                rows = np.empty(len(names), PLACED)
+                rows["h"] = names
+                for name in ("sid", "n"):
+                    rows[name] = np.repeat(batch.column(name).to_numpy(zero_copy_only=False), count)
+                rows["place"] = spans(np.zeros(len(count), np.int64), count)
+                # Shingles of one set come in order; of those with the same name the first one tells its place.
+                rows = rows[np.concatenate([[True], (np.diff(rows["h"]) != 0) | (rows["place"][1:] == 0)])[: len(rows)]]
+                held.append(rows)
+                size += len(rows)
+                if size >= DEALT_ROWS:
+                    yield told(held)
+                    held, size = [], 0
+        if size:
+            yield told(held)
+
+    return deal
+
+
+def _undealt(alike: int):
+    """A function of packed rows in order of their range: batches in order of tile (h, sid, n, most) without sets alone in one."""
+
+    def batch(held):
+        rows = np.concatenate(held)
+        rows = rows[np.argsort(rows["h"], kind="stable")]
+        same = np.diff(rows["h"]) == 0
+        rows = rows[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        n = rows["n"].astype(np.int64)
+        most = np.minimum((n - rows["place"]) * (100 + alike) // alike - n, np.iinfo(np.int32).max)
+        columns = [np.ascontiguousarray(rows["h"]), np.ascontiguousarray(rows["sid"]), n, most]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "sid", "n", "most"])
+
+    def undeal(batches):
+        held, of = [], None
+        for part in batches:
+            for tiles, data in zip(part.column("tiles").to_pylist(), part.column("rows")):
+                if held and tiles != of:
+                    yield batch(held)
+                    held = []
+                of = tiles
+                held.append(unpacked(data.as_buffer(), PLACED))
+        if held:
+            yield batch(held)
+
+    return undeal
+
+
+def _tiles(signed: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
     """h (the tile), sid, n, most, size, other: the sets that can meet another one with the same early shingle.
 
     Tiles are numbered in the order of the shingles. Of those below ``FEW`` sets there are the pairs sid, other in place of the sets.
-    Only sets of several texts, and those that a filter of fixed size takes for such, are brought together by a shuffle.
+    The first text of a set stands for it. Only texts of repeated sets, and those that a filter of fixed size takes for such, need a
+    shuffle to tell. Sets go to ranges of tiles in packed rows, as nearly all are alone in a tile and go no further.
     """
-    early = _early(texts, width, alike, common).filter("n > 0").withColumn("sid", _set_id("f1", "f2"))
-    early = stored(_with_hit(early, _bits(sets.filter("texts > 1"), "f1"), "f1"), "early")
-    several = early.filter("_hit").groupBy("f1", "f2", "sid")
-    several = several.agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("often").alias("often"))
+    repeated = _bits(sets.filter("texts > 1"), "f1")
+    early = _with_hit(signed.filter("n > 0").select("f1", F.col("t").alias("sid"), "n", "rare", "often"), repeated, "f1")
+    firsts = _with_hit(sets.select("f1", "sid"), repeated, "f1").filter("_hit").select("sid")
     columns = ["sid", "n", "rare", "often"]
-    placed = early.filter("NOT _hit").select(*columns).unionByName(several.select(*columns))
-    names = F.array_distinct(F.transform("rare", lambda h: F.shiftrightunsigned(h, 64 - TILE_BITS)))
-    place = F.least("place", F.lit((1 << PLACE_BITS) - 1)).cast("long")
-    rare = placed.select("n", "sid", F.posexplode(names).alias("place", "h"))
-    rare = rare.select("n", "sid", F.shiftleft(place, TILE_BITS).bitwiseOR(F.col("h")).alias("placed"))
-    tile = F.col("placed").bitwiseAND(F.lit((1 << TILE_BITS) - 1))
-    rare = rare.repartition(tile).withColumn("h", tile)
-    rare = rare.withColumn("size", F.count("*").over(Window.partitionBy("h"))).filter("size > 1")
-    rare = rare.select("h", "sid", "n", _most(f"shiftright(placed, {TILE_BITS})", alike))
+    several = stored(early.filter("_hit").select(*columns).join(firsts, "sid", "left_semi"), "several")
+    placed = early.filter("NOT _hit").select(*columns).unionByName(several)
+    ranges = RANGES * int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.select("sid", "n", "rare").mapInArrow(freeing(_dealing(ranges, TILE_BITS)), "tiles int, rows binary")
+    dealt = dealt.repartition("tiles").sortWithinPartitions("tiles")
+    undeal, meet = _undealt(alike), _meeting(FEW)
+    rare = dealt.mapInArrow(freeing(lambda batches: meet(undeal(batches))), "h long, sid long, n int, most int, size long, other long")
     # Shingles of very many texts come after all others. Few sets have any among their early ones.
     name = F.shiftrightunsigned("h", 2).bitwiseOR(F.lit(1 << 62)).alias("h")
-    often = placed.select("n", "sid", F.size("rare").alias("rare"), F.posexplode("often").alias("place", "h"))
+    often = placed.select(F.col("n").cast("int").alias("n"), "sid", F.size("rare").alias("rare"), F.posexplode("often").alias("place", "h"))
     often = often.select(name, "sid", "n", _most("(place + greatest(rare, 0))", alike))
     counts = often.groupBy("h").agg(F.greatest(F.count("*"), F.lit(FEW)).alias("size"), (F.count("*") > 1).alias("met")).filter("met")
     often = often.join(counts, "h").select("h", "sid", "n", "most", "size", F.lit(None).cast("long").alias("other"))
-    tiles = stored(rare.mapInArrow(_meeting(FEW), "h long, sid long, n int, most int, size long, other long").unionByName(often), "tiles")
-    discard(early)
+    tiles = stored(rare.unionByName(often), "tiles")
+    discard(several)
     return tiles
 
 
@@ -460,7 +526,10 @@ def best_of(own: np.ndarray, other: np.ndarray, bound: np.ndarray, best: np.ndar
 
 
 def _pairs(large: DataFrame, sets: DataFrame, groups: DataFrame | None, alike: int) -> DataFrame:
-    """Distinct pairs (a < b) of sets of larger tiles to decide; ``groups`` (node, component) of the first round for the second one."""
+    """a, b, h: distinct pairs (a < b) of sets of larger tiles to decide; ``groups`` (node, component) of the first round for the second one.
+
+    In the first round also the sets (a, no b) of each tile (h) that have other pairs there than the one handed on.
+    """
     if groups is None:
         many = large.withColumn("group", F.col("sid"))
     else:  # only tiles of several groups go on, before bitmaps join them
@@ -472,23 +541,24 @@ def _pairs(large: DataFrame, sets: DataFrame, groups: DataFrame | None, alike: i
     many = many.repartition(*TILE).sortWithinPartitions(*TILE, "n", "sid")
     first_round = groups is None
 
-    def batch(a, b):
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def batch(a, b, h=None):
+        sides = [pa.nulls(len(a), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (a, b, h)]
+        return pa.RecordBatch.from_arrays(sides, names=["a", "b", "h"])
 
     def meet_many(batches):
         top = np.iinfo(np.int64).max
-        pairs = PairsHeld()
+        pairs, later, waiting = PairsHeld(), [], 0
         for rows in _whole_tiles(batches, (*TILE, "part", "sid", "n", "most", "group", "sig", "lead")):
             group, part, sid = rows["group"], rows["part"], rows["sid"]
             lead = np.full((len(sid), LEAD), top, np.int64)
-            for place, known in enumerate(rows["lead"]):
-                lead[place, : len(known)] = known
+            for place, least in enumerate(rows["lead"]):
+                lead[place, : len(least)] = least
             split = rows["lo"][0] != rows["hi"][0]
 
             def apart(i, j):
                 return (group[i] != group[j]) & ((part[i] != part[j]) if split else True)
 
-            best, partner = np.full(len(sid), -1), np.full(len(sid), top)
+            best, partner, known = np.full(len(sid), -1), np.full(len(sid), top), np.zeros(len(sid), np.int64)
             n, most = rows["n"].astype(np.int64), rows["most"].astype(np.int64)
             for i, j, bound in tile_pairs(n, list(rows["sig"]), apart, alike, most):
                 here = ~elsewhere(lead[i], lead[j], rows["h"][0])
@@ -497,14 +567,26 @@ def _pairs(large: DataFrame, sets: DataFrame, groups: DataFrame | None, alike: i
                     continue
                 if first_round:  # each set with its best one
                     best_of(np.concatenate([i, j]), np.concatenate([sid[j], sid[i]]), np.concatenate([bound, bound]), best, partner)
+                    known += np.bincount(np.concatenate([i, j]), minlength=len(sid))
                 elif pairs.add(sid[i], sid[j]):
                     yield batch(*pairs.take())
             tied = best >= 0
             if pairs.add(sid[tied], partner[tied]):
                 yield batch(*pairs.take())
+            more = sid[known > 1]  # a pair that neither side hands on is a second one for both
+            later.append((more, np.full(len(more), rows["h"][0])))
+            waiting += len(more)
+            if waiting > PAIRS_HELD // 2:
+                sides, later, waiting = zip(*later), [], 0
+                yield later_ones(*sides)
         yield batch(*pairs.take())
+        if later:
+            yield later_ones(*zip(*later))
+
+    def later_ones(sid, h):
+        return batch(np.concatenate(sid), None, np.concatenate(h))
 
-    return many.mapInArrow(meet_many, "a long, b long").distinct()
+    return many.mapInArrow(freeing(meet_many), "a long, b long, h long").distinct()
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
@@ -520,7 +602,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
             bounds = [overlap_bound(*row) for row in zip(frame.sig_a, frame.n_a, frame.sig_b, frame.n_b)]
             yield frame.loc[np.array(bounds, np.int64) >= need(frame.n_a + frame.n_b, alike), ["a", "b"]]
 
-    return pairs.mapInPandas(bound, "a long, b long")
+    return pairs.mapInPandas(freeing(bound), "a long, b long")
 
 
 def _wanted(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -551,7 +633,7 @@ def _links(pairs: DataFrame, texts: DataFrame, sets: DataFrame, width: int, alik
                         keep.append(100 * shared >= alike * (len(one) + len(two) - shared))
                     yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = stored(pairs.select("a", "b", "text_a", "text_b").mapInArrow(decide, "a long, b long"), "links")
+    links = stored(pairs.select("a", "b", "text_a", "text_b").mapInArrow(freeing(decide), "a long, b long"), "links")
     discard(found)
     discard(kept)
     return links
@@ -569,15 +651,15 @@ def near_groups(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)],
         F.col(id_col).alias("_id"), *text_key(text), F.coalesce(text, F.lit("")).alias("_text"),
     )
-    signed = stored(_names(texts, width).withColumn("t", F.monotonically_increasing_id()), "set-names")
+    common = spark.sparkContext.broadcast(common_shingles(texts, width))
+    signed = stored(_signed(texts, width, alike, common).withColumn("t", F.monotonically_increasing_id()), "set-names")
     one = F.min_by(F.struct("n", "sig", "k1", "k2"), "t")
-    sets = signed.filter("n > 0").groupBy("f1", "f2")
-    sets = sets.agg(F.count("*").alias("texts"), F.min("_id").alias("least"), one.alias("one"))
-    sets = stored(sets.select("f1", "f2", _set_id("f1", "f2").alias("sid"), "texts", "least", "one.*"), "sets")
-    members = stored(signed.drop("sig"), "set-rows")
+    sets = signed.filter("n > 0").groupBy("f1", "f2")  # a set's number is that of its first text
+    sets = sets.agg(F.min("t").alias("sid"), F.count("*").alias("texts"), F.min("_id").alias("least"), one.alias("one"))
+    sets = stored(sets.select("f1", "f2", "sid", "texts", "least", "one.*"), "sets")
+    members = stored(signed.drop("sig", "rare", "often"), "set-rows")
+    tiles = _tiles(signed, sets, alike)
     discard(signed)
-    common = spark.sparkContext.broadcast(common_shingles(texts, width))
-    tiles = _tiles(texts, sets, width, alike, common)
     large = _large_tiles(tiles)
     few = tiles.filter("other IS NOT NULL").select(F.col("sid").alias("a"), F.col("other").alias("b"))
     few = stored(few.distinct(), "few-pairs")
@@ -586,12 +668,16 @@ def near_groups(
     leads = large.groupBy("sid").agg(F.array_sort(F.collect_set("h")).alias("tiles"))
     inside = _with_hit(sets, _bits(large, "sid"), "sid").filter("_hit")
     marked = stored(inside.join(leads, "sid").select("sid", "sig", F.slice("tiles", 1, LEAD).alias("lead")), "leads")
-    met = _bounded(few, sets, alike).unionByName(_pairs(large, marked, None, alike)).distinct()
+    first = stored(_pairs(large, marked, None, alike), "first-pairs")
+    met = first.filter("b IS NOT NULL").select("a", "b")
+    met = stored(_bounded(few, sets, alike).unionByName(met).distinct(), "met")
     links = _links(met, texts, sets, width, alike)
     discard(few)
     groups = stored(components(links), "first-groups")
-    more = _links(_pairs(large, marked, groups, alike), texts, sets, width, alike)
-    for used in (large, marked):
+    later = first.filter("b IS NULL").select("h", F.col("a").alias("sid"))
+    second = _pairs(large.join(later, ["h", "sid"], "left_semi"), marked, groups, alike).select("a", "b")
+    more = _links(second.join(met, ["a", "b"], "left_anti"), texts, sets, width, alike)
+    for used in (large, marked, first, met):
         discard(used)
     # What the second round links are groups of the first one.
     roots = more

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pairloom.llm import words
-from pairloom.llm.common import text_key
+from pairloom.llm.common import freeing, text_key
 from pairloom.llm.pieces import blocks, buffers
 from pairloom.session import written
 
@@ -77,7 +77,7 @@ def _index(texts: DataFrame, width: int, gram: int) -> DataFrame:
                     names=[*KEYS, "sure", "ask", "tell"],
                 )
 
-    return texts.mapInArrow(index, "k1 long, k2 long, sure array<long>, ask array<long>, tell array<long>")
+    return texts.mapInArrow(freeing(index), "k1 long, k2 long, sure array<long>, ask array<long>, tell array<long>")
 
 
 def _suspects(texts: DataFrame, width: int, gram: int) -> DataFrame:
@@ -110,7 +110,7 @@ def _packed(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], names=schema.names)
 
-    return chosen.mapInArrow(pack, schema)
+    return chosen.mapInArrow(freeing(pack), schema)
 
 
 def _hits(docs: DataFrame, suspects: DataFrame, text: str, width: int, gram: int) -> DataFrame:
@@ -164,7 +164,7 @@ def _hits(docs: DataFrame, suspects: DataFrame, text: str, width: int, gram: int
         return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), counts, *own], names=["h", "n", "t", "start", "stop"])
 
     joined = _packed(docs, [], text).join(suspects, KEYS).select("_z", "t", "anchors")
-    asked = joined.mapInArrow(look, schema)
+    asked = joined.mapInArrow(freeing(look), schema)
     times = F.sum("n").over(Window.partitionBy("h"))
     found = asked.withColumn("times", times).filter("times > 1 AND t IS NOT NULL")
     return found.groupBy("t").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
@@ -224,7 +224,7 @@ def _removed(docs: DataFrame, keep: list[str], text: str, width: int, gram: int,
                 names=schema.names,
             )
 
-    return packed.join(spans, KEYS, "left").mapInArrow(remove, schema)
+    return packed.join(spans, KEYS, "left").mapInArrow(freeing(remove), schema)
 
 
 def remove_repeats(

@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.llm.common import freeing
 from pairloom.llm.pieces import PieceEncoder, blocks, buffers, spans, strings, sums_between
 
 HASH_STEPS = (1, 2, 4, 8)  # doubling the window of the rolling hash: 16 bytes at last
 CHUNK_BITS = 8  # a cut every 256 bytes on average
+TEXT_BYTES = 1 << 20  # of texts that a task codes together; what that takes is some hundred times as much
 MEMO_CHUNKS = 1 << 15  # distinct chunks whose ids a task remembers, about 8 MB of text
 OUTPUTS = {
     "n_tokens": T.LongType(),
@@ -139,7 +141,7 @@ def code_documents(
     def code(batches):
         coder = DocumentCoder(spec)
         for whole in batches:
-            for batch in blocks(whole, "_text"):
+            for batch in blocks(whole, "_text", TEXT_BYTES):
                 ids, bounds = coder.encode(batch.column("_text").fill_null(""))
                 columns = {f"_k{i}": batch.column(f"_k{i}") for i in range(len(keep))}
                 found = {}
@@ -159,4 +161,4 @@ def code_documents(
                     [*columns.values(), *[found[name] for name in outputs]], names=[*keep, *outputs]
                 )
 
-    return chosen.mapInArrow(code, schema)
+    return chosen.mapInArrow(freeing(code), schema)

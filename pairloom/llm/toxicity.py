@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.common import freeing
 from pairloom.llm.pieces import blocks
 from pairloom.session import written
 
@@ -154,7 +155,7 @@ def _evidence(rows: DataFrame) -> DataFrame:
         arrays = [pa.array(words, pa.string()), pa.array(around, pa.int64()), pa.array(n, pa.int64())]
         return pa.RecordBatch.from_arrays(arrays, names=["word", "around", "n"])
 
-    placed = rows.mapInArrow(count, "word string, around long, n long").groupBy("word", "around").agg(F.sum("n").alias("n"))
+    placed = rows.mapInArrow(freeing(count), "word string, around long, n long").groupBy("word", "around").agg(F.sum("n").alias("n"))
     return placed.groupBy("word").agg(
         F.count("around").alias("toxic"),
         F.coalesce(F.sum(F.when(F.col("around").isNull(), F.col("n"))), F.lit(0)).alias("clean"),
@@ -226,7 +227,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", most: int
                     names=["phrase", "label", "around"],
                 )
 
-    pairs = rows.mapInArrow(phrases, "phrase string, label int, around long").distinct().groupBy("phrase")
+    pairs = rows.mapInArrow(freeing(phrases), "phrase string, label int, around long").distinct().groupBy("phrase")
     pairs = pairs.agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
     excused = pairs.filter((F.col("toxic") == 0) & (F.col("n") >= LEAST_CLEAN_PHRASES)).select("phrase").collect()
     lexicon = Lexicon(terms, tuple(sorted(row.phrase for row in excused)))

@@ -64,3 +64,59 @@ def test_likeness_is_found_at_the_first_shared_place(spark):
     for at in range(0, len(rows), 2):
         small, large = (len(rows[i][1].split()) - 4 for i in (at, at + 1))
         assert found[at + 1] == (at if 100 * small >= 75 * large else at + 1)
+
+
+def test_sets_come_back_from_packed_ranges(monkeypatch):
+    """Dealt out by few or many rows, the sets of shared tiles return in order, and sets alone in a tile do not."""
+    chance = np.random.default_rng(5)
+    lists = [np.sort(chance.integers(0, 1 << 12, chance.integers(0, 30)).astype(np.uint64) << np.uint64(50)) for _ in range(300)]
+    lists[7] = np.sort(np.concatenate([lists[7], lists[7] + np.uint64(1)]))  # two shingles of one name
+    n = [4 * len(x) + 1 for x in lists]
+    sets = pa.table({"sid": np.arange(300) + (5 << 33), "n": n, "rare": [x.view(np.int64).tolist() for x in lists]})
+    want = {}
+    for sid, own in enumerate(lists):
+        for place, h in enumerate((own >> np.uint64(16)).tolist()):
+            want.setdefault(h, {}).setdefault(sid + (5 << 33), (n[sid], (n[sid] - place) * 175 // 75 - n[sid]))
+    want = sorted((h, sid, *rest) for h, found in want.items() if len(found) > 1 for sid, rest in found.items())
+    assert len(want) > 1000
+    for rows in (1, 50, 1 << 19):
+        monkeypatch.setattr(ngram_join, "DEALT_ROWS", rows)
+        dealt = pa.concat_tables(pa.Table.from_batches([b]) for b in ngram_join._dealing(13, 48)(iter(sets.to_batches())))
+        back = ngram_join._undealt(75)(iter(dealt.sort_by("tiles").to_batches(max_chunksize=3)))
+        found = [tuple(r.values()) for b in back for r in b.to_pylist()]
+        assert [r[0] for r in found] == sorted(r[0] for r in found) and sorted(found) == want
+
+
+def test_packed_rows_take_few_bytes():
+    """Nearly all sets are alone in a tile; what tells them to the shuffle is under half of its plain bytes."""
+    rows = np.zeros(20_000, ngram_join.PLACED)
+    rows["h"] = np.sort(np.random.default_rng(1).integers(0, 1 << 48, len(rows)))
+    rows["sid"] = (9 << 33) + np.random.default_rng(2).integers(0, 4000, len(rows))
+    rows["n"], rows["place"] = 450, np.arange(len(rows)) % 110
+    data = ngram_join.packed(rows)
+    assert (ngram_join.unpacked(data, ngram_join.PLACED) == rows).all()
+    assert len(pa.compress(data, "lz4", asbytes=True)) < 12 * len(rows)
+
+
+def test_second_round_takes_what_the_first_one_left(spark, monkeypatch):
+    """Of two near copies in a tile the first round hands on their only pair; sets of a chain, with more pairs, wait for the second."""
+    monkeypatch.setattr(ngram_join, "FEW", 2)
+    asked = []
+    pairs = ngram_join._pairs
+
+    def watched(large, sets, groups, alike):
+        asked.append(large.select("sid").distinct().count())
+        return pairs(large, sets, groups, alike)
+
+    monkeypatch.setattr(ngram_join, "_pairs", watched)
+    rows = []
+    for twin in range(20):
+        shared = [f"t{twin}.{i}" for i in range(80)]
+        rows += [(2 * twin, " ".join(shared)), (2 * twin + 1, " ".join([*shared, f"e{twin}"]))]
+    for step in range(12):
+        rows.append((100 + step, " ".join(f"c{i}" for i in range(4 * step, 4 * step + 80))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in ngram_join.near_groups(frame).collect()}
+    assert all(found[2 * twin + 1] == 2 * twin for twin in range(20))
+    assert {found[100 + step] for step in range(12)} == {100}
+    assert asked[0] >= 52 and asked[1] <= 12
