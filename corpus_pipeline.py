@@ -2,6 +2,7 @@
 
 A stage takes the session, the documents and the folder of all tables, and returns documents. ``run`` writes what a stage
 returns as Parquet below the shared folder and reads it for the next one, so a lost executor repeats one stage at most.
+Tasks of all stages send few bytes to Python at once (``LEAN``): texts are long, and an executor holds them on both sides.
 Rows with null ids, null or empty texts and repeated rows pass through every stage by the rules in its operator's docstring.
 """
 
@@ -11,11 +12,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm import ngram_join, source_mix, substring_dedup, token_codes, toxicity
-from pairloom.llm.common import table
+from pairloom.llm.common import BATCH_BYTES, table
 from pairloom.llm.pieces import read_tokenizer
 from pairloom.session import written
 
 TOKENIZER = "word_bpe_49k.json"
+LEAN = {BATCH_BYTES: str(4 << 20)}
+
+
+def lean(stage):
+    """``stage`` with ``LEAN`` in its session, which also holds for the job that writes what it returns."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for key, value in LEAN.items():
+            spark.conf.set(key, value)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +66,7 @@ STAGES = [
     ("source_mixing", source_mixing),
     ("token_coding", token_coding),
 ]
+STAGES = [(name, lean(stage)) for name, stage in STAGES]
 
 ORACLE_SQL = None  # learned weights and token ids have no counterpart in SQL; see tests/llm/test_pipeline.py
 

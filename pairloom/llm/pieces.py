@@ -96,7 +96,8 @@ def sums_between(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """Encodes arrays of pieces; each distinct piece goes through the tokenizer once for a task."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, memo: int | None = None):
+        self.memo_pieces = MEMO_PIECES if memo is None else memo
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -118,7 +119,7 @@ class PieceEncoder:
 
     def look_up(self, pieces: pa.Array) -> np.ndarray:
         """The place of each piece in the memo, after encoding those not met before."""
-        if len(self.places) > MEMO_PIECES:
+        if len(self.places) > self.memo_pieces:
             self._forget()
         coded = pieces.dictionary_encode()
         words = coded.dictionary.to_pylist()

@@ -29,7 +29,8 @@ from pairloom.llm.pieces import PieceEncoder, blocks, buffers, spans, strings, s
 
 HASH_STEPS = (1, 2, 4, 8)  # doubling the window of the rolling hash: 16 bytes at last
 CHUNK_BITS = 8  # a cut every 256 bytes on average
-TEXT_BYTES = 1 << 20  # of texts that a task codes together; what that takes is some hundred times as much
+TEXT_BYTES = 1 << 20  # of texts that a task codes together; coding takes some forty times as much
+CODED_PIECES = 100_000  # distinct pieces that a task remembers beside them
 MEMO_CHUNKS = 1 << 15  # distinct chunks whose ids a task remembers, about 8 MB of text
 OUTPUTS = {
     "n_tokens": T.LongType(),
@@ -64,7 +65,7 @@ def chunk_bounds(offsets: np.ndarray, cuts: np.ndarray, proven: np.ndarray) -> n
 
 class DocumentCoder:
     def __init__(self, spec: str):
-        self.pieces = PieceEncoder(spec)
+        self.pieces = PieceEncoder(spec, CODED_PIECES)
         self.tokenizer = self.pieces.tokenizer
         self.gear = gear_table()
         self.memo: dict[bytes, bytes] = {}  # hash of a chunk and its ids, the oldest first
