@@ -17,7 +17,8 @@ from pairloom.llm.pieces import read_tokenizer
 from pairloom.session import written
 
 TOKENIZER = "word_bpe_49k.json"
-LEAN = {BATCH_BYTES: str(4 << 20)}
+LEAN = {BATCH_BYTES: str(2 << 20)}
+CODED_BYTES = 1 << 18  # of texts that token_coding codes together
 
 
 def lean(stage):
@@ -56,7 +57,7 @@ def token_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The documents with their token ids, and a digest of the text that these decode to."""
     spec = read_tokenizer(public_tokenizers.path(TOKENIZER))
     outputs = ("n_tokens", "ids", "decoded_sha256")
-    return token_codes.code_documents(docs, spec, [c for c in docs.columns if c not in outputs], outputs)
+    return token_codes.code_documents(docs, spec, [c for c in docs.columns if c not in outputs], outputs, size=CODED_BYTES)
 
 
 STAGES = [

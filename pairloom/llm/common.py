@@ -32,12 +32,14 @@ def text_key(text: Column | str) -> list[Column]:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``written``, and the shuffle files of that job go as soon as the table stands, not when the driver next collects garbage.
 
-    Its tasks send few bytes to Python at once: long texts and bitmaps take their memory on both sides.
+    Its tasks send few bytes to Python at once: long texts and bitmaps take their memory on both sides. A session that
+    sends even fewer goes on doing so.
     """
     conf = df.sparkSession.conf
     before = {key: conf.get(key) for key in STORED_CONF}
     for key, value in STORED_CONF.items():
-        conf.set(key, value)
+        if not (key == BATCH_BYTES and before[key].isdigit() and int(before[key]) < int(value)):
+            conf.set(key, value)
     try:
         return written(df, name)
     finally:

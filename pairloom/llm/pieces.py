@@ -19,6 +19,7 @@ import pyarrow as pa
 
 MEMO_PIECES = 300_000  # distinct pieces remembered by a task before it starts afresh
 BLOCK_BYTES = 3 << 20  # text bytes looked at together
+ENCODED_PIECES = 4_096  # new pieces that go through the tokenizer at once; what it returns takes a hundred times their size
 
 
 def read_tokenizer(path: str) -> str:
@@ -117,6 +118,16 @@ class PieceEncoder:
     def boundaries(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         return proven_boundaries(offsets, data) if self.cuts else np.unique(offsets)
 
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and all ids one after the other."""
+        lengths, flat = [], []
+        for start in range(0, len(words), ENCODED_PIECES):
+            found = self.tokenizer.encode_batch_fast(words[start : start + ENCODED_PIECES], add_special_tokens=False)
+            ids = [one.ids for one in found]
+            lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths[-1].sum())))
+        return np.concatenate(lengths), np.concatenate(flat)
+
     def look_up(self, pieces: pa.Array) -> np.ndarray:
         """The place of each piece in the memo, after encoding those not met before."""
         if len(self.places) > self.memo_pieces:
@@ -125,10 +136,7 @@ class PieceEncoder:
         words = coded.dictionary.to_pylist()
         new = [word for word in words if word not in self.places]
         if new:
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            ids = [one.ids for one in found]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+            lengths, flat = self._encode(new)
             starts = len(self.flat) + np.cumsum(lengths) - lengths
             first = len(self.places)
             self.places.update(zip(new, range(first, first + len(new))))

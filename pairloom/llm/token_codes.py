@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.common import freeing
+from pairloom.llm.common import freeing, give_back
 from pairloom.llm.pieces import PieceEncoder, blocks, buffers, spans, strings, sums_between
 
 HASH_STEPS = (1, 2, 4, 8)  # doubling the window of the rolling hash: 16 bytes at last
@@ -131,9 +131,17 @@ def code_documents(
     keep: list[str],
     outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"),
     text: str = "text",
+    size: int = TEXT_BYTES,
 ) -> DataFrame:
-    """Columns of ``keep``, then ``outputs`` (names of OUTPUTS) for each document; no shuffle."""
-    chosen = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).alias("_text"))
+    """Columns of ``keep``, then ``outputs`` (names of OUTPUTS) for each document; no shuffle.
+
+    Texts of about ``size`` bytes are coded together: fewer take less memory and more time.
+    """
+    kept = [f"_k{i}" for i in range(len(keep))]
+    column = f"_k{keep.index(text)}" if text in keep else "_text"  # a text that is kept goes to Python once
+    chosen = docs.select(
+        *[F.col(c).alias(name) for c, name in zip(keep, kept)], *([] if text in keep else [F.col(text).alias(column)])
+    )
     schema = T.StructType(
         [T.StructField(c, chosen.schema[i].dataType) for i, c in enumerate(keep)]
         + [T.StructField(name, OUTPUTS[name]) for name in outputs]
@@ -141,10 +149,10 @@ def code_documents(
 
     def code(batches):
         coder = DocumentCoder(spec)
+        give_back()  # reading the tokenizer's file takes twice what the tokenizer does
         for whole in batches:
-            for batch in blocks(whole, "_text", TEXT_BYTES):
-                ids, bounds = coder.encode(batch.column("_text").fill_null(""))
-                columns = {f"_k{i}": batch.column(f"_k{i}") for i in range(len(keep))}
+            for batch in blocks(whole, column, size):
+                ids, bounds = coder.encode(batch.column(column).fill_null(""))
                 found = {}
                 if "n_tokens" in outputs:
                     found["n_tokens"] = pa.array(np.diff(bounds), pa.int64())
@@ -159,7 +167,7 @@ def code_documents(
                         at, data = buffers(decoded)
                         found["decoded_sha256"] = pa.array(_digests(memoryview(data), at))
                 yield pa.RecordBatch.from_arrays(
-                    [*columns.values(), *[found[name] for name in outputs]], names=[*keep, *outputs]
+                    [*map(batch.column, kept), *[found[name] for name in outputs]], names=[*keep, *outputs]
                 )
 
     return chosen.mapInArrow(freeing(code), schema)

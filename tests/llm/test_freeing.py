@@ -4,9 +4,11 @@ import os
 import subprocess
 import sys
 
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from pairloom.llm import common
+from pairloom.llm import common, pieces, token_codes
 
 SCRIPT = """
 import re
@@ -61,3 +63,52 @@ def test_memory_goes_back_once_a_task_is_over(monkeypatch, fails):
     except ValueError:
         assert fails
     assert told == ([1, "back"] if fails else [1, 2, "back"])
+
+
+class Recorder:
+    def __init__(self, tokenizer):
+        self.tokenizer, self.sizes = tokenizer, []
+
+    def encode_batch_fast(self, words, **more):
+        self.sizes.append(len(words))
+        return self.tokenizer.encode_batch_fast(words, **more)
+
+
+def test_new_pieces_go_through_the_tokenizer_in_parts():
+    encoder = pieces.PieceEncoder(pieces.read_tokenizer(public_tokenizers.path("word_bpe_49k.json")))
+    encoder.tokenizer = told = Recorder(encoder.tokenizer)
+    words = [f" piece{i} é{i % 7}" for i in range(9_000)] + ["", " again"]
+    at = encoder.look_up(pa.array([*words, *words[::-1]]))
+    assert max(told.sizes) <= 4_096 and sum(told.sizes) == len(words)
+    want = [one.ids for one in told.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    got = [encoder.flat[encoder.starts[i] : encoder.starts[i] + encoder.lengths[i]].tolist() for i in at]
+    assert got == want + want[::-1]
+
+
+def test_a_kept_text_goes_to_python_once(spark, monkeypatch):
+    texts = [None, "", "some words", "some words", "é 日本 " * 5_000, *[f"word{i} other {i * 7}" for i in range(300)]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    sent, to_python = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, *args: sent.append(df.columns) or to_python(df, *args))
+    spec = pieces.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    outputs = ("n_tokens", "ids", "decoded_sha256")
+    kept = token_codes.code_documents(docs, spec, ["doc_id", "text"], outputs, size=1_000)
+    rows = sorted(kept.collect())
+    assert len(sent[0]) == 2
+    assert [r.text for r in rows] == texts
+    plain = sorted(token_codes.code_documents(docs, spec, ["doc_id"], outputs).collect())
+    assert [(r.doc_id, *r[2:]) for r in rows] == [tuple(r) for r in plain]
+
+
+@pytest.mark.parametrize("bound, held", [("1048576", "1048576"), (str(64 << 20), str(4 << 20)), ("64m", str(4 << 20))])
+def test_a_smaller_bound_on_batches_stays(spark, monkeypatch, bound, held):
+    seen = []
+    monkeypatch.setattr(common, "written", lambda df, name: seen.append(spark.conf.get(common.BATCH_BYTES)) or df)
+    before = spark.conf.get(common.BATCH_BYTES)
+    spark.conf.set(common.BATCH_BYTES, bound)
+    try:
+        common.stored(spark.range(1), "any")
+        assert spark.conf.get(common.BATCH_BYTES) == bound
+    finally:
+        spark.conf.set(common.BATCH_BYTES, before)
+    assert seen == [held]
