@@ -149,8 +149,8 @@ def code_documents(
 
     def code(batches):
         coder = DocumentCoder(spec)
-        give_back()  # reading the tokenizer's file takes twice what the tokenizer does
         for whole in batches:
+            give_back()  # what reading the tokenizer's file and the batch before have freed
             for batch in blocks(whole, column, size):
                 ids, bounds = coder.encode(batch.column(column).fill_null(""))
                 found = {}
