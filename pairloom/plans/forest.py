@@ -3,6 +3,8 @@
 A forest is fitted without any bound on its nodes but the greatest depth and one row a child. All features are tried at every node,
 and what a node is split by does not depend on the bounds, so a forest with a smaller depth or a least number of rows for a split is the
 same forest cut where a bound first holds. One fit for each fold, split and number of trees serves the whole grid.
+
+Spark ML fits folds of few rows. Beyond ``FEW_ROWS`` the forests of all folds and splits are grown together (``forest_levels``).
 """
 
 from __future__ import annotations
@@ -23,14 +25,17 @@ from pyspark.sql import functions as F
 from pairloom.config import ForestGrid
 from pairloom.functions import metrics
 from pairloom.operators.rank_cuts import in_test
+from pairloom.plans import forest_levels
 from pairloom.session import scratch_path
 
 ROWS_TOGETHER = 4096
+FEW_ROWS = 10_000  # of a fold; Spark ML takes the cuts of more rows from a sample of so many
+SEED = 39
 PARAMS = ["n_estimators", "max_depth", "min_samples_split"]
 NODES = "tree int, node int, value double, rows bigint, left int, right int, feature int, cut double"
 
 
-def forest(n_estimators: int, max_depth: int, seed: int = 39) -> RandomForestRegressor:
+def forest(n_estimators: int, max_depth: int, seed: int = SEED) -> RandomForestRegressor:
     return RandomForestRegressor(
         featuresCol="features",
         labelCol="score",
@@ -192,14 +197,32 @@ def with_forest_prediction(df: DataFrame, forests: dict[int, Trees], features: l
     return found.withColumn(name, F.coalesce(*own, F.lit(None).cast("double"))).drop(*own)
 
 
+def many_rows(rows: DataFrame, folds: list[int], depth: int) -> dict[int, int] | None:
+    """Rows of each fold if the forests are to be grown together, else none."""
+    counts = {row["fold"]: row["count"] for row in rows.filter(F.col("fold").isin(list(folds))).groupBy("fold").count().collect()}
+    together = len(counts) == len(set(folds)) and max(counts.values(), default=0) > FEW_ROWS and depth <= forest_levels.MOST_DEPTH
+    return counts if together else None
+
+
 def forest_scores(rows: DataFrame, folds: list[int], n_splits: int, grid: ForestGrid, parallelism: int = 8) -> DataFrame:
     """Scores of every setting, fold and split on both sides.
 
-    ``rows`` comes from ``stored_rows``. One fit to the greatest depth gives the scores of all depths and bounds. The fits are
+    ``rows`` comes from ``stored_rows``. One fit to the greatest depth gives the scores of all depths and bounds. The fits of few rows are
     independent Spark jobs; a few run at a time so that short ones overlap.
     """
     settings = list(product(sorted(grid.max_depth), grid.min_samples_split))
     names = [f"p{place}" for place in range(len(settings))]
+    counts = many_rows(rows, folds, max(grid.max_depth))
+
+    def grown_together() -> list[tuple]:
+        blocks = forest_levels.stored_blocks(rows, counts, list(range(n_splits)))
+        heaps = forest_levels.grown(blocks, max(grid.n_estimators), max(grid.max_depth), SEED)
+        found = []
+        for trees in grid.n_estimators:
+            for row in forest_levels.side_sums(blocks, heaps, trees, settings).collect():
+                scores = forest_levels.scores_of(row)
+                found.append((row.fold, row.split, trees, *settings[row.setting], row.side, *[scores[s] for s in metrics.SCORERS]))
+        return found
 
     def fit_one(task):
         fold, split, trees = task
@@ -225,9 +248,12 @@ def forest_scores(rows: DataFrame, folds: list[int], n_splits: int, grid: Forest
             for setting, name in zip(settings, names)
         ]
 
-    tasks = list(product(folds, range(n_splits), grid.n_estimators))
-    with ThreadPoolExecutor(parallelism) as pool:
-        results = list(pool.map(inheritable_thread_target(rows.sparkSession)(fit_one), tasks))
+    if counts:
+        results = [grown_together()]
+    else:
+        tasks = list(product(folds, range(n_splits), grid.n_estimators))
+        with ThreadPoolExecutor(parallelism) as pool:
+            results = list(pool.map(inheritable_thread_target(rows.sparkSession)(fit_one), tasks))
     scorers = ", ".join(f"{name} double" for name in metrics.SCORERS)
     schema = f"fold int, split int, n_estimators int, max_depth int, min_samples_split int, sample string, {scorers}"
     return rows.sparkSession.createDataFrame([row for found in results for row in found], schema)
