@@ -28,7 +28,8 @@ from pairloom.operators.rank_cuts import in_test
 from pairloom.plans import forest_levels
 from pairloom.session import scratch_path
 
-ROWS_TOGETHER = 4096
+ROWS_TOGETHER = 1 << 14
+PAIRS_A_TREE = 64
 FEW_ROWS = 10_000  # of a fold; Spark ML takes the cuts of more rows from a sample of so many
 SEED = 39
 PARAMS = ["n_estimators", "max_depth", "min_samples_split"]
@@ -120,6 +121,25 @@ class Trees:
             self.levels.append(self.below[inner].ravel())
         self.levels.pop()
         self.known: dict = {}
+        # Each pair of a feature and a cut once, and for each tree the way down for bits of rows.
+        inner = np.flatnonzero(~self.leaf.ravel())
+        pairs, number = np.unique(np.stack([self.feature.ravel()[inner], self.cut.ravel()[inner]]), axis=1, return_inverse=True)
+        self.pairs = pairs[0].astype(int), pairs[1]
+        self.top = forest_levels.MOST_DEPTH if len(self.pairs[0]) <= PAIRS_A_TREE * shape[0] else 0  # levels gone down by bits
+        pair_of = np.zeros(self.leaf.size, int)
+        pair_of[inner] = number.ravel()
+        self.ways = [self.way(root, pair_of) for root in first[:, 0]]
+
+    def way(self, root: int, pair_of: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """What ``forest_levels.turns`` asks for, down to as many levels as it takes, and the node at the end of each path."""
+        leaf, way, ends = self.leaf.ravel(), [], np.array([root])
+        children = ends
+        while len(way) < self.top and not leaf[children].all():
+            places = np.flatnonzero(~leaf[children])
+            way.append((places, pair_of[children[places]]))
+            children = self.below[children[places]].ravel()
+            ends = self.below[ends].ravel()
+        return way, ends
 
     def ends(self, settings: list[tuple[int, int]]) -> np.ndarray:
         """(settings, nodes): the value of the node where a path to each node ends, cut by the setting."""
@@ -141,18 +161,26 @@ class Trees:
     def predictions(self, rows: np.ndarray, settings: list[tuple[int, int]]) -> np.ndarray:
         """(rows, settings): mean over the trees, each cut at the depth and where a node has fewer rows than the bound.
 
-        A row goes down once; what each setting gives for the leaf it comes to is known beforehand.
+        A row goes down once, as a bit among the rows of a node; what each setting gives for the leaf it comes to is known beforehand.
         """
-        feature, cut, below = self.feature.ravel(), self.cut.ravel(), self.below.ravel()
-        values, start = rows.ravel(), np.arange(len(rows))[:, None] * rows.shape[1]
-        node = np.tile(np.arange(len(self.value)) * self.value.shape[1], (len(rows), 1))
-        for _ in self.levels:
-            right = ~(values[start + feature[node]] <= cut[node])
-            node = below[2 * node + right]
-        out = np.zeros((len(rows), len(settings)))
-        for place, ends in enumerate(self.ends(settings)):
-            out[:, place] = ends[node].mean(axis=1)
-        return out
+        n, columns = len(rows), np.ascontiguousarray(rows.T)
+        every = forest_levels.packed_bits(np.ones(n, bool))
+        right = np.empty((len(self.pairs[0]) if self.top else 0, len(every)), np.uint64)
+        for place in range(len(right)):
+            right[place] = forest_levels.packed_bits(~(columns[self.pairs[0][place]] <= self.pairs[1][place]))
+        below, ends = self.below.ravel(), self.ends(settings)
+        out = np.zeros((len(settings), n))
+        for way, reached in self.ways:
+            path = np.zeros(n, forest_levels.path_type(len(way)))
+            for bits, _ in forest_levels.turns(every, way, right):
+                path = (path << 1) | forest_levels.unpacked_bits(bits, n)
+            node = reached.take(path)
+            for _ in self.levels[self.top :]:
+                to_right = ~(columns[self.feature.ravel()[node], np.arange(n)] <= self.cut.ravel()[node])
+                node = below[2 * node + to_right]
+            for place, values in enumerate(ends):
+                out[place] += values.take(node)
+        return out.T / len(self.ways)
 
     def cut_at(self, depth: int, least: int) -> "Trees":
         """The forest of one setting, with no nodes below those cut."""
@@ -269,6 +297,14 @@ def best_settings(scores: DataFrame) -> dict[int, tuple[int, int, int]]:
 
 def refitted(rows: DataFrame, best: dict[int, tuple[int, int, int]], parallelism: int = 8) -> dict[int, Trees]:
     """The best forest of each fold, fitted on all of its rows and cut by its setting; a few fits run at a time."""
+    depth = max(depth for _, depth, _ in best.values())
+    if counts := many_rows(rows, list(best), depth):
+        blocks = forest_levels.stored_blocks(rows, counts, [forest_levels.ALL_ROWS])
+        heaps = forest_levels.grown(blocks, max(trees for trees, _, _ in best.values()), depth, SEED)
+        return {
+            fold: Trees(heaps[fold, forest_levels.ALL_ROWS].nodes(blocks.cuts[fold, forest_levels.ALL_ROWS], blocks.means[fold], trees)).cut_at(depth, least)
+            for fold, (trees, depth, least) in best.items()
+        }
 
     def fit_one(task):
         fold, (trees, depth, least) = task

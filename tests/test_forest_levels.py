@@ -98,6 +98,19 @@ def test_grid_of_many_rows(frame, rows, many):
     assert tested["corr_scorer"].min() > 0.75 and tested["corr_scorer"].nunique() > 4
 
 
+def test_refit_of_many_rows(frame, rows, many):
+    """Rows of a node are those drawn for its tree, and the forest is that of its fold, cut by its setting."""
+    found = forest.refitted(rows, {0: (4, 3, 30), 1: (2, 5, 2)})
+    assert [(len(trees.value), len(trees.levels)) for trees in found.values()] == [(4, 3), (2, 5)]
+    for fold, trees in found.items():
+        own = frame[frame["fold"] == fold]
+        drawn = trees.rows[:, 0]
+        assert len(set(drawn)) > 1 and np.abs(drawn - len(own)).max() < 5 * math.sqrt(len(own))
+        p = trees.predictions(own[FEATURES].to_numpy(), [(9, 0)])[:, 0]
+        assert np.corrcoef(p, own["score"])[0, 1] > 0.6
+    assert (found[0].rows[~found[0].leaf] >= 30).all() and found[1].rows[~found[1].leaf].min() < 30
+
+
 def test_quantiles_of_the_trained_rows(spark):
     """31 cuts that halve nothing: each bin has its share of the rows the split trains on, whatever the test rows hold."""
     x = np.concatenate([np.random.default_rng(1).permutation(3200) / 7.0, np.full(800, 9e9)])
@@ -121,3 +134,39 @@ def test_constant_labels_have_no_cut(spark, frame, many):
     assert len(found) == 4
     for row in found:
         assert row.corr_scorer is None and row.neg_mean_squared_error == pytest.approx(0, abs=1e-20)
+
+
+def test_deep_trees_predict_as_their_nodes_say():
+    """Trees with more levels or other cuts than words of bits are made for go down by their nodes."""
+    chance = np.random.default_rng(3)
+    nodes = []
+
+    def grow(tree, depth, node):
+        if depth == 13 or chance.random() < 0.1:
+            nodes.append((tree, node, chance.random(), 1, -1, -1, 0, 0.0))
+            return node + 1
+        place = len(nodes)
+        nodes.append(None)
+        right = grow(tree, depth + 1, node + 1)
+        after = grow(tree, depth + 1, right)
+        nodes[place] = (tree, node, chance.random(), 2, node + 1, right, int(chance.integers(2)), cut())
+        return after
+
+    for cut in (lambda: chance.integers(9) / 10, chance.random):
+        nodes.clear()
+        for tree in range(3):
+            grow(tree, 0, 0)
+        trees = forest.Trees(pd.DataFrame(nodes, columns=["tree", "node", "value", "rows", "left", "right", "feature", "cut"]))
+        by_node = {node[:2]: node for node in nodes}
+        x = chance.random((70, 2))
+        x[3, 0] = np.nan
+        want = []
+        for row in x:
+            values = []
+            for tree in range(3):
+                at = by_node[tree, 0]
+                while at[4] >= 0:
+                    at = by_node[tree, at[4] if row[at[6]] <= at[7] else at[5]]
+                values.append(at[2])
+            want.append(np.mean(values))
+        assert trees.predictions(x, [(99, 0)])[:, 0] == pytest.approx(np.array(want), abs=1e-12)
