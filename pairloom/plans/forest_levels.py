@@ -395,8 +395,7 @@ def _gather(heaps: dict, splits: list[int], width: int, together: int, level: in
         return _ways(heap, group * together, (group + 1) * together, level)
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], tuple[list, np.ndarray]] = {}
-        group = None
+        held: dict[tuple[int, int, int], tuple[list, np.ndarray]] = {}
         for batch in batches:
             for row in batch.itertuples(index=False):
                 block, group = _Block(row, width), int(row.grp)
@@ -405,15 +404,15 @@ def _gather(heaps: dict, splits: list[int], width: int, together: int, level: in
                 weights = np.stack([draws(seed, block.number, tree, block.n) for tree in trees])
                 drawn = packed_bits(weights > 0)
                 for place, split in enumerate(splits):
-                    key = (block.fold, split)
+                    key = (block.fold, split, group)
                     if key not in held:
-                        ways, size = plan(key, group)
+                        ways, size = plan(key[:2], group)
                         held[key] = ways, np.zeros((size, width, BINS, 2))
                     if len(held[key][1]):
                         _added(block, place, split, held[key][0], weights, drawn, held[key][1], depth)
-        for (fold, split), (_, total) in held.items():
+        for key, (_, total) in held.items():
             if len(total):
-                yield pd.DataFrame([(fold, split, group, False, total.tobytes())], columns=["fold", "split", "grp", "whole", "sums"])
+                yield pd.DataFrame([(*key, False, total.tobytes())], columns=["fold", "split", "grp", "whole", "sums"])
 
     return gather
 
@@ -458,27 +457,29 @@ def side_sums(blocks: Blocks, heaps: dict[tuple[int, int], Heap], n_trees: int,
     mean label of the fold.
     """
     width, splits = blocks.width, blocks.splits
-    known = {}
-    for key, heap in heaps.items():
-        ends = np.stack([heap.ends(*setting) for setting in settings])
-        trees = []
+
+    def plan(heap: Heap) -> list:
+        ends, trees = np.stack([heap.ends(*setting) for setting in settings]), []
         for tree in range(n_trees):
             tables: dict[bytes, list[int]] = {}
             for place in range(len(settings)):
                 tables.setdefault(ends[place, tree].tobytes(), []).append(place)
             trees.append((heap.way(tree, heap.depth), [(tuple(places), np.frombuffer(data, float)) for data, places in tables.items()]))
-        known[key] = (trees, heap.depth)
+        return trees
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plans: dict[tuple[int, int], list] = {}  # of the folds in a task
         for batch in batches:
             for row in batch.itertuples(index=False):
                 block, place = _Block(row, width), int(row.place)
-                trees, depth = known[block.fold, splits[place]]
-                found = _predicted(block, place, trees, depth, len(settings)) / n_trees
+                key = (block.fold, splits[place])
+                if key not in plans:
+                    plans[key] = plan(heaps[key])
+                found = _predicted(block, place, plans[key], heaps[key].depth, len(settings)) / n_trees
                 trained, made = block.trained(splits[place]), []
                 for side, mask in (("test", ~trained), ("train", trained)):
                     if mask.any():
-                        made += _summed(block.y[mask], found[:, mask], (block.fold, splits[place], side))
+                        made += _summed(block.y[mask], found[:, mask], (*key, side))
                 yield pd.DataFrame(made, columns=["fold", "split", "side", "setting", *SUMS, "y_min", "y_max", "p_min", "p_max"])
 
     numbers = ", ".join(f"{name} double" for name in [*SUMS, "y_min", "y_max", "p_min", "p_max"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import enrich as enrichment
 from pairloom.operators.rank_cuts import assign_folds
-from pairloom.session import written
+from pairloom.session import spread, written
 from pairloom.sources import views
 
 VERSIONS = list(views.VERSIONS)
@@ -95,7 +95,7 @@ def oof_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def test_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of every version and fold model for the unlabelled pairs, in long form."""
     names = [f"{version}_fold_{fold}" for version in VERSIONS for fold in FOLDS]
-    base = views.test_pairs(spark, sf_dir).withColumn("score", F.lit(0.5))
+    base = spread(views.test_pairs(spark, sf_dir).select("id")).withColumn("score", F.lit(0.5))
     wide = base.withColumns(
         {f"{v}_fold_{k}": views.prediction(w, v, k) for v, w in views.VERSIONS.items() for k in FOLDS}
     )

@@ -77,6 +77,12 @@ def settled(df: DataFrame, name: str, max_rows: int | None = None) -> DataFrame:
     return written(df, name) if small is df else small
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over the tasks of a shuffle, for steps that make many rows or hashes of each: a small file is scanned by one task."""
+    spark = df.sparkSession
+    return df.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def hex_digits(spark: SparkSession, most: int = 6) -> int:
     """Hex digits of a hash prefix that give several buckets per shuffle partition."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))

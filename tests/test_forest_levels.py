@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pairloom.config import ForestGrid
 from pairloom.operators.rank_cuts import in_test
 from pairloom.plans import forest, forest_levels
+from pairloom.queries import common as c
+from pairloom.sources import views
 
 FEATURES = ["a", "b", "c"]
 
@@ -170,3 +172,13 @@ def test_deep_trees_predict_as_their_nodes_say():
                 values.append(at[2])
             want.append(np.mean(values))
         assert trees.predictions(x, [(99, 0)])[:, 0] == pytest.approx(np.array(want), abs=1e-12)
+
+
+def test_unlabelled_pairs_are_spread_before_they_are_scored(spark, sf_dir):
+    """The predictions of each pair, twenty hashes, are made by several tasks, though one task reads the file."""
+    long = c.test_long(spark, sf_dir)
+    tasks = long.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) == 8 and max(row["count"] for row in tasks) < 2 * min(row["count"] for row in tasks)
+    pairs = views.test_pairs(spark, sf_dir)
+    assert long.count() == pairs.count() * len(c.VERSIONS) * len(c.FOLDS)
+    assert long.select("id").distinct().count() == pairs.count()
