@@ -249,7 +249,7 @@ class Heap:
         inner = feature >= 0
         self.level(self.feature, level)[tree, numbers] = feature
         self.level(self.cut, level)[tree, numbers] = cut
-        for table, whole, left in ((self.rows, n, n_left), (self.value, y / n, y_left / np.where(inner, n_left, 1))):
+        for table, whole, left in ((self.rows, n, n_left), (self.value, y / np.maximum(n, 1), y_left / np.where(inner, n_left, 1))):
             self.level(table, level)[tree, numbers] = whole
             self.level(table, level + 1)[tree, 2 * numbers[inner]] = left[inner]
         right = 2 * numbers[inner] + 1

@@ -182,3 +182,12 @@ def test_unlabelled_pairs_are_spread_before_they_are_scored(spark, sf_dir):
     pairs = views.test_pairs(spark, sf_dir)
     assert long.count() == pairs.count() * len(c.VERSIONS) * len(c.FOLDS)
     assert long.select("id").distinct().count() == pairs.count()
+
+
+def test_a_tree_without_rows_guesses_the_mean(spark, frame, many):
+    """A fold of one row beside a large one: a tree that does not draw it has the mean label as its value."""
+    both = pd.concat([frame[frame["fold"] == 0], frame[frame["fold"] == 1].head(1)])
+    rows = forest.stored_rows(spark.createDataFrame(both), FEATURES)
+    found = forest.refitted(rows, {0: (9, 2, 2), 1: (9, 2, 2)})
+    assert 0 in found[1].rows[:, 0] and found[1].value[:, 0] == pytest.approx([both["score"].iloc[-1]] * 9)
+    assert len(found[0].levels) == 2
